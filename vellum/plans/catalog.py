@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.functions.regex import to_re2
 from vellum.operators.normalize import normalize_table
 from vellum.operators.tagging import category_counts, route_counts, tag_and_route
 from vellum.packs import Pack
@@ -166,3 +167,128 @@ def unsafe_documents(spark, sf):
 def q_conversation_pairs(spark, sf):
     """User turn + following assistant turn."""
     return conversation_pairs(spark, sf).select("original_index", "id", "query", "response")
+
+
+# ------------------------------------------------------------ quality
+from vellum.operators.normalize import normalize_text  # noqa: E402
+from vellum.operators.quality import clean_and_repair, flag_counts, quality_flags, topics  # noqa: E402
+from vellum.sources.tables import MUTATED_PAIRS_SQL, mutated_pairs  # noqa: E402
+
+FLAGS = ["flag_unexpected_script", "flag_entity_issue", "flag_rewrite_meta", "flag_over_refusal",
+         "flag_unclosed", "flag_incomplete", "flag_terminal", "requires_direct", "helpfulness_priority",
+         "flag_refused_answerable", "relevant"]
+
+
+def routed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Mutated conversation pairs with normalized texts, query rules and route."""
+    p = mutated_pairs(spark, sf)
+    p = normalize_table(p, "query", "query_norm", "query_compact")
+    p = p.withColumn("response_norm", normalize_text("response"))
+    return tag_and_route(p, "query_norm", PACK, "query_compact")
+
+
+def flagged_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_flags(routed_pairs(spark, sf), "query", "response", PACK, "route_name", "categories",
+                         "query_norm", "response_norm")
+
+
+_PL = Q.rule_lists("qn", "qc", PACK)
+_PI = Q.inspect_from_lists()
+_PR = Q.route_from("severity", "categories", "jb", PACK.route_tokens)
+_RR = Q.response_rule("response", "query", PACK)
+ROUTED_PAIRS_SQL = f"""
+p AS {MUTATED_PAIRS_SQL},
+n AS (SELECT *, {Q.normalize('query', 12000)} AS qn, {Q.normalize('response', 12000)} AS rn FROM p),
+c AS (SELECT *, {Q.compact('qn')} AS qc FROM n),
+h AS (SELECT *, {_PL['u']} AS u, {_PL['sv']} AS sv, {_PL['jb']} AS jb FROM c),
+r AS (SELECT *, {_PI['severity']} AS severity, {_PI['categories']} AS categories FROM h),
+g AS (SELECT *, {_PR['route_name']} AS route_name, {Q.rstrip('response')} AS rs FROM r),
+f AS (SELECT *, {Q.direct('route_name', 'categories', PACK)} AS requires_direct FROM g)"""
+
+FLAGS_SQL = f"""WITH {ROUTED_PAIRS_SQL}
+SELECT original_index,
+  {Q.unexpected_script('response', 'query')} AS flag_unexpected_script,
+  {Q.entity_issue('query', 'response')} AS flag_entity_issue,
+  {Q.match_any('response', PACK.rewrite_meta_patterns)} AS flag_rewrite_meta,
+  {Q.over_refusal('response', PACK)} AS flag_over_refusal,
+  {Q.unclosed('rs')} AS flag_unclosed,
+  {Q.incomplete('rs')} AS flag_incomplete,
+  regexp_matches(rs, {Q.s(to_re2(T.TERMINAL_PATTERN, ''))}) AS flag_terminal,
+  requires_direct,
+  {Q.priority('route_name', 'categories', PACK)} AS helpfulness_priority,
+  {Q.over_refusal('response', PACK, 'requires_direct')} AS flag_refused_answerable,
+  {Q.relevant('response', 'rn', 'qn', 'categories', PACK)} AS relevant,
+  {_RR[0]} AS response_severity, {_RR[1]} AS response_category, {_RR[2]} AS response_reason
+FROM f"""
+
+
+@register("quality_flags", FLAGS_SQL)
+def q_quality_flags(spark, sf):
+    """J4 (B6-B12, C5, C7-C9) per mutated conversation pair."""
+    f = flagged_pairs(spark, sf)
+    return f.select("original_index", *FLAGS,
+                    F.col("response_rule.severity").alias("response_severity"),
+                    F.coalesce(F.try_element_at("response_rule.categories", F.lit(1)), F.lit("")).alias("response_category"),
+                    F.col("response_rule.reason").alias("response_reason"))
+
+
+@register("quality_counts", "WITH q AS (" + FLAGS_SQL + ") SELECT " +
+          ", ".join(f"count_if({f}) AS n_{f}" for f in FLAGS) + " FROM q")
+def q_quality_counts(spark, sf):
+    """J4 counts: one pass, one row."""
+    return flag_counts(flagged_pairs(spark, sf), FLAGS)
+
+
+@register("clean_responses", "WITH p AS " + MUTATED_PAIRS_SQL + ", " + ", ".join(Q.clean_stages("p", "response", "cleaned"))
+          + " SELECT original_index, cleaned FROM cleaned_5")
+def q_clean_responses(spark, sf):
+    """B5 on mutated responses."""
+    return mutated_pairs(spark, sf).select("original_index", T.clean_response("response").alias("cleaned"))
+
+
+@register("acronyms_pairs", f"""WITH p AS {MUTATED_PAIRS_SQL}
+SELECT original_index, array_to_string(list_sort({Q.acronyms('query')}), '|') AS query_acronyms,
+       array_to_string(list_sort({Q.acronyms('response')}), '|') AS response_acronyms FROM p""")
+def q_acronyms_pairs(spark, sf):
+    """Acronyms outside the allow-list, sorted."""
+    p = mutated_pairs(spark, sf)
+    return p.select("original_index", joined(F.array_sort(T.acronyms("query"))).alias("query_acronyms"),
+                    joined(F.array_sort(T.acronyms("response"))).alias("response_acronyms"))
+
+
+_NUM_RE2 = r"(?:^|[^\p{L}\p{N}_])([+-]?(?:\p{Nd}+(?:[.,]\p{Nd}+)?|\.\p{Nd}+))"
+
+
+@register("benign_tasks", f"""WITH {ROUTED_PAIRS_SQL}
+SELECT original_index, route_name,
+  CAST(len(regexp_extract_all(query, {Q.s(_NUM_RE2)}, 1)) AS INTEGER) AS number_count,
+  (route_name = 'SAFE_DIRECT' AND len(categories) = 0
+   AND NOT regexp_matches(query, {Q.s(to_re2(T.BENIGN_DENY_PATTERN, 'i'))})
+   AND ((len(regexp_extract_all(query, {Q.s(_NUM_RE2)}, 1)) >= 2
+         AND regexp_matches(query, {Q.s(to_re2(T.BENIGN_MATH_PATTERN, 'i'))}))
+        OR (regexp_matches(query, {Q.s(to_re2(T.BENIGN_TASK_PATTERN, 'i'))})
+            AND regexp_matches(query, {Q.s(to_re2(T.BENIGN_FORMAT_PATTERN, 'i'))})))) AS benign
+FROM f""")
+def q_benign_tasks(spark, sf):
+    """Ordinary math / constrained-format requests on the plain route."""
+    p = routed_pairs(spark, sf)
+    return p.select("original_index", "route_name", T.number_count("query").alias("number_count"),
+                    T.is_benign_task("query", "route_name", "categories").alias("benign"))
+
+
+@register("topics_pairs", f"""WITH {ROUTED_PAIRS_SQL}
+SELECT original_index, array_to_string({Q.topics('qn', PACK)}, '|') AS query_topics,
+       array_to_string({Q.topics('rn', PACK)}, '|') AS response_topics FROM f""")
+def q_topics_pairs(spark, sf):
+    """Ordered topic lists of normalized query and response."""
+    p = routed_pairs(spark, sf)
+    return p.select("original_index", joined(topics("query_norm", PACK)).alias("query_topics"),
+                    joined(topics("response_norm", PACK)).alias("response_topics"))
+
+
+@register("repair_responses")
+def q_repair_responses(spark, sf):
+    """Clean (B5) then repair truncation (B13, Arrow UDF); checked by unit tests."""
+    p = mutated_pairs(spark, sf)
+    return clean_and_repair(p, "response", "finish_reason").select(
+        "original_index", "final_text", "final_repaired", "final_incomplete")

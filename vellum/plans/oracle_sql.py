@@ -120,3 +120,133 @@ def overlaps(cats: str, names) -> str:
     if not names:
         return "FALSE"
     return f"coalesce(list_has_any({cats}, [{', '.join(s(n) for n in names)}]), FALSE)"
+
+
+# ------------------------------------------------------------ quality twins
+def han_list(e: str) -> str:
+    return f"regexp_extract_all({coalesce(e)}, {s(to_re2(T.HAN_CLASS, ''))}, 0)"
+
+
+def unexpected_script(resp: str, query: str) -> str:
+    return f"(len(list_filter({han_list(resp)}, lambda ch: NOT list_contains({han_list(query)}, ch))) > 0)"
+
+
+ACRONYM_RE2 = r"(?:^|[^A-Za-z0-9])([A-Z][A-Z0-9&.\-]{1,9})(?:$|[^A-Za-z0-9])"
+
+
+def acronyms(e: str) -> str:
+    # Separators are doubled so that one copy can end a match and the next copy
+    # can start the following one (RE2 has no lookaround).
+    doubled = f"regexp_replace({coalesce(e)}, '([^A-Za-z0-9&.\\-])', '\\1\\1', 'g')"
+    allow = ", ".join(s(a) for a in T.ACRONYM_ALLOWLIST)
+    return (f"list_distinct(list_filter(regexp_extract_all({doubled}, {s(ACRONYM_RE2)}, 1), "
+            f"lambda a: NOT list_contains([{allow}], a)))")
+
+
+def entity_issue(query: str, resp: str) -> str:
+    req, up = acronyms(query), f"replace(upper({coalesce(resp)}), 'ß', 'SS')"
+    missing = f"list_filter({req}, lambda a: NOT contains({up}, a))"
+    introduced = f"list_filter({acronyms(resp)}, lambda a: NOT list_contains({req}, a))"
+    proper = f"regexp_matches({coalesce(resp)}, {s(to_re2(T.PROPER_NAME_PATTERN, ''))})"
+    return f"(len({req}) > 0 AND len({missing}) > 0 AND (len({introduced}) > 0 OR {proper}))"
+
+
+def delimiter_stack(sx: str) -> str:
+    return (f"list_reduce(regexp_extract_all({sx}, '[()\\[\\]{{}}]', 0), lambda acc, x: CASE "
+            f"WHEN x IN ('(', '[', '{{') THEN list_append(acc, x) "
+            f"WHEN len(acc) > 0 AND acc[-1] = (CASE x WHEN ')' THEN '(' WHEN ']' THEN '[' ELSE '{{' END) "
+            f"THEN acc[1:len(acc) - 1] ELSE acc END, []::VARCHAR[])")
+
+
+def unclosed(sx: str) -> str:
+    """B11 boolean on an already right-stripped text column ``sx``."""
+    url = f"regexp_extract({sx}, {s(to_re2(T.TRAILING_URL_PATTERN, 'i'))}, 0)"
+    bad_url = f"({url} <> '' AND NOT regexp_matches({url}, {s(to_re2(T.URL_TLD_TAIL_PATTERN, 'i'))}))"
+    fences = f"((length({sx}) - length(replace({sx}, '```', ''))) // 3)"
+    return f"({sx} <> '' AND (len({delimiter_stack(sx)}) > 0 OR {fences} % 2 = 1 OR {bad_url}))"
+
+
+def incomplete(sx: str) -> str:
+    """B12 on an already right-stripped text column ``sx``."""
+    return (f"({sx} = '' OR regexp_matches({sx}, {s(to_re2(T.DANGLING_LIST_PATTERN, ''))}) "
+            f"OR regexp_matches({sx}, {s(to_re2(T.DANGLING_HEADING_PATTERN, ''))}) "
+            f"OR regexp_matches({sx}, {s(to_re2(T.connector_pattern(), 'i'))}) OR {unclosed(sx)})")
+
+
+def over_refusal(e: str, pack: Pack, direct: str | None = None) -> str:
+    st = strip(e)
+    hit = match_any(st, pack.nonanswer_patterns)
+    if direct is None:
+        return f"({hit})"
+    return f"({hit} OR (({direct}) AND regexp_matches({st}, {s(to_re2(T.DIRECT_REFUSAL_PATTERN, 'is'))})))"
+
+
+def topics(norm: str, pack: Pack) -> str:
+    return nonnull([f"CASE WHEN {has_any(norm, kws)} THEN {s(t)} END" for t, kws in pack.topics])
+
+
+def response_rule(resp: str, query: str, pack: Pack) -> tuple[str, str, str]:
+    """C5 -> (severity, category, reason) SQL."""
+    sev, cat, why = ["CASE"], ["CASE"], ["CASE"]
+    for category, reason, pat, not_pat, query_pat, strip_resp in pack.response_rules:
+        target = strip(resp) if strip_resp else coalesce(resp)
+        cond = match_any(target, [pat])
+        if not_pat:
+            cond += f" AND NOT {match_any(resp, [not_pat])}"
+        if query_pat:
+            cond = f"{match_any(query, [query_pat])} AND {cond}"
+        sev.append(f"WHEN {cond} THEN 'unsafe'")
+        cat.append(f"WHEN {cond} THEN {s(category)}")
+        why.append(f"WHEN {cond} THEN {s(reason)}")
+    return (" ".join(sev) + " ELSE 'safe' END", " ".join(cat) + " ELSE '' END",
+            " ".join(why) + " ELSE 'no response rule hit' END")
+
+
+def relevant(cand: str, cand_norm: str, query_norm: str, cats: str, pack: Pack) -> str:
+    qt, rt = topics(query_norm, pack), topics(cand_norm, pack)
+    parts = [f"{coalesce(cand)} <> ''", f"NOT {over_refusal(cand, pack)}",
+             f"NOT (len({qt}) > 0 AND len({rt}) > 0 AND NOT list_has_any({qt}, {rt}))"]
+    for mode, query_any, response_any, head, min_hits, if_cat, unless_cat, refusal_fails in pack.relevance_rules:
+        applies = has_any(query_norm, query_any)
+        if if_cat:
+            applies += f" AND {overlaps(cats, if_cat)}"
+        if unless_cat:
+            applies += f" AND NOT {overlaps(cats, unless_cat)}"
+        target = f"substr({cand_norm}, 1, {head})" if head else cand_norm
+        if mode == "forbid":
+            bad = has_any(target, response_any)
+        else:
+            bad = f"({count_hits(target, response_any)} < {min_hits})"
+            if refusal_fails:
+                bad = f"({bad} OR {over_refusal(cand, pack, 'TRUE')})"
+        parts.append(f"NOT ({applies} AND {bad})")
+    return "(" + " AND ".join(parts) + ")"
+
+
+def priority(route: str, cats: str, pack: Pack) -> str:
+    return (f"(CASE WHEN {route} = 'UNSAFE' THEN {overlaps(cats, pack.priority_unsafe)} "
+            f"ELSE {overlaps(cats, pack.priority)} END)")
+
+
+def direct(route: str, cats: str, pack: Pack) -> str:
+    return (f"(CASE WHEN {route} = 'UNSAFE' THEN {overlaps(cats, pack.direct_unsafe)} "
+            f"ELSE {overlaps(cats, pack.direct)} END)")
+
+
+def clean_stages(src: str, col: str, out: str, max_chars: int = 5000) -> list[str]:
+    """CTE definitions computing B5 of ``col`` (from ``src``) into column ``out``."""
+    think = s(to_re2(T.THINK_PATTERN, "is"))
+    unclosed_think = s(r"(?is)<think>.*\z")
+    role = s(to_re2(T.ROLE_PREFIX_PATTERN, "i"))
+    fence = s(to_re2(T.FENCE_PATTERN, "s"))
+    a, b, c, d = (f"{out}_{x}" for x in "abcd")
+    squeeze = (f"regexp_replace(regexp_replace(replace({c}, chr(65279), ''), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), "
+               f"'\\n{{3,}}', chr(10) || chr(10), 'g')")
+    cap = f"CASE WHEN length({d}) > {max_chars} THEN {rstrip(f'substr({d}, 1, {max_chars})')} ELSE {d} END"
+    return [
+        f"{out}_1 AS (SELECT *, regexp_replace(regexp_replace({coalesce(col)}, {think}, '', 'g'), {unclosed_think}, '') AS {a} FROM {src})",
+        f"{out}_2 AS (SELECT *, {strip(f'regexp_replace({a}, {role}, {chr(39)}{chr(39)})')} AS {b} FROM {out}_1)",
+        f"{out}_3 AS (SELECT *, CASE WHEN regexp_matches({b}, {fence}) THEN {strip(f'regexp_extract({b}, {fence}, 1)')} ELSE {b} END AS {c} FROM {out}_2)",
+        f"{out}_4 AS (SELECT *, {strip(squeeze)} AS {d} FROM {out}_3)",
+        f"{out}_5 AS (SELECT * EXCLUDE ({a}, {b}, {c}, {d}), {cap} AS {out} FROM {out}_4)",
+    ]

@@ -65,3 +65,51 @@ PAIRS_SQL = """(SELECT conv_id * 1000 + turn AS original_index,
                 lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
            FROM conversations) c
   WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+def mutated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation pairs with deterministic edits that exercise the quality checks.
+
+    Every pair is kept; ``conv_id % 4`` edits the query (acronyms, a math task,
+    a format task) and ``conv_id % 9`` edits the response (role prefix,
+    reasoning block, dangling endings, Han characters, a fence, a canned
+    refusal, names and a truncated URL).  ``finish_reason`` cycles with turn.
+    """
+    p = conversation_pairs(spark, sf_dir)
+    k4, k9, q, r = F.col("conv_id") % 4, F.col("conv_id") % 9, F.col("query"), F.col("response")
+    lit = F.lit
+    query = (F.when(k4 == 1, F.concat(lit("ACME GPU: "), q))
+              .when(k4 == 2, F.concat(q, lit(" How many items cost 12 and 5 in total?")))
+              .when(k4 == 3, F.concat(lit("Write exactly 3 bullet points in JSON: "), q))
+              .otherwise(q))
+    resp = (F.when(k9 == 0, F.concat(lit("Assistant: "), r))
+             .when(k9 == 1, F.concat(lit("<think>draft plan</think>"), r, lit(" (see")))
+             .when(k9 == 2, F.concat(r, lit("\n2.")))
+             .when(k9 == 3, F.concat(r, lit(" and")))
+             .when(k9 == 4, F.concat(r, lit(" \u6f22\u5b57 ACME.")))
+             .when(k9 == 5, F.concat(lit("```text\n"), r, lit("\n```")))
+             .when(k9 == 6, F.concat(r, lit("\n\n\n\nSummary:")))
+             .when(k9 == 7, F.concat(lit("Sorry, I cannot answer this completely with confidence; "
+                                         "please rephrase the question. "), r))
+             .otherwise(F.concat(r, lit(" Reported by Jane Smith at WHO [1] www.example"))))
+    finish = F.when(F.col("turn") % 3 == 0, "length").when(F.col("turn") % 3 == 1, "stop").otherwise("unknown")
+    return p.select("original_index", "id", "conv_id", "turn", query.alias("query"), resp.alias("response"),
+                    finish.alias("finish_reason"))
+
+
+MUTATED_PAIRS_SQL = f"""(SELECT original_index, id, conv_id, turn,
+    CASE conv_id % 4 WHEN 1 THEN 'ACME GPU: ' || query
+                     WHEN 2 THEN query || ' How many items cost 12 and 5 in total?'
+                     WHEN 3 THEN 'Write exactly 3 bullet points in JSON: ' || query
+                     ELSE query END AS query,
+    CASE conv_id % 9 WHEN 0 THEN 'Assistant: ' || response
+                     WHEN 1 THEN '<think>draft plan</think>' || response || ' (see'
+                     WHEN 2 THEN response || chr(10) || '2.'
+                     WHEN 3 THEN response || ' and'
+                     WHEN 4 THEN response || ' ' || chr(28450) || chr(23383) || ' ACME.'
+                     WHEN 5 THEN '```text' || chr(10) || response || chr(10) || '```'
+                     WHEN 6 THEN response || chr(10) || chr(10) || chr(10) || chr(10) || 'Summary:'
+                     WHEN 7 THEN 'Sorry, I cannot answer this completely with confidence; please rephrase the question. ' || response
+                     ELSE response || ' Reported by Jane Smith at WHO [1] www.example' END AS response,
+    CASE turn % 3 WHEN 0 THEN 'length' WHEN 1 THEN 'stop' ELSE 'unknown' END AS finish_reason
+   FROM {PAIRS_SQL} pp)"""
