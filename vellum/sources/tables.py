@@ -92,6 +92,10 @@ def mutated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k9 == 7, F.concat(lit("Sorry, I cannot answer this completely with confidence; "
                                          "please rephrase the question. "), r))
              .otherwise(F.concat(r, lit(" Reported by Jane Smith at WHO [1] www.example"))))
+    k5, k7 = F.col("conv_id") % 5, F.col("conv_id") % 7
+    resp = F.when(k5 == 2, F.concat(lit("The draft answer is safe and needs no changes. "), resp)).otherwise(resp)
+    resp = (F.when(k7 == 3, F.concat(resp, lit(' token = "0123456789abcdef0123"')))
+             .when(k7 == 5, F.concat(resp, lit(" Mail 12@mail1.example.com."))).otherwise(resp))
     finish = F.when(F.col("turn") % 3 == 0, "length").when(F.col("turn") % 3 == 1, "stop").otherwise("unknown")
     return p.select("original_index", "id", "conv_id", "turn", query.alias("query"), resp.alias("response"),
                     finish.alias("finish_reason"))
@@ -110,6 +114,11 @@ MUTATED_PAIRS_SQL = f"""(SELECT original_index, id, conv_id, turn,
                      WHEN 5 THEN '```text' || chr(10) || response || chr(10) || '```'
                      WHEN 6 THEN response || chr(10) || chr(10) || chr(10) || chr(10) || 'Summary:'
                      WHEN 7 THEN 'Sorry, I cannot answer this completely with confidence; please rephrase the question. ' || response
-                     ELSE response || ' Reported by Jane Smith at WHO [1] www.example' END AS response,
+                     ELSE response || ' Reported by Jane Smith at WHO [1] www.example' END AS response0,
     CASE turn % 3 WHEN 0 THEN 'length' WHEN 1 THEN 'stop' ELSE 'unknown' END AS finish_reason
    FROM {PAIRS_SQL} pp)"""
+MUTATED_PAIRS_SQL = f"""(SELECT original_index, id, conv_id, turn, query, finish_reason,
+    CASE conv_id % 7 WHEN 3 THEN r1 || ' token = "0123456789abcdef0123"'
+                     WHEN 5 THEN r1 || ' Mail 12@mail1.example.com.' ELSE r1 END AS response
+   FROM (SELECT *, CASE conv_id % 5 WHEN 2 THEN 'The draft answer is safe and needs no changes. ' || response0
+                                    ELSE response0 END AS r1 FROM {MUTATED_PAIRS_SQL} m0) m1)"""
