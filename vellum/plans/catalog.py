@@ -292,3 +292,98 @@ def q_repair_responses(spark, sf):
     p = mutated_pairs(spark, sf)
     return clean_and_repair(p, "response", "finish_reason").select(
         "original_index", "final_text", "final_repaired", "final_incomplete")
+
+
+# ------------------------------------------------------------ guard (J6) and accept (F1)
+from vellum.functions.guard import harm_probability, label as guard_label, softmax  # noqa: E402
+from vellum.operators.accept import accept  # noqa: E402
+from vellum.operators.guard import batch_classify, content_budget, guard_pairs  # noqa: E402
+
+_CB = content_budget()
+_QB, _RB = Q.budget("len(qt)", "len(rt)", _CB, 64)
+
+
+@register("guard_visibility", f"""WITH p AS {MUTATED_PAIRS_SQL},
+t AS (SELECT original_index, {Q.tokens('query')} AS qt, {Q.tokens('response')} AS rt FROM p),
+b AS (SELECT *, {_QB} AS qb, {_RB} AS rb FROM t),
+v AS (SELECT *, {Q.head_tail('qt', 'qb')} AS vq, {Q.head_tail('rt', 'rb')} AS vr FROM b)
+SELECT original_index, CAST(len(qt) AS INTEGER) AS guard_query_total_tokens,
+       CAST(len(vq) AS INTEGER) AS guard_query_visible_tokens, CAST(len(rt) AS INTEGER) AS guard_response_total_tokens,
+       CAST(rb AS INTEGER) AS guard_response_token_budget, CAST(len(vr) AS INTEGER) AS estimated_visible_tokens,
+       'input: ' || array_to_string(vq, ' ') || ' output: ' || array_to_string(vr, ' ') AS guard_input FROM v""")
+def q_guard_visibility(spark, sf):
+    """Token budget split, head-tail windows, visibility counts, serialized input."""
+    g = guard_pairs(mutated_pairs(spark, sf), "query", "response")
+    return g.select("original_index", *[F.col(f"visibility.{c}").alias(c) for c in
+                                        ["guard_query_total_tokens", "guard_query_visible_tokens",
+                                         "guard_response_total_tokens", "guard_response_token_budget",
+                                         "estimated_visible_tokens", "guard_input"]])
+
+
+LOGITS_SQL = ("[(1 - l.toxic) * 2.0 + l.quality * 0.5 + (d.n_chars % 13) / 10.0, "
+              "l.toxic * 2.5 + (d.doc_id % 7) / 10.0]::DOUBLE[]")
+
+
+@register("guard_scores", f"""WITH x AS (SELECT d.doc_id, {LOGITS_SQL} AS lg
+    FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+e AS (SELECT doc_id, list_transform(lg, lambda v: exp(v - list_max(lg))) AS ex FROM x),
+p AS (SELECT doc_id, list_transform(ex, lambda v: v / list_sum(ex)) AS probs FROM e)
+SELECT doc_id, round(probs[2], 6) AS harmful_probability,
+       CASE WHEN probs[2] >= 0.5 THEN 'harmful' ELSE 'safe' END AS label FROM p""")
+def q_guard_scores(spark, sf):
+    """Softmax of classifier logits, harm-label lookup, threshold label."""
+    d = table(spark, sf, "documents", "doc_id", "n_chars")
+    lab = table(spark, sf, "labels", "doc_id", "quality", "toxic")
+    x = d.join(lab, "doc_id").select(
+        "doc_id", F.array(((1 - F.col("toxic")) * 2.0 + F.col("quality") * 0.5 + (F.col("n_chars") % 13) / 10.0)
+                          .cast("double"),
+                          (F.col("toxic") * 2.5 + (F.col("doc_id") % 7) / 10.0).cast("double")).alias("lg"))
+    p = x.withColumn("p", harm_probability(softmax("lg"), {0: "safe", 1: "harmful"}))
+    return p.select("doc_id", F.round("p", 6).alias("harmful_probability"), guard_label("p").alias("label"))
+
+
+def toy_classifier(queries: list[str], responses: list[str]) -> list[float]:
+    """Stand-in model: a length-based score that refuses inputs holding a credential."""
+    if any("token =" in r for r in responses):
+        raise RuntimeError("classifier rejected input")
+    return [(len(r) % 97) / 100.0 for r in responses]
+
+
+@register("batch_classify_pairs", f"""WITH p AS {MUTATED_PAIRS_SQL}
+SELECT original_index,
+  CASE WHEN contains(response, 'token =') THEN 'unknown' WHEN (length(response) % 97) / 100.0 >= 0.5 THEN 'harmful' ELSE 'safe' END AS label,
+  CASE WHEN contains(response, 'token =') THEN 1.0 ELSE (length(response) % 97) / 100.0 END::DOUBLE AS harmful_probability,
+  contains(response, 'token =') AS failed FROM p""")
+def q_batch_classify_pairs(spark, sf):
+    """E5: user classifier on Arrow batches; failing rows isolated (per-row retry)."""
+    p = mutated_pairs(spark, sf).select("original_index", "query", "response")
+    s = batch_classify(p, toy_classifier, retry_rows=True)
+    return s.select("original_index", "label", F.round("harmful_probability", 6).alias("harmful_probability"),
+                    F.col("raw_error").isNotNull().alias("failed"))
+
+
+PROB_SQL = "(((conv_id * 37 + turn * 11) % 100) / 100.0)::DOUBLE"
+LABEL_SQL = f"CASE WHEN conv_id % 13 = 0 THEN 'unknown' WHEN {PROB_SQL} >= 0.5 THEN 'harmful' ELSE 'safe' END"
+
+
+def pair_prob() -> F.Column:
+    return ((F.col("conv_id") * 37 + F.col("turn") * 11) % 100) / 100.0
+
+
+def pair_label() -> F.Column:
+    return F.when(F.col("conv_id") % 13 == 0, "unknown").when(pair_prob() >= 0.5, "harmful").otherwise("safe")
+
+
+_ACC = Q.accept("response", "query", "route_name", "categories", "qn", "rn", "label", "prob", PACK, "rs",
+                incomplete="finish_reason = 'length'")
+
+
+@register("accept_pairs", f"""WITH {ROUTED_PAIRS_SQL},
+a AS (SELECT *, {PROB_SQL} AS prob, {LABEL_SQL} AS label FROM f)
+SELECT original_index, {_ACC[0]} AS accepted, {_ACC[1]} AS reason FROM a""")
+def q_accept_pairs(spark, sf):
+    """ordered accept/reject with reasons for each draft."""
+    p = routed_pairs(spark, sf).withColumns({"prob": pair_prob(), "label": pair_label()})
+    a = accept("response", "query", "route_name", "categories", "query_norm", "response_norm", "label", "prob",
+               PACK, incomplete=F.col("finish_reason") == "length")
+    return p.select("original_index", a["accepted"].alias("accepted"), a["reason"].alias("reason"))

@@ -250,3 +250,53 @@ def clean_stages(src: str, col: str, out: str, max_chars: int = 5000) -> list[st
         f"{out}_4 AS (SELECT *, {strip(squeeze)} AS {d} FROM {out}_3)",
         f"{out}_5 AS (SELECT * EXCLUDE ({a}, {b}, {c}, {d}), {cap} AS {out} FROM {out}_4)",
     ]
+
+
+# ------------------------------------------------------------ guard twins
+def tokens(e: str) -> str:
+    return f"list_filter(regexp_split_to_array({coalesce(e)}, {s(WS + '+')}), lambda tk: tk <> '')"
+
+
+def head_tail(a: str, lim: str) -> str:
+    tail = f"greatest(1, ({lim}) // 4)"
+    return (f"(CASE WHEN ({lim}) <= 0 THEN []::VARCHAR[] WHEN len({a}) <= ({lim}) THEN {a} "
+            f"WHEN ({lim}) = 1 THEN {a}[1:1] "
+            f"ELSE list_concat({a}[1:({lim}) - {tail}], {a}[len({a}) - {tail} + 1:len({a})]) END)")
+
+
+def budget(qlen: str, rlen: str, b: int, reserve: int) -> tuple[str, str]:
+    r0 = f"least({rlen}, {reserve}, {b})"
+    q0 = f"least({qlen}, {b} - {r0})"
+    rem = f"({b} - {r0} - {q0})"
+    rx = f"least(greatest(0, {rlen} - {r0}), {rem})"
+    return f"({q0} + least(greatest(0, {qlen} - {q0}), {rem} - {rx}))", f"({r0} + {rx})"
+
+
+def accept(resp, query, route, cats, qn, rn, label, prob, pack: Pack, rs: str, incomplete: str | None = None,
+           reject_meta: bool = False, threshold: float = 0.5) -> tuple[str, str]:
+    """F1 twin -> (accepted, reason) SQL; ``rs`` is rstrip(resp)."""
+    from vellum.operators import accept as A
+    sev, _, why = response_rule(resp, query, pack)
+    lab = f"lower(coalesce({label}, 'unknown'))"
+    inc = f"({'coalesce(' + incomplete + ', FALSE) OR ' if incomplete else ''}{incomplete_fn(rs)})"
+    steps = [
+        (f"{strip(resp)} = ''", "FALSE", s(A.R_EMPTY)),
+        (inc, "FALSE", s(A.R_INCOMPLETE)),
+        (unexpected_script(resp, query), "FALSE", s(A.R_HAN)),
+        (entity_issue(query, resp), "FALSE", s(A.R_ENTITY)),
+    ]
+    if reject_meta:
+        steps.append((match_any(resp, pack.rewrite_meta_patterns), "FALSE", s(A.R_META)))
+    steps += [
+        (over_refusal(resp, pack, direct(route, cats, pack)), "FALSE", s(A.R_REFUSAL)),
+        (f"{priority(route, cats, pack)} AND NOT {relevant(resp, rn, qn, cats, pack)}", "FALSE", s(A.R_OFF_TOPIC)),
+        (f"({sev}) = 'unsafe'", "FALSE", why),
+        (f"{lab} = 'unknown'", "FALSE", s(A.R_UNKNOWN)),
+        (f"{lab} = 'harmful' OR coalesce({prob}, 1.0) >= {threshold}", "FALSE", s(A.R_HARMFUL)),
+    ]
+    ok = "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v, _ in steps) + " ELSE TRUE END"
+    reason = "CASE " + " ".join(f"WHEN {c} THEN {r}" for c, _, r in steps) + f" ELSE {s(A.R_ACCEPTED)} END"
+    return ok, reason
+
+
+incomplete_fn = incomplete
