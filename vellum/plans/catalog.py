@@ -387,3 +387,39 @@ def q_accept_pairs(spark, sf):
     a = accept("response", "query", "route_name", "categories", "query_norm", "response_norm", "label", "prob",
                PACK, incomplete=F.col("finish_reason") == "length")
     return p.select("original_index", a["accepted"].alias("accepted"), a["reason"].alias("reason"))
+
+
+# ------------------------------------------------------------ cascade
+from vellum.operators.cascade import cascade_counters, expression_scorer, guarded_select  # noqa: E402
+
+
+def _cand_prob(query, text, index):
+    return ((F.length(text) * 7 + index) % 100) / 100.0
+
+
+def _cand_label(text, p):
+    return F.when(F.length(text) % 17 == 0, "unknown").when(p >= 0.5, "harmful").otherwise("safe")
+
+
+CANDIDATE_SCORER = expression_scorer(_cand_prob, _cand_label)
+
+
+def selected_pairs(spark, sf):
+    p = routed_pairs(spark, sf).withColumn("rewrite_text", F.coalesce(F.col("rewrite"), F.lit("")))
+    return guarded_select(p, PACK, CANDIDATE_SCORER, model_candidates=["rewrite_text", "response"])
+
+
+@register("guarded_select")
+def q_guarded_select(spark, sf):
+    """The candidate each request would take, with tier, position and reason."""
+    s = selected_pairs(spark, sf)
+    return s.select("original_index", F.col("selected.tier").alias("tier"),
+                    F.col("selected.position").alias("position"), F.col("selected.stage").alias("stage"),
+                    F.col("selected.text").alias("text"), F.col("selected.label").alias("label"),
+                    F.round("selected.prob", 6).alias("prob"), F.col("selected.reason").alias("reason"))
+
+
+@register("cascade_counters")
+def q_cascade_counters(spark, sf):
+    """per-tier scored / accepted counters."""
+    return cascade_counters(selected_pairs(spark, sf))

@@ -46,7 +46,9 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     w = Window.partitionBy("conv_id").orderBy("turn")
     nxt = (conv.withColumn("next_role", F.lead("role").over(w))
-               .withColumn("next_text", F.lead("text").over(w)))
+               .withColumn("next_text", F.lead("text").over(w))
+               .withColumn("later_role", F.lead("role", 3).over(w))
+               .withColumn("later_text", F.lead("text", 3).over(w)))
     pairs = nxt.filter((F.col("role") == "user") & (F.col("next_role") == "assistant"))
     return pairs.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("original_index"),
@@ -54,15 +56,19 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn",
         F.col("text").alias("query"),
         F.col("next_text").alias("response"),
+        F.when(F.col("later_role") == "assistant", F.col("later_text")).alias("rewrite"),
     )
 
 
 PAIRS_SQL = """(SELECT conv_id * 1000 + turn AS original_index,
         'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
-        conv_id, turn, text AS query, next_text AS response
+        conv_id, turn, text AS query, next_text AS response,
+        CASE WHEN later_role = 'assistant' THEN later_text END AS rewrite
    FROM (SELECT conv_id, turn, role, text,
                 lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
-                lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
+                lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text,
+                lead(role, 3) OVER (PARTITION BY conv_id ORDER BY turn) AS later_role,
+                lead(text, 3) OVER (PARTITION BY conv_id ORDER BY turn) AS later_text
            FROM conversations) c
   WHERE role = 'user' AND next_role = 'assistant')"""
 
@@ -98,7 +104,7 @@ def mutated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k7 == 5, F.concat(resp, lit(" Mail 12@mail1.example.com."))).otherwise(resp))
     finish = F.when(F.col("turn") % 3 == 0, "length").when(F.col("turn") % 3 == 1, "stop").otherwise("unknown")
     return p.select("original_index", "id", "conv_id", "turn", query.alias("query"), resp.alias("response"),
-                    finish.alias("finish_reason"))
+                    finish.alias("finish_reason"), "rewrite")
 
 
 MUTATED_PAIRS_SQL = f"""(SELECT original_index, id, conv_id, turn,
@@ -115,9 +121,9 @@ MUTATED_PAIRS_SQL = f"""(SELECT original_index, id, conv_id, turn,
                      WHEN 6 THEN response || chr(10) || chr(10) || chr(10) || chr(10) || 'Summary:'
                      WHEN 7 THEN 'Sorry, I cannot answer this completely with confidence; please rephrase the question. ' || response
                      ELSE response || ' Reported by Jane Smith at WHO [1] www.example' END AS response0,
-    CASE turn % 3 WHEN 0 THEN 'length' WHEN 1 THEN 'stop' ELSE 'unknown' END AS finish_reason
+    CASE turn % 3 WHEN 0 THEN 'length' WHEN 1 THEN 'stop' ELSE 'unknown' END AS finish_reason, rewrite
    FROM {PAIRS_SQL} pp)"""
-MUTATED_PAIRS_SQL = f"""(SELECT original_index, id, conv_id, turn, query, finish_reason,
+MUTATED_PAIRS_SQL = f"""(SELECT original_index, id, conv_id, turn, query, finish_reason, rewrite,
     CASE conv_id % 7 WHEN 3 THEN r1 || ' token = "0123456789abcdef0123"'
                      WHEN 5 THEN r1 || ' Mail 12@mail1.example.com.' ELSE r1 END AS response
    FROM (SELECT *, CASE conv_id % 5 WHEN 2 THEN 'The draft answer is safe and needs no changes. ' || response0
