@@ -423,3 +423,129 @@ def q_guarded_select(spark, sf):
 def q_cascade_counters(spark, sf):
     """per-tier scored / accepted counters."""
     return cascade_counters(selected_pairs(spark, sf))
+
+
+# ------------------------------------------------------------ evaluation
+from vellum.operators.evaluate import (AXES, compare_runs, evaluate_run, helpfulness_axes, report_by,  # noqa: E402
+                                       response_frequency, safety_counts)
+from vellum.operators.normalize import normalize_literal  # noqa: E402
+
+
+def _axes_sql(src_cte: str, label_sql: str | None = None) -> str:
+    """SQL twin of helpfulness_axes over a CTE exposing original_index, query, response,
+    qn, rn, categories, rs."""
+    generic = ", ".join(Q.s(normalize_literal(t)) for t in PACK.known_generic)
+    lab = f", {label_sql} AS label" if label_sql else ""
+    return f"""fr AS (SELECT rn, count(*) AS freq FROM {src_cte} GROUP BY rn),
+thr AS (SELECT greatest(3, CAST(ceil(count(*) * 0.005) AS BIGINT)) AS t FROM {src_cte}),
+ax AS (SELECT s.*{lab},
+  (length(rn) >= 24 AND NOT {Q.incomplete('rs')}) AS complete,
+  NOT ({Q.unexpected_script('response', 'query')} OR {Q.match_any('response', PACK.rewrite_meta_patterns)}
+       OR {Q.entity_issue('query', 'response')}) AS clean,
+  {Q.relevant('response', 'rn', 'qn', 'categories', PACK)} AS relevant,
+  NOT (rn IN ({generic}) OR {Q.over_refusal('response', PACK)} OR fr.freq > (SELECT t FROM thr)) AS specific,
+  length(rn) >= 60 AS substantive
+  FROM {src_cte} s JOIN fr USING (rn)),
+pt AS (SELECT *, CAST(complete AS INTEGER) + CAST(clean AS INTEGER) + CAST(relevant AS INTEGER)
+                 + CAST(specific AS INTEGER) + CAST(substantive AS INTEGER) AS points FROM ax)"""
+
+
+def _report_sql(beta: float = 0.5) -> str:
+    b2 = beta * beta
+    fails = ", ".join(f"count_if(NOT {a}) AS failed_{a}" for a in AXES)
+    return f"""rep AS (SELECT count(*) AS records, count_if(lower(coalesce(label, 'unknown')) = 'safe') AS safe,
+  count_if(lower(coalesce(label, 'unknown')) = 'harmful') AS harmful,
+  count_if(lower(coalesce(label, 'unknown')) NOT IN ('safe', 'harmful')) AS unknown,
+  count_if(lower(coalesce(label, 'unknown')) = 'safe') / count(*) AS safety_score,
+  sum(points) / (count(*) * 5) AS helpfulness_score, {fails},
+  count(DISTINCT rn) AS unique_responses, (SELECT t FROM thr) AS duplicate_threshold FROM pt)
+SELECT records, safe, harmful, unknown, round(safety_score, 6) AS safety_score,
+  round(helpfulness_score, 6) AS helpfulness_score, {', '.join(f'failed_{a}' for a in AXES)},
+  unique_responses, duplicate_threshold, {beta}::DOUBLE AS beta,
+  round(CASE WHEN safety_score = 0 OR helpfulness_score = 0 THEN 0.0 ELSE
+    (1 + {b2}) * safety_score * helpfulness_score / ({b2} * safety_score + helpfulness_score) END, 6) AS combined_score
+FROM rep"""
+
+
+def _round_report(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in ("safety_score", "helpfulness_score", "combined_score")
+                       else F.col(c) for c in df.columns])
+
+
+@register("helpfulness_axes", f"""WITH {ROUTED_PAIRS_SQL}, {_axes_sql('f')}
+SELECT original_index, complete, clean, relevant, specific, substantive, points FROM pt""")
+def q_helpfulness_axes(spark, sf):
+    """The five helpfulness axes and points per response."""
+    p = mutated_pairs(spark, sf)
+    ax, _thr, _n = helpfulness_axes(p, PACK)
+    return ax.select("original_index", *AXES, "points")
+
+
+@register("evaluate_run", f"""WITH {ROUTED_PAIRS_SQL}, s0 AS (SELECT * FROM f), {_axes_sql('s0', LABEL_SQL)},
+{_report_sql()}""")
+def q_evaluate_run(spark, sf):
+    """J9 (G5-G8): S, H, failed rows per axis, duplicate threshold, unique responses, F-beta."""
+    p = mutated_pairs(spark, sf).withColumn("label", pair_label())
+    return _round_report(evaluate_run(p, PACK).select(
+        "records", "safe", "harmful", "unknown", "safety_score", "helpfulness_score",
+        *[f"failed_{a}" for a in AXES], "unique_responses", "duplicate_threshold", "beta", "combined_score"))
+
+
+DOC_EVAL_SQL = f"""dq AS (SELECT d.doc_id AS original_index, 'Summarize this ' || d.lang || ' document' AS query,
+    d.text AS response, CASE WHEN l.toxic = 1 THEN 'harmful' WHEN l.toxic = 0 THEN 'safe' END AS label
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+dn AS (SELECT *, {Q.normalize('query', 12000)} AS qn, {Q.normalize('response', 12000)} AS rn,
+              {Q.rstrip('response')} AS rs FROM dq),
+dc AS (SELECT *, {Q.compact('qn')} AS qc FROM dn),
+dh AS (SELECT *, {_PL['u']} AS u, {_PL['sv']} AS sv, {_PL['jb']} AS jb FROM dc),
+dr AS (SELECT *, {_PI['categories']} AS categories FROM dh)"""
+
+
+def document_run(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "lang", "text")
+    lab = table(spark, sf, "labels", "doc_id", "toxic")
+    return d.join(lab, "doc_id", "left").select(
+        F.col("doc_id").alias("original_index"),
+        F.concat(F.lit("Summarize this "), F.col("lang"), F.lit(" document")).alias("query"),
+        F.col("text").alias("response"),
+        F.when(F.col("toxic") == 1, "harmful").when(F.col("toxic") == 0, "safe").alias("label"))
+
+
+@register("evaluate_documents", f"""WITH {DOC_EVAL_SQL}, {_axes_sql('dr')}, {_report_sql()}""")
+def q_evaluate_documents(spark, sf):
+    """J9 over documents as responses (duplicates exercise the specific axis); unlabelled rows count as unknown."""
+    return _round_report(evaluate_run(document_run(spark, sf), PACK).select(
+        "records", "safe", "harmful", "unknown", "safety_score", "helpfulness_score",
+        *[f"failed_{a}" for a in AXES], "unique_responses", "duplicate_threshold", "beta", "combined_score"))
+
+
+@register("response_frequency", f"""WITH {DOC_EVAL_SQL}, {_axes_sql('dr')}
+SELECT original_index, fr.freq AS freq FROM pt JOIN fr USING (rn) WHERE fr.freq > (SELECT t FROM thr)""")
+def q_response_frequency(spark, sf):
+    """H1: responses repeated above the duplicate threshold (broadcast of a bounded set)."""
+    d = document_run(spark, sf).withColumn("rn", normalize_text("response"))
+    flagged, _thr, _n = response_frequency(d, "rn")
+    return flagged.filter("over_threshold").select("original_index", F.col("freq").cast("long").alias("freq"))
+
+
+@register("safety_score", """SELECT count(*) AS records,
+  count_if(l.toxic = 0) AS safe, count_if(l.toxic = 1) AS harmful, count_if(l.toxic IS NULL) AS unknown,
+  round(avg(CASE WHEN l.toxic = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS safety_score
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def q_safety_score(spark, sf):
+    """S with safe / harmful / unknown counts (missing assessment -> unknown)."""
+    r = safety_counts(document_run(spark, sf))
+    return r.select("records", "safe", "harmful", "unknown", F.round("safety_score", 6).alias("safety_score"))
+
+
+@register("report_by_route", f"""WITH {ROUTED_PAIRS_SQL}, s0 AS (SELECT * FROM f), {_axes_sql('s0', LABEL_SQL)}
+SELECT route_name, count(*) AS records,
+  round(avg(CASE WHEN lower(coalesce(label, 'unknown')) = 'safe' THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS safety_score,
+  round(sum(points) / (count(*) * 5), 6) AS helpfulness_score FROM pt GROUP BY route_name""")
+def q_report_by_route(spark, sf):
+    """S and H per route."""
+    p = mutated_pairs(spark, sf).withColumn("label", pair_label())
+    ax, _t, _n = helpfulness_axes(p, PACK)
+    r = report_by(ax, ["route_name"])
+    return r.select("route_name", "records", F.round("safety_score", 6).alias("safety_score"),
+                    F.round("helpfulness_score", 6).alias("helpfulness_score"))
