@@ -346,8 +346,8 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
                              "_bs": backstop_rule(F.col("_route"), F.col("_cats"), pack),
                              "_benign": T.is_benign_task(F.col("_q"), F.col("_route"), F.col("_cats")),
                              "_prio": helpfulness_priority(F.col("_route"), F.col("_cats"), pack)})
-    for j in range(len(mcs)):
-        base = base.withColumn(f"_m{j}", T.clean_response(F.col(f"_m{j}"), max_chars))
+    if mcs:
+        base = base.withColumns({f"_m{j}": T.clean_response(F.col(f"_m{j}"), max_chars) for j in range(len(mcs))})
     variants = template_slots(F.col("_intent"), F.col("_qn"), pack, K)
     items = []
     for j in range(len(mcs)):
@@ -367,26 +367,29 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
     ex = ex.select("*", F.col("_c.kind").alias("kind"), F.col("_c.idx").alias("idx"),
                    F.col("_c.text").alias("text")).drop("_c").filter(F.col("text").isNotNull())
     ex = ex.withColumn("norm", normalize_text("text"))
-    # per-candidate checks: ordinary columns (codegen), computed once per candidate
+    # per-candidate checks: ordinary columns (codegen), computed once per candidate, one projection
+    from vellum.operators.tagging import inspect_response
     is_model = F.col("kind") == "m"
+    rel = relevant("text", "norm", "_qn", "_cats", pack)
     passes = (is_model & (F.col("text") != "") & ~T.incomplete_ending("text")
               & ~T.has_rewrite_meta("text", list(pack.rewrite_meta_patterns))
               & ~T.has_unexpected_script("text", "_q") & ~T.entity_preservation_issue("_q", "text")
-              & ~T.over_refusal("text", list(pack.nonanswer_patterns)))
-    ex = ex.withColumns({"rel": relevant("text", "norm", "_qn", "_cats", pack), "passes": passes,
-                         "resp_unsafe": F.col("text").isNotNull() & is_model})
-    from vellum.operators.tagging import inspect_response
-    ex = ex.withColumn("passes", F.col("passes") & F.col("rel")
-                       & (inspect_response("text", "_q", pack)["severity"] != "unsafe"))
-    # the scorer sees one text per row
+              & ~T.over_refusal("text", list(pack.nonanswer_patterns))
+              & (inspect_response("text", "_q", pack)["severity"] != "unsafe"))
     sc = scorer(F.col("_q"), [F.col("text")], F.col("_idx"))[0]
-    ex = ex.withColumn("a", sc)
+    ex = ex.select("*", rel.alias("rel"), passes.alias("_passes0"), sc.alias("a"))
     acc = accept("text", "_q", "_route", "_cats", "_qn", "norm", F.col("a.label"), F.col("a.prob"), pack,
                  threshold=threshold, min_visible=min_visible)
-    forced = accept("text", "_q", "_route", "_cats", "_qn", "norm", F.lit("safe"), F.lit(0.0), pack,
-                    threshold=threshold)
-    vis = pair_visibility(T.tokens("_q"), T.tokens("text"))["estimated_visible_tokens"]
-    ex = ex.withColumns({"acc": acc, "forced_ok": forced["accepted"], "visible": vis})
+    cols = [(F.col("_passes0") & F.col("rel")).alias("passes"), acc.alias("acc")]
+    if preserve_max_visible > 0:
+        forced = accept("text", "_q", "_route", "_cats", "_qn", "norm", F.lit("safe"), F.lit(0.0), pack,
+                        threshold=threshold)
+        cols += [forced["accepted"].alias("forced_ok"),
+                 pair_visibility(T.tokens("_q"), T.tokens("text"))["estimated_visible_tokens"].alias("visible")]
+    else:
+        # tier 5 can never fire (visible tokens are never below a limit <= 0): skip its checks
+        cols += [F.lit(False).alias("forced_ok"), F.lit(0).alias("visible")]
+    ex = ex.select("*", *cols)
     row = F.struct("kind", "idx", "text", "rel", "passes", F.col("a.label").alias("label"),
                    F.col("a.prob").alias("prob"), F.col("acc.accepted").alias("ok"),
                    F.col("acc.reason").alias("reason"), "forced_ok", "visible")
