@@ -458,7 +458,8 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
                      F.when(F.col("_prio") & first["rel"], 1).otherwise(0),
                      F.lit(1))
     return g.select(F.col("_idx").alias(index), selected.alias("selected"), counts.alias("tier_counts"),
-                    bs["ok"].alias("backstop_guard_passed"))
+                    bs["ok"].alias("backstop_guard_passed"), F.col("_backstop_text").alias("backstop"),
+                    first["text"].alias("first_candidate"))
 
 
 def cascade_counters(selected: DataFrame) -> DataFrame:

@@ -549,3 +549,154 @@ def q_report_by_route(spark, sf):
     r = report_by(ax, ["route_name"])
     return r.select("route_name", "records", F.round("safety_score", 6).alias("safety_score"),
                     F.round("helpfulness_score", 6).alias("helpfulness_score"))
+
+
+# ------------------------------------------------------------ contracts
+from vellum.sources.io import last_by_id, validation_report  # noqa: E402
+
+
+def _submission(spark, sf):
+    m = mutated_pairs(spark, sf)
+    sub = m.filter(F.col("conv_id") % 19 != 0).select(
+        "original_index",
+        F.when(F.col("conv_id") % 17 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("id"),
+        F.when(F.col("conv_id") % 11 == 0, F.lit("  ")).otherwise(F.col("response")).alias("response"))
+    extra = m.filter(F.col("conv_id") % 23 == 0).select(
+        (F.col("original_index") + 500).alias("original_index"), "id", "response")
+    return sub.unionByName(extra)
+
+
+@register("validate_submission", f"""WITH r AS (SELECT original_index, id AS req_id FROM {PAIRS_SQL} p0),
+m AS {MUTATED_PAIRS_SQL},
+s AS (SELECT original_index, CASE WHEN conv_id % 17 = 0 THEN id || 'x' ELSE id END AS sub_id,
+             CASE WHEN conv_id % 11 = 0 THEN '  ' ELSE response END AS response FROM m WHERE conv_id % 19 <> 0
+      UNION ALL SELECT original_index + 500, id, response FROM m WHERE conv_id % 23 = 0),
+j AS (SELECT * FROM r FULL OUTER JOIN s USING (original_index))
+SELECT count_if(req_id IS NOT NULL) AS requests, count_if(sub_id IS NOT NULL) AS submitted,
+  count_if(sub_id IS NULL) AS missing, count_if(req_id IS NULL) AS extra,
+  count_if(req_id IS NOT NULL AND sub_id IS NOT NULL AND req_id <> sub_id) AS id_mismatch,
+  count_if(sub_id IS NOT NULL AND {Q.strip('response')} = '') AS blank_response FROM j""")
+def q_validate_submission(spark, sf):
+    """A5: positional full-outer validation report (missing, extra, id mismatch, blank)."""
+    requests = conversation_pairs(spark, sf).select("original_index", "id")
+    return validation_report(requests, _submission(spark, sf))
+
+
+@register("assessments_last_wins", """WITH a AS (
+    SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN toxic = 1 THEN 'harmful' ELSE 'safe' END AS label,
+           doc_id * 2 AS position FROM labels
+    UNION ALL
+    SELECT CAST(doc_id AS VARCHAR), CASE WHEN toxic = 1 THEN 'safe' ELSE 'harmful' END, doc_id * 2 + 1
+      FROM labels WHERE doc_id % 5 = 0),
+l AS (SELECT id, arg_max(label, position) AS label FROM a GROUP BY id)
+SELECT d.doc_id, coalesce(l.label, 'unknown') AS label
+  FROM documents d LEFT JOIN l ON CAST(d.doc_id AS VARCHAR) = l.id""")
+def q_assessments_last_wins(spark, sf):
+    """Classifier rows keyed by id, last row wins, left-joined (missing -> unknown)."""
+    lab = table(spark, sf, "labels", "doc_id", "toxic")
+    first = lab.select(F.col("doc_id").cast("string").alias("id"),
+                       F.when(F.col("toxic") == 1, "harmful").otherwise("safe").alias("label"),
+                       (F.col("doc_id") * 2).alias("position"))
+    again = lab.filter(F.col("doc_id") % 5 == 0).select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.when(F.col("toxic") == 1, "safe").otherwise("harmful").alias("label"),
+        (F.col("doc_id") * 2 + 1).alias("position"))
+    latest = last_by_id(first.unionByName(again))
+    d = table(spark, sf, "documents", "doc_id").withColumn("id", F.col("doc_id").cast("string"))
+    return d.join(latest, "id", "left").select("doc_id", F.coalesce("label", F.lit("unknown")).alias("label"))
+
+
+# ------------------------------------------------------------ prompts (J5) and generation
+from vellum.operators.prompts import batch_generate, generation_messages, rewrite_messages  # noqa: E402
+
+
+def _guidance_sql(cats: str) -> str:
+    cases = " ".join(f"WHEN {Q.s(k)} THEN {Q.s(v)}" for k, v in PACK.guidance.items())
+    found = f"list_filter(list_transform({cats}, lambda cg: CASE cg {cases} END), lambda g: g IS NOT NULL)"
+    return f"(CASE WHEN len({found}) > 0 THEN {Q.s(PACK.guidance_header)} || array_to_string({found}, chr(10) || '- ') ELSE '' END)"
+
+
+def _facts_sql(cats: str, query: str) -> str:
+    parts = []
+    for kind, trigger, text in PACK.facts:
+        if kind == "always":
+            parts.append(Q.s(text))
+        elif kind == "categories":
+            parts.append(f"(CASE WHEN {Q.overlaps(cats, trigger)} THEN {Q.s(text)} ELSE '' END)")
+        else:
+            parts.append(f"(CASE WHEN {Q.has_any(Q.coalesce(query), trigger)} THEN {Q.s(text)} ELSE '' END)")
+    return " || ".join(parts) if parts else "''"
+
+
+_ROUTE_PROMPT_SQL = "CASE route_name " + " ".join(
+    f"WHEN {Q.s(k)} THEN {Q.s(v)}" for k, v in PACK.route_prompts.items()) + " ELSE '' END"
+
+
+@register("build_messages", f"""WITH {ROUTED_PAIRS_SQL}
+SELECT original_index,
+  {Q.s(PACK.system_base + chr(10) + chr(10))} || ({_ROUTE_PROMPT_SQL}) || {_guidance_sql('categories')} || {_facts_sql('categories', 'query')} AS system_prompt,
+  query AS user_prompt,
+  {Q.s(PACK.system_base + chr(10) + chr(10) + PACK.rewrite_prompt)} || {_guidance_sql('categories')} || {_facts_sql('categories', 'query')} AS rewrite_system_prompt,
+  'Question:' || chr(10) || query || chr(10) || chr(10) || 'Draft:' || chr(10) || response || chr(10) || chr(10)
+   || 'Route: ' || route_name || chr(10) || 'Categories: '
+   || CASE WHEN len(categories) > 0 THEN array_to_string(categories, ', ') ELSE 'general' END
+   || chr(10) || 'Reason: ' || 'draft rejected' || chr(10) || 'Note: Keep what is correct; fix only what the reason names.'
+   AS rewrite_user_prompt
+FROM f""")
+def q_build_messages(spark, sf):
+    """Generation and rewrite messages per request."""
+    p = routed_pairs(spark, sf)
+    g = generation_messages("query", "route_name", "categories", PACK)
+    r = rewrite_messages("query", "response", "route_name", "categories", F.lit("draft rejected"), PACK)
+    return p.select("original_index", g[0]["content"].alias("system_prompt"), g[1]["content"].alias("user_prompt"),
+                    r[0]["content"].alias("rewrite_system_prompt"), r[1]["content"].alias("rewrite_user_prompt"))
+
+
+def toy_generator(messages: list[list[dict]], max_tokens: list[int]) -> tuple[list[str], list[str]]:
+    """Stand-in model: reports how many words the user turn had; short budgets stop on length."""
+    texts = [f"{len(m[-1]['content'].split())} words received." for m in messages]
+    return texts, ["length" if t < 200 else "stop" for t in max_tokens]
+
+
+@register("generate_drafts", f"""WITH {ROUTED_PAIRS_SQL}
+SELECT original_index, CAST(len({Q.tokens('query')}) AS VARCHAR) || ' words received.' AS text,
+  CASE WHEN ({_PR['max_tokens']}) < 200 THEN 'length' ELSE 'stop' END AS finish_reason FROM f""")
+def q_generate_drafts(spark, sf):
+    """User generator on Arrow batches, one call per batch with mixed token budgets."""
+    p = routed_pairs(spark, sf)
+    m = p.select("original_index", generation_messages("query", "route_name", "categories", PACK).alias("messages"),
+                 F.col("route.max_tokens").alias("max_tokens"))
+    return batch_generate(m, toy_generator).select("original_index", "text", "finish_reason")
+
+
+# ------------------------------------------------------------ end to end
+from vellum.plans.respond import decisions, diagnostics, position_counts, respond, stage_counts  # noqa: E402
+
+
+def responded(spark, sf):
+    m = mutated_pairs(spark, sf)
+    requests = m.select("original_index", "id", "query")
+    drafts = m.select("original_index", F.col("response").alias("text"), "finish_reason")
+    rewrites = m.filter(F.col("rewrite").isNotNull()).select(
+        "original_index", F.col("rewrite").alias("text"), F.lit("stop").alias("finish_reason"))
+    return respond(requests, drafts, PACK, CANDIDATE_SCORER, rewrites)
+
+
+@register("respond_decisions")
+def q_respond_decisions(spark, sf):
+    """Final response and decision row per request (draft -> rewrite -> cascade -> finalize)."""
+    f = responded(spark, sf)
+    return decisions(f).withColumn("categories", joined("categories")).join(
+        f.select("original_index", "response"), "original_index")
+
+
+@register("respond_diagnostics")
+def q_respond_diagnostics(spark, sf):
+    """Run counters in one aggregation."""
+    return diagnostics(responded(spark, sf), PACK)
+
+
+@register("respond_stage_counts")
+def q_respond_stage_counts(spark, sf):
+    """G1: rows per final stage."""
+    return stage_counts(responded(spark, sf))
