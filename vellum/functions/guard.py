@@ -55,15 +55,17 @@ def softmax(logits) -> Column:
 
 def harm_index(id2label: dict[int, str]) -> int | None:
     """E6 label lookup (resolved once, on the driver): the first label naming harm."""
-    for i in sorted(id2label):
-        name = str(id2label[i]).lower()
+    for i, name in id2label.items():
+        name = str(name).lower()
         if "harm" in name or "unsafe" in name:
-            return i
+            return int(i)
     return None
 
 
 def harm_probability(probs, id2label: dict[int, str]) -> Column:
-    """Probability of the harmful class; single value -> itself; else the last."""
+    """Probability of the harmful class; single value -> itself; else the last.
+
+    A harmful index past the end of the array gives null (the reference raises)."""
     p = col(probs)
     idx = harm_index(id2label)
     pick = (F.try_element_at(p, F.lit(idx + 1)) if idx is not None
