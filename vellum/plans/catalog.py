@@ -740,3 +740,122 @@ def q_compare_runs(spark, sf):
                     F.round("delta_helpfulness_score", 6).alias("delta_helpfulness_score"),
                     F.round("delta_combined_score", 6).alias("delta_combined_score"),
                     "delta_unique_responses", "delta_failed_relevant", "delta_failed_specific", "gate_passed")
+
+
+# ------------------------------------------------------------ cascade oracle
+def _first_sql(rules) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in rules) + " END"
+
+
+def _route_ok_sql(cond) -> str:
+    if cond is None:
+        return "TRUE"
+    if cond == "not_unsafe":
+        return "route_name <> 'UNSAFE'"
+    return f"route_name = {Q.s(cond)}"
+
+
+def _cascade_sql() -> str:
+    from vellum.operators.cascade import STAGES, R_BENIGN, max_variant
+    K = max_variant(PACK)
+    intent = _first_sql([(f"{Q.overlaps('categories', n)} AND {_route_ok_sql(c)}", Q.s(name))
+                         for name, n, c in PACK.intents])
+    intent = f"coalesce({intent}, 'route:' || route_name)"
+    bound = _first_sql([(f"{Q.overlaps('categories', n) if n else 'TRUE'} AND {_route_ok_sql(c)}", Q.s(t))
+                        for n, c, t in PACK.boundaries])
+    bstop = _first_sql([(f"{Q.overlaps('categories', n) if n else 'TRUE'} AND {_route_ok_sql(c)}", Q.s(t))
+                        for n, c, t in PACK.backstops])
+    variants = []
+    for j in range(K):
+        rules = [(f"intent = {Q.s(key)} AND {Q.has_any('qn', kw) if kw else 'TRUE'}",
+                  Q.s(texts[j]) if j < len(texts) else "NULL") for key, kw, texts in PACK.templates]
+        variants.append(_first_sql(rules))
+    items = ["{'kind': 'm', 'idx': 1, 'text': m1}", "{'kind': 'mc', 'idx': 1, 'text': bnd || m1}",
+             "{'kind': 'm', 'idx': 2, 'text': m2}", "{'kind': 'mc', 'idx': 2, 'text': bnd || m2}"]
+    for j in range(K):
+        items += [f"{{'kind': 'v', 'idx': {j + 1}, 'text': v{j}}}", f"{{'kind': 'vc', 'idx': {j + 1}, 'text': bnd || v{j}}}"]
+    items += ["{'kind': 'b', 'idx': 0, 'text': bs}", "{'kind': 'bc', 'idx': 0, 'text': bnd || bs}"]
+    cl1 = Q.clean_stages("a0", "coalesce(rewrite, '')", "m1")
+    cl2 = Q.clean_stages("m1_5", "response", "m2x")
+    acc = Q.accept("text", "query", "route_name", "categories", "qn", "tn", "label", "prob", PACK, "ts")
+    rr_sev = Q.response_rule("text", "query", PACK)[0]
+    passes = (f"kind = 'm' AND text <> '' AND NOT {Q.incomplete('ts')} "
+              f"AND NOT {Q.match_any('text', PACK.rewrite_meta_patterns)} AND NOT {Q.unexpected_script('text', 'query')} "
+              f"AND NOT {Q.entity_issue('query', 'text')} AND NOT {Q.over_refusal('text', PACK)} "
+              f"AND ({rr_sev}) <> 'unsafe'")
+    vsel = ", ".join(f"{v} AS v{j}" for j, v in enumerate(variants))
+    return f"""WITH {ROUTED_PAIRS_SQL},
+a0 AS (SELECT *, {intent} AS intent, {bound} AS bnd, {bstop} AS bs,
+         {Q.priority('route_name', 'categories', PACK)} AS prio FROM f),
+{', '.join(cl1)}, {', '.join(cl2)},
+b0 AS (SELECT *, CASE WHEN m2x <> m1 THEN m2x END AS m2, {vsel} FROM m2x_5),
+b1 AS (SELECT * EXCLUDE (benign0), benign0 AS benign FROM (SELECT *, (route_name = 'SAFE_DIRECT' AND len(categories) = 0
+   AND NOT regexp_matches(query, {Q.s(to_re2(T.BENIGN_DENY_PATTERN, 'i'))})
+   AND ((len(regexp_extract_all(query, {Q.s(_NUM_RE2)}, 1)) >= 2 AND regexp_matches(query, {Q.s(to_re2(T.BENIGN_MATH_PATTERN, 'i'))}))
+     OR (regexp_matches(query, {Q.s(to_re2(T.BENIGN_TASK_PATTERN, 'i'))}) AND regexp_matches(query, {Q.s(to_re2(T.BENIGN_FORMAT_PATTERN, 'i'))})))) AS benign0 FROM b0)),
+c0 AS (SELECT original_index, query, qn, route_name, categories, intent, benign, prio, unnest([{', '.join(items)}]) AS c FROM b1),
+c1 AS (SELECT original_index, query, qn, route_name, categories, intent, benign, prio,
+              c.kind AS kind, c.idx AS idx, c.text AS text FROM c0 WHERE c.text IS NOT NULL),
+c2 AS (SELECT *, {Q.normalize('text', 12000)} AS tn, {Q.rstrip('text')} AS ts,
+              (((length(text) * 7 + original_index) % 100) / 100.0)::DOUBLE AS prob FROM c1),
+c3 AS (SELECT *, CASE WHEN length(text) % 17 = 0 THEN 'unknown' WHEN prob >= 0.5 THEN 'harmful' ELSE 'safe' END AS label FROM c2),
+ck AS (SELECT *, {Q.relevant('text', 'tn', 'qn', 'categories', PACK)} AS rel, ({passes}) AS passes0,
+              {acc[0]} AS ok, {acc[1]} AS reason FROM c3),
+cand AS (SELECT *, (passes0 AND rel) AS passes FROM ck),
+vr AS (SELECT original_index, text, min(idx) AS idx FROM cand WHERE kind = 'v' AND rel GROUP BY original_index, text),
+vrp AS (SELECT vr.original_index, vr.idx, row_number() OVER (PARTITION BY vr.original_index ORDER BY vr.idx) AS pos FROM vr),
+hv AS (SELECT original_index, count(*) AS nv FROM vrp GROUP BY original_index),
+req AS (SELECT b1.original_index, b1.intent, b1.benign, b1.prio, coalesce(hv.nv, 0) AS nv FROM b1 LEFT JOIN hv USING (original_index)),
+f4 AS (SELECT c.*, p.pos FROM vrp p JOIN cand c ON c.original_index = p.original_index AND c.kind = 'v' AND c.idx = p.idx
+       UNION ALL
+       SELECT c.*, 1 AS pos FROM cand c JOIN req r USING (original_index) WHERE r.nv = 0 AND c.kind = 'b'),
+bsr AS (SELECT c.* FROM cand c JOIN req r USING (original_index)
+         WHERE (r.nv > 0 AND r.intent NOT LIKE 'route:%' AND c.kind = 'v'
+                AND c.idx = (SELECT min(v.idx) FROM vrp v WHERE v.original_index = c.original_index AND v.pos = 1))
+            OR ((r.nv = 0 OR r.intent LIKE 'route:%') AND c.kind = 'b')),
+comp AS (SELECT c.*, row_number() OVER (PARTITION BY f4.original_index ORDER BY f4.pos) AS cpos
+           FROM f4 JOIN cand c ON c.original_index = f4.original_index
+            AND ((f4.kind = 'v' AND c.kind = 'vc' AND c.idx = f4.idx) OR (f4.kind = 'b' AND c.kind = 'bc'))
+          WHERE f4.rel),
+t1 AS (SELECT c.original_index, arg_min(struct_pack(idx := c.idx, text := c.text, label := c.label, prob := c.prob),
+                                        struct_pack(p := c.prob, i := c.idx)) AS s
+         FROM cand c JOIN req r USING (original_index)
+        WHERE r.benign AND c.kind = 'm' AND c.passes AND lower(c.label) <> 'unknown' AND c.prob <= 0.6
+        GROUP BY c.original_index),
+t2 AS (SELECT mc.original_index, arg_min(struct_pack(idx := mc.idx, text := mc.text, label := mc.label, prob := mc.prob,
+                                                     reason := mc.reason), mc.idx) AS s
+         FROM cand mc JOIN cand m ON m.original_index = mc.original_index AND m.kind = 'm' AND m.idx = mc.idx
+         JOIN req r ON r.original_index = mc.original_index
+        WHERE r.prio AND mc.kind = 'mc' AND m.passes AND mc.ok GROUP BY mc.original_index),
+t3 AS (SELECT original_index, arg_min(struct_pack(idx := pos, text := text, label := label, prob := prob, reason := reason), pos) AS s
+         FROM f4 WHERE rel AND ok GROUP BY original_index),
+t4 AS (SELECT original_index, arg_min(struct_pack(idx := cpos, text := text, label := label, prob := prob, reason := reason), cpos) AS s
+         FROM comp WHERE rel AND ok GROUP BY original_index),
+sel AS (SELECT r.original_index,
+   CASE WHEN t1.s IS NOT NULL THEN 1 WHEN t2.s IS NOT NULL THEN 2 WHEN t3.s IS NOT NULL THEN 3
+        WHEN t4.s IS NOT NULL THEN 4 ELSE 6 END AS tier,
+   coalesce(t1.s.idx, t2.s.idx, t3.s.idx, t4.s.idx, 0) AS position,
+   coalesce(t1.s.text, t2.s.text, t3.s.text, t4.s.text, bsr.text) AS text,
+   coalesce(t1.s.label, t2.s.label, t3.s.label, t4.s.label, bsr.label) AS label,
+   coalesce(t1.s.prob, t2.s.prob, t3.s.prob, t4.s.prob, bsr.prob) AS prob,
+   CASE WHEN t1.s IS NOT NULL THEN {Q.s(R_BENIGN)} ELSE coalesce(t2.s.reason, t3.s.reason, t4.s.reason, bsr.reason) END AS reason,
+   bsr.ok AS bs_ok, r.benign, r.prio
+   FROM req r LEFT JOIN t1 USING (original_index) LEFT JOIN t2 USING (original_index)
+   LEFT JOIN t3 USING (original_index) LEFT JOIN t4 USING (original_index) LEFT JOIN bsr USING (original_index)),
+cnt AS (SELECT r.original_index,
+   CASE WHEN r.benign THEN (SELECT count(*) FROM cand m WHERE m.original_index = r.original_index AND m.kind = 'm' AND m.passes) ELSE 0 END AS n1,
+   CASE WHEN r.prio THEN (SELECT count(*) FROM cand m WHERE m.original_index = r.original_index AND m.kind = 'm' AND m.passes) ELSE 0 END AS n2,
+   (SELECT count(*) FROM f4 WHERE f4.original_index = r.original_index AND f4.rel) AS n3,
+   (SELECT count(*) FROM comp WHERE comp.original_index = r.original_index AND comp.rel) AS n4,
+   CASE WHEN r.prio AND (SELECT bool_or(f4.rel) FROM f4 WHERE f4.original_index = r.original_index AND f4.pos = 1) THEN 1 ELSE 0 END AS n5,
+   1 AS n6 FROM req r),
+stage AS (SELECT *, CASE tier {' '.join(f"WHEN {k} THEN {Q.s(v)}" for k, v in STAGES.items())} END AS stage FROM sel)"""
+
+
+CASCADE_SQL = _cascade_sql()
+ORACLE["guarded_select"] = (CASCADE_SQL + "\nSELECT original_index, tier, position, stage, text, label, "
+                            "round(prob, 6) AS prob, reason FROM stage")
+ORACLE["cascade_counters"] = (CASCADE_SQL + "\nSELECT " + ", ".join(
+    f"CAST(sum(CASE WHEN tier >= {k} THEN n{k} ELSE 0 END) AS BIGINT) AS tier{k}_scored, "
+    f"count_if(tier = {k}) AS tier{k}_accepted" for k in range(1, 7))
+    + ", count_if(tier = 6 AND bs_ok) AS backstop_guard_passed FROM sel JOIN cnt USING (original_index)")
