@@ -330,8 +330,8 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
     reference passes [rewrite, draft]).  Candidates are exploded (at most
     2 + 2 + 2K + 2 rows per request, K = longest template variant), checked and
     scored as ordinary columns, and regrouped with one ``groupBy(index)`` whose
-    partial aggregation runs map-side; if the input is already hash-partitioned
-    on ``index`` no exchange is added.
+    partial aggregation runs map-side (the candidates of a request are produced
+    in the same task), so the exchange carries one row per request.
     """
     from vellum.operators.accept import accept
     from vellum.operators.quality import relevant

@@ -18,6 +18,9 @@ def get_spark(master: str | None = None, app: str = "vellum", shuffle_partitions
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # text jobs are CPU-bound: bytes per partition understate the work, so do
+         # not let AQE merge small shuffles below this size into a single task
+         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", os.environ.get("VELLUM_DRIVER_MEMORY", "16g"))
