@@ -859,3 +859,28 @@ ORACLE["cascade_counters"] = (CASCADE_SQL + "\nSELECT " + ", ".join(
     f"CAST(sum(CASE WHEN tier >= {k} THEN n{k} ELSE 0 END) AS BIGINT) AS tier{k}_scored, "
     f"count_if(tier = {k}) AS tier{k}_accepted" for k in range(1, 7))
     + ", count_if(tier = 6 AND bs_ok) AS backstop_guard_passed FROM sel JOIN cnt USING (original_index)")
+
+
+# ------------------------------------------------------------ G4 / G10
+from vellum.operators.evaluate import visibility_stats  # noqa: E402
+
+
+@register("visibility_stats", f"""WITH p AS {MUTATED_PAIRS_SQL},
+t AS (SELECT original_index, {Q.tokens('query')} AS qt, {Q.tokens('response')} AS rt FROM p),
+b AS (SELECT *, {_QB} AS qb, {_RB} AS rb FROM t),
+v AS (SELECT *, {Q.head_tail('rt', 'rb')} AS vr FROM b)
+SELECT count_if(len(vr) = 0) AS visibility_zero, count_if(len(vr) <= 5) AS visibility_le_5 FROM v""")
+def q_visibility_stats(spark, sf):
+    """Responses whose guard window shows no / at most five tokens."""
+    g = guard_pairs(mutated_pairs(spark, sf), "query", "response")
+    return visibility_stats(g.select(F.col("visibility.estimated_visible_tokens").alias("estimated_visible_tokens")))
+
+
+ORACLE["position_counts"] = CASCADE_SQL + "\nSELECT CAST(position AS INTEGER) AS position, count(*) AS n FROM sel GROUP BY position"
+
+
+@register("position_counts")
+def q_position_counts(spark, sf):
+    """Histogram of the selected candidate positions."""
+    s = selected_pairs(spark, sf)
+    return s.groupBy(F.col("selected.position").alias("position")).agg(F.count(F.lit(1)).alias("n"))
