@@ -36,3 +36,22 @@ def test_cascade_one_row_per_request(spark):
     counters = C.cascade_counters(s).first()
     assert sum(counters[f"tier{k}_accepted"] for k in range(1, 7)) == len(rows)
     assert F is not None
+
+
+def test_cascade_with_model_scorer(spark):
+    """A user classifier on Arrow batches plugs into the cascade; a failing chunk becomes unknown."""
+    from vellum.operators.cascade import guarded_select, udf_scorer
+
+    calls = {"n": 0}
+
+    def classify(queries, texts):
+        calls["n"] += 1
+        if any("credential" in t.lower() for t in texts):
+            raise RuntimeError("model refused the batch")
+        return [min(len(t) / 1000.0, 1.0) for t in texts]
+
+    p = C.routed_pairs(spark, SF).withColumn("rw", F.coalesce("rewrite", F.lit("")))
+    s = guarded_select(p, C.PACK, udf_scorer(classify, batch_size=4), model_candidates=["rw", "response"])
+    rows = s.collect()
+    assert len(rows) == p.count()
+    assert all(r.selected.label in ("safe", "harmful", "unknown") for r in rows)

@@ -1,22 +1,14 @@
-"""J7 guarded_select: the six-tier replacement cascade (F4-F13), row-local.
-
-Design
-------
-* A request row holds a fixed number of candidate *slots* (2 model candidates,
-  their 2 boundary composites, up to ``K`` template candidates, their ``K``
-  composites, one preserve candidate, one backstop).  The count is set by the
-  pack, so nothing per row grows with the data; the cascade is a projection
-  with no explode, no shuffle and no join.
-* Every candidate is described by a *feature struct* (topics, keyword hits
-  for the relevance rules, response-rule hits, acronyms, Han characters,
-  refusal / ending / meta checks).  Features of the pack's literal texts and
-  of every boundary+template composite are computed once by Spark on a
-  pack-sized DataFrame, collected under ``MAX_LITERALS`` and inlined as a map
-  literal; model texts get the same struct computed per row.  Relevance (C9)
-  and acceptance (F1) are then small expressions over two feature structs.
-* The scorer sees all slot texts of a row as one array (one Arrow round trip
-  for a model scorer); slots a row cannot use are passed as null and are not
-  scored.  ``scored`` counters (F13) count only tiers a row reached.
+"""J7 guarded_select: the six-tier replacement cascade.
+
+Each request row expands into a fixed, pack-bounded set of candidates (2 model
+candidates and their boundary composites, the template variant's K texts and
+their composites, the backstop and its composite).  Every candidate is
+normalized, checked for relevance (C9) and acceptance (F1) and scored as
+ordinary per-row columns; one ``groupBy`` on the request key regroups them,
+with partial aggregation map-side (a request's candidates come from the same
+task), and small per-request arrays pick the first success in tier order.
+Slots a row cannot use are never scored by a model scorer; ``scored``
+counters (F13) count only the tiers a row reached.
 """
 
 from __future__ import annotations
@@ -24,18 +16,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from vellum.functions import text as T
-from vellum.operators.accept import (R_ACCEPTED, R_EMPTY, R_ENTITY, R_HAN, R_HARMFUL, R_INCOMPLETE,
-                                     R_LOW_VISIBILITY, R_META, R_OFF_TOPIC, R_REFUSAL, R_UNKNOWN)
 from vellum.operators.guard import pair_visibility
 from vellum.operators.normalize import normalize_text
-from vellum.operators.quality import topics
-from vellum.operators.tagging import helpfulness_priority, requires_direct_answer
+from vellum.operators.tagging import helpfulness_priority
 from vellum.packs import Pack
 
 # Stage names and tier reasons, equal to the reference's.
@@ -46,131 +35,9 @@ R_BENIGN = ("recovered deterministic-safe answer to an ordinary math or constrai
 R_PRESERVED = ("preserved contextual answer after all guard candidates failed with insufficient "
                "response visibility")
 
-MAX_LITERALS = 20000
 ASSESSMENT = StructType([StructField("label", StringType()), StructField("prob", DoubleType())])
 
 
-# ------------------------------------------------------------------ features
-def features(t, n, pack: Pack) -> Column:
-    """Feature struct of a candidate text ``t`` with normalized form ``n``."""
-    t, n = T.col(t), T.col(n)
-    t = F.coalesce(t, F.lit(""))
-    rel_hits = []
-    for mode, _qa, response_any, head, _m, _i, _u, _r in pack.relevance_rules:
-        target = F.substring(n, 1, head) if head else n
-        rel_hits.append(T.count_hits(target, list(response_any)))
-    rr = []
-    for _c, _why, pat, not_pat, _qp, strip in pack.response_rules:
-        target = T.unicode_strip(t) if strip else t
-        hit = T.matches_any(target, [pat]) & (~T.matches_any(t, [not_pat]) if not_pat else F.lit(True))
-        rr.append(hit)
-    stripped = T.unicode_strip(t)
-    return F.struct(
-        (t != "").alias("nonempty"),
-        (stripped != "").alias("nonblank"),
-        T.matches_any(stripped, list(pack.nonanswer_patterns)).alias("refusal"),
-        stripped.rlike(T.to_java(T.DIRECT_REFUSAL_PATTERN, "is")).alias("refusal_direct"),
-        topics(n, pack).alias("topics"),
-        F.array(*rel_hits).alias("rel_hits") if rel_hits else F.array().cast("array<int>").alias("rel_hits"),
-        F.array(*rr).alias("rr") if rr else F.array().cast("array<boolean>").alias("rr"),
-        T.incomplete_ending(t).alias("incomplete"),
-        T.has_rewrite_meta(t, list(pack.rewrite_meta_patterns)).alias("meta"),
-        F.array_distinct(T.han_chars(t)).alias("han"),
-        T.acronyms(t).alias("acr"),
-        F.upper(t).alias("upper"),
-        t.rlike(T.to_java(T.PROPER_NAME_PATTERN, "")).alias("proper"),
-    )
-
-
-def query_features(query, query_norm, route, cats, pack: Pack) -> Column:
-    q, qn, cats = T.col(query), T.col(query_norm), T.col(cats)
-    applies = []
-    for _mode, query_any, _ra, _h, _m, if_cat, unless_cat, _r in pack.relevance_rules:
-        a = T.has_any(qn, list(query_any))
-        if if_cat:
-            a = a & F.arrays_overlap(cats, F.array(*[F.lit(c) for c in if_cat])).eqNullSafe(True)
-        if unless_cat:
-            a = a & ~F.arrays_overlap(cats, F.array(*[F.lit(c) for c in unless_cat])).eqNullSafe(True)
-        applies.append(a)
-    qrule = [T.matches_any(q, [qp]) if qp else F.lit(True) for *_x, qp, _s in pack.response_rules]
-    return F.struct(
-        topics(qn, pack).alias("topics"),
-        (F.array(*applies) if applies else F.array().cast("array<boolean>")).alias("applies"),
-        (F.array(*qrule) if qrule else F.array().cast("array<boolean>")).alias("qrule"),
-        F.array_distinct(T.han_chars(q)).alias("han"),
-        T.acronyms(q).alias("acr"),
-        helpfulness_priority(route, cats, pack).alias("priority"),
-        requires_direct_answer(route, cats, pack).alias("direct"),
-    )
-
-
-def relevant_f(f: Column, qf: Column, pack: Pack) -> Column:
-    """C9 over feature structs."""
-    ok = f["nonempty"] & ~f["refusal"]
-    ok = ok & ~((F.size(qf["topics"]) > 0) & (F.size(f["topics"]) > 0) & ~F.arrays_overlap(qf["topics"], f["topics"]))
-    for k, (mode, _qa, _ra, _h, min_hits, _i, _u, refusal_fails) in enumerate(pack.relevance_rules):
-        hits = F.element_at(f["rel_hits"], k + 1)
-        bad = hits > 0 if mode == "forbid" else hits < min_hits
-        if mode != "forbid" and refusal_fails:
-            bad = bad | f["refusal"] | f["refusal_direct"]
-        ok = ok & ~(F.element_at(qf["applies"], k + 1) & bad)
-    return ok
-
-
-def _rule_hit(f: Column, qf: Column, k: int) -> Column:
-    return F.element_at(qf["qrule"], k + 1) & F.element_at(f["rr"], k + 1)
-
-
-def response_unsafe_f(f: Column, qf: Column, pack: Pack) -> Column:
-    hits = [_rule_hit(f, qf, k) for k in range(len(pack.response_rules))]
-    out = F.lit(False)
-    for h in hits:
-        out = out | h
-    return out
-
-
-def entity_issue_f(f: Column, qf: Column) -> Column:
-    missing = F.exists(qf["acr"], lambda a: ~f["upper"].contains(a))
-    return (F.size(qf["acr"]) > 0) & missing & ((F.size(F.array_except(f["acr"], qf["acr"])) > 0) | f["proper"])
-
-
-def han_issue_f(f: Column, qf: Column) -> Column:
-    return F.size(F.array_except(f["han"], qf["han"])) > 0
-
-
-def accept_f(f: Column, qf: Column, label: Column, prob: Column, pack: Pack, threshold: float = 0.5,
-             reject_meta: bool = False, incomplete: Column | None = None, visible: Column | None = None,
-             min_visible: int = 0) -> Column:
-    """F1 over feature structs -> struct<accepted, reason>."""
-    lab = F.lower(F.coalesce(label, F.lit("unknown")))
-    p = F.coalesce(prob, F.lit(1.0))
-    inc = f["incomplete"] if incomplete is None else (incomplete | f["incomplete"])
-
-    def out(ok: bool, reason) -> Column:
-        return F.struct(F.lit(ok).alias("accepted"),
-                        (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
-
-    chain = (F.when(~f["nonblank"], out(False, R_EMPTY)).when(inc, out(False, R_INCOMPLETE))
-              .when(han_issue_f(f, qf), out(False, R_HAN)).when(entity_issue_f(f, qf), out(False, R_ENTITY)))
-    if reject_meta:
-        chain = chain.when(f["meta"], out(False, R_META))
-    chain = (chain.when(f["refusal"] | (qf["direct"] & f["refusal_direct"]), out(False, R_REFUSAL))
-                  .when(qf["priority"] & ~relevant_f(f, qf, pack), out(False, R_OFF_TOPIC)))
-    for k, (_c, why, *_rest) in enumerate(pack.response_rules):
-        chain = chain.when(_rule_hit(f, qf, k), out(False, why))
-    low_vis = (qf["priority"] & (visible < min_visible)) if visible is not None else F.lit(False)
-    return (chain.when(lab == "unknown", out(False, R_UNKNOWN))
-                 .when((lab == "harmful") | (p >= threshold),
-                       F.when(low_vis, out(True, R_LOW_VISIBILITY)).otherwise(out(False, R_HARMFUL)))
-                 .otherwise(out(True, R_ACCEPTED)))
-
-
-def passes_model_checks(f: Column, qf: Column, pack: Pack) -> Column:
-    """Text checks a model candidate must pass before tiers 1-2 score it."""
-    return (f["nonempty"] & ~f["incomplete"] & ~f["meta"] & ~han_issue_f(f, qf) & ~entity_issue_f(f, qf)
-            & ~f["refusal"] & relevant_f(f, qf, pack) & ~response_unsafe_f(f, qf, pack))
-
-
 # ------------------------------------------------------------- pack compiled
 def _overlap(cats: Column, names) -> Column:
     return F.arrays_overlap(cats, F.array(*[F.lit(n) for n in names])).eqNullSafe(True)
@@ -224,48 +91,6 @@ def max_variant(pack: Pack) -> int:
     return max((len(t) for _k, _w, t in pack.templates), default=0)
 
 
-def literal_texts(pack: Pack) -> list[str]:
-    base = {t for _k, _w, texts in pack.templates for t in texts} | {t for *_x, t in pack.backstops}
-    bounds = {t for *_x, t in pack.boundaries} | {""}
-    return sorted(base | {b + t for b in bounds for t in base})
-
-
-_FEATURE_CACHE: dict[tuple, Column] = {}
-
-
-def _lit(value, dtype) -> Column:
-    from pyspark.sql.types import ArrayType as AT, StructType as ST
-    if isinstance(dtype, ST):
-        return F.struct(*[_lit(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
-    if isinstance(dtype, AT):
-        if not value:
-            return F.array().cast(dtype.simpleString())
-        return F.array(*[_lit(v, dtype.elementType) for v in value])
-    return F.lit(value).cast(dtype.simpleString())
-
-
-def literal_feature_map(spark: SparkSession, pack: Pack) -> Column:
-    """Map literal text -> feature struct for every pack text and composite.
-
-    Computed by Spark with the same ``features`` expression used per row, so a
-    literal and a model text with equal content get equal features.  The table
-    is pack-sized (checked against ``MAX_LITERALS``) before it is collected.
-    """
-    key = (pack.name, id(pack))
-    if key in _FEATURE_CACHE:
-        return _FEATURE_CACHE[key]
-    texts = literal_texts(pack)
-    if len(texts) > MAX_LITERALS:
-        raise ValueError(f"pack has {len(texts)} literal candidates; at most {MAX_LITERALS} are inlined")
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    df = df.withColumn("norm", normalize_text("text")).withColumn("f", features("text", "norm", pack))
-    rows = df.select("text", "f").collect()
-    dtype = df.schema["f"].dataType
-    m = F.create_map(*[x for r in rows for x in (F.lit(r.text), _lit(r.f.asDict(recursive=True), dtype))])
-    _FEATURE_CACHE[key] = m
-    return m
-
-
 # ------------------------------------------------------------------ scorers
 def expression_scorer(prob_fn: Callable[[Column, Column, Column], Column],
                       label_fn: Callable[[Column, Column], Column] | None = None, threshold: float = 0.5):
