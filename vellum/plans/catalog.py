@@ -286,9 +286,11 @@ def q_topics_pairs(spark, sf):
                     joined(topics("response_norm", PACK)).alias("response_topics"))
 
 
-@register("repair_responses")
+@register("repair_responses", "WITH p AS " + MUTATED_PAIRS_SQL + ", " + ", ".join(Q.clean_stages("p", "response", "cleaned"))
+          + ", " + ", ".join(Q.repair_stages("cleaned_5", "cleaned", "finish_reason", "final"))
+          + " SELECT original_index, final_text, final_repaired, final_incomplete FROM final_r10")
 def q_repair_responses(spark, sf):
-    """Clean (B5) then repair truncation (B13, Arrow UDF); checked by unit tests."""
+    """Clean (B5) then repair truncation (B13), native."""
     p = mutated_pairs(spark, sf)
     return clean_and_repair(p, "response", "finish_reason").select(
         "original_index", "final_text", "final_repaired", "final_incomplete")

@@ -300,3 +300,52 @@ def accept(resp, query, route, cats, qn, rn, label, prob, pack: Pack, rs: str, i
 
 
 incomplete_fn = incomplete
+
+
+def repair_stages(src: str, col: str, finish: str, out: str) -> list[str]:
+    """CTE definitions for B13 of ``col`` (already cleaned) into ``out``_text/_repaired/_incomplete."""
+    lst, head = s(to_re2(T.DANGLING_LIST_PATTERN, "")), s(to_re2(T.DANGLING_HEADING_PATTERN, ""))
+    url_re, tld = s(to_re2(T.TRAILING_URL_PATTERN, "i")), s(to_re2(T.URL_TLD_TAIL_PATTERN, "i"))
+    term = s(to_re2(T.TERMINAL_PATTERN, ""))
+    bound_re = s(to_re2("^(.*" + T.SENTENCE_BOUNDARY_PATTERN + ")", "s"))
+    o = out
+
+    def tod(p):
+        return f"(CASE WHEN regexp_matches({p}, {term}) THEN {p} ELSE {p} || '.' END)"
+
+    stack = (f"list_reduce(list_filter(list_transform(regexp_extract_all({o}_s, '(?s).', 0), "
+             f"lambda ch, i: {{'c': ch, 'i': i - 1}}), lambda d: d.c IN ('(', ')', '[', ']', '{{', '}}')), "
+             f"lambda acc, x: CASE WHEN x.c IN ('(', '[', '{{') THEN list_append(acc, x) "
+             f"WHEN len(acc) > 0 AND acc[-1].c = (CASE x.c WHEN ')' THEN '(' WHEN ']' THEN '[' ELSE '{{' END) "
+             f"THEN acc[1:len(acc) - 1] ELSE acc END, []::STRUCT(c VARCHAR, i INTEGER)[])")
+    fences = f"((length({o}_s) - length(replace({o}_s, '```', ''))) // 3)"
+    return [
+        f"{o}_r1 AS (SELECT *, coalesce({col}, '') AS {o}_t, coalesce({finish}, 'unknown') AS {o}_fr, "
+        f"{rstrip(col)} AS {o}_s FROM {src})",
+        f"{o}_r2 AS (SELECT *, {stack} AS {o}_stack, regexp_extract({o}_s, {url_re}, 0) AS {o}_url FROM {o}_r1)",
+        f"{o}_r3 AS (SELECT *, CASE WHEN len({o}_stack) > 0 THEN {o}_stack[-1].i WHEN {fences} % 2 = 1 "
+        f"THEN length({o}_s) - strpos(reverse({o}_s), '```') - 2 END AS {o}_k FROM {o}_r2)",
+        f"{o}_r4 AS (SELECT *, {rstrip(f'substr({o}_s, 1, {o}_k)')} AS {o}_prek, "
+        f"regexp_replace(substr({o}_s, 1, length({o}_s) - length({o}_url)), '[ (\\[:]+$', '') AS {o}_preu, "
+        f"({o}_url <> '' AND NOT regexp_matches({o}_url, {tld})) AS {o}_badurl FROM {o}_r3)",
+        f"{o}_r5 AS (SELECT *, CASE WHEN regexp_matches({o}_s, {lst}) THEN {rstrip(f'regexp_replace({o}_s, {lst}, {chr(39)}{chr(39)})')} "
+        f"WHEN regexp_matches({o}_s, {head}) THEN {rstrip(f'regexp_replace({o}_s, {head}, {chr(39)}{chr(39)})')} "
+        f"WHEN {o}_k IS NOT NULL AND {o}_prek <> '' THEN {tod(f'{o}_prek')} "
+        f"WHEN {o}_badurl AND {o}_preu <> '' THEN {tod(f'{o}_preu')} ELSE {o}_s END AS {o}_cut FROM {o}_r4)",
+        f"{o}_r6 AS (SELECT *, CASE WHEN {o}_cut <> {o}_s THEN {o}_cut ELSE {o}_t END AS {o}_x, "
+        f"{rstrip(f'{o}_cut')} AS {o}_cuts FROM {o}_r5)",
+        f"{o}_r7 AS (SELECT *, {rstrip(f'{o}_x')} AS {o}_xs, length({o}_x) AS {o}_n, "
+        f"length(regexp_extract({o}_x, {bound_re}, 1)) AS {o}_bound, strpos(reverse({o}_x), chr(10)) AS {o}_nlr FROM {o}_r6)",
+        f"{o}_r8 AS (SELECT *, CASE WHEN {o}_nlr > 0 THEN {o}_n - {o}_nlr ELSE -1 END AS {o}_nl, "
+        f"{incomplete(f'{o}_xs')} AS {o}_inc, {incomplete(f'{o}_cuts')} AS {o}_cutinc FROM {o}_r7)",
+        f"{o}_r9 AS (SELECT *, CASE WHEN {o}_t = '' THEN {{'text': '', 'rep': FALSE, 'inc': TRUE}} "
+        f"WHEN {o}_cut <> {o}_s AND {o}_cut <> '' AND NOT {o}_cutinc THEN {{'text': {o}_cut, 'rep': TRUE, 'inc': FALSE}} "
+        f"WHEN {o}_fr <> 'length' AND NOT {o}_inc THEN {{'text': {o}_x, 'rep': FALSE, 'inc': FALSE}} "
+        f"WHEN regexp_matches({o}_x, {term}) AND NOT {o}_inc THEN {{'text': {o}_x, 'rep': FALSE, 'inc': FALSE}} "
+        f"WHEN {o}_bound > 0 AND {o}_bound >= greatest(40, {o}_n // 3) THEN "
+        f"{{'text': {rstrip(f'substr({o}_x, 1, {o}_bound)')}, 'rep': TRUE, 'inc': FALSE}} "
+        f"WHEN {o}_nl >= greatest(40, {o}_n // 2) THEN {{'text': {rstrip(f'substr({o}_x, 1, {o}_nl)')}, 'rep': TRUE, 'inc': FALSE}} "
+        f"ELSE {{'text': {o}_x, 'rep': FALSE, 'inc': TRUE}} END AS {o}_res FROM {o}_r8)",
+        f"{o}_r10 AS (SELECT *, {o}_res.text AS {o}_text, {o}_res.rep AS {o}_repaired, "
+        f"({o}_res.inc OR {incomplete(rstrip(f'{o}_res.text'))}) AS {o}_incomplete FROM {o}_r9)",
+    ]

@@ -108,6 +108,9 @@ def finalize(x: DataFrame, pack: Pack, scorer, max_chars: int = 5000, threshold:
                                       F.when(han, F.lit("unexpected Han characters")),
                                       F.when(meta, F.lit("rewrite meta leakage"))))
     x = x.withColumns({"_qreasons": reasons, "_meta": meta, "_han": han, "_inc": incomplete})
+    # materialize the gate result: the filter below would otherwise be pushed under
+    # the projections and re-evaluate the whole clean/repair chain inside it
+    x = cut_lineage(x)
     failed = F.size("_qreasons") > 0
     # rows that fail the gate but never reached the cascade need their backstop computed
     need = x.filter(failed & F.col("backstop").isNull()).select("original_index", "query", "query_norm",
