@@ -23,6 +23,7 @@ HEADLINE = {
     "tag_route_report": lambda s, d: C.tag_route_report(s, d),
     "inspect_documents": lambda s, d: C.inspect_documents(s, d),
     "quality_flags": lambda s, d: C.q_quality_flags(s, d),
+    "clean_and_repair": lambda s, d: C.q_repair_responses(s, d),
     "guarded_select": lambda s, d: C.q_guarded_select(s, d),
     "evaluate_documents": lambda s, d: C.q_evaluate_documents(s, d),
     "evaluate_run": lambda s, d: C.q_evaluate_run(s, d),
