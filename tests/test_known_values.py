@@ -84,3 +84,19 @@ def test_thai_pack_and_relevance(spark):
     ], "q string, r string, c array<string>")
     got = [r[0] for r in cases.select(relevant("r", F.lower("r"), F.lower("q"), "c", thai)).collect()]
     assert got == [False, True]
+
+
+def test_rules_round_trip_through_a_table(spark, pack):
+    """Rules are data: a pack's rules read back from a DataFrame tag identically."""
+    from vellum.operators.tagging import tag_and_route
+
+    table = pack.rules_table(spark)
+    assert table.count() == len(pack.rules)
+    again = pack.with_rules(table)
+    for grp in ("unsafe", "sensitive", "jailbreak"):
+        for on_text in ("raw", "compact"):
+            assert again.category_groups(grp, on_text) == pack.category_groups(grp, on_text)
+    df = spark.createDataFrame([("token = abc und so der Mann",), ("plain text",)], "t string")
+    a = [tuple(r) for r in tag_and_route(df, "t", pack).select("severity", "categories", "route_name").collect()]
+    b = [tuple(r) for r in tag_and_route(df, "t", again).select("severity", "categories", "route_name").collect()]
+    assert a == b and a[0][0] == "unsafe" and a[1][2] == "SAFE_DIRECT"

@@ -673,7 +673,7 @@ def q_generate_drafts(spark, sf):
 
 
 # ------------------------------------------------------------ end to end
-from vellum.plans.respond import decisions, diagnostics, position_counts, respond, stage_counts  # noqa: E402
+from vellum.plans.respond import decisions, diagnostics, respond, stage_counts  # noqa: E402
 
 
 def responded(spark, sf):
