@@ -75,3 +75,17 @@ def test_assessments_last_row_wins(spark):
 def test_run_status(spark):
     root = tempfile.mkdtemp(prefix="vellum-io-")
     assert io.write_run_status(spark, {"status": "ok", "records": 3}, f"{root}/status")
+
+
+def test_discovery_any_case_suffix_and_header_check(spark):
+    root = tempfile.mkdtemp(prefix="vellum-io-")
+    _write(f"{root}/a/notes.CSV", "name,value\nx,1\n")
+    _write(f"{root}/b/Queries.Csv", "ID,Query\nq1,hello\n")
+    path = io.discover_csv(spark, root)
+    assert path.endswith("/b/Queries.Csv")
+    rows = io.read_requests(spark, path).collect()
+    assert [(r.id, r.query) for r in rows] == [("q1", "hello")]
+    empty = tempfile.mkdtemp(prefix="vellum-io-")
+    _write(f"{empty}/x.csv", "a,b\n1,2\n")
+    with pytest.raises(io.ContractError):
+        io.discover_csv(spark, empty)
