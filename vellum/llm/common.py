@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Text bytes that one numpy pass takes at a time; a single longer text is one pass of its own.
 CHUNK_BYTES = 4 << 20
 
+#: Spark deletes the shuffle files of a finished execution; the written table stands in for them.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
@@ -36,9 +39,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs only the tasks that read its part,
     and unlike a checkpoint a later reader scans only the columns it needs.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/vellum-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/vellum-{uuid.uuid4().hex}/{name}"
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -52,6 +61,31 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
                 yield batch.slice(a, b - a)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows that arrive sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b[k].to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(b.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is not None and tuple(c[0] for c in cols) != last
+        cuts = np.flatnonzero(change).tolist()
+        at = 0
+        for c in cuts:
+            if c > at:
+                held.append(b.slice(at, c - at))
+            yield pa.Table.from_batches(held)
+            held, at = [], c
+        held.append(b.slice(at))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i] + lengths[i] - 1`` of all i, one after another."""
     lengths = np.asarray(lengths, np.int64)

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.bpe_codec import round_trip
+from vellum.llm.jaccard_join import jaccard_classes
 from vellum.llm.language_id import fit_language_model, identify_languages
+from vellum.llm.near_dup_vectors import near_duplicate_vectors
 from vellum.llm.packing import pack
 from vellum.llm.sharding import shuffle_to_shards
+from vellum.llm.substring_dedup import remove_repeated_windows
 from vellum.llm.token_counts import token_counts
+from vellum.llm.topk_search import exact_top_k, quantized
 
 SHARDS = 40
 
@@ -20,6 +24,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_near_dup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
@@ -38,6 +50,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -52,6 +69,71 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model, keep=("held_out",)).drop("languages")
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantized(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    return exact_top_k(vectors.where("id % 20 = 0"), vectors, 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_token_counts, op5_bpe_codec, op6_sharding, op8_packing, op9_language_id)}
-ORACLE: dict[str, str] = {}
+    op1_near_dup_vectors, op2_jaccard_join, op3_token_counts, op5_bpe_codec, op6_sharding, op7_substring_dedup,
+    op8_packing, op9_language_id, op10_topk_search)}
+
+#: Words of a text in DuckDB.
+WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def jaccard_sql(words: int, percent: int, docs: str = "documents") -> str:
+    """CTEs ``n`` (doc_id, n_shingles) and ``c`` (node, component_id) of the Jaccard join of ``docs``."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""w AS (SELECT doc_id, {WORDS_SQL.format(lower)} AS w FROM {docs}),
+sh AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + {words} - 1], ' ') for i in range(1, len(w) - {words} + 2)]) END AS s
+        FROM w),
+n AS (SELECT doc_id, len(s) AS n_shingles FROM sh),
+u AS (SELECT doc_id, unnest(s) AS x FROM sh),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+       WHERE 100 * k >= {percent} * (x.n_shingles + y.n_shingles - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)"""
+
+
+def windows_sql(window: int, docs: str = "documents") -> str:
+    """CTEs ``words`` (doc_id, w) and ``kept`` (doc_id, n_words, n_removed, kept) of substring deduplication."""
+    return f"""words AS (SELECT doc_id, coalesce({WORDS_SQL.format("text")}, []) AS w FROM {docs}),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {window} - 1], ' ') AS x
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - {window} + 2)) AS i FROM words)),
+low AS (SELECT x, min(doc_id) AS first FROM win GROUP BY x),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS i FROM win JOIN low USING (x) WHERE first < doc_id),
+each_word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+left_over AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept
+                FROM each_word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+kept AS (SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, coalesce(kept, '') AS kept
+           FROM words LEFT JOIN left_over USING (doc_id))"""
+
+
+ORACLE: dict[str, str] = {
+    "op2_jaccard_join": f"WITH RECURSIVE {jaccard_sql(4, 85)} "
+                        "SELECT doc_id, n_shingles, component_id FROM n JOIN c ON c.node = n.doc_id",
+    "op7_substring_dedup": f"WITH {windows_sql(13)} SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM kept",
+    "op1_near_dup_vectors": """WITH RECURSIVE
+f AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS v FROM embeddings),
+ok AS (SELECT vec_id, v, sqrt(list_sum([x * x for x in v])) AS n FROM f
+        WHERE v IS NOT NULL AND len([x for x in v if x IS NULL OR NOT isfinite(x)]) = 0
+          AND len([x for x in v if x <> 0]) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+       WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS reached FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT c.node AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.node = component_id AS kept
+  FROM c LEFT JOIN l ON l.a = c.node""",
+    "op10_topk_search": """WITH
+q AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+       WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+        FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
