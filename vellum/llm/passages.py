@@ -21,6 +21,8 @@ from vellum.llm.common import chunks, staged
 
 #: Fragments that one Arrow batch holds.
 FRAGMENTS = 20_000
+#: Values that are hashed or compared at once.
+BLOCK = 1 << 16
 
 
 @dataclass
@@ -36,14 +38,24 @@ class Runs:
     data: bytes
 
 
-def sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the smallest of ``width`` successive values, the leftmost of equals.
+def first_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of ``width`` successive values, the leftmost of equals, at every place.
 
-    ``values`` use the high 40 bits; the low 24 take the place, so at most 2^24 of them.
+    Values are compared by their high 40 bits.  Blocks of BLOCK values stay in
+    the processor's cache; places within a block and ``width`` fit the low 24 bits.
     """
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    out = np.empty(n, np.int64)
+    for s in range(0, n, BLOCK):
+        part = values[s:s + BLOCK + width - 1]
+        out[s:s + BLOCK] = _first_min(part, width) + s
+    return out
+
+
+def _first_min(values: np.ndarray, width: int) -> np.ndarray:
+    n = len(values) - width + 1
     low = np.uint64((1 << 24) - 1)
     keyed = (values & ~low) | np.arange(len(values), dtype=np.uint64)
     if width <= 16:
@@ -60,13 +72,21 @@ def sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:
     return (best & low).astype(np.int64)
 
 
-def cut_runs(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a run of successive windows of one text with one anchor begins, and how long it is."""
-    if not len(window):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (window[1:] != window[:-1] + 1))
-    at = np.flatnonzero(new)
-    return at, np.diff(np.append(at, len(window)))
+def cut_runs(anchor: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of successive windows of one text with one anchor: text, first window, number of windows.
+
+    ``anchor``: of the window at every place; text d has ``count[d]`` windows, from place ``first[d]``.
+    """
+    if not len(anchor):
+        return (np.zeros(0, np.int64),) * 3
+    some = np.flatnonzero(count)
+    start = np.unique(np.concatenate((np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, first[some], first[some] + count[some])))
+    start = start[start < len(anchor)]
+    size = np.diff(np.append(start, len(anchor)))
+    doc = np.searchsorted(first, start, side="right") - 1
+    whole = (doc >= 0) & (doc < len(count))
+    whole[whole] = start[whole] - first[doc[whole]] < count[doc[whole]]
+    return doc[whole], start[whole], size[whole]
 
 
 def repeated_fragments(rows: DataFrame, runs: Callable[[list], Iterator[Runs]], across: bool) -> DataFrame:
@@ -156,48 +176,68 @@ def repeated_fragments(rows: DataFrame, runs: Callable[[list], Iterator[Runs]],
 
 @dataclass
 class Shard:
-    """Fragments of successive keys, in order of (key, id, start)."""
+    """Fragments of successive keys in order of (key, id, start); ``texts`` has each content once."""
 
     key: np.ndarray
     id: np.ndarray
     start: np.ndarray
     windows: np.ndarray
-    data: list[bytes]
+    text: np.ndarray  # place in texts
+    texts: list[bytes]
     goes_on: bool  # its first key is the last key of the shard before
 
 
-def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
-    """Cut sorted fragments into shards of about ``limit`` bytes, between keys unless one key has more."""
-    held: list[pa.RecordBatch] = []
+def shards(batches: Iterator[pa.RecordBatch], limit: int, split: bool) -> Iterator[Shard]:
+    """Cut sorted fragments into shards of about ``limit`` bytes of distinct content.
+
+    Cuts lie between keys; ``split`` allows them within a key that has more than
+    twice the limit.  Copies take a few numbers each.
+    """
+    rows: list[tuple[np.ndarray, ...]] = []
+    place: dict[bytes, int] = {}
     size, last = 0, None
 
-    def shard(parts):
-        nonlocal last
-        t = pa.Table.from_batches(parts)
-        out = Shard(*[t[c].to_numpy() for c in ("key", "id", "start", "windows")], t["data"].to_pylist(), False)
+    def shard() -> Shard:
+        nonlocal rows, place, size, last
+        out = Shard(*[np.concatenate(c) for c in zip(*rows)], list(place), False)
         out.goes_on = last == out.key[0]
-        last = out.key[-1]
+        rows, place, size, last = [], {}, 0, out.key[-1]
         return out
 
     for b in batches:
-        while b.num_rows:
-            full = size + np.cumsum(np.asarray(pa.compute.binary_length(b["data"])).astype(np.int64))
-            key = b["key"].to_numpy()
-            before = held[-1]["key"][-1].as_py() if held else None
-            ends = np.append(key[0] != before, key[1:] != key[:-1]) & (full >= limit)  # a new key, and enough is held
-            ends[0] &= bool(held)
-            ends |= full >= 2 * limit  # one key alone may fill several shards
-            ends[0] &= bool(held)
-            at = int(ends.argmax()) if ends.any() else b.num_rows
-            if at:
-                held.append(b.slice(0, at))
-                size = int(full[at - 1])
-            if at == b.num_rows:
-                break
-            yield shard(held)
-            held, size, b = [], 0, b.slice(at)
-    if held:
-        yield shard(held)
+        key, own, start, windows = (b[c].to_numpy() for c in ("key", "id", "start", "windows"))
+        begin, at, data = 0, [], b["data"].to_pylist()
+        before = rows[-1][0][-1] if rows else None
+
+        def take(end):
+            if end > begin:
+                rows.append((key[begin:end], own[begin:end], start[begin:end], windows[begin:end], np.array(at, np.int64)))
+
+        for i, text in enumerate(data):
+            if size >= limit and (key[i] != before or split and size >= 2 * limit):
+                take(i)
+                yield shard()
+                begin, at = i, []
+            before = key[i]
+            known = len(place)
+            p = place.setdefault(text, known)
+            size += len(text) if p == known else 0
+            at.append(p)
+        take(len(data))
+    if rows:
+        yield shard()
+
+
+def stretches(shard: Shard, row: np.ndarray, offset: np.ndarray, window: int) -> pa.RecordBatch:
+    """What the windows at ``offset`` of the fragments ``row`` (both ascending) cover.
+
+    Any two windows of a fragment overlap or touch, so it is one stretch for each.
+    """
+    at = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    last = np.append(at[1:], len(row)) - 1 if len(at) else at
+    r = row[at]
+    return pa.RecordBatch.from_arrays([pa.array(shard.id[r]), pa.array(shard.start[r] + offset[at]),
+                                       pa.array(shard.start[r] + offset[last] + window)], names=["id", "start", "stop"])
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:

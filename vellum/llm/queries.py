@@ -14,6 +14,7 @@ from vellum.llm.near_dup_vectors import near_duplicate_vectors
 from vellum.llm.packing import pack
 from vellum.llm.sharding import shuffle_to_shards
 from vellum.llm.substring_dedup import remove_repeated_windows
+from vellum.llm.suffix_dedup import remove_repeated_bytes
 from vellum.llm.token_counts import token_counts
 from vellum.llm.topk_search import exact_top_k, quantized
 
@@ -36,6 +37,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"))
 
@@ -75,8 +82,8 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_near_dup_vectors, op2_jaccard_join, op3_token_counts, op5_bpe_codec, op6_sharding, op7_substring_dedup,
-    op8_packing, op9_language_id, op10_topk_search)}
+    op1_near_dup_vectors, op2_jaccard_join, op3_token_counts, op4_suffix_dedup, op5_bpe_codec, op6_sharding,
+    op7_substring_dedup, op8_packing, op9_language_id, op10_topk_search)}
 
 #: Words of a text in DuckDB.
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -116,6 +123,19 @@ kept AS (SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
 ORACLE: dict[str, str] = {
     "op2_jaccard_join": f"WITH RECURSIVE {jaccard_sql(4, 85)} "
                         "SELECT doc_id, n_shingles, component_id FROM n JOIN c ON c.node = n.doc_id",
+    "op4_suffix_dedup": """WITH
+h AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS x FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM h)),
+dup AS (SELECT x FROM win GROUP BY x HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS new
+          FROM win SEMI JOIN dup USING (x)),
+isl AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM isl GROUP BY doc_id, g),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM span),
+cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop,
+               string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM gap JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept || substr(h, 2 * stop + 1), h))) AS kept_sha256 FROM h LEFT JOIN cut USING (doc_id)""",
     "op7_substring_dedup": f"WITH {windows_sql(13)} SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM kept",
     "op1_near_dup_vectors": """WITH RECURSIVE
 f AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS v FROM embeddings),

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import chunks, ragged, staged
-from vellum.llm.passages import Runs, Shard, cut_runs, repeated_fragments, shards, sliding_first_min, spans_by_document, union
+from vellum.llm.passages import (Runs, Shard, cut_runs, first_min, repeated_fragments, shards, spans_by_document, stretches,
+                                 union)
 from vellum.llm.words import Words
 
 #: Words of an anchor.
@@ -34,17 +35,10 @@ def word_runs(window: int, gram: int = GRAM):
         if not n.sum():
             return
         g = words.spanning_grams(gram)
-        at = ragged(words.first[:-1], n)
-        for s in range(0, len(g), 1 << 23):  # places must fit 24 bits
-            part = at[np.searchsorted(at, s):np.searchsorted(at, s + (1 << 23))]
-            if not len(part):
-                continue
-            anchor = sliding_first_min(g[s:s + (1 << 23) + window - gram], window - gram + 1)[part - s] + s
-            doc = np.searchsorted(words.first, part, side="right") - 1
-            i, size = cut_runs(anchor, part, doc)
-            first = part[i]
-            yield Runs(doc[i], g[anchor[i]], first - words.first[doc[i]], size, words.starts[first],
-                       words.ends[first + size - 1 + window - 1], words.data.tobytes())
+        anchor = first_min(g, window - gram + 1)
+        doc, at, size = cut_runs(anchor, words.first, n)
+        yield Runs(doc, g[anchor[at]], at - words.first[doc], size, words.starts[at],
+                   words.ends[at + size + window - 2], words.data.tobytes())
     return runs
 
 
@@ -95,42 +89,66 @@ class FMIndex:
 
     def __init__(self, symbols: np.ndarray, depth: int):
         n = len(symbols)
-        rank, reach = symbols.astype(np.int64), 1
-        order = None
-        while True:
-            step = min(reach, depth - reach)
-            if step <= 0:
-                order = np.argsort(rank, kind="stable")
-                break
-            ahead = np.zeros(n, np.int64)
-            ahead[:n - step] = rank[step:]
-            key = rank * (int(rank.max()) + 1) + ahead
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
-            reach += step
+        top = int(symbols.max()) + 1
+        bits = max(1, int(top - 1).bit_length())
+        order = self._sorted(symbols, bits, depth)
         self.order = order
         self.size = n
-        top = int(symbols.max()) + 1
         self.first = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=top))))
-        bits = max(1, int(top - 1).bit_length())
         self.tree = WaveletTree(symbols[order - 1], bits)
         zero = np.zeros(top, np.int64)
         self.base = self.tree.ranks(np.arange(top), zero, zero)[0]  # where the ranks of a symbol begin
 
+    @staticmethod
+    def _sorted(symbols: np.ndarray, bits: int, depth: int) -> np.ndarray:
+        """Places in the order of their first ``depth`` symbols, by doubling; settled places drop out."""
+        n, reach = len(symbols), min(62 // bits, depth)
+        padded = np.concatenate((symbols, np.zeros(reach, np.int64)))
+        key = np.zeros(n, np.int64)
+        for j in range(reach):
+            key = key << bits | padded[j:n + j]
+        order = np.argsort(key)
+        rank = np.full(n + depth, -1, np.int64)  # place of the first with the same symbols
+        at, key = np.arange(n), key[order]
+        while True:
+            new = np.append(True, key[1:] != key[:-1])
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(key)))
+            rank[order[at]] = np.repeat(at[begin], size)
+            at = at[np.repeat(size > 1, size)]
+            step = min(reach, depth - reach)
+            if step <= 0 or not len(at):
+                return order
+            some = order[at]
+            key = rank[some] * (n + 1) + rank[some + step] + 1
+            by = np.argsort(key)
+            order[at], key = some[by], key[by]
+            reach += step
+
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Interval of ``symbol`` before the strings of the intervals."""
         a, b = self.tree.ranks(symbol, low, high)
         shift = self.first[symbol] - self.base[symbol]
         return a + shift, b + shift
 
+    def left_extensions(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of every symbol but 0 that stands before the strings of the intervals."""
+        symbol = np.zeros(len(low), np.int64)
+        for level, bits, zeros in self.tree.levels:
+            a, b = bits.rank(low), bits.rank(high)
+            left, right = (high - low) > (b - a), b > a
+            low, high = np.concatenate(((low - a)[left], (zeros + a)[right])), np.concatenate(((high - b)[left], (zeros + b)[right]))
+            symbol = np.concatenate((symbol[left], symbol[right] | 1 << level))
+        some = symbol > 0
+        symbol = symbol[some]
+        shift = self.first[symbol] - self.base[symbol]
+        return low[some] + shift, high[some] + shift
+
 
 class IndexedFragments:
     """The distinct fragments of a shard behind an FM-index, with their smallest ids."""
 
-    def __init__(self, texts: list[bytes], ids: np.ndarray, window: int):
-        words = Words([t.decode() for t in texts])
+    def __init__(self, words: Words, ids: np.ndarray, window: int):
         n = words.counts()
         self.alphabet, own = np.unique(words.hashes, return_inverse=True)
         ends = np.cumsum(n + 1)
@@ -163,29 +181,20 @@ class IndexedFragments:
 
 def covered(shard: Shard, earlier: list[IndexedFragments], window: int) -> tuple[pa.RecordBatch, IndexedFragments]:
     """Stretches of the shard's fragments that occur in smaller documents, and the shard's index."""
-    place: dict[bytes, int] = {}
-    own = np.array([place.setdefault(t, len(place)) for t in shard.data])
-    texts = list(place)
+    texts, own = shard.texts, shard.text
     ids = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(ids, own, shard.id)
     windows = np.zeros(len(texts), np.int64)
     windows[own] = shard.windows
-    index = IndexedFragments(texts, ids, window)
     words = Words([t.decode() for t in texts])
-    first = words.first[:-1]
-    end = ragged(first + window - 1, windows)
+    index = IndexedFragments(words, ids, window)
+    end = ragged(words.first[:-1] + window - 1, windows)
     best = np.minimum.reduce([x.smallest(words, end, window) for x in (*earlier, index)])
     begin = np.cumsum(windows) - windows
     rows = ragged(begin[own], shard.windows)  # windows of every fragment, copies included
     of = np.repeat(np.arange(len(own)), shard.windows)
     hit = np.flatnonzero(best[rows] < shard.id[of])
-    of, offset = of[hit], rows[hit] - begin[own[of[hit]]]
-    at = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-    last = np.append(at[1:], len(of)) - 1 if len(at) else at
-    r = of[at]
-    # any two windows of a fragment overlap, so what they cover is one stretch
-    return pa.RecordBatch.from_arrays([pa.array(shard.id[r]), pa.array(shard.start[r] + offset[at]),
-                                       pa.array(shard.start[r] + offset[last] + window)], names=["id", "start", "stop"]), index
+    return stretches(shard, of[hit], rows[hit] - begin[own[of[hit]]], window), index
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
@@ -212,7 +221,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "do
 
     def judge(batches):
         earlier: list[IndexedFragments] = []  # shards of the anchor that goes on
-        for shard in shards(batches, SHARD_BYTES):
+        for shard in shards(batches, SHARD_BYTES, split=True):
             if not shard.goes_on:
                 earlier = []
             batch, index = covered(shard, earlier, window)
