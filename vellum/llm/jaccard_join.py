@@ -25,10 +25,10 @@ from vellum.llm.words import M1, M2, Words, mix
 
 #: Rows of one side of a tile that are compared at once.
 TILE = 1024
+#: Bits of a bitmap for each shingle: so wide that most differences of two sets show.
+BITS = 4
 #: Members that one task compares with a leader.
 STREAM = 8192
-#: A tile compares so many bitmap words at a time.
-BITMAP_WORDS = 1 << 21
 MAX_SIZE = 1 << 40
 
 
@@ -100,8 +100,8 @@ def tile_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of a set: 64-bit words, a power of two of them, about a bit for each shingle."""
-    n = 1 << max(0, int(len(shingles) - 1).bit_length() - 6)
+    """Hashed bitmap of a set: 64-bit words, a power of two of them, about BITS bits for each shingle."""
+    n = 1 << max(0, int(BITS * len(shingles) - 1).bit_length() - 6)
     bit = (shingles >> np.uint64(8)) & np.uint64(64 * n - 1)
     flags = np.zeros(64 * n, np.uint8)
     flags[bit.astype(np.int64)] = 1
@@ -238,45 +238,43 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     links = verified(stars)
     part = components(links)
 
-    # tiles that are still in several classes: members of different classes, by bitmap
-    known = tiles.select("key", "id").join(part.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("class"))
-    open_ = known.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n")).where(
-        "x <> y").select("key", F.ceil(F.col("n") / TILE).alias("blocks"))
-    members = known.join(open_, "key").join(sets.where("bits is not null").select("id", "n", "bits"), "id")
+    # tiles that are still in several classes: all under one leader meet once, members of different classes by bitmap
+    known = tiles.join(part.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "lead", "id", F.coalesce("component", "id").alias("class"))
+    mixed = known.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
+    members = known.join(mixed, "key").select("lead", "id", "class").distinct()
+    blocks = members.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
+    members = members.join(blocks, "lead").join(sets.where("bits is not null").select("id", "n", "bits"), "id")
     own = F.pmod(F.xxhash64("id"), "blocks")
-    placed = members.select("key", "id", "class", "n", "bits", own.alias("own"),
+    placed = members.select("lead", "id", "class", "n", "bits", own.alias("own"),
                             F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+    placed = placed.select("lead", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                            "own", "id", "class", "n", "bits")
 
     def compare(batches):
-        for t in runs(batches, ["key", "x", "y"]):
+        for t in runs(batches, ["lead", "x", "y"]):
             ids, cls, n = (t[c].to_numpy() for c in ("id", "class", "n"))
             if (cls == cls[0]).all():
                 continue
             own = t["own"].to_numpy()
             x, y = t["x"][0].as_py(), t["y"][0].as_py()
             bits = [np.frombuffer(v.as_py(), np.uint64) for v in t["bits"]]
-            width = min(map(len, bits))
-            bits = np.stack([fold(v[None], width)[0] for v in bits])
+            width = np.array([len(v) for v in bits])
             left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-            step = max(1, BITMAP_WORDS // (width * max(1, len(right))))
-            for s in range(0, len(left), step):
-                i = left[s:s + step, None]
-                ok = (cls[i] != cls[right]) & (np.minimum(n[i], n[right]) * 100 >= percent * np.maximum(n[i], n[right]))
-                if x == y:
-                    ok &= ids[i] < ids[right]
-                p, q = np.nonzero(ok)
-                if not len(p):
-                    continue
-                p, q = i[p, 0], right[q]
-                keep = overlap_bound(bits[p], n[p], bits[q], n[q]) * (100 + percent) >= percent * (n[p] + n[q])
-                p, q = p[keep], q[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], ids[q])), pa.array(np.maximum(ids[p], ids[q]))],
-                                                 names=["a", "b"])
-
-    left = staged(placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(
+            found = []
+            for w in np.unique(width):  # a row meets those with as wide a bitmap or a wider one, folded to its width
+                folded = np.stack([fold(v[None], w)[0] if len(v) >= w else np.zeros(w, np.uint64) for v in bits])
+                for i in np.flatnonzero(width == w):
+                    others = right if own[i] == x else left
+                    first = ids[others] > ids[i] if x == y else own[i] == x  # of two equally wide rows, one asks
+                    near = others[(width[others] > w) | (width[others] == w) & first]
+                    near = near[(cls[near] != cls[i]) & (np.minimum(n[i], n[near]) * 100 >= percent * np.maximum(n[i], n[near]))]
+                    near = near[overlap_bound(folded[i], n[i], folded[near], n[near]) * (100 + percent) >= percent * (n[i] + n[near])]
+                    found.append(np.column_stack((np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near]))))
+            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    left = staged(placed.repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y").mapInArrow(
         compare, "a long, b long").distinct(), "left")
     if not left.isEmpty():
         part = components(links.unionByName(verified(left)).unionByName(
