@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 #: Rows of a candidate block and of a query block: the memory bound of a task.
 CANDIDATES = 16384
 QUERIES = 1024
-FIRST_DEPTH = 64
+FIRST_DEPTH = 1024
 
 
 class SortedLists:
@@ -30,14 +30,15 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]  # in order of ids, so ties fall to the smaller
-        self.up = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.down = self.up[:, ::-1]
+        up = np.argsort(self.vectors, axis=0).T.astype(np.int32)
+        self.lists = np.stack((up, up[:, ::-1]))  # ascending and descending
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best candidates other than ``query_id``."""
         n = len(self.ids)
         dims = np.flatnonzero(query)
         weight = query[dims]
+        downward = (weight > 0).astype(np.int8)
         seen = np.zeros(n, bool)
         seen[np.searchsorted(self.ids, query_id):np.searchsorted(self.ids, query_id, side="right")] = True
         best, score = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)
@@ -45,7 +46,7 @@ class SortedLists:
         while depth < n:
             end = min(n, depth + step)
             if len(dims):
-                rows = np.where((weight > 0)[:, None], self.down[dims, depth:end], self.up[dims, depth:end])
+                rows = self.lists[downward, dims, depth:end]
                 met = np.zeros(n, bool)
                 met[rows.ravel()] = True
                 fresh = np.flatnonzero(met & ~seen)
@@ -54,13 +55,15 @@ class SortedLists:
                 fresh, end, bound = np.flatnonzero(~seen), n, 0
             seen[fresh] = True
             best = np.concatenate((best, fresh))
-            score = np.concatenate((score, self.vectors[fresh] @ query))
+            # most of the block at once is quicker to score in place than to copy out
+            got = (self.vectors @ query)[fresh] if 4 * len(fresh) > n else self.vectors[fresh] @ query
+            score = np.concatenate((score, got))
             if len(best) > k:
                 kth = np.partition(score, len(score) - k)[len(score) - k]
                 keep = score >= kth
                 best, score = best[keep], score[keep]
                 order = np.lexsort((best, -score))[:k]
-                best, score = best[order], score[order]
+                best, score = best[order], score[order]  # ties with the k-th beyond k have larger ids
             if len(best) >= k and score[k - 1] > bound:
                 break
             depth, step = end, 2 * step
