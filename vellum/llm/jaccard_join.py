@@ -198,8 +198,13 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
 
     sets = staged(rows.mapInArrow(sketch, "id long, n long, same long, keys array<long>, bits binary"), "sets")
     keyed = sets.where("keys is not null").select(F.explode("keys").alias("key"), "id")
-    tiles = staged(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(
-        shared, "key long, id long, lead long"), "tiles")
+    # documents that share tiles with a tile's smallest one, and how many
+    shares = staged(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(
+        shared, "key long, id long, lead long").where("id <> lead").groupBy("lead", "id").agg(F.count(F.lit(1)).alias("tiles")),
+        "shares")
+    near = shares.select("id").union(shares.select("lead")).distinct()
+    # the number of near documents has no bound, so they are not broadcast
+    texts = staged(rows.hint("merge").join(near, "id"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` that link.  A leader a of many members goes to several tasks."""
@@ -207,7 +212,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
         dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "tasks").alias("task"))
         asked = (dealt.select("a", "task", F.lit(0).alias("role"), F.col("a").alias("id")).distinct()
                  .unionByName(dealt.select("a", "task", F.lit(1).alias("role"), F.col("b").alias("id"))))
-        texts = asked.join(rows, "id")
+        told = asked.join(texts, "id")
 
         def judge(batches):
             lead, head, width = None, None, None
@@ -228,21 +233,21 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()),
                                                   pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-        return staged(texts.repartition("a", "task").sortWithinPartitions("a", "task", "role", "id")
+        return staged(told.repartition("a", "task").sortWithinPartitions("a", "task", "role", "id")
                       .select("a", "task", "role", "id", "text").mapInArrow(judge, "a long, b long"), "verified")
 
     # each document with the leader that it shares most tiles with
-    counted = tiles.where("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
-    stars = counted.groupBy("id").agg(F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("x")).select(
-        (-F.col("x.m")).alias("a"), F.col("id").alias("b"))
+    stars = shares.groupBy("id").agg(F.max_by("lead", F.struct("tiles", (-F.col("lead")).alias("x"))).alias("a")).select(
+        "a", F.col("id").alias("b"))
     links = verified(stars)
     part = components(links)
 
-    # tiles that are still in several classes: all under one leader meet once, members of different classes by bitmap
-    known = tiles.join(part.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "lead", "id", F.coalesce("component", "id").alias("class"))
-    mixed = known.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
-    members = known.join(mixed, "key").select("lead", "id", "class").distinct()
+    # leaders whose documents are still in several classes: members of different classes, by bitmap
+    members = shares.select("lead", "id").unionByName(shares.select("lead", F.col("lead").alias("id")).distinct())
+    members = members.join(part.withColumnRenamed("node", "id"), "id", "left").select(
+        "lead", "id", F.coalesce("component", "id").alias("class"))
+    mixed = members.groupBy("lead").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("lead")
+    members = members.join(mixed, "lead")
     blocks = members.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
     members = members.join(blocks, "lead").join(sets.where("bits is not null").select("id", "n", "bits"), "id")
     own = F.pmod(F.xxhash64("id"), "blocks")
