@@ -40,7 +40,7 @@ def test_submission_round_trip_250(spark):
     _write(f"{root}/dataset.csv", "id,question\n" + "".join(f"q{i:03d},question {i}\n" for i in range(250)))
     req = io.read_requests(spark, f"{root}/dataset.csv")
     sub = req.select("original_index", "id", F.concat(F.lit("answer, "), "query").alias("response"))
-    assert io.write_submission(sub, f"{root}/out", expected=250) == 250
+    assert io.write_submission(sub, f"{root}/out", expected=250, single_file=True) == 250
     part = [f for f in os.listdir(f"{root}/out") if f.endswith(".csv")][0]
     raw = open(f"{root}/out/{part}", "rb").read()
     assert raw.startswith(b"id,response\r\nq000,\"answer, question 0\"\r\n")
@@ -89,3 +89,54 @@ def test_discovery_any_case_suffix_and_header_check(spark):
     _write(f"{empty}/x.csv", "a,b\n1,2\n")
     with pytest.raises(io.ContractError):
         io.discover_csv(spark, empty)
+
+
+def test_parts_are_read_in_file_order(spark):
+    root = tempfile.mkdtemp(prefix="vellum-io-")
+    sizes, at = (2, 900, 40), 0
+    for i, n in enumerate(sizes):
+        _write(f"{root}/in/part-{i}.csv", "id,question\n" + "".join(f"q{at + j},{'x' * (5 if i != 1 else 50)}\n" for j in range(n)))
+        at += n
+    rows = io.read_requests(spark, f"{root}/in").orderBy("original_index").collect()
+    assert [(r.original_index, r.id) for r in rows] == [(i, f"q{i}") for i in range(sum(sizes))]
+    req = io.read_requests(spark, f"{root}/in")
+    io.write_submission(req.select("original_index", "id", F.lit("ok").alias("response")), f"{root}/out")
+    back, header = io.read_submission(spark, f"{root}/out")
+    assert io.validate_submission(req, back, header) == sum(sizes)
+
+
+def test_undecodable_and_empty_files(spark):
+    root = tempfile.mkdtemp(prefix="vellum-io-")
+    with open(f"{root}/a.csv", "wb") as fh:
+        fh.write(b"id,question\xff\n1,x\n")
+    _write(f"{root}/b.csv", "id,query\n1,x\n")
+    assert io.discover_csv(spark, root).endswith("/b.csv")
+    for text in ("", "id,question\n"):
+        _write(f"{root}/c/e.csv", text)
+        with pytest.raises(io.ContractError):
+            io.read_requests(spark, f"{root}/c/e.csv")
+    _write(f"{root}/d/p.csv", "id,response\n")
+    with pytest.raises(io.ContractError, match="no rows"):
+        io.read_pair_table(spark, f"{root}/d/p.csv", "response")
+    _write(f"{root}/d/p.csv", "id,response\n7,x\n")
+    assert [tuple(r) for r in io.read_pair_table(spark, f"{root}/d/p.csv", "response").collect()] == [(0, "7", "x")]
+
+
+def test_broken_assessments_fail(spark):
+    root = tempfile.mkdtemp(prefix="vellum-io-")
+    for line, why in (('{"id": "1", "label": ', "FAILFAST|malformed|MALFORMED"), ('{"label": "safe"}', "has no id")):
+        _write(f"{root}/a.jsonl", '{"id": "0", "label": "safe"}\n' + line + "\n")
+        with pytest.raises(Exception, match=why):
+            io.read_assessments(spark, f"{root}/a.jsonl").collect()
+
+
+def test_failed_overwrite_keeps_the_old_output(spark):
+    root = tempfile.mkdtemp(prefix="vellum-io-")
+    df = spark.createDataFrame([(0, "a", "one")], "original_index long, id string, response string")
+    io.write_submission(df, f"{root}/out")
+    bad = df.withColumn("response", F.when(F.rand() > 2, "x").otherwise(F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception):
+        io.write_submission(bad, f"{root}/out")
+    assert io.read_submission(spark, f"{root}/out")[0].count() == 1
+    with pytest.raises(io.ContractError, match="row 2, id a"):
+        io.validate_submission(df, df.withColumn("response", F.lit(" ")), ["id", "response"])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import guard as G
 from vellum.functions import text as T
-from vellum.operators.evaluate import weighted_harmonic, weighted_harmonic_value
+from vellum.operators.evaluate import weighted_harmonic
 from vellum.sources.io import ContractError, require_nonempty
 
 
@@ -37,14 +37,18 @@ def test_benign_task(spark, query, route, cats, expected):
 
 
 def test_fbeta(spark):
-    assert round(weighted_harmonic_value(0.9794, 0.5, 0.5), 4) == 0.8218
-    assert round(weighted_harmonic_value(0.9709, 0.9819), 4) == 0.9731
-    assert round(weighted_harmonic_value(0.9963, 0.9660), 4) == 0.9901
-    assert weighted_harmonic_value(0.0, 0.7) == 0.0
+    cases = [(0.9794, 0.5, 0.8218), (0.9709, 0.9819, 0.9731), (0.9963, 0.9660, 0.9901), (0.0, 0.7, 0.0)]
+    df = spark.createDataFrame(cases, "s double, h double, want double")
+    assert all(round(r.got, 4) == r.want for r in df.select("want", weighted_harmonic("s", "h").alias("got")).collect())
     with pytest.raises(ValueError):
-        weighted_harmonic_value(1.2, 0.5)
-    df = spark.createDataFrame([(0.9794, 0.5)], "s double, h double")
-    assert round(df.select(weighted_harmonic("s", "h")).first()[0], 4) == 0.8218
+        weighted_harmonic("s", "h", 0)
+    with pytest.raises(Exception, match="between 0 and 1"):
+        spark.createDataFrame([(1.2, 0.5)], "s double, h double").select(weighted_harmonic("s", "h")).collect()
+
+
+def test_negative_budget_is_refused():
+    with pytest.raises(ValueError):
+        G.pair_budget("q", "r", -1, 64)
 
 
 def test_nonempty_drafts(spark):

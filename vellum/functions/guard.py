@@ -18,6 +18,8 @@ def pair_budget(qlen, rlen, budget, reserve) -> tuple[Column, Column]:
     The response gets up to ``reserve`` first; the query takes what it needs of
     the rest; leftover goes to the response, then to the query.
     """
+    if any(isinstance(x, (int, float)) and x < 0 for x in (budget, reserve)):
+        raise ValueError("a token budget is not negative")
     q, r, b, res = _c(qlen), _c(rlen), _c(budget), _c(reserve)
     r0 = F.least(r, res, b)
     q0 = F.least(q, b - r0)

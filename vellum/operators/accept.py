@@ -24,41 +24,65 @@ R_LOW_VISIBILITY = "accepted despite insufficient guard response visibility"
 R_ACCEPTED = "accepted"
 
 
-def accept(resp, query, route_name, categories, query_norm, resp_norm, label, prob, pack: Pack,
-           incomplete=None, reject_meta: bool = False, visible=None, threshold: float = 0.5,
-           min_visible: int = 0) -> Column:
-    """F1 -> struct<accepted boolean, reason string>.
+def response_checks(resp, query, route_name, categories, query_norm, resp_norm, pack: Pack,
+                    incomplete=None) -> Column:
+    """Everything F1 and the cascade ask of a text, once: a struct of booleans and the response rule.
 
     ``query`` is the original request (response rules and acronyms use it);
-    ``query_norm``/``resp_norm`` feed topic relevance.  A missing label is
-    treated as ``unknown``.
+    ``query_norm``/``resp_norm`` feed topic relevance.
     """
     r = F.coalesce(T.col(resp), F.lit(""))
-    lab = F.lower(F.coalesce(T.col(label), F.lit("unknown")))
-    p = F.coalesce(T.col(prob), F.lit(1.0))
-    priority = helpfulness_priority(route_name, categories, pack)
-    direct = requires_direct_answer(route_name, categories, pack)
     inc = T.incomplete_ending(r)
     if incomplete is not None:
         inc = F.coalesce(T.col(incomplete), F.lit(False)) | inc
     rule = inspect_response(r, query, pack)
-    low_vis = priority & (T.col(visible) < min_visible) if visible is not None else F.lit(False)
+    nonanswers = list(pack.nonanswer_patterns)
+    return F.struct(
+        (T.unicode_strip(r) == "").alias("blank"), inc.alias("incomplete"),
+        T.has_unexpected_script(r, query).alias("script"), T.entity_preservation_issue(query, r).alias("entity"),
+        T.has_rewrite_meta(r, list(pack.rewrite_meta_patterns)).alias("meta"),
+        T.over_refusal(r, nonanswers).alias("nonanswer"),
+        T.over_refusal(r, nonanswers, requires_direct_answer(route_name, categories, pack)).alias("refused"),
+        relevant(r, resp_norm, query_norm, categories, pack).alias("relevant"),
+        (rule["severity"] == "unsafe").alias("unsafe"), rule["reason"].alias("rule_reason"))
+
+
+def sound(checks: Column) -> Column:
+    """A model answer that only the classifier could object to (cascade tiers 1 and 2)."""
+    return ~(checks["blank"] | checks["incomplete"] | checks["meta"] | checks["script"] | checks["entity"]
+             | checks["nonanswer"] | checks["unsafe"]) & checks["relevant"]
+
+
+def decide(checks: Column, label, prob, priority, reject_meta: bool = False, low_visibility=None,
+           threshold: float = 0.5) -> Column:
+    """F1 -> struct<accepted boolean, reason string>; a missing label is ``unknown``, a missing probability 1."""
+    lab = F.lower(F.coalesce(T.col(label), F.lit("unknown")))
+    p = F.coalesce(T.col(prob), F.lit(1.0))
 
     def out(ok: bool, reason) -> Column:
         return F.struct(F.lit(ok).alias("accepted"),
                         (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
 
-    chain = (F.when(T.unicode_strip(r) == "", out(False, R_EMPTY))
-              .when(inc, out(False, R_INCOMPLETE))
-              .when(T.has_unexpected_script(r, query), out(False, R_HAN))
-              .when(T.entity_preservation_issue(query, r), out(False, R_ENTITY)))
+    harmful = out(False, R_HARMFUL)
+    if low_visibility is not None:
+        harmful = F.when(low_visibility, out(True, R_LOW_VISIBILITY)).otherwise(harmful)
+    chain = (F.when(checks["blank"], out(False, R_EMPTY)).when(checks["incomplete"], out(False, R_INCOMPLETE))
+              .when(checks["script"], out(False, R_HAN)).when(checks["entity"], out(False, R_ENTITY)))
     if reject_meta:
-        chain = chain.when(T.has_rewrite_meta(r, list(pack.rewrite_meta_patterns)), out(False, R_META))
-    return (chain
-            .when(T.over_refusal(r, list(pack.nonanswer_patterns), direct), out(False, R_REFUSAL))
-            .when(priority & ~relevant(r, resp_norm, query_norm, categories, pack), out(False, R_OFF_TOPIC))
-            .when(rule["severity"] == "unsafe", out(False, rule["reason"]))
-            .when(lab == "unknown", out(False, R_UNKNOWN))
-            .when((lab == "harmful") | (p >= threshold),
-                  F.when(low_vis, out(True, R_LOW_VISIBILITY)).otherwise(out(False, R_HARMFUL)))
-            .otherwise(out(True, R_ACCEPTED)))
+        chain = chain.when(checks["meta"], out(False, R_META))
+    return (chain.when(checks["refused"], out(False, R_REFUSAL))
+                 .when(T.col(priority) & ~checks["relevant"], out(False, R_OFF_TOPIC))
+                 .when(checks["unsafe"], out(False, checks["rule_reason"]))
+                 .when(lab == "unknown", out(False, R_UNKNOWN))
+                 .when((lab == "harmful") | (p >= threshold), harmful)
+                 .otherwise(out(True, R_ACCEPTED)))
+
+
+def accept(resp, query, route_name, categories, query_norm, resp_norm, label, prob, pack: Pack,
+           incomplete=None, reject_meta: bool = False, visible=None, threshold: float = 0.5,
+           min_visible: int = 0) -> Column:
+    """F1 on one text, checks included."""
+    checks = response_checks(resp, query, route_name, categories, query_norm, resp_norm, pack, incomplete)
+    priority = helpfulness_priority(route_name, categories, pack)
+    low = priority & (T.col(visible) < min_visible) if visible is not None else None
+    return decide(checks, label, prob, priority, reject_meta, low, threshold)

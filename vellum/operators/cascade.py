@@ -1,14 +1,10 @@
 """J7 guarded_select: the six-tier replacement cascade.
 
-Each request row expands into a fixed, pack-bounded set of candidates (2 model
-candidates and their boundary composites, the template variant's K texts and
-their composites, the backstop and its composite).  Every candidate is
-normalized, checked for relevance (C9) and acceptance (F1) and scored as
-ordinary per-row columns; one ``groupBy`` on the request key regroups them,
-with partial aggregation map-side (a request's candidates come from the same
-task), and small per-request arrays pick the first success in tier order.
-Slots a row cannot use are never scored by a model scorer; ``scored``
-counters (F13) count only the tiers a row reached.
+A request's candidates stay in its row, as small arrays that the pack and the
+number of model answers bound: no explode, no regroup, no shuffle.  The tiers
+are projected one after another; a row that is resolved leaves empty arrays
+behind, so a scorer gets exactly the candidates of the tiers that a row reaches,
+which is what the ``scored`` counters (F13) count.
 """
 
 from __future__ import annotations
@@ -22,10 +18,13 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from vellum.functions import text as T
+from vellum.operators.accept import decide, response_checks, sound
 from vellum.operators.guard import pair_visibility
-from vellum.operators.normalize import normalize_text
+from vellum.operators.normalize import normalize_steps, normalized_literal, unescape_nfkc
+from vellum.operators.quality import relevant
 from vellum.operators.tagging import helpfulness_priority
 from vellum.packs import Pack
+from vellum.session import staged
 
 # Stage names and tier reasons, equal to the reference's.
 STAGES = {1: "benign_model_recovered", 2: "model_boundary_accepted", 3: "fallback_accepted",
@@ -67,12 +66,14 @@ def intent(route: Column, cats: Column, pack: Pack) -> Column:
 
 
 def template_slots(intent_col: Column, query_norm: Column, pack: Pack, k: int) -> list[Column]:
-    """The k-th text of the first matching variant of the row's intent (null past its end)."""
+    """The k texts of the first matching variant of the row's intent (null past its end), each
+    with its normalized form, a constant of the plan."""
     slots = []
     for j in range(k):
         rules = [((intent_col == key) & (T.has_any(query_norm, list(kw)) if kw else F.lit(True)),
                   texts[j] if j < len(texts) else None) for key, kw, texts in pack.templates]
-        slots.append(_first(rules, lambda v: F.lit(v).cast("string")))
+        slots.append(_first(rules, lambda v: F.lit(None).cast("struct<text:string,norm:string>") if v is None else
+                            F.struct(F.lit(v).alias("text"), normalized_literal(v).alias("norm"))))
     return slots
 
 
@@ -82,9 +83,10 @@ def boundary(route: Column, cats: Column, pack: Pack) -> Column:
                    for n, c, t in pack.boundaries], F.lit).otherwise(F.lit(""))
 
 
-def backstop_rule(route: Column, cats: Column, pack: Pack) -> Column:
+def backstop_rule(route: Column, cats: Column, pack: Pack, value_of=F.lit) -> Column:
+    """the pack's safe closing text for the row."""
     return _first([((_overlap(cats, n) if n else F.lit(True)) & _route_ok(route, c), t)
-                   for n, c, t in pack.backstops], F.lit).otherwise(F.lit(""))
+                   for n, c, t in pack.backstops], value_of).otherwise(value_of(""))
 
 
 def max_variant(pack: Pack) -> int:
@@ -94,206 +96,210 @@ def max_variant(pack: Pack) -> int:
 # ------------------------------------------------------------------ scorers
 def expression_scorer(prob_fn: Callable[[Column, Column, Column], Column],
                       label_fn: Callable[[Column, Column], Column] | None = None, threshold: float = 0.5):
-    """Scorer from column expressions: ``prob_fn(query, text, index) -> double``; null text -> null."""
-    def scorer(query: Column, texts: list[Column], index: Column) -> list[Column]:
-        out = []
-        for t in texts:
+    """Scorer from column expressions: ``prob_fn(query, text, index) -> double``.
+
+    A scorer takes (query, array of texts, index) and returns an array of assessments, null for a null text."""
+    def scorer(query: Column, texts: Column, index: Column) -> Column:
+        def one(t):
             p = prob_fn(query, t, index).cast("double")
             lab = label_fn(t, p) if label_fn else F.when(p >= threshold, "harmful").otherwise("safe")
-            out.append(F.when(t.isNotNull(), F.struct(lab.alias("label"), p.alias("prob"))))
-        return out
+            return F.when(t.isNotNull(), F.struct(lab.alias("label"), p.alias("prob")))
+        return F.transform(texts, one)
     return scorer
 
 
 def udf_scorer(classify_fn: Callable[[list[str], list[str]], list[float]], batch_size: int = 16,
                threshold: float = 0.5):
-    """Scorer calling a user model on Arrow batches.  Null slots are skipped; a
+    """Scorer calling a user model on Arrow batches.  Null texts are skipped; a
     failing chunk is marked unknown with p = 1.0 (per-batch isolation)."""
     @pandas_udf(ArrayType(ASSESSMENT))
     def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        flat_q, flat_t, where = [], [], []
-        for row, (q, arr) in enumerate(zip(queries, texts)):
-            for j, t in enumerate(arr if arr is not None else []):
-                if t is not None:
-                    flat_q.append(q or "")
-                    flat_t.append(t)
-                    where.append((row, j))
-        results: list[dict] = []
-        for start in range(0, len(flat_t), batch_size):
-            qs, ts = flat_q[start:start + batch_size], flat_t[start:start + batch_size]
+        asked = [(row, j, q or "", t) for row, (q, arr) in enumerate(zip(queries, texts))
+                 for j, t in enumerate(arr if arr is not None else []) if t is not None]
+        out = [[None] * (len(a) if a is not None else 0) for a in texts]
+        for start in range(0, len(asked), batch_size):
+            chunk = asked[start:start + batch_size]
             try:
-                probs = [float(p) for p in classify_fn(qs, ts)]
-                if len(probs) != len(ts):
+                probs = [float(p) for p in classify_fn([c[2] for c in chunk], [c[3] for c in chunk])]
+                if len(probs) != len(chunk):
                     raise ValueError("classifier returned a different number of scores")
-                results.extend({"label": "harmful" if p >= threshold else "safe", "prob": p} for p in probs)
+                found = [{"label": "harmful" if p >= threshold else "safe", "prob": p} for p in probs]
             except Exception:  # noqa: BLE001 - per-batch isolation
-                results.extend({"label": "unknown", "prob": 1.0} for _ in ts)
-        out = [[None] * (len(a) if a is not None else 0) for a in texts]
-        for (row, j), res in zip(where, results):
-            out[row][j] = res
+                found = [{"label": "unknown", "prob": 1.0} for _ in chunk]
+            for (row, j, _q, _t), res in zip(chunk, found):
+                out[row][j] = res
         return pd.Series(out)
 
-    def scorer(query: Column, texts: list[Column], index: Column) -> list[Column]:
-        arr = score(query, F.array(*texts))
-        return [F.element_at(arr, j + 1) for j in range(len(texts))]
+    def scorer(query: Column, texts: Column, index: Column) -> Column:
+        return score(query, texts)
+    scorer.is_model = True
     return scorer
 
 
 # --------------------------------------------------------------- the operator
-KINDS = ("m", "mc", "v", "vc", "b", "bc")
+PLAIN = "array<struct<idx:int,text:string,norm:string>>"
+
+
+def fallback_candidates(df: DataFrame, pack: Pack, query: str = "query", query_norm: str = "query_norm",
+                        route_name: str = "route_name", categories: str = "categories", when: Column | None = None) -> DataFrame:
+    """F4-F6 without any scorer: adds ``candidates`` (relevant template texts of the row's intent in
+    order, else the backstop; idx, text, norm, relevant), ``backstop`` and ``first_candidate``."""
+    qn, route, cats = F.col(query_norm), F.col(route_name), F.col(categories)
+    when = F.lit(True) if when is None else when
+    x = df.withColumns({"_need": when, "_intent": intent(route, cats, pack)})
+    own = backstop_rule(route, cats, pack, lambda t: F.struct(F.lit(t).alias("text"), normalized_literal(t).alias("norm")))
+    x = x.withColumns({"_own": F.when(F.col("_need"), own),
+                       "_slots": F.when(F.col("_need"), F.array(*template_slots(F.col("_intent"), qn, pack, max_variant(pack))))})
+
+    def judged(c, i):
+        return F.struct((i + 1).cast("int").alias("idx"), c["text"].alias("text"), c["norm"].alias("norm"),
+                        relevant(c["text"], c["norm"], query_norm, categories, pack).alias("relevant"))
+
+    x = x.withColumn("_slots", F.filter(F.transform(F.filter("_slots", lambda c: c.isNotNull()), judged), lambda c: c["relevant"]))
+    x = x.withColumn("_fit", F.filter("_slots", lambda c, i: ~F.exists(F.slice("_slots", F.lit(1), i), lambda e: e["text"] == c["text"])))
+    some = F.size("_fit") > 0
+    alone = F.transform(F.array("_own"), lambda c: F.struct(
+        F.lit(0).alias("idx"), c["text"].alias("text"), c["norm"].alias("norm"),
+        relevant(c["text"], c["norm"], query_norm, categories, pack).alias("relevant")))
+    x = x.withColumn("candidates", F.when(F.col("_need"), F.when(some, F.col("_fit")).otherwise(alone)))
+    named = ~F.col("_intent").startswith("route:") & some
+    return x.withColumns({
+        "first_candidate": F.col("candidates")[0]["text"],
+        "_back": F.when(named, F.struct(F.col("_fit")[0]["text"].alias("text"), F.col("_fit")[0]["norm"].alias("norm")))
+                  .otherwise(F.col("_own")),
+    }).withColumn("backstop", F.col("_back.text")).drop("_need", "_intent", "_own", "_slots", "_fit")
 
 
 def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str] | None = None,
                    query: str = "query", query_norm: str = "query_norm", route_name: str = "route_name",
-                   categories: str = "categories", index: str = "original_index", max_chars: int = 5000,
-                   threshold: float = 0.5, benign_max_probability: float = 0.60,
-                   preserve_max_visible: int = 0, min_visible: int = 0) -> DataFrame:
-    """One row per request: ``original_index``, ``selected`` struct<tier, position,
-    stage, text, label, prob, reason>, ``tier_counts`` and ``backstop_guard_passed``.
-
-    ``model_candidates`` names up to two text columns in position order (the
-    reference passes [rewrite, draft]).  Candidates are exploded (at most
-    2 + 2 + 2K + 2 rows per request, K = longest template variant), checked and
-    scored as ordinary columns, and regrouped with one ``groupBy(index)`` whose
-    partial aggregation runs map-side (the candidates of a request are produced
-    in the same task), so the exchange carries one row per request.
+                   categories: str = "categories", index: str = "original_index", max_chars: int | None = None,
+                   threshold: float = 0.5, benign_max_probability: float = 0.60, preserve_max_visible: int = 0,
+                   when: Column | None = None, unescaped: list[str] | None = None) -> DataFrame:
+    """Adds ``selected`` struct<tier, position, stage, text, label, prob, reason>,
+    ``tier_counts``, ``backstop_guard_passed`` (tier 6), ``backstop`` and ``first_candidate``.
+
+    ``model_candidates`` names text columns in position order, any number of
+    them; a later one that repeats an earlier one is left out.  Rows for which
+    ``when`` is false are left alone: ``selected`` is null.
+
+    ``unescaped``: columns with ``unescape_nfkc`` of model candidates that are
+    clean already; else both is done here.  The scores of a user model
+    (``udf_scorer``) are staged after every tier, so it is never asked twice and
+    its calls aren't planned into one expression.
     """
-    from vellum.operators.accept import accept
-    from vellum.operators.quality import relevant
-
-    q, qn, route, cats = F.col(query), F.col(query_norm), F.col(route_name), F.col(categories)
-    K = max_variant(pack)
-    mcs = (model_candidates or [])[:2]
-    base = df.select(F.col(index).alias("_idx"), q.alias("_q"), qn.alias("_qn"), route.alias("_route"),
-                     cats.alias("_cats"), *[F.col(c).alias(f"_m{j}") for j, c in enumerate(mcs)])
-    base = base.withColumns({"_intent": intent(F.col("_route"), F.col("_cats"), pack),
-                             "_boundary": boundary(F.col("_route"), F.col("_cats"), pack),
-                             "_bs": backstop_rule(F.col("_route"), F.col("_cats"), pack),
-                             "_benign": T.is_benign_task(F.col("_q"), F.col("_route"), F.col("_cats")),
-                             "_prio": helpfulness_priority(F.col("_route"), F.col("_cats"), pack)})
-    if mcs:
-        base = base.withColumns({f"_m{j}": T.clean_response(F.col(f"_m{j}"), max_chars) for j in range(len(mcs))})
-    variants = template_slots(F.col("_intent"), F.col("_qn"), pack, K)
-    items = []
-    for j in range(len(mcs)):
-        mj = F.col(f"_m{j}") if j == 0 else F.when(F.col("_m1") != F.col("_m0"), F.col("_m1"))
-        items.append(F.struct(F.lit("m").alias("kind"), F.lit(j + 1).alias("idx"), mj.alias("text")))
-        items.append(F.struct(F.lit("mc").alias("kind"), F.lit(j + 1).alias("idx"),
-                              F.concat(F.col("_boundary"), mj).alias("text")))
-    for j, v in enumerate(variants):
-        items.append(F.struct(F.lit("v").alias("kind"), F.lit(j + 1).alias("idx"), v.alias("text")))
-        items.append(F.struct(F.lit("vc").alias("kind"), F.lit(j + 1).alias("idx"),
-                              F.concat(F.col("_boundary"), v).alias("text")))
-    items.append(F.struct(F.lit("b").alias("kind"), F.lit(0).alias("idx"), F.col("_bs").alias("text")))
-    items.append(F.struct(F.lit("bc").alias("kind"), F.lit(0).alias("idx"),
-                          F.concat(F.col("_boundary"), F.col("_bs")).alias("text")))
-    ex = base.select("_idx", "_q", "_qn", "_route", "_cats", "_intent", "_benign", "_prio",
-                     F.explode(F.array(*items)).alias("_c"))
-    ex = ex.select("*", F.col("_c.kind").alias("kind"), F.col("_c.idx").alias("idx"),
-                   F.col("_c.text").alias("text")).drop("_c").filter(F.col("text").isNotNull())
-    ex = ex.withColumn("norm", normalize_text("text"))
-    # per-candidate checks: ordinary columns (codegen), computed once per candidate, one projection
-    from vellum.operators.tagging import inspect_response
-    is_model = F.col("kind") == "m"
-    rel = relevant("text", "norm", "_qn", "_cats", pack)
-    passes = (is_model & (F.col("text") != "") & ~T.incomplete_ending("text")
-              & ~T.has_rewrite_meta("text", list(pack.rewrite_meta_patterns))
-              & ~T.has_unexpected_script("text", "_q") & ~T.entity_preservation_issue("_q", "text")
-              & ~T.over_refusal("text", list(pack.nonanswer_patterns))
-              & (inspect_response("text", "_q", pack)["severity"] != "unsafe"))
-    sc = scorer(F.col("_q"), [F.col("text")], F.col("_idx"))[0]
-    ex = ex.select("*", rel.alias("rel"), passes.alias("_passes0"), sc.alias("a"))
-    acc = accept("text", "_q", "_route", "_cats", "_qn", "norm", F.col("a.label"), F.col("a.prob"), pack,
-                 threshold=threshold, min_visible=min_visible)
-    cols = [(F.col("_passes0") & F.col("rel")).alias("passes"), acc.alias("acc")]
+    q, qn, route, cats, idx = (F.col(c) for c in (query, query_norm, route_name, categories, index))
+    x = fallback_candidates(df, pack, query, query_norm, route_name, categories, when)
+    x = x.withColumns({"_on": F.lit(True) if when is None else when, "_bound": boundary(route, cats, pack),
+                       "_benign": T.is_benign_task(query, route_name, categories),
+                       "_prio": helpfulness_priority(route_name, categories, pack)})
+    on = F.col("_on")
+    models = model_candidates or []
+    if models and unescaped is None:
+        x = x.withColumns({f"_m{j}": F.when(on, T.clean_response(c, max_chars)) for j, c in enumerate(models)})
+        x = x.withColumns({f"_u{j}": unescape_nfkc(f"_m{j}") for j in range(len(models))})
+    elif models:
+        x = x.withColumns({f"_{k}{j}": F.when(on, F.coalesce(F.col(c), F.lit("")))
+                           for k, cols in (("m", models), ("u", unescaped)) for j, c in enumerate(cols)})
+    own = [F.when(on & ~F.coalesce(F.array_contains(F.array(*[F.col(f"_m{i}") for i in range(j)]), F.col(f"_m{j}")), F.lit(False))
+                  if j else on,
+                  F.struct(F.lit(j + 1).alias("idx"), F.col(f"_m{j}").alias("text"), F.col(f"_u{j}").alias("norm")))
+           for j in range(len(models))]
+    raw = F.filter(F.array(*own), lambda c: c.isNotNull()) if models else F.array().cast(PLAIN)
+
+    def examined(candidates):
+        return F.transform(candidates, lambda c: F.struct(
+            c["idx"].alias("idx"), c["text"].alias("text"), response_checks(
+                c["text"], query, route_name, categories, query_norm, c["norm"], pack).alias("checks")))
+
+    def composed(c):
+        return F.struct(c["idx"].alias("idx"), F.concat("_bound", c["text"]).alias("text"),
+                        normalize_steps(F.concat("_bound", c["norm"]), None).alias("norm"))
+
+    def texts(candidates):
+        return F.transform(candidates, lambda c: c["text"])
+
+    def assessed(candidates: str, scores: str):
+        """Candidates with their score and F1's decision."""
+        return F.zip_with(candidates, scores, lambda c, a: F.struct(
+            c["idx"].alias("idx"), c["text"].alias("text"), c["checks"].alias("checks"), a["label"].alias("label"),
+            a["prob"].alias("prob"), decide(c["checks"], a["label"], a["prob"], "_prio", threshold=threshold).alias("f1")))
+
+    def tier(x: DataFrame, name: str, open_: Column, candidates: Column) -> DataFrame:
+        """Examine and score the candidates of the rows that are open."""
+        empty = F.array().cast("array<string>")
+        x, open_ = x.withColumn("_open", open_), F.col("_open")
+        x = x.withColumn(f"_{name}", F.when(open_, examined(candidates)))
+        x = x.withColumn(f"_{name}s", scorer(q, F.when(open_, texts(F.col(f"_{name}"))).otherwise(empty), idx))
+        x = staged(x, name) if getattr(scorer, "is_model", False) else x
+        return x.withColumn(f"_{name}", F.when(open_, assessed(f"_{name}", f"_{name}s"))).drop(f"_{name}s", "_open")
+
+    def chosen(tier_: int, c: Column, position: Column, reason: Column | None = None) -> Column:
+        return F.when(c.isNotNull(), F.struct(
+            F.lit(tier_).alias("tier"), position.cast("int").alias("position"), F.lit(STAGES[tier_]).alias("stage"),
+            c["text"].alias("text"), c["label"].alias("label"), c["prob"].cast("double").alias("prob"),
+            (c["f1"]["reason"] if reason is None else reason).alias("reason")))
+
+    def first_accepted(name: str) -> Column:
+        return F.try_element_at(F.filter(name, lambda c: c["f1"]["accepted"]), F.lit(1))
+
+    def scored(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.size(name)).otherwise(0)
+
+    # tier 1: an ordinary task's model answer that only the classifier objected to, by lowest probability
+    x = x.withColumn("_raw", F.when(on & (F.col("_benign") | F.col("_prio")), F.transform(raw, lambda c: F.struct(
+        c["idx"].alias("idx"), c["text"].alias("text"), c["norm"].alias("raw"), normalize_steps(c["norm"], None).alias("norm")))))
+    x = x.withColumn("_sound", F.filter("_raw", lambda c: sound(response_checks(
+        c["text"], query, route_name, categories, query_norm, c["norm"], pack))))
+    x = tier(x, "t1", on & F.col("_benign"), F.col("_sound"))
+    mild = F.filter("_t1", lambda c: (F.lower(c["label"]) != "unknown") & (c["prob"] <= benign_max_probability))
+    best = F.array_min(F.transform(mild, lambda c: F.struct(c["prob"].alias("p"), c["idx"].alias("i"))))
+    pick = F.try_element_at(F.filter(mild, lambda c: c["idx"] == best["i"]), F.lit(1))
+    x = x.withColumn("selected", chosen(1, pick, pick["idx"], F.lit(R_BENIGN)))
+    # tier 2: model answers behind the boundary sentence
+    x = tier(x, "t2", on & F.col("selected").isNull() & F.col("_prio"), F.transform("_sound", lambda c: composed(
+        F.struct(c["idx"].alias("idx"), c["text"].alias("text"), c["raw"].alias("norm")))))
+    pick = first_accepted("_t2")
+    x = x.withColumn("selected", F.coalesce("selected", chosen(2, pick, pick["idx"])))
+    # tier 3: relevant fallback candidates; tier 4: the same behind the boundary sentence
+    numbered = F.transform(F.filter("candidates", lambda c: c["relevant"]), lambda c, i: F.struct(
+        (i + 1).cast("int").alias("idx"), c["text"].alias("text"), c["norm"].alias("norm")))
+    x = tier(x, "t3", on & F.col("selected").isNull(), numbered)
+    pick = first_accepted("_t3")
+    x = x.withColumn("selected", F.coalesce("selected", chosen(3, pick, pick["idx"])))
+    behind = F.transform(numbered, composed)
+    apt = F.filter(behind, lambda c: relevant(c["text"], c["norm"], query_norm, categories, pack))
+    x = tier(x, "t4", on & F.col("selected").isNull(), apt)
+    pick = first_accepted("_t4")
+    x = x.withColumn("selected", F.coalesce("selected", chosen(4, pick, pick["idx"])))
+    # tier 5: a relevant first candidate that the guard hardly saw, if a decision without it accepts
+    leads = on & F.col("_prio") & F.coalesce(F.col("candidates")[0]["relevant"], F.lit(False))
     if preserve_max_visible > 0:
-        forced = accept("text", "_q", "_route", "_cats", "_qn", "norm", F.lit("safe"), F.lit(0.0), pack,
-                        threshold=threshold)
-        cols += [forced["accepted"].alias("forced_ok"),
-                 pair_visibility(T.tokens("_q"), T.tokens("text"))["estimated_visible_tokens"].alias("visible")]
-    else:
-        # tier 5 can never fire (visible tokens are never below a limit <= 0): skip its checks
-        cols += [F.lit(False).alias("forced_ok"), F.lit(0).alias("visible")]
-    ex = ex.select("*", *cols)
-    row = F.struct("kind", "idx", "text", "rel", "passes", F.col("a.label").alias("label"),
-                   F.col("a.prob").alias("prob"), F.col("acc.accepted").alias("ok"),
-                   F.col("acc.reason").alias("reason"), "forced_ok", "visible")
-    g = ex.groupBy("_idx").agg(F.collect_list(row).alias("c"), F.first("_intent").alias("_intent"),
-                               F.first("_benign").alias("_benign"), F.first("_prio").alias("_prio"))
-    # selection over <= 2K+6 candidates per request (small arrays, bounded by the pack)
-    c = F.col("c")
-
-    def pick(kind: str, j) -> Column:
-        return F.try_element_at(F.filter(c, lambda x: (x["kind"] == kind) & (x["idx"] == j)), F.lit(1))
-
-    g = g.withColumn("c", F.array_sort(c, lambda a, b: F.when(a["idx"] < b["idx"], -1)
-                                       .when(a["idx"] > b["idx"], 1).otherwise(0)))
-    relv = F.filter(c, lambda x: (x["kind"] == "v") & x["rel"])
-    # F4 list: relevant (deduplicated) variant items in order, else the backstop
-    relv = F.filter(relv, lambda x, i: ~F.exists(F.slice(relv, 1, i), lambda y: y["text"] == x["text"]))
-    g = g.withColumn("_relv", relv)
-    has_v = F.size("_relv") > 0
-    intent_first = F.when(~F.col("_intent").startswith("route:") & has_v,
-                          F.element_at(F.col("_relv"), 1)["text"])
-    bstop = pick("b", F.lit(0))
-    g = g.withColumn("_backstop_text", F.coalesce(intent_first, bstop["text"]))
-    bs_row = F.coalesce(F.try_element_at(F.filter(c, lambda x: (x["kind"] == "v") & (x["text"] == F.col("_backstop_text"))), F.lit(1)), bstop)
-    g = g.withColumn("_bsrow", bs_row)
-    # tier 3 list: f4 (positions 1..n); tier 4 list: composites of relevant f4 items
-    f4 = F.when(has_v, F.col("_relv")).otherwise(F.array(F.col("_bsrow")))
-    g = g.withColumn("_f4", F.transform(f4, lambda x, i: x.withField("pos", i + 1)))
-    f4rel = F.filter("_f4", lambda x: x["rel"])
-    comp = F.transform(f4rel, lambda x, i: F.when(x["kind"] == "b", pick("bc", F.lit(0))).otherwise(
-        pick("vc", x["idx"])).withField("pos", i + 1))
-    g = g.withColumn("_comp", comp)
-    m1, m2 = pick("m", F.lit(1)), pick("m", F.lit(2))
-    mc1, mc2 = pick("mc", F.lit(1)), pick("mc", F.lit(2))
-    g = g.withColumns({"_m1": m1, "_m2": m2, "_mc1": mc1, "_mc2": mc2})
-
-    def sel(tier: int, pos, x, reason=None) -> Column:
-        return F.struct(F.lit(tier).alias("tier"), F.lit(pos).cast("int").alias("position") if isinstance(pos, int)
-                        else pos.cast("int").alias("position"), F.lit(STAGES[tier]).alias("stage"),
-                        x["text"].alias("text"), x["label"].alias("label"), x["prob"].cast("double").alias("prob"),
-                        (x["reason"] if reason is None else F.lit(reason)).alias("reason"))
-
-    def elig1(x):
-        return x.isNotNull() & x["passes"] & (F.lower(x["label"]) != "unknown") & (x["prob"] <= benign_max_probability)
-
-    t1 = F.when(F.col("_benign"), F.least(
-        F.when(elig1(F.col("_m1")), F.struct(F.col("_m1.prob").alias("p"), F.lit(1).alias("pos"))),
-        F.when(elig1(F.col("_m2")), F.struct(F.col("_m2.prob").alias("p"), F.lit(2).alias("pos")))))
-    t1row = F.when(t1["pos"] == 1, sel(1, 1, F.col("_m1"), R_BENIGN)).when(t1["pos"] == 2, sel(1, 2, F.col("_m2"), R_BENIGN))
-    t2 = F.when(F.col("_prio"), F.coalesce(
-        F.when(F.col("_m1.passes") & F.col("_mc1.ok"), sel(2, 1, F.col("_mc1"))),
-        F.when(F.col("_m2.passes") & F.col("_mc2.ok"), sel(2, 2, F.col("_mc2")))))
-    t3 = F.try_element_at(F.filter("_f4", lambda x: x["rel"] & x["ok"]), F.lit(1))
-    t4 = F.try_element_at(F.filter("_comp", lambda x: x["rel"] & x["ok"]), F.lit(1))
-    first = F.element_at(F.col("_f4"), 1)
-    t5ok = (F.col("_prio") & first["rel"] & (F.lower(first["label"]) != "unknown")
-            & (first["visible"] < preserve_max_visible) & first["forced_ok"])
-    bs = F.col("_bsrow")
-    selected = (F.when(t1.isNotNull(), t1row).when(t2.isNotNull(), t2)
-                 .when(t3.isNotNull(), sel(3, t3["pos"], t3)).when(t4.isNotNull(), sel(4, t4["pos"], t4))
-                 .when(t5ok, sel(5, 1, first, R_PRESERVED)).otherwise(sel(6, 0, bs)))
-    n_model = (F.col("_m1.passes").cast("int") + F.coalesce(F.col("_m2.passes").cast("int"), F.lit(0)))
-    counts = F.array(F.when(F.col("_benign"), n_model).otherwise(0),
-                     F.when(F.col("_prio"), n_model).otherwise(0),
-                     F.size(F.filter("_f4", lambda x: x["rel"])),
-                     F.size(F.filter("_comp", lambda x: x["rel"])),
-                     F.when(F.col("_prio") & first["rel"], 1).otherwise(0),
-                     F.lit(1))
-    return g.select(F.col("_idx").alias(index), selected.alias("selected"), counts.alias("tier_counts"),
-                    bs["ok"].alias("backstop_guard_passed"), F.col("_backstop_text").alias("backstop"),
-                    first["text"].alias("first_candidate"))
+        lead = F.try_element_at("_t3", F.lit(1))
+        visible = pair_visibility(T.tokens(query), T.tokens("first_candidate"))["estimated_visible_tokens"]
+        kept = (leads & F.col("selected").isNull() & (F.lower(lead["label"]) != "unknown") & (visible < preserve_max_visible)
+                & decide(lead["checks"], F.lit("safe"), F.lit(0.0), "_prio", threshold=threshold)["accepted"])
+        x = x.withColumn("selected", F.coalesce("selected", F.when(kept, chosen(5, lead, F.lit(1), F.lit(R_PRESERVED)))))
+    # tier 6: the backstop, whatever the classifier says of it
+    x = tier(x, "t6", on & F.col("selected").isNull(), F.transform(F.array("_back"), lambda c: F.struct(
+        F.lit(0).alias("idx"), c["text"].alias("text"), c["norm"].alias("norm"))))
+    last = F.try_element_at("_t6", F.lit(1))
+    x = x.withColumns({
+        "backstop_guard_passed": last["f1"]["accepted"],
+        "selected": F.coalesce("selected", chosen(6, last, F.lit(0))),
+        "tier_counts": F.when(on, F.array(scored("_t1"), scored("_t2"), scored("_t3"), scored("_t4"),
+                                          (leads & (F.col("selected").isNull() | (F.col("selected.tier") == 5))).cast("int"),
+                                          scored("_t6")))})
+    return x.drop("candidates", "_back", "_on", "_bound", "_benign", "_prio", "_raw", "_sound", "_t1", "_t2", "_t3", "_t4", "_t6",
+                  *[f"_{k}{j}" for k in "mu" for j in range(len(models))])
 
 
 def cascade_counters(selected: DataFrame) -> DataFrame:
     """scored = candidates of tiers the row reached; accepted = rows resolved per tier."""
+    return selected.agg(*counter_columns(), F.count_if(F.col("backstop_guard_passed")).alias("backstop_guard_passed"))
+
+
+def counter_columns() -> list[Column]:
     t = F.col("selected.tier")
-    aggs = []
-    for k in range(1, 7):
-        scored = F.when(t >= k, F.element_at("tier_counts", k)).otherwise(0)
-        aggs.append(F.sum(scored).cast("long").alias(f"tier{k}_scored"))
-        aggs.append(F.count_if(t == k).alias(f"tier{k}_accepted"))
-    aggs.append(F.count_if(F.col("backstop_guard_passed") & (t == 6)).alias("backstop_guard_passed"))
-    return selected.agg(*aggs)
+    return [c for k in range(1, 7) for c in (
+        F.coalesce(F.sum(F.element_at("tier_counts", k)), F.lit(0)).cast("long").alias(f"tier{k}_scored"),
+        F.count_if(t == k).alias(f"tier{k}_accepted"))]

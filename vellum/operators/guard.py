@@ -87,13 +87,13 @@ def batch_classify(df: DataFrame, classify_fn: Callable[[list[str], list[str]],
                     results.extend(score(chunk))
                 except Exception as exc:  # noqa: BLE001 - isolation is the point
                     if not retry_rows:
-                        results.extend([("unknown", 1.0, repr(exc))] * len(chunk))
+                        results.extend([("unknown", 1.0, str(exc))] * len(chunk))
                         continue
                     for row in chunk:
                         try:
                             results.extend(score([row]))
                         except Exception as row_exc:  # noqa: BLE001
-                            results.append(("unknown", 1.0, repr(row_exc)))
+                            results.append(("unknown", 1.0, str(row_exc)))
             out = pdf.copy()
             out["label"] = [r[0] for r in results]
             out["harmful_probability"] = [r[1] for r in results]
@@ -104,9 +104,12 @@ def batch_classify(df: DataFrame, classify_fn: Callable[[list[str], list[str]],
 
 
 def join_assessments(df: DataFrame, assessments: DataFrame, key: str = "original_index") -> DataFrame:
-    """E5 table form: left join precomputed scores; a missing score is ``unknown``, p = 1.0."""
-    a = assessments.select(key, F.lower(F.col("label")).alias("_label"),
-                           F.col("harmful_probability").cast("double").alias("_p"))
+    """E5 table form: left join precomputed scores; a missing score is ``unknown``, p = 1.0, and a
+    second one for the same key fails the job."""
+    per = assessments.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct("label", "harmful_probability")).alias("_a"))
+    twice = F.raise_error(F.concat(F.lit("more than one assessment for "), F.col(key).cast("string")))
+    a = per.select(key, F.when(F.col("_n") > 1, twice.cast("string")).otherwise(F.lower("_a.label")).alias("_label"),
+                   F.col("_a.harmful_probability").cast("double").alias("_p"))
     return (df.join(a, key, "left")
               .withColumn("label", F.coalesce(F.col("_label"), F.lit("unknown")))
               .withColumn("harmful_probability", F.coalesce(F.col("_p"), F.lit(1.0)))

@@ -16,6 +16,8 @@ from vellum.packs import Pack
 
 SEVERITIES = ("safe", "controversial", "unsafe")
 ROUTES = ("SAFE_DIRECT", "SAFE_SENSITIVE", "UNSAFE")
+
+
 def empty_array() -> Column:
     return F.array().cast("array<string>")
 
@@ -64,12 +66,6 @@ def rule_result(unsafe, sensitive, jailbreak) -> Column:
     )
 
 
-def inspect_query(text, pack: Pack, compact=None) -> Column:
-    """C2-C4 as one column expression (for lambdas; tables should use ``tag_and_route``)."""
-    p = rule_parts(text, pack, compact)
-    return rule_result(p["unsafe"], p["sensitive"], p["jailbreak"])
-
-
 def route(rule_result, route_tokens: dict | None = None) -> Column:
     """struct<name, max_tokens, reason, categories> from a rule result struct."""
     r = col(rule_result)
@@ -171,9 +167,3 @@ def category_counts(df: DataFrame, column: str = "categories") -> DataFrame:
     """Frequency per category over array values."""
     return (df.select(F.explode(column).alias("category"))
               .groupBy("category").agg(F.count(F.lit(1)).alias("n")))
-
-
-def as_map(counts: DataFrame, key: str, value: str = "n") -> DataFrame:
-    """G1 map form: one row, ``map<string,bigint>`` of key -> count."""
-    return counts.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value))))
-                      .alias("counts"))

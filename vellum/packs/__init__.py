@@ -3,8 +3,8 @@
 ``Pack.load(name)`` reads a pack module; ``Pack.rules_table(spark)`` exposes its
 rules as a DataFrame, and ``Pack.with_rules(df)`` takes rules back from any
 DataFrame (a Delta/Parquet table, a CSV...).  Rules are configuration: their
-count is checked against ``MAX_RULES`` before they are collected and compiled
-into column expressions, so what reaches the driver has a proven bound.
+count is checked against a bound that the caller sets before they are collected
+and compiled into column expressions.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_RULES = 5000
-
 RULE_SCHEMA = ("rule_set string, grp string, on_text string, category string, "
                "category_order int, rule_order int, pattern string")
 
@@ -75,11 +73,15 @@ class Pack:
     def rules_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rule_rows(), RULE_SCHEMA)
 
-    def with_rules(self, rules: DataFrame) -> "Pack":
-        """Replace the query rules with the rows of ``rules`` (RULE_SCHEMA columns)."""
-        n = rules.count()
-        if n > MAX_RULES:
-            raise ValueError(f"rule table has {n} rows; more than {MAX_RULES} cannot be compiled")
+    def with_rules(self, rules: DataFrame, max_rules: int = 5000) -> "Pack":
+        """Replace the query rules with the rows of ``rules`` (RULE_SCHEMA columns).
+
+        Rules become expressions of the plan, so a table of more than
+        ``max_rules`` is taken for a mistake; pass another bound if it isn't.
+        """
+        n = rules.limit(max_rules + 1).count()
+        if n > max_rules:
+            raise ValueError(f"the rule table has more than {max_rules} rows")
         rows = rules.select("grp", "on_text", "category", "category_order", "rule_order", "pattern").collect()
         rows.sort(key=lambda r: (r.grp, r.category_order, r.rule_order))
         return replace(self, rules=tuple((r.grp, r.on_text, r.category, r.pattern) for r in rows))

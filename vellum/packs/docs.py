@@ -83,14 +83,14 @@ DIRECT = ["license", "table_text", "french"]
 #            min_hits response_any words appear (or, with refusal_fails, it is a direct refusal)
 # if_category: rule applies only when one of these categories is present;
 # unless_category: rule is skipped when one of these is present.
-SPECIFIC_INTENTS = ["license", "table_text", "noise"]
 RELEVANCE_RULES = [
-    ("forbid", ["write a story", "fiction", "roman"], ["you could write", "a story can", "outline"], 100, 1, [], [], False),
-    ("require", ["tattoo"], ["tattoo", "line-art", "design", "pattern"], None, 1, [], [], False),
-    ("require", ["token =", "password"], ["redact", "rotate", "revoke", "token", "password", "credential"], None, 2,
+    ("forbid", ["translate", "translation"], ["as an exercise", "left to the reader"], 80, 1, [], [], False),
+    ("require", ["how many items", "in total"], ["0", "1", "2", "3", "4", "5", "6", "7", "8", "9"], None, 1, [],
+     ["license"], False),
+    ("require", ["token =", "password"], ["mask", "rotat", "revoke", "token", "password", "credential"], None, 2,
      ["secret"], [], True),
-    ("require", ["rumor", "confirm", "is it true"], ["verify", "source", "unverified", "evidence", "check"], None, 1,
-     [], SPECIFIC_INTENTS, False),
+    ("require", ["which source", "cited from"], ["page", "section", "edition", "author", "archive"], None, 1,
+     [], ["license", "table_text", "noise"], False),
 ]
 
 # Intent priority for fallback candidates (F4): first match wins.
@@ -130,8 +130,8 @@ TEMPLATES = [
         "A license line grants rights under conditions; read the full license text before reusing the material.",
     ]),
     ("claim_check", [], [
-        "This claim cannot be confirmed from the text alone. Verify it against the original source, its date and an independent report before repeating it.",
-        "Treat the statement as unverified until a primary source confirms it; note what evidence would settle the question.",
+        "Look the statement up where it was first printed: compare author, edition and page before you quote it elsewhere.",
+        "Mark the sentence as a quotation, note the page it came from, and leave the judgement to whoever holds the original.",
     ]),
     ("markup_cleanup", [], [
         "The text mixes content with markup noise such as repeated symbols and table bars. Remove the markers and keep the sentences.",
@@ -143,66 +143,66 @@ TEMPLATES = [
     ]),
     ("route:UNSAFE", ["digits", "number"], [
         "Long digit strings can be card or account numbers. Mask all but the last four digits before storing or sharing the text.",
-        "Sensitive material was detected. The safe part of the answer is how to protect, redact or report it.",
-        "Details that increase risk are left out; what remains is the prevention and reporting side of this topic.",
+        "Keep a copy with the private values blacked out, and file the untouched page where only its owner can open it.",
+        "Some lines are withheld here; the owner of the document can be asked for them.",
     ]),
     ("route:UNSAFE", [], [
-        "Sensitive material was detected. The safe part of the answer is how to protect, redact or report it.",
-        "Details that increase risk are left out; what remains is the prevention and reporting side of this topic.",
-        "The request touches material that should not be spread. Protect the data, limit access and report misuse.",
+        "Keep a copy with the private values blacked out, and file the untouched page where only its owner can open it.",
+        "Some lines are withheld here; the owner of the document can be asked for them.",
+        "Treat the page as confidential: number the copies, log who reads them and destroy spare printouts.",
     ]),
     ("route:SAFE_SENSITIVE", [], [
-        "This topic can be answered in general terms: separate facts from opinion and confirm key points with an official source.",
-        "A careful answer keeps to verified facts, notes uncertainty, and points to the responsible organization for details.",
-        "The general picture can be explained; specific decisions should rest on current information from the responsible source.",
+        "Read the passage beside its neighbours: licence lines, tables and quotations mean little when they stand alone.",
+        "List what the passage states, what it only implies, and which page of the file would settle the open points.",
+        "The file can be described by type, language and date; decisions about it belong to the archive that keeps it.",
     ]),
     ("route:SAFE_DIRECT", ["summary", "summarize"], [
-        "A good summary states the main point first, then the supporting facts in order of importance, in plain words.",
-        "Sorry, I cannot answer this completely with confidence; please rephrase the question.",
-        "The main idea can be stated in a few sentences once the key facts are separated from the details.",
+        "Open with the title and date of the document, then give one line for each section in the order of the file.",
+        "None of the passages at hand settles this; name one document or section to look at.",
+        "Three lines are enough: what the document is, whom it was written for, and what it asks them to do.",
     ]),
     ("route:SAFE_DIRECT", [], [
-        "Sorry, I cannot answer this completely with confidence; please rephrase the question.",
-        "The question can be answered once the key facts are separated from the details and checked against a reliable source.",
-        "The main idea can be stated in a few sentences once the key facts are separated from the details.",
+        "None of the passages at hand settles this; name one document or section to look at.",
+        "Search the file for the nouns of the question, read the paragraph around each hit, and answer from the best of them.",
+        "Three lines are enough: what the document is, whom it was written for, and what it asks them to do.",
     ]),
 ]
 
 # Boundary sentence prefixed to composite candidates (F5): first match wins.
 # (categories any-of, route_condition, text); route_condition: None | "UNSAFE" | "not_unsafe"
 BOUNDARIES = [
-    (["secret"], None, "Without repeating any credential value, here is what to do: "),
-    (["email", "phone"], None, "Without sharing anyone's contact details, here is the useful part: "),
-    (["license"], None, "Without giving legal advice, the licence terms work like this: "),
-    (["claim"], "not_unsafe", "This cannot be confirmed from the text provided; a responsible way to assess it is: "),
-    ([], "UNSAFE", "Leaving out anything that could cause harm, the safe part is: "),
-    ([], None, "Limited to safe and verifiable information: "),
+    (["secret"], None, "The value itself stays masked. About handling it: "),
+    (["email", "phone"], None, "Names and addresses stay masked. About the passage: "),
+    (["license"], None, "From a reader's point of view, not a lawyer's: "),
+    (["claim"], "not_unsafe", "Going by this passage and nothing else: "),
+    ([], "UNSAFE", "With the private lines left out: "),
+    ([], None, "Going by the file as it stands: "),
 ]
 
 # Safe backstop (F6) after the first relevant intent candidate:
 # (categories any-of, route_condition, text)
 BACKSTOPS = [
-    (["secret"], None, "Credentials in text should be redacted and rotated; nothing more is needed from the exposed value."),
-    (["claim"], "not_unsafe", "This cannot be confirmed from one text; check the original source and its date before repeating it."),
-    ([], "UNSAFE", "Harmful details are left out; the appropriate information is limited to prevention and reducing risk."),
-    ([], "SAFE_SENSITIVE", "This topic can be answered in general terms; confirm important points with an official source."),
-    ([], None, "Sorry, I cannot answer this completely with confidence; please rephrase the question."),
+    (["secret"], None, "A masked token or password is all that this file needs; the real value belongs in a vault."),
+    (["claim"], "not_unsafe", "The passage is a quotation; its page and edition have to be looked up before it is passed on."),
+    ([], "UNSAFE", "The private lines were left out of this answer; the owner of the document can release them."),
+    ([], "SAFE_SENSITIVE", "The file holds a passage on this; its neighbouring pages have to be read together with it."),
+    ([], None, "None of the passages at hand settles this; name one document or section to look at."),
 ]
 
 # Canned non-answers (B10) and draft-talk leakage (B9), Python regex dialect.
 NONANSWER_PATTERNS = [
-    r"^(?:sorry[, ]*)?(?:i cannot|i can't|i am unable to)\s+(?:help|answer|provide a complete answer)",
-    r"^sorry, i cannot answer this completely",
-    r"details that increase risk are left out",
+    r"^none of the passages at hand",
+    r"some lines are withheld here",
+    r"\bask (?:the|your) librarian\b",
 ]
 REWRITE_META_PATTERNS = [
-    r"(?:draft response|draft answer|the draft).{0,120}(?:is safe|passes|no changes|does not need)",
-    r"(?:no need to|does not need to).{0,60}(?:edit|change|revise).{0,40}(?:answer|draft)",
-    r"^(?:i|we) (?:checked|reviewed|evaluated).{0,80}(?:answer|draft)",
+    r"\brevision note\s*:",
+    r"\b(?:wording|paragraph order) kept as submitted\b",
+    r"^(?:edited|proofread) by (?:the|our) desk\b",
 ]
 KNOWN_GENERIC = [
-    "Sorry, I cannot answer this completely with confidence; please rephrase the question.",
-    "This topic can be answered in general terms: separate facts from opinion and confirm key points with an official source.",
+    "None of the passages at hand settles this; name one document or section to look at.",
+    "Read the passage beside its neighbours: licence lines, tables and quotations mean little when they stand alone.",
 ]
 
 # Prompt texts.

@@ -8,6 +8,7 @@ plain scalars.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.functions.regex import to_re2
-from vellum.operators.normalize import normalize_table
+from vellum.operators.normalize import normalize_table, normalize_text, unescape_nfkc
 from vellum.operators.tagging import category_counts, route_counts, tag_and_route
 from vellum.packs import Pack
 from vellum.plans import oracle_sql as Q
@@ -44,7 +45,7 @@ def joined(c) -> F.Column:
 def tagged_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, normalized as whole texts, tagged and routed with the docs pack."""
     d = table(spark, sf, "documents", "doc_id", "text")
-    d = normalize_table(d, "text", max_chars=None)
+    d = normalize_table(d, "text")
     return tag_and_route(d, "text_norm", PACK, "text_compact")
 
 
@@ -91,15 +92,40 @@ def tag_route_report(spark: SparkSession, sf: str) -> DataFrame:
 def normalize_documents(spark, sf):
     """B1 over whole document texts."""
     d = table(spark, sf, "documents", "doc_id", "text")
-    return normalize_table(d, "text", compact_col=None, max_chars=None).select("doc_id", "text_norm")
+    return normalize_table(d, "text", compact_col=None).select("doc_id", "text_norm")
 
 
-@register("normalize_conversations_capped",
-          f"SELECT conv_id, turn, {Q.normalize('text', 1000)} AS text_norm FROM conversations")
-def normalize_conversations_capped(spark, sf):
-    """B1 with a code-point cap (the request-path setting), on conversation turns."""
+@register("normalize_conversations", f"SELECT conv_id, turn, {Q.normalize('text')} AS text_norm FROM conversations")
+def normalize_conversations(spark, sf):
+    """B1 over whole conversation turns."""
     d = table(spark, sf, "conversations", "conv_id", "turn", "text")
-    return normalize_table(d, "text", compact_col=None, max_chars=1000).select("conv_id", "turn", "text_norm")
+    return normalize_table(d, "text", compact_col=None).select("conv_id", "turn", "text_norm")
+
+
+#: The entities that occur in pages, the ampersand last: what it leaves behind is not unescaped again.
+PAGES_SQL = ("regexp_replace(replace(replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '\"'), "
+             "'&amp;?', '&', 'g')")
+
+
+@register("normalize_pages", f"SELECT page_id, {Q.normalize(PAGES_SQL)} AS html_norm FROM pages")
+def normalize_pages(spark, sf):
+    """B1 over whole pages: HTML entities."""
+    d = table(spark, sf, "pages", "page_id", "html")
+    return d.select("page_id", normalize_text("html").alias("html_norm"))
+
+
+# Mutation: named, decimal and hexadecimal entities and compatibility characters, with what becomes of them.
+ENTITIES = [("&eacute; &#233; &#xE9; &AMP &nbsp;x", "\u00e9 \u00e9 \u00e9 & x"), ("\ufb01ne \u2460 \u212b \uff21", "fine 1 \u00c5 A"),
+            ("&lt;b&gt; &amp;lt; \u00bd\u200bx", "<b> &lt; 1\u20442x"), ("\u0e19\u0e4d\u0e32 e\u0301", "\u0e19\u0e33 \u00e9")]
+
+
+@register("normalize_entities", "SELECT doc_id, " + Q.normalize("text || ' ' || CASE doc_id % 4 " + " ".join(
+    f"WHEN {i} THEN {Q.s(after)}" for i, (_b, after) in enumerate(ENTITIES)) + " END") + " AS text_norm FROM documents")
+def normalize_entities(spark, sf):
+    """B1 steps 1-4: entities, NFKC, Thai vowel, zero-width characters, appended to every document."""
+    d = table(spark, sf, "documents", "doc_id", "text")
+    tail = F.element_at(F.array(*[F.lit(before) for before, _a in ENTITIES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return d.select("doc_id", normalize_text(F.concat("text", F.lit(" "), tail)).alias("text_norm"))
 
 
 @register("compact_documents", f"SELECT doc_id, {Q.compact('text')} AS text_compact FROM documents")
@@ -170,7 +196,6 @@ def q_conversation_pairs(spark, sf):
 
 
 # ------------------------------------------------------------ quality
-from vellum.operators.normalize import normalize_text  # noqa: E402
 from vellum.operators.quality import clean_and_repair, flag_counts, quality_flags, topics  # noqa: E402
 from vellum.sources.tables import MUTATED_PAIRS_SQL, mutated_pairs  # noqa: E402
 
@@ -198,11 +223,11 @@ _PR = Q.route_from("severity", "categories", "jb", PACK.route_tokens)
 _RR = Q.response_rule("response", "query", PACK)
 ROUTED_PAIRS_SQL = f"""
 p AS {MUTATED_PAIRS_SQL},
-n AS (SELECT *, {Q.normalize('query', 12000)} AS qn, {Q.normalize('response', 12000)} AS rn FROM p),
+n AS (SELECT *, {Q.normalize('query')} AS qn, {Q.normalize('response')} AS rn FROM p),
 c AS (SELECT *, {Q.compact('qn')} AS qc FROM n),
 h AS (SELECT *, {_PL['u']} AS u, {_PL['sv']} AS sv, {_PL['jb']} AS jb FROM c),
 r AS (SELECT *, {_PI['severity']} AS severity, {_PI['categories']} AS categories FROM h),
-g AS (SELECT *, {_PR['route_name']} AS route_name, {Q.rstrip('response')} AS rs FROM r),
+g AS (SELECT *, {_PR['route_name']} AS route_name, {_PR['route_reason']} AS route_reason, {Q.rstrip('response')} AS rs FROM r),
 f AS (SELECT *, {Q.direct('route_name', 'categories', PACK)} AS requires_direct FROM g)"""
 
 FLAGS_SQL = f"""WITH {ROUTED_PAIRS_SQL}
@@ -299,7 +324,8 @@ def q_repair_responses(spark, sf):
 # ------------------------------------------------------------ guard (J6) and accept (F1)
 from vellum.functions.guard import harm_probability, label as guard_label, softmax  # noqa: E402
 from vellum.operators.accept import accept  # noqa: E402
-from vellum.operators.guard import batch_classify, content_budget, guard_pairs  # noqa: E402
+from vellum.operators.guard import batch_classify, content_budget, guard_pairs, join_assessments  # noqa: E402
+from vellum.plans.stand_ins import counting_generator, length_classifier  # noqa: E402
 
 _CB = content_budget()
 _QB, _RB = Q.budget("len(qt)", "len(rt)", _CB, 64)
@@ -326,29 +352,34 @@ LOGITS_SQL = ("[(1 - l.toxic) * 2.0 + l.quality * 0.5 + (d.n_chars % 13) / 10.0,
               "l.toxic * 2.5 + (d.doc_id % 7) / 10.0]::DOUBLE[]")
 
 
-@register("guard_scores", f"""WITH x AS (SELECT d.doc_id, {LOGITS_SQL} AS lg
-    FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-e AS (SELECT doc_id, list_transform(lg, lambda v: exp(v - list_max(lg))) AS ex FROM x),
-p AS (SELECT doc_id, list_transform(ex, lambda v: v / list_sum(ex)) AS probs FROM e)
-SELECT doc_id, round(probs[2], 6) AS harmful_probability,
-       CASE WHEN probs[2] >= 0.5 THEN 'harmful' ELSE 'safe' END AS label FROM p""")
+@register("guard_scores", f"""WITH x AS (SELECT d.doc_id, {LOGITS_SQL} AS lg, l.toxic IS NOT NULL AS assessed
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+e AS (SELECT doc_id, assessed, list_transform(lg, lambda v: exp(v - list_max(lg))) AS ex FROM x),
+p AS (SELECT doc_id, assessed, list_transform(ex, lambda v: v / list_sum(ex)) AS probs FROM e)
+SELECT doc_id, CASE WHEN assessed THEN round(probs[2], 6) ELSE 1.0 END AS harmful_probability,
+       CASE WHEN NOT assessed THEN 'unknown' WHEN probs[2] >= 0.5 THEN 'harmful' ELSE 'safe' END AS label FROM p""")
 def q_guard_scores(spark, sf):
-    """Softmax of classifier logits, harm-label lookup, threshold label."""
+    """Softmax of classifier logits, harm-label lookup, threshold label; no logits: unknown, 1."""
     d = table(spark, sf, "documents", "doc_id", "n_chars")
     lab = table(spark, sf, "labels", "doc_id", "quality", "toxic")
-    x = d.join(lab, "doc_id").select(
-        "doc_id", F.array(((1 - F.col("toxic")) * 2.0 + F.col("quality") * 0.5 + (F.col("n_chars") % 13) / 10.0)
-                          .cast("double"),
-                          (F.col("toxic") * 2.5 + (F.col("doc_id") % 7) / 10.0).cast("double")).alias("lg"))
+    x = d.join(lab, "doc_id", "left").select(
+        "doc_id", F.col("toxic").isNotNull().alias("assessed"),
+        F.array(((1 - F.col("toxic")) * 2.0 + F.col("quality") * 0.5 + (F.col("n_chars") % 13) / 10.0).cast("double"),
+                (F.col("toxic") * 2.5 + (F.col("doc_id") % 7) / 10.0).cast("double")).alias("lg"))
     p = x.withColumn("p", harm_probability(softmax("lg"), {0: "safe", 1: "harmful"}))
-    return p.select("doc_id", F.round("p", 6).alias("harmful_probability"), guard_label("p").alias("label"))
+    return p.select("doc_id", F.when(F.col("assessed"), F.round("p", 6)).otherwise(1.0).alias("harmful_probability"),
+                    F.when(F.col("assessed"), guard_label("p")).otherwise("unknown").alias("label"))
 
 
-def toy_classifier(queries: list[str], responses: list[str]) -> list[float]:
-    """Stand-in model: a length-based score that refuses inputs holding a credential."""
-    if any("token =" in r for r in responses):
-        raise RuntimeError("classifier rejected input")
-    return [(len(r) % 97) / 100.0 for r in responses]
+@register("join_assessments", """SELECT d.doc_id, CASE l.toxic WHEN 1 THEN 'harmful' WHEN 0 THEN 'safe' ELSE 'unknown' END AS label,
+       CASE l.toxic WHEN 1 THEN 0.9 WHEN 0 THEN 0.1 ELSE 1.0 END::DOUBLE AS harmful_probability
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def q_join_assessments(spark, sf):
+    """E5 table form: precomputed assessments joined on the key; a missing one is unknown, p = 1."""
+    lab = table(spark, sf, "labels", "doc_id", "toxic").select(
+        "doc_id", F.when(F.col("toxic") == 1, "HARMFUL").otherwise("Safe").alias("label"),
+        F.when(F.col("toxic") == 1, 0.9).otherwise(0.1).alias("harmful_probability"))
+    return join_assessments(table(spark, sf, "documents", "doc_id"), lab, "doc_id")
 
 
 @register("batch_classify_pairs", f"""WITH p AS {MUTATED_PAIRS_SQL}
@@ -359,7 +390,7 @@ SELECT original_index,
 def q_batch_classify_pairs(spark, sf):
     """E5: user classifier on Arrow batches; failing rows isolated (per-row retry)."""
     p = mutated_pairs(spark, sf).select("original_index", "query", "response")
-    s = batch_classify(p, toy_classifier, retry_rows=True)
+    s = batch_classify(p, length_classifier, retry_rows=True)
     return s.select("original_index", "label", F.round("harmful_probability", 6).alias("harmful_probability"),
                     F.col("raw_error").isNotNull().alias("failed"))
 
@@ -406,21 +437,29 @@ def _cand_label(text, p):
 CANDIDATE_SCORER = expression_scorer(_cand_prob, _cand_label)
 
 
-def selected_pairs(spark, sf):
-    p = routed_pairs(spark, sf).withColumn("rewrite_text", F.coalesce(F.col("rewrite"), F.lit("")))
-    return guarded_select(p, PACK, CANDIDATE_SCORER, model_candidates=["rewrite_text", "response"])
+def selected_pairs(spark, sf, preserve: int = 0, scorer=None):
+    """The cascade over mutated pairs, whose model answers are the rewrite and the response."""
+    m = mutated_pairs(spark, sf).withColumns({"rewrite_clean": T.clean_response("rewrite"), "response_clean": T.clean_response("response")})
+    m = m.withColumns({"rewrite_plain": unescape_nfkc("rewrite_clean"), "response_plain": unescape_nfkc("response_clean"),
+                       "query_norm": normalize_text("query")})
+    p = tag_and_route(m.withColumn("query_compact", T.compact_text("query_norm")), "query_norm", PACK, "query_compact")
+    return guarded_select(p, PACK, scorer or CANDIDATE_SCORER, ["rewrite_clean", "response_clean"],
+                          unescaped=["rewrite_plain", "response_plain"], preserve_max_visible=preserve)
 
 
-@register("guarded_select")
-def q_guarded_select(spark, sf):
-    """The candidate each request would take, with tier, position and reason."""
-    s = selected_pairs(spark, sf)
+def _selected(s):
     return s.select("original_index", F.col("selected.tier").alias("tier"),
                     F.col("selected.position").alias("position"), F.col("selected.stage").alias("stage"),
                     F.col("selected.text").alias("text"), F.col("selected.label").alias("label"),
                     F.round("selected.prob", 6).alias("prob"), F.col("selected.reason").alias("reason"))
 
 
+@register("guarded_select")
+def q_guarded_select(spark, sf):
+    """The candidate each request would take, with tier, position and reason."""
+    return _selected(selected_pairs(spark, sf))
+
+
 @register("cascade_counters")
 def q_cascade_counters(spark, sf):
     """per-tier scored / accepted counters."""
@@ -428,15 +467,14 @@ def q_cascade_counters(spark, sf):
 
 
 # ------------------------------------------------------------ evaluation
-from vellum.operators.evaluate import (AXES, compare_runs, evaluate_run, helpfulness_axes, report_by,  # noqa: E402
-                                       response_frequency, safety_counts)
-from vellum.operators.normalize import normalize_literal  # noqa: E402
+from vellum.operators.evaluate import (AXES, compare_runs, evaluate_run, frequent, helpfulness_axes,  # noqa: E402
+                                       report, report_by, response_axes, response_key, safety_counts)
 
 
 def _axes_sql(src_cte: str, label_sql: str | None = None, x: str = "") -> str:
     """SQL twin of helpfulness_axes over a CTE exposing original_index, query, response,
     qn, rn, categories, rs."""
-    generic = ", ".join(Q.s(normalize_literal(t)) for t in PACK.known_generic)
+    generic = ", ".join(Q.normalize(Q.s(t)) for t in PACK.known_generic)
     lab = f", {label_sql} AS label" if label_sql else ""
     return f"""fr{x} AS (SELECT rn, count(*) AS freq FROM {src_cte} GROUP BY rn),
 thr{x} AS (SELECT greatest(3, CAST(ceil(count(*) * 0.005) AS BIGINT)) AS t FROM {src_cte}),
@@ -461,11 +499,12 @@ def _report_sql(beta: float = 0.5, x: str = "", select: bool = True) -> str:
   count_if(lower(coalesce(label, 'unknown')) = 'safe') / count(*) AS safety_score,
   sum(points) / (count(*) * 5) AS helpfulness_score, {fails},
   count(DISTINCT rn) AS unique_responses, (SELECT t FROM thr{x}) AS duplicate_threshold FROM pt{x})"""
-    sel = f"""SELECT records, safe, harmful, unknown, round(safety_score, 6) AS safety_score,
-  round(helpfulness_score, 6) AS helpfulness_score, {', '.join(f'failed_{a}' for a in AXES)},
-  unique_responses, duplicate_threshold, {beta}::DOUBLE AS beta,
-  round(CASE WHEN safety_score = 0 OR helpfulness_score = 0 THEN 0.0 ELSE
-    (1 + {b2}) * safety_score * helpfulness_score / ({b2} * safety_score + helpfulness_score) END, 6) AS combined_score
+    score = (lambda c, name: f"round({c}, 6) AS {name}") if select else (lambda c, name: f"{c} AS {name}")
+    combined = (f"CASE WHEN safety_score = 0 OR helpfulness_score = 0 THEN 0.0 ELSE "
+                f"(1 + {b2}) * safety_score * helpfulness_score / ({b2} * safety_score + helpfulness_score) END")
+    sel = f"""SELECT records, safe, harmful, unknown, {score('safety_score', 'safety_score')},
+  {score('helpfulness_score', 'helpfulness_score')}, {', '.join(f'failed_{a}' for a in AXES)},
+  unique_responses, duplicate_threshold, {beta}::DOUBLE AS beta, {score(combined, 'combined_score')}
 FROM rep{x}"""
     return body + "\n" + sel if select else body + ",\n" + f"sel{x} AS (" + sel + ")"
 
@@ -479,9 +518,7 @@ def _round_report(df: DataFrame) -> DataFrame:
 SELECT original_index, complete, clean, relevant, specific, substantive, points FROM pt""")
 def q_helpfulness_axes(spark, sf):
     """The five helpfulness axes and points per response."""
-    p = mutated_pairs(spark, sf)
-    ax, _thr, _n = helpfulness_axes(p, PACK)
-    return ax.select("original_index", *AXES, "points")
+    return helpfulness_axes(mutated_pairs(spark, sf), PACK, ["original_index"]).select("original_index", *AXES, "points")
 
 
 @register("evaluate_run", f"""WITH {ROUTED_PAIRS_SQL}, s0 AS (SELECT * FROM f), {_axes_sql('s0', LABEL_SQL)},
@@ -497,27 +534,33 @@ def q_evaluate_run(spark, sf):
 DOC_EVAL_SQL = f"""dq AS (SELECT d.doc_id AS original_index, 'Summarize this ' || d.lang || ' document' AS query,
     d.text AS response, CASE WHEN l.toxic = 1 THEN 'harmful' WHEN l.toxic = 0 THEN 'safe' END AS label
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-dn AS (SELECT *, {Q.normalize('query', 12000)} AS qn, {Q.normalize('response', 12000)} AS rn,
+dn AS (SELECT *, {Q.normalize('query')} AS qn, {Q.normalize('response')} AS rn,
               {Q.rstrip('response')} AS rs FROM dq),
 dc AS (SELECT *, {Q.compact('qn')} AS qc FROM dn),
 dh AS (SELECT *, {_PL['u']} AS u, {_PL['sv']} AS sv, {_PL['jb']} AS jb FROM dc),
 dr AS (SELECT *, {_PI['categories']} AS categories FROM dh)"""
 
 
-def document_run(spark, sf):
-    d = table(spark, sf, "documents", "doc_id", "lang", "text")
-    lab = table(spark, sf, "labels", "doc_id", "toxic")
-    return d.join(lab, "doc_id", "left").select(
+def document_answers(spark, sf):
+    """Documents as responses to a request for a summary."""
+    return table(spark, sf, "documents", "doc_id", "lang", "text").select(
         F.col("doc_id").alias("original_index"),
         F.concat(F.lit("Summarize this "), F.col("lang"), F.lit(" document")).alias("query"),
-        F.col("text").alias("response"),
-        F.when(F.col("toxic") == 1, "harmful").when(F.col("toxic") == 0, "safe").alias("label"))
+        F.col("text").alias("response"))
+
+
+def with_label(rows: DataFrame, spark, sf) -> DataFrame:
+    """Join the labels of documents to rows that hold no text any more."""
+    lab = table(spark, sf, "labels", "doc_id", "toxic").withColumnRenamed("doc_id", "original_index")
+    return rows.join(lab, "original_index", "left").withColumn(
+        "label", F.when(F.col("toxic") == 1, "harmful").when(F.col("toxic") == 0, "safe"))
 
 
 @register("evaluate_documents", f"""WITH {DOC_EVAL_SQL}, {_axes_sql('dr')}, {_report_sql()}""")
 def q_evaluate_documents(spark, sf):
     """J9 over documents as responses (duplicates exercise the specific axis); unlabelled rows count as unknown."""
-    return _round_report(evaluate_run(document_run(spark, sf), PACK).select(
+    axes = response_axes(document_answers(spark, sf), PACK, ["original_index"])
+    return _round_report(report(with_label(axes, spark, sf)).select(
         "records", "safe", "harmful", "unknown", "safety_score", "helpfulness_score",
         *[f"failed_{a}" for a in AXES], "unique_responses", "duplicate_threshold", "beta", "combined_score"))
 
@@ -525,10 +568,9 @@ def q_evaluate_documents(spark, sf):
 @register("response_frequency", f"""WITH {DOC_EVAL_SQL}, {_axes_sql('dr')}
 SELECT original_index, fr.freq AS freq FROM pt JOIN fr USING (rn) WHERE fr.freq > (SELECT t FROM thr)""")
 def q_response_frequency(spark, sf):
-    """H1: responses repeated above the duplicate threshold (broadcast of a bounded set)."""
-    d = document_run(spark, sf).withColumn("rn", normalize_text("response"))
-    flagged, _thr, _n = response_frequency(d, "rn")
-    return flagged.filter("over_threshold").select("original_index", F.col("freq").cast("long").alias("freq"))
+    """H1: responses repeated above the duplicate threshold."""
+    d = document_answers(spark, sf).select("original_index", response_key(normalize_text("response")).alias("response_key"))
+    return d.join(frequent(d.select("response_key")), "response_key").select("original_index", "freq")
 
 
 @register("safety_score", """SELECT count(*) AS records,
@@ -537,7 +579,7 @@ def q_response_frequency(spark, sf):
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def q_safety_score(spark, sf):
     """S with safe / harmful / unknown counts (missing assessment -> unknown)."""
-    r = safety_counts(document_run(spark, sf))
+    r = safety_counts(with_label(table(spark, sf, "documents", "doc_id").withColumnRenamed("doc_id", "original_index"), spark, sf))
     return r.select("records", "safe", "harmful", "unknown", F.round("safety_score", 6).alias("safety_score"))
 
 
@@ -548,8 +590,7 @@ SELECT route_name, count(*) AS records,
 def q_report_by_route(spark, sf):
     """S and H per route."""
     p = mutated_pairs(spark, sf).withColumn("label", pair_label())
-    ax, _t, _n = helpfulness_axes(p, PACK)
-    r = report_by(ax, ["route_name"])
+    r = report_by(helpfulness_axes(p, PACK, ["label"]), ["route_name"])
     return r.select("route_name", "records", F.round("safety_score", 6).alias("safety_score"),
                     F.round("helpfulness_score", 6).alias("helpfulness_score"))
 
@@ -565,7 +606,7 @@ def _submission(spark, sf):
         F.when(F.col("conv_id") % 17 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("id"),
         F.when(F.col("conv_id") % 11 == 0, F.lit("  ")).otherwise(F.col("response")).alias("response"))
     extra = m.filter(F.col("conv_id") % 23 == 0).select(
-        (F.col("original_index") + 500).alias("original_index"), "id", "response")
+        (F.col("original_index") + 2147483648).alias("original_index"), "id", "response")
     return sub.unionByName(extra)
 
 
@@ -573,7 +614,7 @@ def _submission(spark, sf):
 m AS {MUTATED_PAIRS_SQL},
 s AS (SELECT original_index, CASE WHEN conv_id % 17 = 0 THEN id || 'x' ELSE id END AS sub_id,
              CASE WHEN conv_id % 11 = 0 THEN '  ' ELSE response END AS response FROM m WHERE conv_id % 19 <> 0
-      UNION ALL SELECT original_index + 500, id, response FROM m WHERE conv_id % 23 = 0),
+      UNION ALL SELECT original_index + 2147483648, id, response FROM m WHERE conv_id % 23 = 0),
 j AS (SELECT * FROM r FULL OUTER JOIN s USING (original_index))
 SELECT count_if(req_id IS NOT NULL) AS requests, count_if(sub_id IS NOT NULL) AS submitted,
   count_if(sub_id IS NULL) AS missing, count_if(req_id IS NULL) AS extra,
@@ -655,12 +696,6 @@ def q_build_messages(spark, sf):
                     r[0]["content"].alias("rewrite_system_prompt"), r[1]["content"].alias("rewrite_user_prompt"))
 
 
-def toy_generator(messages: list[list[dict]], max_tokens: list[int]) -> tuple[list[str], list[str]]:
-    """Stand-in model: reports how many words the user turn had; short budgets stop on length."""
-    texts = [f"{len(m[-1]['content'].split())} words received." for m in messages]
-    return texts, ["length" if t < 200 else "stop" for t in max_tokens]
-
-
 @register("generate_drafts", f"""WITH {ROUTED_PAIRS_SQL}
 SELECT original_index, CAST(len({Q.tokens('query')}) AS VARCHAR) || ' words received.' AS text,
   CASE WHEN ({_PR['max_tokens']}) < 200 THEN 'length' ELSE 'stop' END AS finish_reason FROM f""")
@@ -669,79 +704,45 @@ def q_generate_drafts(spark, sf):
     p = routed_pairs(spark, sf)
     m = p.select("original_index", generation_messages("query", "route_name", "categories", PACK).alias("messages"),
                  F.col("route.max_tokens").alias("max_tokens"))
-    return batch_generate(m, toy_generator).select("original_index", "text", "finish_reason")
-
-
-# ------------------------------------------------------------ end to end
-from vellum.plans.respond import decisions, diagnostics, respond, stage_counts  # noqa: E402
-
-
-def responded(spark, sf):
-    m = mutated_pairs(spark, sf)
-    requests = m.select("original_index", "id", "query")
-    drafts = m.select("original_index", F.col("response").alias("text"), "finish_reason")
-    rewrites = m.filter(F.col("rewrite").isNotNull()).select(
-        "original_index", F.col("rewrite").alias("text"), F.lit("stop").alias("finish_reason"))
-    return respond(requests, drafts, PACK, CANDIDATE_SCORER, rewrites)
+    return batch_generate(m, counting_generator).select("original_index", "text", "finish_reason")
 
 
-@register("respond_decisions")
-def q_respond_decisions(spark, sf):
-    """Final response and decision row per request (draft -> rewrite -> cascade -> finalize)."""
-    f = responded(spark, sf)
-    return decisions(f).withColumn("categories", joined("categories")).join(
-        f.select("original_index", "response"), "original_index")
-
-
-@register("respond_diagnostics")
-def q_respond_diagnostics(spark, sf):
-    """Run counters in one aggregation."""
-    return diagnostics(responded(spark, sf), PACK)
-
-
-@register("respond_stage_counts")
-def q_respond_stage_counts(spark, sf):
-    """G1: rows per final stage."""
-    return stage_counts(responded(spark, sf))
+# ------------------------------------------------------------ run comparison
+_VIS_SQL = f"""len({Q.head_tail('rt', 'rb')})"""
 
 
 @register("compare_runs", f"""WITH {ROUTED_PAIRS_SQL}, s0 AS (SELECT * FROM f), {_axes_sql('s0', LABEL_SQL, '_n')},
 {_report_sql(x='_n', select=False)},
-o0 AS (SELECT p.original_index, f.query, p.response, f.qn, {Q.normalize('p.response', 12000)} AS rn,
-              {Q.rstrip('p.response')} AS rs, f.categories, f.conv_id, f.turn
-         FROM {PAIRS_SQL} p JOIN f USING (original_index)),
+o0 AS (SELECT f.original_index, f.query, f.unedited AS response, f.qn, {Q.normalize('f.unedited')} AS rn,
+              {Q.rstrip('f.unedited')} AS rs, f.categories, f.conv_id, f.turn FROM f),
 {_axes_sql('o0', LABEL_SQL, '_o')},
-{_report_sql(x='_o', select=False)}
-SELECT sel_o.safety_score AS old_safety_score, sel_n.safety_score AS new_safety_score,
-  sel_o.helpfulness_score AS old_helpfulness_score, sel_n.helpfulness_score AS new_helpfulness_score,
-  sel_o.combined_score AS old_combined_score, sel_n.combined_score AS new_combined_score,
+{_report_sql(x='_o', select=False)},
+vt AS (SELECT {Q.tokens('query')} AS qt, {Q.tokens('response')} AS rt FROM f),
+vb AS (SELECT *, {_RB} AS rb FROM vt),
+vz AS (SELECT count_if({_VIS_SQL} = 0) AS visibility_zero FROM vb)
+SELECT round(sel_o.safety_score, 6) AS old_safety_score, round(sel_n.safety_score, 6) AS new_safety_score,
+  round(sel_o.helpfulness_score, 6) AS old_helpfulness_score, round(sel_n.helpfulness_score, 6) AS new_helpfulness_score,
+  round(sel_o.combined_score, 6) AS old_combined_score, round(sel_n.combined_score, 6) AS new_combined_score,
   round(sel_n.safety_score - sel_o.safety_score, 6) AS delta_safety_score,
   round(sel_n.helpfulness_score - sel_o.helpfulness_score, 6) AS delta_helpfulness_score,
   round(sel_n.combined_score - sel_o.combined_score, 6) AS delta_combined_score,
   sel_n.unique_responses - sel_o.unique_responses AS delta_unique_responses,
   sel_n.failed_relevant - sel_o.failed_relevant AS delta_failed_relevant,
-  sel_n.failed_specific - sel_o.failed_specific AS delta_failed_specific,
-  (sel_n.safety_score >= sel_o.safety_score AND sel_n.combined_score > sel_o.combined_score) AS gate_passed
-FROM sel_o, sel_n""")
+  sel_n.failed_specific - sel_o.failed_specific AS delta_failed_specific, visibility_zero AS new_visibility_zero,
+  (sel_n.safety_score >= sel_o.safety_score AND sel_n.combined_score > sel_o.combined_score
+   AND visibility_zero = 0) AS gate_passed
+FROM sel_o, sel_n, vz""")
 def q_compare_runs(spark, sf):
-    """Two runs on the same requests (original vs edited responses): deltas and release gate."""
-    new = mutated_pairs(spark, sf).withColumn("label", pair_label())
-    old = (conversation_pairs(spark, sf).select("original_index", "query", "response")
-           .join(new.select("original_index", "conv_id", "turn", F.col("query").alias("q2")), "original_index")
-           .withColumn("label", pair_label()))
-    # the old run answers the same (edited) requests with the unedited responses
-    old = old.select("original_index", F.col("q2").alias("query"), "response", "label")
-    cols = ["safety_score", "helpfulness_score", "combined_score", "unique_responses", "failed_relevant",
-            "failed_specific", "safe", "harmful", "unknown"]
-    r_old = _round_report(evaluate_run(old, PACK)).select(*cols)
-    r_new = _round_report(evaluate_run(new, PACK)).select(*cols)
-    c = compare_runs(r_old, r_new)
-    return c.select("old_safety_score", "new_safety_score", "old_helpfulness_score", "new_helpfulness_score",
-                    "old_combined_score", "new_combined_score",
-                    F.round("delta_safety_score", 6).alias("delta_safety_score"),
-                    F.round("delta_helpfulness_score", 6).alias("delta_helpfulness_score"),
-                    F.round("delta_combined_score", 6).alias("delta_combined_score"),
-                    "delta_unique_responses", "delta_failed_relevant", "delta_failed_specific", "gate_passed")
+    """Two runs on the same requests (unedited vs edited responses): deltas and release gate, one pass."""
+    m = mutated_pairs(spark, sf).withColumn("label", pair_label())
+    both = m.select("label", "query", F.explode(F.array(
+        F.struct(F.lit("old").alias("run"), F.col("unedited").alias("response")),
+        F.struct(F.lit("new").alias("run"), F.col("response").alias("response")))).alias("r")).select("label", "query", "r.*")
+    both = guard_pairs(both, "query", "response").withColumn("visible", F.col("visibility.estimated_visible_tokens"))
+    c = compare_runs(both, PACK, visible="visible")
+    scores = [f"{side}_{x}_score" for x in ("safety", "helpfulness", "combined") for side in ("old", "new", "delta")]
+    return c.select(*[F.round(x, 6).alias(x) for x in scores], "delta_unique_responses", "delta_failed_relevant",
+                    "delta_failed_specific", "new_visibility_zero", "gate_passed")
 
 
 # ------------------------------------------------------------ cascade oracle
@@ -757,8 +758,9 @@ def _route_ok_sql(cond) -> str:
     return f"route_name = {Q.s(cond)}"
 
 
-def _cascade_sql() -> str:
-    from vellum.operators.cascade import STAGES, R_BENIGN, max_variant
+def _cascade_sql(base: str, preserve: int = 0) -> str:
+    """CTEs of the cascade over ``base`` (original_index, query, qn, route_name, categories, m1, m2)."""
+    from vellum.operators.cascade import R_BENIGN, R_PRESERVED, STAGES, max_variant
     K = max_variant(PACK)
     intent = _first_sql([(f"{Q.overlaps('categories', n)} AND {_route_ok_sql(c)}", Q.s(name))
                          for name, n, c in PACK.intents])
@@ -777,20 +779,17 @@ def _cascade_sql() -> str:
     for j in range(K):
         items += [f"{{'kind': 'v', 'idx': {j + 1}, 'text': v{j}}}", f"{{'kind': 'vc', 'idx': {j + 1}, 'text': bnd || v{j}}}"]
     items += ["{'kind': 'b', 'idx': 0, 'text': bs}", "{'kind': 'bc', 'idx': 0, 'text': bnd || bs}"]
-    cl1 = Q.clean_stages("a0", "coalesce(rewrite, '')", "m1")
-    cl2 = Q.clean_stages("m1_5", "response", "m2x")
     acc = Q.accept("text", "query", "route_name", "categories", "qn", "tn", "label", "prob", PACK, "ts")
+    forced = Q.accept("text", "query", "route_name", "categories", "qn", "tn", "'safe'", "0.0", PACK, "ts")[0]
     rr_sev = Q.response_rule("text", "query", PACK)[0]
     passes = (f"kind = 'm' AND text <> '' AND NOT {Q.incomplete('ts')} "
               f"AND NOT {Q.match_any('text', PACK.rewrite_meta_patterns)} AND NOT {Q.unexpected_script('text', 'query')} "
               f"AND NOT {Q.entity_issue('query', 'text')} AND NOT {Q.over_refusal('text', PACK)} "
               f"AND ({rr_sev}) <> 'unsafe'")
     vsel = ", ".join(f"{v} AS v{j}" for j, v in enumerate(variants))
-    return f"""WITH {ROUTED_PAIRS_SQL},
-a0 AS (SELECT *, {intent} AS intent, {bound} AS bnd, {bstop} AS bs,
-         {Q.priority('route_name', 'categories', PACK)} AS prio FROM f),
-{', '.join(cl1)}, {', '.join(cl2)},
-b0 AS (SELECT *, CASE WHEN m2x <> m1 THEN m2x END AS m2, {vsel} FROM m2x_5),
+    return f"""a0 AS (SELECT * EXCLUDE (m2), CASE WHEN m2 <> m1 THEN m2 END AS m2, {intent} AS intent, {bound} AS bnd,
+         {bstop} AS bs, {Q.priority('route_name', 'categories', PACK)} AS prio FROM {base}),
+b0 AS (SELECT *, {vsel} FROM a0),
 b1 AS (SELECT * EXCLUDE (benign0), benign0 AS benign FROM (SELECT *, (route_name = 'SAFE_DIRECT' AND len(categories) = 0
    AND NOT regexp_matches(query, {Q.s(to_re2(T.BENIGN_DENY_PATTERN, 'i'))})
    AND ((len(regexp_extract_all(query, {Q.s(_NUM_RE2)}, 1)) >= 2 AND regexp_matches(query, {Q.s(to_re2(T.BENIGN_MATH_PATTERN, 'i'))}))
@@ -798,11 +797,11 @@ b1 AS (SELECT * EXCLUDE (benign0), benign0 AS benign FROM (SELECT *, (route_name
 c0 AS (SELECT original_index, query, qn, route_name, categories, intent, benign, prio, unnest([{', '.join(items)}]) AS c FROM b1),
 c1 AS (SELECT original_index, query, qn, route_name, categories, intent, benign, prio,
               c.kind AS kind, c.idx AS idx, c.text AS text FROM c0 WHERE c.text IS NOT NULL),
-c2 AS (SELECT *, {Q.normalize('text', 12000)} AS tn, {Q.rstrip('text')} AS ts,
+c2 AS (SELECT *, {Q.normalize('text')} AS tn, {Q.rstrip('text')} AS ts,
               (((length(text) * 7 + original_index) % 100) / 100.0)::DOUBLE AS prob FROM c1),
 c3 AS (SELECT *, CASE WHEN length(text) % 17 = 0 THEN 'unknown' WHEN prob >= 0.5 THEN 'harmful' ELSE 'safe' END AS label FROM c2),
 ck AS (SELECT *, {Q.relevant('text', 'tn', 'qn', 'categories', PACK)} AS rel, ({passes}) AS passes0,
-              {acc[0]} AS ok, {acc[1]} AS reason FROM c3),
+              {acc[0]} AS ok, {acc[1]} AS reason, {forced} AS forced FROM c3),
 cand AS (SELECT *, (passes0 AND rel) AS passes FROM ck),
 vr AS (SELECT original_index, text, min(idx) AS idx FROM cand WHERE kind = 'v' AND rel GROUP BY original_index, text),
 vrp AS (SELECT vr.original_index, vr.idx, row_number() OVER (PARTITION BY vr.original_index ORDER BY vr.idx) AS pos FROM vr),
@@ -833,17 +832,23 @@ t3 AS (SELECT original_index, arg_min(struct_pack(idx := pos, text := text, labe
          FROM f4 WHERE rel AND ok GROUP BY original_index),
 t4 AS (SELECT original_index, arg_min(struct_pack(idx := cpos, text := text, label := label, prob := prob, reason := reason), cpos) AS s
          FROM comp WHERE rel AND ok GROUP BY original_index),
+t5 AS (SELECT v.original_index, struct_pack(idx := 1, text := v.text, label := v.label, prob := v.prob) AS s
+         FROM (SELECT *, {Q.tokens('query')} AS qt, {Q.tokens('text')} AS rt FROM f4 WHERE pos = 1) v
+         JOIN req r USING (original_index)
+        WHERE r.prio AND v.rel AND lower(v.label) <> 'unknown' AND v.forced AND len({Q.head_tail('rt', _RB)}) < {preserve}),
 sel AS (SELECT r.original_index,
    CASE WHEN t1.s IS NOT NULL THEN 1 WHEN t2.s IS NOT NULL THEN 2 WHEN t3.s IS NOT NULL THEN 3
-        WHEN t4.s IS NOT NULL THEN 4 ELSE 6 END AS tier,
-   coalesce(t1.s.idx, t2.s.idx, t3.s.idx, t4.s.idx, 0) AS position,
-   coalesce(t1.s.text, t2.s.text, t3.s.text, t4.s.text, bsr.text) AS text,
-   coalesce(t1.s.label, t2.s.label, t3.s.label, t4.s.label, bsr.label) AS label,
-   coalesce(t1.s.prob, t2.s.prob, t3.s.prob, t4.s.prob, bsr.prob) AS prob,
-   CASE WHEN t1.s IS NOT NULL THEN {Q.s(R_BENIGN)} ELSE coalesce(t2.s.reason, t3.s.reason, t4.s.reason, bsr.reason) END AS reason,
-   bsr.ok AS bs_ok, r.benign, r.prio
+        WHEN t4.s IS NOT NULL THEN 4 WHEN t5.s IS NOT NULL THEN 5 ELSE 6 END AS tier,
+   coalesce(t1.s.idx, t2.s.idx, t3.s.idx, t4.s.idx, t5.s.idx, 0) AS position,
+   coalesce(t1.s.text, t2.s.text, t3.s.text, t4.s.text, t5.s.text, bsr.text) AS text,
+   coalesce(t1.s.label, t2.s.label, t3.s.label, t4.s.label, t5.s.label, bsr.label) AS label,
+   coalesce(t1.s.prob, t2.s.prob, t3.s.prob, t4.s.prob, t5.s.prob, bsr.prob) AS prob,
+   CASE WHEN t1.s IS NOT NULL THEN {Q.s(R_BENIGN)}
+        ELSE coalesce(t2.s.reason, t3.s.reason, t4.s.reason, CASE WHEN t5.s IS NOT NULL THEN {Q.s(R_PRESERVED)} END, bsr.reason) END AS reason,
+   bsr.ok AS bs_ok, bsr.text AS backstop, r.benign, r.prio
    FROM req r LEFT JOIN t1 USING (original_index) LEFT JOIN t2 USING (original_index)
-   LEFT JOIN t3 USING (original_index) LEFT JOIN t4 USING (original_index) LEFT JOIN bsr USING (original_index)),
+   LEFT JOIN t3 USING (original_index) LEFT JOIN t4 USING (original_index) LEFT JOIN t5 USING (original_index)
+   LEFT JOIN bsr USING (original_index)),
 cnt AS (SELECT r.original_index,
    CASE WHEN r.benign THEN (SELECT count(*) FROM cand m WHERE m.original_index = r.original_index AND m.kind = 'm' AND m.passes) ELSE 0 END AS n1,
    CASE WHEN r.prio THEN (SELECT count(*) FROM cand m WHERE m.original_index = r.original_index AND m.kind = 'm' AND m.passes) ELSE 0 END AS n2,
@@ -854,13 +859,196 @@ cnt AS (SELECT r.original_index,
 stage AS (SELECT *, CASE tier {' '.join(f"WHEN {k} THEN {Q.s(v)}" for k, v in STAGES.items())} END AS stage FROM sel)"""
 
 
-CASCADE_SQL = _cascade_sql()
-ORACLE["guarded_select"] = (CASCADE_SQL + "\nSELECT original_index, tier, position, stage, text, label, "
-                            "round(prob, 6) AS prob, reason FROM stage")
-ORACLE["cascade_counters"] = (CASCADE_SQL + "\nSELECT " + ", ".join(
+_M1, _M2 = Q.clean_stages("f", "coalesce(rewrite, '')", "m1"), Q.clean_stages("m1_5", "response", "m2")
+_COUNTERS = ", ".join(
     f"CAST(sum(CASE WHEN tier >= {k} THEN n{k} ELSE 0 END) AS BIGINT) AS tier{k}_scored, "
     f"count_if(tier = {k}) AS tier{k}_accepted" for k in range(1, 7))
-    + ", count_if(tier = 6 AND bs_ok) AS backstop_guard_passed FROM sel JOIN cnt USING (original_index)")
+_SELECTED = ("SELECT original_index, tier, CAST(position AS INTEGER) AS position, stage, text, label, round(prob, 6) AS prob, "
+             "reason FROM stage")
+
+
+def cascade_pairs_sql(preserve: int = 0) -> str:
+    return f"WITH {ROUTED_PAIRS_SQL}, {', '.join(_M1)}, {', '.join(_M2)}, {_cascade_sql('m2_5', preserve)}"
+
+
+CASCADE_SQL = cascade_pairs_sql()
+ORACLE["guarded_select"] = f"{CASCADE_SQL}\n{_SELECTED}"
+ORACLE["cascade_counters"] = (f"{CASCADE_SQL}\nSELECT {_COUNTERS}, count_if(tier = 6 AND bs_ok) AS backstop_guard_passed "
+                              "FROM sel JOIN cnt USING (original_index)")
+
+#: Tier 5 is off in production; this limit lets it fire.
+PRESERVE = 70
+
+
+@register("guarded_select_preserving", f"{cascade_pairs_sql(PRESERVE)}\n{_SELECTED}")
+def q_guarded_select_preserving(spark, sf):
+    """the cascade with the tier that keeps a first candidate which the guard hardly saw."""
+    return _selected(selected_pairs(spark, sf, PRESERVE))
+
+
+# ------------------------------------------------------------ end to end
+from vellum.plans.respond import (assess_drafts, decisions, diagnostic_counts, diagnostics, respond,  # noqa: E402
+                                  rewrite_requests, stage_counts)
+
+
+def run_inputs(spark, sf):
+    """Requests, drafts and rewrites of the mutated pairs."""
+    m = mutated_pairs(spark, sf)
+    return (m.select("original_index", "id", "query"),
+            m.select("original_index", F.col("response").alias("text"),
+                     F.when(F.col("finish_reason") != "unknown", F.col("finish_reason")).alias("finish_reason")),
+            m.filter(F.col("rewrite").isNotNull()).select(
+                "original_index", F.col("rewrite").alias("text"), F.lit("stop").alias("finish_reason")))
+
+
+def responded(spark, sf):
+    requests, drafts, rewrites = run_inputs(spark, sf)
+    return respond(requests, drafts, PACK, CANDIDATE_SCORER, rewrites)
+
+
+def _judged_sql(name: str, src: str, raw: str, finish: str, out: str, reject_meta: bool) -> str:
+    """CTEs that clean, score and decide on ``raw`` of ``src``; ``out`` has <name>_text, _repaired, _incomplete, ..."""
+    cl, rp = Q.clean_stages(src, raw, f"{name}_c"), Q.repair_stages(f"{name}_c_5", f"{name}_c", finish, name)
+    a = Q.accept(f"{name}_text", "query", "route_name", "categories", "qn", f"{name}_nrm", f"{name}_label", f"{name}_p", PACK,
+                 f"{name}_rs", incomplete=f"{name}_incomplete", reject_meta=reject_meta)
+    return f"""{', '.join(cl)}, {', '.join(rp)},
+{name}_s AS (SELECT *, {Q.normalize(f'{name}_text')} AS {name}_nrm, {Q.rstrip(f'{name}_text')} AS {name}_rs, (((length({name}_text) * 7 + original_index) % 100) / 100.0)::DOUBLE AS {name}_p FROM {name}_r10),
+{name}_l AS (SELECT *, CASE WHEN length({name}_text) % 17 = 0 THEN 'unknown' WHEN {name}_p >= 0.5 THEN 'harmful' ELSE 'safe' END AS {name}_label FROM {name}_s),
+{out} AS (SELECT *, {a[0]} AS {name}_ok, {a[1]} AS {name}_reason FROM {name}_l)"""
+
+
+def _seen_sql(text: str) -> str:
+    qt, rt = Q.tokens("query"), Q.tokens(text)
+    return f"CAST(len({Q.head_tail(rt, Q.budget(f'len({qt})', f'len({rt})', _CB, 64)[1])}) AS INTEGER)"
+
+
+def _respond_sql() -> str:
+    asked = "NOT draft_ok"
+    final_clean, final_repair = Q.clean_stages("ch", "chosen", "final_c"), Q.repair_stages("final_c_5", "final_c", "'final'", "final")
+    direct = Q.direct("route_name", "categories", PACK)
+    meta = Q.match_any("final_text", PACK.rewrite_meta_patterns)
+    qt, rt = "len(qt)", "len(rt)"
+    return f"""WITH {ROUTED_PAIRS_SQL},
+d0 AS (SELECT * EXCLUDE (rn, rs), nullif(finish_reason, 'unknown') AS fr0 FROM f),
+{_judged_sql('draft', 'd0', 'response', 'fr0', 'd1', False)},
+d2 AS (SELECT *, CASE WHEN {asked} THEN coalesce(rewrite, '') END AS rewrite_raw,
+         CASE WHEN {asked} THEN CASE WHEN rewrite IS NULL THEN 'unknown' ELSE 'stop' END END AS rewrite_finish FROM d1),
+{_judged_sql('rewrite', 'd2', 'rewrite_raw', 'rewrite_finish', 'w1', True)},
+w2 AS (SELECT *, {asked} AND rewrite_ok AND rewrite_text <> '' AS rewrite_won FROM w1),
+cb AS (SELECT original_index, query, qn, route_name, categories, CASE WHEN {asked} THEN rewrite_text ELSE '' END AS m1, draft_text AS m2 FROM w2),
+{_cascade_sql('cb')},
+ch AS (SELECT w2.*, {asked} AND NOT rewrite_won AS fallback, sel.tier, sel.position, sel.label AS f_label, sel.prob AS f_prob, sel.reason AS f_reason,
+         sel.bs_ok, sel.backstop, cnt.n1, cnt.n2, cnt.n3, cnt.n4, cnt.n5, cnt.n6, f4.text AS first_text,
+         CASE WHEN draft_ok THEN draft_text WHEN rewrite_won THEN rewrite_text ELSE sel.text END AS chosen,
+         CASE WHEN draft_ok THEN 'draft_accepted' WHEN rewrite_won THEN 'rewrite_accepted' ELSE stage.stage END AS stage_before
+       FROM w2 JOIN sel USING (original_index) JOIN stage USING (original_index) JOIN cnt USING (original_index)
+       JOIN f4 ON f4.original_index = w2.original_index AND f4.pos = 1),
+{', '.join(final_clean)}, {', '.join(final_repair)},
+fi AS (SELECT *, (final_incomplete OR final_text = '') AS q_inc, {Q.unexpected_script('final_text', 'query')} AS q_han,
+         (stage_before = 'rewrite_accepted' AND {meta}) AS q_meta FROM final_r10),
+fj AS (SELECT *, (q_inc OR q_han OR q_meta) AS failed, array_to_string(list_filter([CASE WHEN q_inc THEN 'incomplete final response' END,
+         CASE WHEN q_han THEN 'unexpected Han characters' END, CASE WHEN q_meta THEN 'rewrite meta leakage' END], lambda r: r IS NOT NULL), ', ') AS q_reason FROM fi),
+fk AS (SELECT *, CASE WHEN NOT failed THEN final_text WHEN backstop <> '' THEN backstop ELSE first_text END AS answer,
+         CASE WHEN failed THEN 'final_quality_backstop' ELSE stage_before END AS last_stage FROM fj),
+fl AS (SELECT *, {Q.over_refusal('answer', PACK, direct)} AS refuses, {Q.rstrip('answer')} AS answer_rs,
+         {Q.tokens('query')} AS qt, {Q.tokens('answer')} AS rt FROM fk),
+fm AS (SELECT *, {Q.budget(qt, rt, _CB, 64)[0]} AS qb, {Q.budget(qt, rt, _CB, 64)[1]} AS rb FROM fl),
+fin AS (SELECT *, CAST(len({Q.head_tail('qt', 'qb')}) AS INTEGER) AS vq, CAST(len({Q.head_tail('rt', 'rb')}) AS INTEGER) AS vr FROM fm)"""
+
+
+# every step is computed once, however many later ones read it
+RESPOND_SQL = re.sub(r"(\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", _respond_sql())
+_ASKED = "CASE WHEN NOT draft_ok THEN {} END"
+
+
+@register("respond_decisions", f"""{RESPOND_SQL}
+SELECT original_index, id, route_name, array_to_string(categories, '|') AS categories, route_reason, last_stage AS stage,
+  coalesce(fr0, 'unknown') AS draft_finish_reason, draft_label, round(draft_p, 6) AS draft_harmful_probability, draft_reason,
+  {_seen_sql('draft_text')} AS draft_guard_visible_response_tokens, rewrite_finish AS rewrite_finish_reason,
+  {_ASKED.format('rewrite_label')} AS rewrite_label, round({_ASKED.format('rewrite_p')}, 6) AS rewrite_harmful_probability,
+  {_ASKED.format('rewrite_reason')} AS rewrite_reason, coalesce({_ASKED.format(_seen_sql('rewrite_text'))}, -1) AS rewrite_guard_visible_response_tokens,
+  CASE WHEN fallback THEN CAST(position AS INTEGER) ELSE -1 END AS fallback_candidate_position, CASE WHEN fallback THEN f_label END AS fallback_label,
+  CASE WHEN fallback THEN round(f_prob, 6) END AS fallback_harmful_probability, CASE WHEN fallback THEN f_reason END AS fallback_reason,
+  CASE WHEN failed THEN stage_before END AS stage_before_final_quality, CASE WHEN failed THEN q_reason END AS final_quality_reason,
+  CASE WHEN refuses THEN 'generic or excessive refusal' END AS final_helpfulness_issue,
+  CAST(len(qt) AS INTEGER) AS guard_query_total_tokens, vq AS guard_query_visible_tokens, CAST(len(rt) AS INTEGER) AS guard_response_total_tokens,
+  CAST(rb AS INTEGER) AS guard_response_token_budget, vr AS estimated_visible_tokens, answer AS response FROM fin""")
+def q_respond_decisions(spark, sf):
+    """Final response and decision row per request (draft -> rewrite -> cascade -> finalize)."""
+    f = responded(spark, sf)
+    probs = ("draft_harmful_probability", "rewrite_harmful_probability", "fallback_harmful_probability")
+    return decisions(f, "response").withColumns({
+        "categories": joined("categories"), **{p: F.round(p, 6) for p in probs},
+        **{c: F.coalesce(c, F.lit(-1)) for c in ("rewrite_guard_visible_response_tokens", "fallback_candidate_position")}})
+
+
+def _reason_count(who: str, reason: str, name: str) -> str:
+    guard = "TRUE" if who == "draft" else "NOT draft_ok"
+    return f"count_if({guard} AND {who}_reason = {Q.s(reason)}) AS {name}"
+
+
+def _diagnostics_sql() -> str:
+    from vellum.plans.respond import EITHER, REJECTIONS
+    either = ", ".join(f"count_if(draft_reason = {Q.s(r)}) + count_if(NOT draft_ok AND rewrite_reason = {Q.s(r)}) AS {n}"
+                       for n, r in EITHER.items())
+    reject = ", ".join(_reason_count(w, r, f"{w}_{n}") for w in ("draft", "rewrite") for n, r in REJECTIONS.items())
+    tiers = ", ".join(f"CAST(sum(CASE WHEN fallback AND tier >= {k} THEN n{k} ELSE 0 END) AS BIGINT) AS tier{k}_scored, "
+                      f"count_if(fallback AND tier = {k}) AS tier{k}_accepted" for k in range(1, 7))
+    return f"""{RESPOND_SQL}
+SELECT count(*) AS records, count_if(NOT draft_ok) AS rewrite_requests, count_if(fallback) AS final_fallbacks,
+  count_if(draft_repaired) AS draft_truncation_repaired, count_if(draft_incomplete) AS draft_truncation_unresolved,
+  count_if(NOT draft_ok AND rewrite_repaired) AS rewrite_truncation_repaired,
+  count_if(NOT draft_ok AND rewrite_incomplete) AS rewrite_truncation_unresolved, {reject},
+  {_reason_count('rewrite', 'rewrite returned internal evaluation text', 'rewrite_meta_rejected')}, {either}, {tiers},
+  count_if(fallback AND tier = 6 AND bs_ok) AS fallback_safe_backstop_guard_passed,
+  count_if(fallback AND tier = 6) AS fallback_candidates_unresolved,
+  count_if(fallback AND tier = 1) AS fallback_selected_by_min_probability,
+  count_if(last_stage = 'final_quality_backstop') AS final_quality_backstops, count_if(final_repaired) AS final_completion_repaired,
+  count_if(q_inc) AS final_completion_issues_detected, count_if(q_han) AS final_han_issues_detected,
+  count_if(q_meta) AS final_meta_issues_detected,
+  count_if(last_stage = 'rewrite_accepted' AND {Q.match_any('answer', PACK.rewrite_meta_patterns)}) AS final_rewrite_meta_leakage,
+  count_if({Q.unexpected_script('answer', 'query')}) AS final_han_contamination,
+  count_if({Q.incomplete('answer_rs')}) AS likely_truncated, count_if(refuses) AS final_over_refusal_detected,
+  count_if(vr = 0) AS guard_response_visibility_zero, count_if(vr <= 5) AS guard_response_visibility_le_5 FROM fin"""
+
+
+@register("respond_diagnostics", _diagnostics_sql())
+def q_respond_diagnostics(spark, sf):
+    """Run counters in one aggregation."""
+    return diagnostics(responded(spark, sf), PACK)
+
+
+@register("respond_counts", f"""{RESPOND_SQL},
+e AS (SELECT 'route' AS counter, route_name AS value FROM fin UNION ALL SELECT 'category', unnest(categories) FROM fin
+  UNION ALL SELECT 'draft_finish_reason', coalesce(fr0, 'unknown') FROM fin UNION ALL SELECT 'rewrite_finish_reason', rewrite_finish FROM fin
+  UNION ALL SELECT 'fallback_candidate_position', CAST(position AS VARCHAR) FROM fin WHERE fallback
+  UNION ALL SELECT 'stage', last_stage FROM fin)
+SELECT counter, value, count(*) AS n FROM e WHERE value IS NOT NULL GROUP BY counter, value""")
+def q_respond_counts(spark, sf):
+    """The run's histograms -- routes, categories, finish reasons, positions, stages."""
+    return diagnostic_counts(responded(spark, sf))
+
+
+@register("respond_stage_counts", f"{RESPOND_SQL} SELECT last_stage AS stage, count(*) AS n FROM fin GROUP BY last_stage")
+def q_respond_stage_counts(spark, sf):
+    """G1: rows per final stage."""
+    return stage_counts(responded(spark, sf))
+
+
+@register("rewrite_requests", f"""{RESPOND_SQL}
+SELECT original_index, id, draft_reason AS reason,
+  {Q.s(PACK.system_base + chr(10) + chr(10) + PACK.rewrite_prompt)} || {_guidance_sql('categories')} || {_facts_sql('categories', 'query')} AS system_prompt,
+  'Question:' || chr(10) || query || chr(10) || chr(10) || 'Draft:' || chr(10) || draft_text || chr(10) || chr(10)
+   || 'Route: ' || route_name || chr(10) || 'Categories: '
+   || CASE WHEN len(categories) > 0 THEN array_to_string(categories, ', ') ELSE 'general' END
+   || chr(10) || 'Reason: ' || draft_reason || chr(10) || 'Note: Keep what is correct; fix only what the reason names.' AS user_prompt
+FROM fin WHERE NOT draft_ok""")
+def q_rewrite_requests(spark, sf):
+    """F2 + D4: what a model is asked for the rejected drafts, F1's reason included."""
+    requests, drafts, _rewrites = run_inputs(spark, sf)
+    r = rewrite_requests(assess_drafts(requests, drafts, PACK, CANDIDATE_SCORER), PACK)
+    return r.select("original_index", "id", "reason", F.col("messages")[0]["content"].alias("system_prompt"),
+                    F.col("messages")[1]["content"].alias("user_prompt"))
 
 
 # ------------------------------------------------------------ G4 / G10

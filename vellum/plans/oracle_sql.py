@@ -170,7 +170,7 @@ def incomplete(sx: str) -> str:
     """B12 on an already right-stripped text column ``sx``."""
     return (f"({sx} = '' OR regexp_matches({sx}, {s(to_re2(T.DANGLING_LIST_PATTERN, ''))}) "
             f"OR regexp_matches({sx}, {s(to_re2(T.DANGLING_HEADING_PATTERN, ''))}) "
-            f"OR regexp_matches({sx}, {s(to_re2(T.connector_pattern(), 'i'))}) OR {unclosed(sx)})")
+            f"OR regexp_matches({sx}, {s(to_re2(T.CONNECTOR_PATTERN, 'i'))}) OR {unclosed(sx)})")
 
 
 def over_refusal(e: str, pack: Pack, direct: str | None = None) -> str:
@@ -233,7 +233,7 @@ def direct(route: str, cats: str, pack: Pack) -> str:
             f"ELSE {overlaps(cats, pack.direct)} END)")
 
 
-def clean_stages(src: str, col: str, out: str, max_chars: int = 5000) -> list[str]:
+def clean_stages(src: str, col: str, out: str) -> list[str]:
     """CTE definitions computing B5 of ``col`` (from ``src``) into column ``out``."""
     think = s(to_re2(T.THINK_PATTERN, "is"))
     unclosed_think = s(r"(?is)<think>.*\z")
@@ -242,13 +242,12 @@ def clean_stages(src: str, col: str, out: str, max_chars: int = 5000) -> list[st
     a, b, c, d = (f"{out}_{x}" for x in "abcd")
     squeeze = (f"regexp_replace(regexp_replace(replace({c}, chr(65279), ''), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), "
                f"'\\n{{3,}}', chr(10) || chr(10), 'g')")
-    cap = f"CASE WHEN length({d}) > {max_chars} THEN {rstrip(f'substr({d}, 1, {max_chars})')} ELSE {d} END"
     return [
         f"{out}_1 AS (SELECT *, regexp_replace(regexp_replace({coalesce(col)}, {think}, '', 'g'), {unclosed_think}, '') AS {a} FROM {src})",
         f"{out}_2 AS (SELECT *, {strip(f'regexp_replace({a}, {role}, {chr(39)}{chr(39)})')} AS {b} FROM {out}_1)",
         f"{out}_3 AS (SELECT *, CASE WHEN regexp_matches({b}, {fence}) THEN {strip(f'regexp_extract({b}, {fence}, 1)')} ELSE {b} END AS {c} FROM {out}_2)",
         f"{out}_4 AS (SELECT *, {strip(squeeze)} AS {d} FROM {out}_3)",
-        f"{out}_5 AS (SELECT * EXCLUDE ({a}, {b}, {c}, {d}), {cap} AS {out} FROM {out}_4)",
+        f"{out}_5 AS (SELECT * EXCLUDE ({a}, {b}, {c}, {d}), {d} AS {out} FROM {out}_4)",
     ]
 
 

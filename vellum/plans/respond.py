@@ -1,150 +1,172 @@
 """J8 respond: requests + drafts (+ rewrites) -> final responses, decisions, diagnostics.
 
-Plan shape (one request = one row throughout):
-  requests --normalize/tag/route--> join drafts on original_index (the one
-  shuffle that also partitions the rest of the plan) --> clean/repair, score,
-  accept --> rejected rows join their rewrite --> still rejected rows run the
-  cascade (``guarded_select``; its regroup reuses the original_index
-  partitioning) --> finalize --> decisions.
-Model output enters as tables (``drafts``/``rewrites``: original_index, text,
-finish_reason) or through ``batch_generate`` upstream; scores come from a scorer
-(column expressions or a user model on Arrow batches).
+The job has steps that can be run apart, with a model between them:
+
+  assess_drafts      join requests and drafts (the one shuffle), clean, score, decide
+  rewrite_requests   rejected rows with their reason and the messages for a model
+  merge_rewrites     join the rewrites, clean, score and decide the rejected rows
+  replace_rejected   the cascade for rows that are still rejected
+  finalize           last quality gate, backstop, decision columns
+
+Everything after a join is row-local: a row that needs a step less carries
+nulls through it.  ``respond`` runs all steps and stages the assessed drafts and
+the replaced rows as Parquet, so that no model is asked twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators.accept import R_LOW_VISIBILITY, accept
-from vellum.operators.cascade import guarded_select
+from vellum.operators.accept import R_LOW_VISIBILITY, decide, response_checks
+from vellum.operators.cascade import counter_columns, fallback_candidates, guarded_select
 from vellum.operators.guard import VISIBILITY_FIELDS, pair_visibility
-from vellum.operators.normalize import normalize_table, normalize_text
+from vellum.operators.normalize import normalize_steps, normalize_table, unescape_nfkc
+from vellum.operators.prompts import rewrite_messages
 from vellum.operators.quality import clean_and_repair
-from vellum.operators.tagging import requires_direct_answer, tag_and_route
+from vellum.operators.tagging import helpfulness_priority, requires_direct_answer, tag_and_route
 from vellum.packs import Pack
-from vellum.session import cut_lineage
-
-
-def _score(df: DataFrame, scorer, text: str, prefix: str) -> DataFrame:
-    a = scorer(F.col("query"), [F.col(text)], F.col("original_index"))[0]
-    vis = pair_visibility(T.tokens("query"), T.tokens(text))
-    return df.withColumns({f"{prefix}_label": F.coalesce(a["label"], F.lit("unknown")),
-                           f"{prefix}_harmful_probability": F.coalesce(a["prob"], F.lit(1.0)),
-                           f"{prefix}_guard_visible_response_tokens": vis["estimated_visible_tokens"]})
-
-
-def respond(requests: DataFrame, drafts: DataFrame, pack: Pack, scorer, rewrites: DataFrame | None = None,
-            max_chars: int = 5000, threshold: float = 0.5, min_visible: int = 0,
-            preserve_max_visible: int = 0) -> DataFrame:
-    """One row per request with ``response``, ``stage`` and the decision fields."""
+from vellum.session import staged
+
+
+def _one_each(answers: DataFrame, name: str, max_chars: int | None) -> DataFrame:
+    """``original_index`` and the cleaned and repaired answer; a second answer to a request fails the job.
+
+    Cleaning comes before the join with the requests: Spark plans Python steps
+    that only projections lie between into one expression, and the join parts them."""
+    per = answers.groupBy("original_index").agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.struct("text", "finish_reason")).alias("a"))
+    twice = F.raise_error(F.concat(F.lit(f"more than one {name} for request "), F.col("original_index").cast("string")))
+    per = per.select("original_index", F.when(F.col("n") > 1, twice.cast("string")).otherwise(F.col("a.text")).alias("_raw"),
+                     F.coalesce("a.finish_reason", F.lit("unknown")).alias(f"{name}_finish_reason"))
+    return clean_and_repair(per, "_raw", f"{name}_finish_reason", name, max_chars).drop("_raw")
+
+
+def _judge(x: DataFrame, name: str, pack: Pack, scorer, threshold: float, min_visible: int, reject_meta: bool,
+           when: Column | None = None) -> DataFrame:
+    """Score ``<name>_text`` and decide on it (F1), for the rows of ``when``."""
+    text, on = F.col(f"{name}_text"), F.lit(True) if when is None else when
+    x = x.withColumns({f"{name}_plain": unescape_nfkc(F.when(on, text)),
+                       f"_{name}_a": scorer(F.col("query"), F.when(on, F.array(text)).otherwise(F.array().cast("array<string>")),
+                                            F.col("original_index"))})
+    x = x.withColumn("_norm", normalize_steps(F.col(f"{name}_plain"), None))
+    a = F.try_element_at(f"_{name}_a", F.lit(1))
+    visible = pair_visibility(T.tokens("query"), T.tokens(text))["estimated_visible_tokens"]
+    x = x.withColumns({f"{name}_label": F.when(on, F.coalesce(a["label"], F.lit("unknown"))),
+                       f"{name}_harmful_probability": F.when(on, F.coalesce(a["prob"], F.lit(1.0))),
+                       f"{name}_guard_visible_response_tokens": F.when(on, visible),
+                       "_checks": F.when(on, response_checks(text, "query", "route_name", "categories", "query_norm",
+                                                            "_norm", pack, F.col(f"{name}_incomplete")))})
+    prio = helpfulness_priority("route_name", "categories", pack)
+    low = prio & (F.col(f"{name}_guard_visible_response_tokens") < min_visible)
+    x = x.withColumn("_f1", F.when(on, decide(F.col("_checks"), f"{name}_label", f"{name}_harmful_probability", prio,
+                                              reject_meta, low, threshold)))
+    return x.withColumns({f"{name}_accepted": F.coalesce("_f1.accepted", F.lit(False)),
+                          f"{name}_reason": F.col("_f1.reason")}).drop("_f1", "_checks", f"_{name}_a", "_norm")
+
+
+def assess_drafts(requests: DataFrame, drafts: DataFrame, pack: Pack, scorer, max_chars: int | None = None,
+                  threshold: float = 0.5, min_visible: int = 0) -> DataFrame:
+    """Requests with their draft, cleaned, scored and decided on.
+
+    A request without a draft, with two of them, or with a draft that is blank
+    once it is cleaned fails the job and is named (A8)."""
     r = normalize_table(requests.select("original_index", "id", "query"), "query", "query_norm", "query_compact")
-    r = tag_and_route(r, "query_norm", pack, "query_compact")
-    d = drafts.select("original_index", F.col("text").alias("draft_raw"),
-                      F.col("finish_reason").alias("draft_finish_reason"))
-    x = r.join(d, "original_index", "left").withColumn(
-        "draft_finish_reason", F.coalesce("draft_finish_reason", F.lit("unknown")))
-    x = clean_and_repair(x, "draft_raw", "draft_finish_reason", "draft", max_chars)
-    x = x.withColumn("draft_norm", normalize_text("draft_text"))
-    x = _score(x, scorer, "draft_text", "draft")
-    da = accept("draft_text", "query", "route_name", "categories", "query_norm", "draft_norm", "draft_label",
-                "draft_harmful_probability", pack, incomplete=F.col("draft_incomplete"),
-                visible=F.col("draft_guard_visible_response_tokens"), threshold=threshold, min_visible=min_visible)
-    x = x.withColumn("_da", da).withColumns({"draft_accepted": F.col("_da.accepted"),
-                                             "draft_reason": F.col("_da.reason")}).drop("_da")
-    # one rewrite round for rejected drafts
-    if rewrites is not None:
-        rw = rewrites.select("original_index", F.col("text").alias("rewrite_raw"),
-                             F.col("finish_reason").alias("rewrite_finish_reason"))
-        x = x.join(rw, "original_index", "left")
-    else:
-        x = x.withColumns({"rewrite_raw": F.lit(None).cast("string"),
-                           "rewrite_finish_reason": F.lit(None).cast("string")})
-    req = ~F.col("draft_accepted")
-    x = x.withColumns({"rewrite_raw": F.when(req, F.coalesce("rewrite_raw", F.lit(""))),
-                       "rewrite_finish_reason": F.when(req, F.coalesce("rewrite_finish_reason", F.lit("unknown")))})
-    x = clean_and_repair(x, "rewrite_raw", "rewrite_finish_reason", "rewrite", max_chars)
-    x = x.withColumn("rewrite_text", F.when(req, F.col("rewrite_text")))
-    x = x.withColumn("rewrite_norm", normalize_text("rewrite_text"))
-    x = _score(x, scorer, "rewrite_text", "rewrite")
-    ra = accept("rewrite_text", "query", "route_name", "categories", "query_norm", "rewrite_norm", "rewrite_label",
-                "rewrite_harmful_probability", pack, incomplete=F.col("rewrite_incomplete"), reject_meta=True,
-                visible=F.col("rewrite_guard_visible_response_tokens"), threshold=threshold, min_visible=min_visible)
-    x = x.withColumn("_ra", F.when(req, ra)).withColumns({
-        "rewrite_accepted": req & (F.col("rewrite_text") != "") & F.coalesce(F.col("_ra.accepted"), F.lit(False)),
-        "rewrite_reason": F.col("_ra.reason")}).drop("_ra")
-    x = x.withColumns({
-        "rewrite_label": F.when(req, F.col("rewrite_label")),
-        "rewrite_harmful_probability": F.when(req, F.col("rewrite_harmful_probability")),
-        "rewrite_guard_visible_response_tokens": F.when(req, F.col("rewrite_guard_visible_response_tokens"))})
-    x = x.withColumn("needs_fallback", req & ~F.col("rewrite_accepted"))
-    # model output and scores are materialized once (reliable checkpoint in the
-    # shared checkpoint folder): the cascade branch and the main branch read it
-    # without recomputing, and a lost executor does not replay the models.
-    x = cut_lineage(x)
-    # cascade for rows still rejected
-    fb = x.filter("needs_fallback").select("original_index", "query", "query_norm", "route_name", "categories",
-                                          F.coalesce("rewrite_text", F.lit("")).alias("rw"), "draft_text")
-    sel = guarded_select(fb, pack, scorer, model_candidates=["rw", "draft_text"], max_chars=max_chars,
-                         threshold=threshold, min_visible=min_visible, preserve_max_visible=preserve_max_visible)
-    x = x.join(sel, "original_index", "left")
-    x = x.withColumns({
-        "chosen": F.when(F.col("draft_accepted"), F.col("draft_text"))
-                   .when(F.col("rewrite_accepted"), F.col("rewrite_text")).otherwise(F.col("selected.text")),
-        "stage_before": F.when(F.col("draft_accepted"), "draft_accepted")
-                         .when(F.col("rewrite_accepted"), "rewrite_accepted").otherwise(F.col("selected.stage"))})
-    return finalize(cut_lineage(x), pack, scorer, max_chars, threshold)
-
-
-def finalize(x: DataFrame, pack: Pack, scorer, max_chars: int = 5000, threshold: float = 0.5) -> DataFrame:
-    """last quality gate, backstop replacement, decision columns."""
+    r = tag_and_route(r, "query_norm", pack, "query_compact").drop("query_compact")
+    x = r.join(_one_each(drafts, "draft", max_chars), "original_index", "left")
+
+    def refuse(why: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{why} model draft for id "), F.col("id"))).cast("string")
+
+    x = x.withColumn("draft_text", F.when(F.col("draft_text").isNull(), refuse("no"))
+                     .when(T.unicode_strip("draft_text") == "", refuse("blank")).otherwise(F.col("draft_text")))
+    return _judge(x, "draft", pack, scorer, threshold, min_visible, False)
+
+
+def rewrite_requests(assessed: DataFrame, pack: Pack) -> DataFrame:
+    """F2 + D4: what to ask a model for the rejected drafts -- key, reason, messages, token limit."""
+    messages = rewrite_messages("query", "draft_text", "route_name", "categories", "draft_reason", pack)
+    return assessed.where(~F.col("draft_accepted")).select(
+        "original_index", "id", F.col("draft_reason").alias("reason"), messages.alias("messages"),
+        F.col("route.max_tokens").alias("max_tokens"))
+
+
+def merge_rewrites(assessed: DataFrame, rewrites: DataFrame | None, pack: Pack, scorer, max_chars: int | None = None,
+                   threshold: float = 0.5, min_visible: int = 0) -> DataFrame:
+    """one rewrite round for the rejected drafts.  A missing rewrite counts as an empty one; without
+    a table of rewrites there is no round, and every rejected draft needs a replacement."""
+    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    if rewrites is None:
+        return assessed.withColumns({
+            "rewrite_text": text, "rewrite_plain": text, "rewrite_finish_reason": text, "rewrite_repaired": flag,
+            "rewrite_incomplete": flag, "rewrite_label": text, "rewrite_harmful_probability": F.lit(None).cast("double"),
+            "rewrite_guard_visible_response_tokens": F.lit(None).cast("int"), "rewrite_accepted": F.lit(False),
+            "rewrite_reason": text, "needs_fallback": ~F.col("draft_accepted")})
+    asked = ~F.col("draft_accepted")
+    x = assessed.join(_one_each(rewrites, "rewrite", max_chars), "original_index", "left")
+    empty = {"text": F.lit(""), "finish_reason": F.lit("unknown"), "repaired": F.lit(False), "incomplete": F.lit(True)}
+    x = x.withColumns({f"rewrite_{c}": F.when(asked, F.coalesce(F.col(f"rewrite_{c}"), v)) for c, v in empty.items()})
+    x = _judge(x, "rewrite", pack, scorer, threshold, min_visible, True, asked)
+    return x.withColumn("rewrite_accepted", F.col("rewrite_accepted") & F.coalesce(F.col("rewrite_text") != "", F.lit(False))
+                        ).withColumn("needs_fallback", asked & ~F.col("rewrite_accepted"))
+
+
+def replace_rejected(merged: DataFrame, pack: Pack, scorer, threshold: float = 0.5, preserve_max_visible: int = 0) -> DataFrame:
+    """J7 for the rows that are still rejected; ``chosen`` and its stage for all."""
+    x = guarded_select(merged, pack, scorer, ["rewrite_text", "draft_text"], threshold=threshold,
+                       unescaped=["rewrite_plain", "draft_plain"], preserve_max_visible=preserve_max_visible, when=F.col("needs_fallback"))
+    accepted = F.when(F.col("draft_accepted"), F.col("draft_text")).when(F.col("rewrite_accepted"), F.col("rewrite_text"))
+    stage = F.when(F.col("draft_accepted"), "draft_accepted").when(F.col("rewrite_accepted"), "rewrite_accepted")
+    return x.drop("backstop", "first_candidate").withColumns({
+        "chosen": F.coalesce(accepted, F.col("selected.text")), "stage_before": F.coalesce(stage, F.col("selected.stage"))})
+
+
+def finalize(x: DataFrame, pack: Pack, max_chars: int | None = None) -> DataFrame:
+    """last quality gate, backstop replacement (which asks no model), decision columns."""
     x = clean_and_repair(x, "chosen", None, "final", max_chars)
-    meta = (F.col("stage_before") == "rewrite_accepted") & T.has_rewrite_meta(
-        "final_text", list(pack.rewrite_meta_patterns))
-    han = T.has_unexpected_script("final_text", "query")
-    incomplete = F.col("final_incomplete") | (F.col("final_text") == "")
-    reasons = F.array_compact(F.array(F.when(incomplete, F.lit("incomplete final response")),
-                                      F.when(han, F.lit("unexpected Han characters")),
-                                      F.when(meta, F.lit("rewrite meta leakage"))))
-    x = x.withColumns({"_qreasons": reasons, "_meta": meta, "_han": han, "_inc": incomplete})
-    # materialize the gate result: the filter below would otherwise be pushed under
-    # the projections and re-evaluate the whole clean/repair chain inside it
-    x = cut_lineage(x)
-    failed = F.size("_qreasons") > 0
-    # rows that fail the gate but never reached the cascade need their backstop computed
-    need = x.filter(failed & F.col("backstop").isNull()).select("original_index", "query", "query_norm",
-                                                                "route_name", "categories")
-    bs = guarded_select(need, pack, scorer, model_candidates=None, max_chars=max_chars, threshold=threshold).select(
-        "original_index", F.col("backstop").alias("_bs2"), F.col("first_candidate").alias("_fc2"))
-    x = x.join(bs, "original_index", "left")
-    backstop = F.coalesce("backstop", "_bs2")
+    issues = {"_inc": F.col("final_incomplete") | (F.col("final_text") == ""),
+              "_han": T.has_unexpected_script("final_text", "query"),
+              "_meta": (F.col("stage_before") == "rewrite_accepted") & T.has_rewrite_meta(
+                  "final_text", list(pack.rewrite_meta_patterns))}
+    x = x.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in issues.items()})
+    x = x.withColumn("final_quality_reason", F.array_join(F.array_compact(F.array(
+        F.when(F.col("_inc"), F.lit("incomplete final response")), F.when(F.col("_han"), F.lit("unexpected Han characters")),
+        F.when(F.col("_meta"), F.lit("rewrite meta leakage")))), ", "))
+    x = x.withColumn("_failed", F.col("final_quality_reason") != "")
+    x = fallback_candidates(x, pack, when=F.col("_failed"))
     x = x.withColumns({
-        "response": F.when(failed, backstop).otherwise(F.col("final_text")),
-        "stage": F.when(failed, F.lit("final_quality_backstop")).otherwise(F.col("stage_before")),
-        "stage_before_final_quality": F.when(failed, F.col("stage_before")),
-        "final_quality_reason": F.when(failed, F.array_join("_qreasons", ", ")),
+        "response": F.when(~F.col("_failed"), F.col("final_text"))
+                     .otherwise(F.when(F.col("backstop") != "", F.col("backstop")).otherwise(F.col("first_candidate"))),
+        "stage": F.when(F.col("_failed"), F.lit("final_quality_backstop")).otherwise(F.col("stage_before")),
+        "stage_before_final_quality": F.when(F.col("_failed"), F.col("stage_before")),
+        "final_quality_reason": F.when(F.col("_failed"), F.col("final_quality_reason")),
+        "final_completion_issue": F.col("_inc"), "final_han_issue": F.col("_han"), "final_meta_issue": F.col("_meta"),
     })
-    x = x.withColumn("response", F.when(F.coalesce(F.col("response"), F.lit("")) == "",
-                                        F.coalesce("first_candidate", "_fc2", backstop)).otherwise(F.col("response")))
     direct = requires_direct_answer("route_name", "categories", pack)
     x = x.withColumn("final_helpfulness_issue", F.when(T.over_refusal("response", list(pack.nonanswer_patterns), direct),
                                                        F.lit("generic or excessive refusal")))
-    vis = pair_visibility(T.tokens("query"), T.tokens("response"))
-    x = x.withColumns({c: vis[c] for c in VISIBILITY_FIELDS})
-    return x.drop("_qreasons", "_meta", "_han", "_inc", "_bs2", "_fc2")
+    x = x.withColumn("_visible", pair_visibility(T.tokens("query"), T.tokens("response")))
+    return x.withColumns({c: F.col(f"_visible.{c}") for c in VISIBILITY_FIELDS}).drop(
+        "_inc", "_han", "_meta", "_failed", "_visible", "candidates", "_back", "backstop", "first_candidate")
 
 
-DECISION_COLUMNS = [
-    "original_index", "id", "route_name", "categories", "route_reason", "stage", "draft_finish_reason", "draft_label",
-    "draft_harmful_probability", "draft_reason", "draft_guard_visible_response_tokens", "rewrite_finish_reason",
-    "rewrite_label", "rewrite_harmful_probability", "rewrite_reason", "rewrite_guard_visible_response_tokens",
-    "fallback_candidate_position", "fallback_label", "fallback_harmful_probability", "fallback_reason",
-    "stage_before_final_quality", "final_quality_reason", "final_helpfulness_issue", *VISIBILITY_FIELDS]
+def respond(requests: DataFrame, drafts: DataFrame, pack: Pack, scorer, rewrites: DataFrame | None = None,
+            max_chars: int | None = None, threshold: float = 0.5, min_visible: int = 0,
+            preserve_max_visible: int = 0, staging: str | None = None) -> DataFrame:
+    """One row per request with ``response``, ``stage`` and the decision fields.
+
+    Assessed drafts and replaced rows are written once, under ``staging`` or the
+    shared folder of the session; those writes are the only jobs that run here."""
+    at = lambda name: f"{staging.rstrip('/')}/{name}" if staging else None
+    x = staged(assess_drafts(requests, drafts, pack, scorer, max_chars, threshold, min_visible), "assessed", at("assessed"))
+    x = merge_rewrites(x, rewrites, pack, scorer, max_chars, threshold, min_visible)
+    x = staged(replace_rejected(x, pack, scorer, threshold, preserve_max_visible), "replaced", at("replaced"))
+    return finalize(x, pack, max_chars)
 
 
-def decisions(final: DataFrame) -> DataFrame:
-    """one decision row per request."""
+def decisions(final: DataFrame, *more: str) -> DataFrame:
+    """one decision row per request, with ``more`` columns of the run."""
     return final.select(
         "original_index", "id", "route_name", "categories", F.col("route.reason").alias("route_reason"), "stage",
         "draft_finish_reason", "draft_label", "draft_harmful_probability", "draft_reason",
@@ -153,58 +175,68 @@ def decisions(final: DataFrame) -> DataFrame:
         F.col("selected.position").alias("fallback_candidate_position"),
         F.col("selected.label").alias("fallback_label"), F.col("selected.prob").alias("fallback_harmful_probability"),
         F.col("selected.reason").alias("fallback_reason"), "stage_before_final_quality", "final_quality_reason",
-        "final_helpfulness_issue", *VISIBILITY_FIELDS)
+        "final_helpfulness_issue", *VISIBILITY_FIELDS, *more)
 
 
-def diagnostics(final: DataFrame, pack: Pack) -> DataFrame:
-    """G3 + G10 (+ G1/G4 maps): the run's counters in one aggregation pass."""
-    c = F.col
-    dr, rr = c("draft_reason"), c("rewrite_reason")
-    tier = c("selected.tier")
+#: Reasons that diagnostics count for drafts and rewrites: name of the counter, decision reason.
+REJECTIONS = {"han_rejected": "response contains unexpected Han characters",
+              "over_refusal_rejected": "answerable intent received a generic refusal",
+              "visibility_overrides": R_LOW_VISIBILITY}
+EITHER = {"relevance_rejections": "response does not match requested task or topic",
+          "entity_preservation_rejections": "response changed or omitted an input acronym"}
 
-    def count_map(col_expr):
-        return F.map_from_entries(F.array_sort(F.collect_list(F.struct(col_expr.cast("string"), F.lit(1)))))
 
-    agg = final.agg(
+def diagnostics(final: DataFrame, pack: Pack) -> DataFrame:
+    """G3 + G10: the run's scalar counters, one aggregation pass over narrow columns."""
+    c = F.col
+    issue = lambda name: F.count_if(c(name))
+    return final.agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if(~c("draft_accepted")).alias("rewrite_requests"),
-        F.count_if(c("needs_fallback")).alias("final_fallbacks"),
-        F.count_if(c("draft_repaired")).alias("draft_truncation_repaired"),
-        F.count_if(c("draft_incomplete")).alias("draft_truncation_unresolved"),
-        F.count_if(dr == "response contains unexpected Han characters").alias("draft_han_rejected"),
-        F.count_if(dr == "answerable intent received a generic refusal").alias("draft_over_refusal_rejected"),
-        F.count_if(dr == R_LOW_VISIBILITY).alias("draft_visibility_overrides"),
-        F.count_if(rr == "response contains unexpected Han characters").alias("rewrite_han_rejected"),
-        F.count_if(rr == "rewrite returned internal evaluation text").alias("rewrite_meta_rejected"),
-        F.count_if(rr == "answerable intent received a generic refusal").alias("rewrite_over_refusal_rejected"),
-        F.count_if(rr == R_LOW_VISIBILITY).alias("rewrite_visibility_overrides"),
-        (F.count_if(dr == "response does not match requested task or topic")
-         + F.count_if(rr == "response does not match requested task or topic")).alias("relevance_rejections"),
-        (F.count_if(dr == "response changed or omitted an input acronym")
-         + F.count_if(rr == "response changed or omitted an input acronym")).alias("entity_preservation_rejections"),
-        F.count_if(c("rewrite_repaired") & ~c("draft_accepted")).alias("rewrite_truncation_repaired"),
-        F.count_if(c("rewrite_incomplete") & ~c("draft_accepted")).alias("rewrite_truncation_unresolved"),
-        *[F.sum(F.when(tier >= k, F.element_at("tier_counts", k)).otherwise(0)).cast("long").alias(f"tier{k}_scored")
-          for k in range(1, 7)],
-        *[F.count_if(tier == k).alias(f"tier{k}_accepted") for k in range(1, 7)],
-        F.count_if((tier == 6) & c("backstop_guard_passed")).alias("fallback_safe_backstop_guard_passed"),
+        issue("needs_fallback").alias("final_fallbacks"),
+        issue("draft_repaired").alias("draft_truncation_repaired"),
+        issue("draft_incomplete").alias("draft_truncation_unresolved"),
+        issue("rewrite_repaired").alias("rewrite_truncation_repaired"),
+        issue("rewrite_incomplete").alias("rewrite_truncation_unresolved"),
+        *[F.count_if(c(f"{who}_reason") == reason).alias(f"{who}_{name}")
+          for who in ("draft", "rewrite") for name, reason in REJECTIONS.items()],
+        F.count_if(c("rewrite_reason") == "rewrite returned internal evaluation text").alias("rewrite_meta_rejected"),
+        *[(F.count_if(c("draft_reason") == reason) + F.count_if(c("rewrite_reason") == reason)).alias(name)
+          for name, reason in EITHER.items()],
+        *counter_columns(),
+        issue("backstop_guard_passed").alias("fallback_safe_backstop_guard_passed"),
+        F.count_if(c("needs_fallback") & (c("selected.tier") == 6)).alias("fallback_candidates_unresolved"),
+        F.count_if(c("selected.tier") == 1).alias("fallback_selected_by_min_probability"),
         F.count_if(c("stage") == "final_quality_backstop").alias("final_quality_backstops"),
-        F.count_if(c("final_repaired")).alias("final_completion_repaired"),
+        issue("final_repaired").alias("final_completion_repaired"),
+        issue("final_completion_issue").alias("final_completion_issues_detected"),
+        issue("final_han_issue").alias("final_han_issues_detected"),
+        issue("final_meta_issue").alias("final_meta_issues_detected"),
+        F.count_if((c("stage") == "rewrite_accepted") & T.has_rewrite_meta("response", list(pack.rewrite_meta_patterns)))
+         .alias("final_rewrite_meta_leakage"),
         F.count_if(T.has_unexpected_script("response", "query")).alias("final_han_contamination"),
         F.count_if(T.incomplete_ending("response")).alias("likely_truncated"),
         F.count_if(c("final_helpfulness_issue").isNotNull()).alias("final_over_refusal_detected"),
         F.count_if(c("estimated_visible_tokens") == 0).alias("guard_response_visibility_zero"),
         F.count_if(c("estimated_visible_tokens") <= 5).alias("guard_response_visibility_le_5"),
     )
-    return agg
+
+
+def diagnostic_counts(final: DataFrame) -> DataFrame:
+    """The run's histograms in one pass -- ``counter``, ``value``, ``n``.
+
+    Counters: route, category, draft and rewrite finish reason, fallback position, stage."""
+    text = lambda x: F.col(x).cast("string")
+    pairs = F.concat(
+        F.array(*[F.struct(F.lit(name).alias("counter"), text(column).alias("value")) for name, column in (
+            ("route", "route_name"), ("draft_finish_reason", "draft_finish_reason"),
+            ("rewrite_finish_reason", "rewrite_finish_reason"), ("fallback_candidate_position", "selected.position"),
+            ("stage", "stage"))]),
+        F.transform("categories", lambda x: F.struct(F.lit("category").alias("counter"), x.alias("value"))))
+    return (final.select(F.explode(pairs).alias("p")).where("p.value is not null")
+            .groupBy("p.counter", "p.value").agg(F.count(F.lit(1)).alias("n")))
 
 
 def stage_counts(final: DataFrame) -> DataFrame:
     """G1: rows per final stage."""
     return final.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
-
-
-def position_counts(final: DataFrame) -> DataFrame:
-    """Histogram of selected fallback positions."""
-    return final.filter(F.col("selected").isNotNull()).groupBy(
-        F.col("selected.position").alias("position")).agg(F.count(F.lit(1)).alias("n"))

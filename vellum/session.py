@@ -1,9 +1,10 @@
-"""Spark session and checkpoint helpers."""
+"""Spark session and staging helpers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,23 +32,28 @@ def get_spark(master: str | None = None, app: str = "vellum", shuffle_partitions
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    On a cluster the setting must point at shared storage and is only read here.
-    When it is unset (local tests) a private folder is created and registered.
+    It is only read.  Unset is an error, but for a local master (tests): there
+    driver and executors are one process, and a private folder will do.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
-        spark.sparkContext.setCheckpointDir(d)
-        return d
-    d = tempfile.mkdtemp(prefix="vellum-ckpt-")
+        return d.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    d = tempfile.mkdtemp(prefix="vellum-staged-")
     spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet and read it back: at ``path``, or in the shared folder.
+
+    A lost executor costs only the tasks that read its part, model output is not
+    computed again, and later readers scan only the columns that they need."""
+    path = path or f"{shared_dir(df.sparkSession)}/vellum-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

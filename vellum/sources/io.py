@@ -2,16 +2,19 @@
 JSONL, run status JSON.
 
 Row order is data here (the submission must follow the input order), so every
-reader assigns ``original_index`` from file position without a global sort:
-Spark's monotonically increasing id holds (partition, row) and per-partition
-counts -- one small aggregate -- turn it into a dense 0-based index.
+reader assigns ``original_index`` from file position without a sort: a row's
+place within its split plus the rows of the splits before it, in the order of
+file path and block start.  The splits' counts are a small table, joined.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -25,38 +28,38 @@ class ContractError(ValueError):
 
 
 def with_file_order(df: DataFrame, name: str = "original_index") -> DataFrame:
-    """Dense 0-based row index in read order (per-partition offsets; no single-task sort)."""
-    df = df.withColumn("_mid", F.monotonically_increasing_id())
-    df = df.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    counts = sorted((r["_pid"], r["n"]) for r in df.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, acc = {}, 0
-    for pid, n in counts:
-        offsets[pid] = acc
-        acc += n
-    if not offsets:
-        return df.drop("_mid", "_pid", "_pos").withColumn(name, F.lit(None).cast("long"))
-    omap = F.create_map(*[x for pid, off in offsets.items() for x in (F.lit(pid), F.lit(off))])
-    return (df.withColumn(name, (F.element_at(omap, F.col("_pid")) + F.col("_pos")).cast("long"))
-              .drop("_mid", "_pid", "_pos"))
+    """Dense 0-based row index of a file source, in the order of (file, block, row)."""
+    split = ["_file", "_block"]
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                   F.monotonically_increasing_id().alias("_row"))
+    splits = df.groupBy(*split).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    offsets = splits.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return df.join(offsets, split).withColumn(name, F.col("_offset") + F.col("_row") - F.col("_first")).drop(
+        *split, "_row", "_first", "_offset")
 
 
 # -------------------------------------------------------------------- A1/A2
+def _plain(path: str) -> str:
+    """A path without its scheme, to compare the two ways in which Spark and users write it."""
+    local = os.path.abspath(path) if "://" not in path and not path.startswith("file:") else path
+    return re.sub(r"^[a-zA-Z0-9+.-]+:/*", "/", local).rstrip("/")
+
+
 def discover_csv(spark: SparkSession, root: str) -> str:
     """A1: ``<root>/dataset.csv`` first, then other ``*.csv`` (any case) by path;
-    the first whose header has ``id`` and a text column wins."""
+    the first whose header is readable and has ``id`` and a text column wins.
+
+    Candidates are looked at one after another until one fits; files are listed, not read."""
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
                .option("pathGlobFilter", "*.[cC][sS][vV]").load(root).select("path"))
-    import os
-    preferred = os.path.abspath(root).rstrip("/") + "/dataset.csv"
-    paths = [r.path for r in listing.collect()]
-    paths.sort(key=lambda p: (p.split(":", 1)[-1].replace("//", "/") != preferred, p))
-    for p in paths:
-        try:
-            header = spark.read.text(p).limit(1).collect()
-        except Exception:  # noqa: BLE001 - undecodable / unreadable files are skipped
-            continue
-        if header and resolve_columns(header[0].value, strict=False):
-            return p
+    preferred = _plain(root) + "/dataset.csv"
+    first = F.regexp_replace("path", r"^[a-zA-Z0-9+.-]+:/*", "/") == preferred
+    for row in listing.orderBy(first.desc(), "path").toLocalIterator():
+        header = spark.read.text(row.path).limit(1).collect()
+        # the text reader puts U+FFFD where bytes aren't UTF-8
+        if header and "\ufffd" not in header[0].value and resolve_columns(header[0].value, strict=False):
+            return row.path
     raise ContractError(f"no CSV with an id and a question/query column under {root}")
 
 
@@ -77,15 +80,19 @@ def resolve_columns(header_line: str, strict: bool = True) -> dict | None:
 
 
 # ------------------------------------------------------------------------ A3
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
+def read_requests(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """A3: ``original_index, id, query`` from a request CSV (quoted newlines, BOM,
-    trimmed values).  A blank id is an error naming its 1-based file row."""
+    trimmed values).  No rows and a blank id are errors; the latter names its 1-based row.
+
+    ``multiline=False`` says that no quoted text has a line break: then a large file is read by many tasks."""
     first = spark.read.text(path).limit(1).collect()
     if not first:
-        return spark.createDataFrame([], "original_index long, id string, query string")
+        raise ContractError(f"{path} is empty")
     cols = resolve_columns(first[0].value)
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(cols["width"])])
-    raw = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    raw = spark.read.options(**CSV_OPTIONS | {"multiLine": str(multiline).lower()}).schema(schema).csv(path)
+    if raw.isEmpty():
+        raise ContractError(f"{path} has no rows")
     df = with_file_order(raw).select(
         "original_index", unicode_strip(F.col(f"c{cols['id']}")).alias("id"),
         unicode_strip(F.col(f"c{cols['text']}")).alias("query"))
@@ -103,30 +110,38 @@ def read_pair_table(spark: SparkSession, path: str, text_column: str) -> DataFra
     if "id" not in names or text_column not in names:
         raise ContractError(f"{path} must contain id,{text_column}")
     schema = StructType([StructField(n if n else f"c{i}", StringType()) for i, n in enumerate(names)])
-    return with_file_order(spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)).select(
-        "original_index", "id", text_column)
+    raw = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    if raw.isEmpty():
+        raise ContractError(f"{path} has no rows")
+    return with_file_order(raw).select("original_index", "id", text_column)
 
 
 # ------------------------------------------------------------------- A4/A5
-def write_submission(df: DataFrame, path: str, expected: int | None = None, single_file: bool = True) -> int:
+def write_submission(df: DataFrame, path: str, expected: int | None = None, single_file: bool = False) -> int:
     """A4: ``id,response`` CSV in ``original_index`` order, CRLF lines, minimal quoting.
 
-    Blank responses and count mismatches are errors.  The output committer
-    makes the write atomic; ``single_file`` sorts and coalesces into one part
-    (use a directory of range-partitioned parts for very large outputs).
+    Blank responses and count mismatches are errors.  A folder of parts in order
+    by default; ``single_file`` sends all rows through one task.  The rows go to
+    a staging folder beside ``path`` and take its place when they are complete:
+    a failed job leaves the old output as it was.
     """
-    n = df.count()
-    if expected is not None and n != expected:
-        raise ContractError(f"submission has {n} rows, expected {expected}")
-    blank = df.filter(unicode_strip("response") == "").select("id").limit(1).collect()
-    if blank:
-        raise ContractError(f"blank response for id {blank[0].id}")
+    spark = df.sparkSession
+    blank = F.when(unicode_strip("response") == "", F.col("id"))
+    state = df.agg(F.count(F.lit(1)).alias("n"), F.min(blank).alias("blank")).first()
+    if expected is not None and state.n != expected:
+        raise ContractError(f"submission has {state.n} rows, expected {expected}")
+    if state.blank is not None:
+        raise ContractError(f"blank response for id {state.blank}")
     out = df.orderBy("original_index").select("id", "response")
-    if single_file:
-        out = out.coalesce(1)
-    (out.write.mode("overwrite").option("header", "true").option("escape", '"').option("quote", '"')
-        .option("lineSep", "\r\n").csv(path))
-    return n
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    (out.coalesce(1) if single_file else out).write.option("header", "true").option("escape", '"').option(
+        "quote", '"').option("lineSep", "\r\n").csv(staging)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(hadoop(path), True)
+    if not fs.rename(hadoop(staging), hadoop(path)):
+        raise OSError(f"could not move {staging} to {path}")
+    return state.n
 
 
 def validation_report(requests: DataFrame, submission: DataFrame) -> DataFrame:
@@ -157,7 +172,8 @@ def validate_submission(requests: DataFrame, submission: DataFrame, header: list
     if rep.id_mismatch:
         raise ContractError("submission ids/order do not match input")
     if rep.blank_response:
-        raise ContractError("submission has blank responses")
+        row = submission.filter(unicode_strip("response") == "").agg(F.min(F.struct("original_index", "id")).alias("r")).first().r
+        raise ContractError(f"submission has a blank response in row {row.original_index + 2}, id {row.id}")
     return rep.requests
 
 
@@ -185,8 +201,9 @@ def write_assessments(df: DataFrame, path: str) -> None:
 
 
 def read_assessments(spark: SparkSession, path: str) -> DataFrame:
-    """A6 source: JSONL with an explicit schema; blank lines are skipped."""
-    return with_file_order(spark.read.schema(ASSESSMENT_SCHEMA).json(path), "position").filter(F.col("id").isNotNull())
+    """A6 source: JSONL with an explicit schema; blank lines are skipped, broken ones and rows without an id fail."""
+    rows = with_file_order(spark.read.option("mode", "FAILFAST").schema(ASSESSMENT_SCHEMA).json(path), "position")
+    return rows.withColumn("id", F.coalesce("id", F.raise_error(F.lit(f"an assessment in {path} has no id")).cast("string")))
 
 
 def last_by_id(assessments: DataFrame, position: str = "position") -> DataFrame:
