@@ -62,7 +62,7 @@ def test_cascade_scores_only_open_rows(spark):
 
 
 def test_cascade_takes_any_number_of_model_answers(spark):
-    df = spark.createDataFrame([(0, "Write exactly 3 bullet points in JSON: a shelf list", "No.", "No.", "Shelf one, shelf two, shelf three and the attic.")],
+    df = spark.createDataFrame([(0, "Write exactly 3 bullet points in JSON: a shelf list", "No.", "No.", "Shelf 1, shelf 2 and shelf 3 hold the list.")],
                                "original_index long, query string, m1 string, m2 string, m3 string")
     df = tag_and_route(normalize_table(df, "query", "query_norm", "query_compact"), "query_norm", C.PACK, "query_compact")
     by_length = expression_scorer(lambda q, t, i: F.when(F.length(t) > 30, 0.1).otherwise(0.9))

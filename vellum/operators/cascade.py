@@ -183,23 +183,23 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
     ``when`` is false are left alone: ``selected`` is null.
 
     ``unescaped``: columns with ``unescape_nfkc`` of model candidates that are
-    clean already; else both is done here.  The scores of a user model
-    (``udf_scorer``) are staged after every tier, so it is never asked twice and
-    its calls aren't planned into one expression.
+    clean already; else both is done here, on rows that are staged first.  The scores of a user model
+    (``udf_scorer``) are staged after every tier, and its first texts before, so it
+    is never asked twice and Spark doesn't plan all tiers into one expression.
     """
     q, qn, route, cats, idx = (F.col(c) for c in (query, query_norm, route_name, categories, index))
-    x = fallback_candidates(df, pack, query, query_norm, route_name, categories, when)
-    x = x.withColumns({"_on": F.lit(True) if when is None else when, "_bound": boundary(route, cats, pack),
-                       "_benign": T.is_benign_task(query, route_name, categories),
-                       "_prio": helpfulness_priority(route_name, categories, pack)})
-    on = F.col("_on")
     models = model_candidates or []
+    x = df.withColumn("_on", F.lit(True) if when is None else when)
+    on = F.col("_on")
     if models and unescaped is None:
-        x = x.withColumns({f"_m{j}": F.when(on, T.clean_response(c, max_chars)) for j, c in enumerate(models)})
+        x = staged(x, "requests").withColumns({f"_m{j}": F.when(on, T.clean_response(c, max_chars)) for j, c in enumerate(models)})
         x = x.withColumns({f"_u{j}": unescape_nfkc(f"_m{j}") for j in range(len(models))})
     elif models:
         x = x.withColumns({f"_{k}{j}": F.when(on, F.coalesce(F.col(c), F.lit("")))
                            for k, cols in (("m", models), ("u", unescaped)) for j, c in enumerate(cols)})
+    x = fallback_candidates(x, pack, query, query_norm, route_name, categories, on)
+    x = x.withColumns({"_bound": boundary(route, cats, pack), "_benign": T.is_benign_task(query, route_name, categories),
+                       "_prio": helpfulness_priority(route_name, categories, pack)})
     own = [F.when(on & ~F.coalesce(F.array_contains(F.array(*[F.col(f"_m{i}") for i in range(j)]), F.col(f"_m{j}")), F.lit(False))
                   if j else on,
                   F.struct(F.lit(j + 1).alias("idx"), F.col(f"_m{j}").alias("text"), F.col(f"_u{j}").alias("norm")))
@@ -250,6 +250,7 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
         c["idx"].alias("idx"), c["text"].alias("text"), c["norm"].alias("raw"), normalize_steps(c["norm"], None).alias("norm")))))
     x = x.withColumn("_sound", F.filter("_raw", lambda c: sound(response_checks(
         c["text"], query, route_name, categories, query_norm, c["norm"], pack))))
+    x = staged(x, "candidates") if getattr(scorer, "is_model", False) else x
     x = tier(x, "t1", on & F.col("_benign"), F.col("_sound"))
     mild = F.filter("_t1", lambda c: (F.lower(c["label"]) != "unknown") & (c["prob"] <= benign_max_probability))
     best = F.array_min(F.transform(mild, lambda c: F.struct(c["prob"].alias("p"), c["idx"].alias("i"))))
