@@ -33,7 +33,7 @@ def run(spark, name: str, sf_dir: str) -> tuple[float, float]:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = get_spark()
     times: dict[str, float | None] = {}
     plans: dict[str, float] = {}

@@ -22,6 +22,8 @@ def get_spark(master: str | None = None, app: str = "vellum", shuffle_partitions
          # text jobs are CPU-bound: bytes per partition understate the work, so do
          # not let AQE merge small shuffles below this size into a single task
          .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
+         # small local tables are often one row group, hence one split
+         .config("spark.vellum.scanPartitions", str(parts))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", os.environ.get("VELLUM_DRIVER_MEMORY", "16g"))

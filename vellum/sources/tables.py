@@ -14,9 +14,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+#: Session setting: so many tasks for each scan of a text table.  Unset, scans keep their splits.
+SCAN_PARTITIONS = "spark.vellum.scanPartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table's columns.  A file of one row group is one split, whatever its size; a caller who has
+    such files asks for more tasks by SCAN_PARTITIONS, which costs a shuffle of the scanned columns."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    tasks = spark.conf.get(SCAN_PARTITIONS, None) if name in TEXT_TABLES else None
+    return df.repartition(int(tasks)) if tasks else df
 
 
 #: Turns of one conversation that a task takes at once.
