@@ -142,6 +142,24 @@ def test_similar_sets_share_a_tile(n, changed, added, percent, seed):
         assert len(np.intersect1d(tile_keys(a, bands), tile_keys(b, bands)))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unrelated_sets_share_no_tile(percent):
+    rng, bands = np.random.default_rng(3), Bands(percent)
+    for n in (*range(1, 30), 60):
+        keys = [np.unique(tile_keys(np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)), bands)) for _ in range(400)]
+        assert all(len(k) for k in keys)
+        assert np.unique(np.concatenate(keys), return_counts=True)[1].max() == 1, n
+
+
+def test_small_sets_in_one_part_still_meet():
+    rng, bands = np.random.default_rng(4), Bands(80)
+    base = rng.integers(0, 2**60, 24, dtype=np.uint64)  # all in the first part of any cut of the hash range
+    for n in range(5, 25):
+        a, b = np.sort(base[:n]), np.sort(base[1:n])
+        if similar(a, b, 80):
+            assert len(np.intersect1d(tile_keys(a, bands), tile_keys(b, bands))), n
+
+
 def test_words_equal_the_pattern(odd_rows):
     texts = [t for _, t in odd_rows] + ["A\x0bB\x0cC", "x" * 500 + " y", "   ", "ÀÉ Z"]
     w = Words(texts, lower=True)

@@ -3,7 +3,9 @@
 Two sets that are similar enough differ in a bounded number of shingles.  Their
 sizes put the pair into a band, the band says into how many parts the hash range
 is cut, and by the pigeonhole principle the two sets agree in one whole part: a
-part's content is the key of a tile.  Within tiles, the bits that one set's
+part's content is the key of a tile.  Sets whose shingles fall into too few parts
+are cut anew by another hash, and in the end keyed by their smallest shingles, so
+that every key has content of the set.  Within tiles, the bits that one set's
 bitmap has and the other's has not bound the overlap from above; pairs that
 pass are verified by exact intersection of the sorted shingle arrays.
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import chunks, components, runs, staged
-from vellum.llm.words import M1, M2, Words, mix
+from vellum.llm.words import M1, Words, mix
 
 #: Rows of one side of a tile that are compared at once.
 TILE = 1024
@@ -30,6 +32,8 @@ BITS = 4
 #: Members that one task compares with a leader.
 STREAM = 8192
 MAX_SIZE = 1 << 40
+#: Hashes by which a band is cut one after another for sets that fill too few parts.
+CUTS = 3
 
 
 class Bands:
@@ -45,7 +49,8 @@ class Bands:
         d = self.parts * 16 // 17
         while (bad := d + d // 16 + 2 > self.parts).any():
             d[bad] -= 1
-        self.differences = d
+        # sets that may not differ at all are keyed whole
+        self.parts, self.differences = np.append(1, self.parts), np.append(0, d)
 
     def of(self, a: int, b: int) -> int:
         """Band of a pair of sizes."""
@@ -77,25 +82,35 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 def tile_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """Keys of the tiles of a set: one for each part that is not empty, in each of its bands.
 
-    If the parts that are not empty outnumber a band's differences, two similar
-    sets agree in one of those; else the empty ones are keys as well.
+    If the parts that are not empty outnumber a band's differences, a similar set
+    agrees in one of those.  Else it may be that two similar sets agree in empty
+    parts only, but then both fill too few: both are cut by the next hash as well.
+    After the last, the smallest shingles are keys: one more of them than the
+    band's differences, so the smallest that two similar sets share is among both's.
     """
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingles))))
-    high = shingles >> np.uint64(32)
     out = []
     for band in bands.around(len(shingles)):
-        parts = int(bands.parts[band])
-        if parts < 1 << 31:
-            part = high * np.uint64(parts) >> np.uint64(32)  # ascending, as the shingles are
-        else:
-            part = shingles // np.uint64((1 << 64) // parts + 1)
-        last = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
-        place = part[last - 1]
-        before = np.concatenate((np.zeros(1, np.int64), last[:-1]))
-        salt = np.uint64((band * 2 + 1) * int(M1) % (1 << 64))
-        out.append(mix((total[last] - total[before]) ^ mix(place + salt)))
-        if len(last) <= bands.differences[band]:
-            out.append(mix(np.setdiff1d(np.arange(parts, dtype=np.uint64), place) * M2 + salt))
+        parts, differences = int(bands.parts[band]), int(bands.differences[band])
+        for cut in range(CUTS + 1):
+            salt = np.uint64(((band * (CUTS + 1) + cut) * 2 + 1) * int(M1) % (1 << 64))
+            if cut == CUTS:
+                out.append(mix(mix(shingles[:differences + 1]) ^ mix(shingles[:differences + 1] + salt)))
+                break
+            value, own = shingles, shingles
+            if cut:
+                value = mix(shingles + salt)
+                order = np.argsort(value)
+                value, own = value[order], shingles[order]
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(own))))
+            if parts < 1 << 31:
+                part = (value >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # ascending, as the values are
+            else:
+                part = value // np.uint64((1 << 64) // parts + 1)
+            last = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
+            before = np.concatenate((np.zeros(1, np.int64), last[:-1]))
+            out.append(mix((total[last] - total[before]) ^ mix(part[last - 1] + salt)))
+            if len(last) > differences:
+                break
     return np.concatenate(out)
 
 
