@@ -17,7 +17,7 @@ from vellum.llm import queries
 from vellum.llm.jaccard_join import Bands, bitmap, fold, jaccard_classes, overlap_bound, shingle_sets, similar, tile_keys
 from vellum.llm.passages import shards
 from vellum.llm.substring_dedup import FMIndex, remove_repeated_windows
-from vellum.llm.suffix_dedup import remove_repeated_bytes, repeated
+from vellum.llm.suffix_dedup import content_shards, judged, remove_repeated_bytes, repeated
 from vellum.llm.words import Words
 
 from .conftest import documents
@@ -217,6 +217,34 @@ def test_repeated_bytes(spark, length):
     assert remove_repeated_bytes(documents(spark, [])).count() == 0
 
 
+def test_copies_never_reach_a_shard(spark, monkeypatch):
+    from vellum.llm import suffix_dedup as module
+
+    r = random.Random(17)
+    body = "".join(r.choice("abcdefgh ") for _ in range(900))
+    rows = [(i, body) for i in range(300)] + [(1000 + i, f"{i:03d} head" + body[:500] + f"tail {i:03d}") for i in range(40)]
+    rows += [(2000, "alone " * 3 + body[::-1])]
+    monkeypatch.setattr(module, "SHARD_BYTES", 2000)
+    parts = []
+    monkeypatch.setattr(module, "staged", lambda df, name, keep=module.staged: parts.append((name, keep(df, name))) or parts[-1][1])
+    got = module.remove_repeated_bytes(documents(spark, rows + rows[:5]), 400).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept)) for x in got} == brute_bytes(rows, 400)
+    tables = dict(parts)
+    assert tables["found"].count() == tables["found"].select("key", "digest").distinct().count()
+    assert tables["found"].count() < tables["fragments"].count() / 4  # a content is judged once, not for each place
+
+
+def test_judged_counts_a_copied_fragment_once():
+    text = b"".join(bytes([97 + i % 23]) * (i % 7 + 1) for i in range(150))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 3]), pa.array([b"a", b"b", b"c", b"d"]),
+                                        pa.array([True, False, False, True]),
+                                        pa.array([text[:450], text[20:480], text[:410], text[:401]])],
+                                       names=["key", "digest", "several", "data"])
+    assert [s[1] for s in content_shards(iter([batch]), 500)] == [[b"a", b"b"], [b"c", b"d"]]
+    hit, low, high = judged(np.array([1, 1, 2, 3]), np.array([True, False, False, True]), batch["data"].to_pylist(), 400)
+    assert list(zip(hit.tolist(), low.tolist(), high.tolist())) == [(0, 0, 50), (1, 0, 30), (3, 0, 1)]
+
+
 @given(st.lists(st.text("ab", min_size=4, max_size=40), min_size=1, max_size=6), st.integers(2, 4))
 @settings(max_examples=200, deadline=None)
 def test_interval_expansion(pieces, window):

@@ -1,7 +1,8 @@
 """Operator 4, exact repeats of many bytes by threshold-bounded interval expansion.
 
-A shard holds the fragments around anchors that occur several times.  Breadth
-first, the intervals of the shard's Burrows-Wheeler transform are extended
+A shard holds the distinct fragments around anchors that occur several times;
+their copies are counted before and get the stretches that were found afterwards.
+Breadth first, the intervals of the shard's Burrows-Wheeler transform are extended
 backwards by one byte: an interval of strings of length l + 1 ends where the
 common prefix with the next suffix is l, if no shorter string has ended there.
 The common prefixes so come out by increasing value, and the search stops at the
@@ -16,14 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import chunks, ragged, staged
-from vellum.llm.passages import (BLOCK, Runs, Shard, cut_runs, first_min, repeated_fragments, shards, spans_by_document,
-                                 stretches, union)
+from vellum.llm.passages import BLOCK, Runs, cut_runs, first_min, repeated_fragments, spans_by_document, union
 from vellum.llm.substring_dedup import FMIndex
 from vellum.llm.words import CODES, M2, M3
 
 #: Bytes of an anchor, a power of two.
 GRAM = 64
-#: Distinct bytes of fragments in a shard, about; the memory bound of a task.
+#: Bytes of distinct fragments in a shard, about; the memory bound of a task.
 SHARD_BYTES = 3 << 20
 
 
@@ -112,24 +112,20 @@ def repeated(data: np.ndarray, start: np.ndarray, windows: np.ndarray, window: i
     return np.bincount(of, minlength=int(group[-1]) + 1)[of] > 1
 
 
-def covered(shard: Shard, window: int) -> pa.RecordBatch:
-    """Stretches of the shard's fragments that occur somewhere else."""
-    n = len(shard.texts)
-    once = np.append(True, (shard.key[1:] != shard.key[:-1]) | (shard.id[1:] != shard.id[:-1]) | (shard.start[1:] != shard.start[:-1]))
-    copies = np.bincount(shard.text[once], minlength=n)  # a row that is repeated is the same place
-    windows = np.zeros(n, np.int64)
-    windows[shard.text] = shard.windows
-    key = np.zeros(n, np.int64)
-    key[shard.text] = shard.key
-    group = np.unique(key, return_inverse=True)[1]
-    rivals = np.bincount(group)[group]  # fragments with the same anchor
-    data = np.frombuffer(b"".join(shard.texts), np.uint8)
-    size = windows + window - 1
+def judged(keys: np.ndarray, several: np.ndarray, texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+    """Of distinct fragments: those with windows that occur somewhere else, their first and their last such window.
+
+    ``several``: whether the whole fragment occurs at several places.
+    """
+    n = len(texts)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.fromiter(map(len, texts), np.int64, n)
+    windows = size - window + 1
     first = np.cumsum(size) - size
-    own = np.repeat(np.arange(n), windows)
-    hit = copies[own] > 1
-    # windows whose hash occurs in several fragments, or twice in one, go on to the index
-    some = np.flatnonzero(rivals > 1)
+    low, high = np.where(several, 0, windows), np.where(several, windows - 1, -1)
+    group = np.unique(keys, return_inverse=True)[1]
+    # windows whose hash occurs in several fragments of an anchor go on to the index
+    some = np.flatnonzero(np.bincount(group)[group] > 1)
     at = ragged(first[some], windows[some])
     if len(at):
         h = gram_hashes(data, window)[at]
@@ -138,18 +134,31 @@ def covered(shard: Shard, window: int) -> pa.RecordBatch:
         again = np.zeros(len(at), bool)
         again[order[1:]] |= equal
         again[order[:-1]] |= equal
-        doc = np.repeat(some, windows[some])
-        part, docs = at[again], doc[again]
+        part, docs = at[again], np.repeat(some, windows[some])[again]
         if len(part):
             new = np.flatnonzero(np.append(True, (part[1:] != part[:-1] + 1) | (docs[1:] != docs[:-1])))
             found = repeated(data, part[new], np.diff(np.append(new, len(part))), window)
-            begin = np.cumsum(windows) - windows
-            hit[(begin[docs] + part - first[docs])[found]] = True
-    begin = np.cumsum(windows) - windows
-    rows = ragged(begin[shard.text], shard.windows)
-    of = np.repeat(np.arange(len(shard.text)), shard.windows)
-    keep = np.flatnonzero(hit[rows])
-    return stretches(shard, of[keep], rows[keep] - begin[shard.text[of[keep]]], window)
+            docs, offset = docs[found], (part - first[docs])[found]
+            np.minimum.at(low, docs, offset)
+            np.maximum.at(high, docs, offset)
+    hit = np.flatnonzero(high >= 0)
+    return hit, low[hit], high[hit]
+
+
+def content_shards(batches, limit: int):
+    """Distinct fragments in order of their keys, in lists of about ``limit`` bytes cut between keys."""
+    held, size, before = ([], [], [], []), 0, None
+    for b in batches:
+        columns = b["key"].to_pylist(), b["digest"].to_pylist(), b["several"].to_pylist(), b["data"].to_pylist()
+        for row in zip(*columns):
+            if size >= limit and row[0] != before:
+                yield held
+                held, size = ([], [], [], []), 0
+            for column, value in zip(held, row):
+                column.append(value)
+            before, size = row[0], size + len(row[3])
+    if held[0]:
+        yield held
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,19 +172,30 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
     empty result; texts are always taken whole, other columns are not read.
 
     A shard has about SHARD_BYTES of distinct fragments, unless one anchor alone
-    has more of them; copies are collapsed as they stream in.
+    has more of them.  Copies never reach a shard: they are counted by aggregation,
+    and a join deals what was found to their places, a hot content to several tasks.
     """
     if length <= GRAM:
         raise ValueError(f"strings have more than {GRAM} bytes")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fragments = repeated_fragments(rows, byte_runs(length), across=False)
+    fragments = staged(repeated_fragments(rows, byte_runs(length), across=False).select(
+        "key", "id", "start", "data", F.unhex(F.sha2("data", 256)).alias("digest")), "fragments")
+    # a row that is repeated is the same place
+    contents = fragments.groupBy("key", "digest", "data").agg(
+        ((F.min("id") < F.max("id")) | (F.min("start") < F.max("start"))).alias("several"))
 
     def judge(batches):
-        for shard in shards(batches, SHARD_BYTES, split=False):
-            yield covered(shard, length)
-
-    spans = staged(fragments.repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(
-        judge, "id long, start long, stop long"), "spans")
+        for keys, digests, several, texts in content_shards(batches, SHARD_BYTES):
+            hit, low, high = judged(np.array(keys, np.int64), np.array(several, bool), texts, length)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([keys[i] for i in hit], pa.int64()), pa.array([digests[i] for i in hit], pa.binary()),
+                 pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["key", "digest", "low", "high"])
+
+    found = staged(contents.repartition("key").sortWithinPartitions("key").mapInArrow(
+        judge, "key long, digest binary, low long, high long"), "found")
+    # of a content with many places, the join's skewed partition is split
+    spans = fragments.select("key", "digest", "id", "start").join(found.hint("merge"), ["key", "digest"]).select(
+        "id", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high") + length).alias("stop"))
     joined = rows.join(spans_by_document(spans), "id", "left").select("id", "text", "spans")
 
     def apply(batches):
