@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.bpe_codec import round_trip
+from vellum.llm.hard_negatives import finite_integers, hard_negatives
 from vellum.llm.jaccard_join import jaccard_classes
 from vellum.llm.language_id import fit_language_model, identify_languages
 from vellum.llm.near_dup_vectors import near_duplicate_vectors
 from vellum.llm.packing import pack
+from vellum.llm.quality_rules import BASE, POLICIES, ledger, mask, verdicts
+from vellum.llm.run_detection import periodic_runs, strongest
 from vellum.llm.sharding import shuffle_to_shards
 from vellum.llm.substring_dedup import remove_repeated_windows
 from vellum.llm.suffix_dedup import remove_repeated_bytes
@@ -81,9 +84,32 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors.where("id % 20 = 0"), vectors, 20)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = verdicts(ledger(read(spark, sf_dir, "documents")), POLICIES["web"])
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (F.col("failed").bitwiseAND(mask(BASE)) != 0).alias("base_failed"), "kept", "failed")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = finite_integers(read(spark, sf_dir, "embeddings"), "vec_id", label, "embedding", 256)
+    return hard_negatives(rows, rows.where("id % 50 = 0"))
+
+
+def op13_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic_runs(read(spark, sf_dir, "documents"), planted=True).withColumn("best", strongest(F.col("runs")))
+    line = lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])
+    return runs.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_near_dup_vectors, op2_jaccard_join, op3_token_counts, op4_suffix_dedup, op5_bpe_codec, op6_sharding,
-    op7_substring_dedup, op8_packing, op9_language_id, op10_topk_search)}
+    op7_substring_dedup, op8_packing, op9_language_id, op10_topk_search, op11_quality_rules, op12_hard_negatives,
+    op13_run_detection)}
 
 #: Words of a text in DuckDB.
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -156,4 +182,37 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT
         FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_quality_rules": rf"""WITH
+t AS (SELECT doc_id, coalesce(text, '') AS t, coalesce({WORDS_SQL.format("text")}, []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+twice AS (SELECT doc_id, x FROM win GROUP BY doc_id, x HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS i FROM win SEMI JOIN twice USING (doc_id, x))
+         GROUP BY doc_id),
+ln AS (SELECT doc_id, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+             coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '[!-/:-@\[-`{{-~]')) AS punct,
+             len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS bullets,
+             len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS ellipses
+        FROM ln LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
+             + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT
+             + 16 * (2 * word_chars < 5 * n_words)::BIGINT + 32 * (word_chars > 12 * n_words)::BIGINT
+             + 64 * (100 * punct > 20 * word_chars)::BIGINT + 128 * (n_lines >= 3 AND 10 * bullets > 9 * n_lines)::BIGINT
+             + 256 * (n_lines >= 3 AND 10 * ellipses > 3 * n_lines)::BIGINT)::BIGINT AS failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, failed & 3 <> 0 AS base_failed,
+       NOT (failed & 71 <> 0 OR bit_count(failed & 440) > 1) AS kept, failed FROM f""",
+    "op12_hard_negatives": """WITH
+v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+       WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)::INTEGER AS rank,
+       n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+  FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 3""",
 }
