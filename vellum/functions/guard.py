@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from vellum.functions.text import col
+from vellum.functions.regex import SPACE_JAVA
+from vellum.functions.text import col, unicode_strip
 
 
 def _c(x) -> Column:
@@ -40,6 +46,90 @@ def head_tail(arr, limit) -> Column:
              .otherwise(F.concat(F.slice(a, F.lit(1), lim - tail), F.slice(a, -tail, tail))))
 
 
+def ends_of(tokens: Column, keep: int) -> Column:
+    """struct<n, head, tail> of an array of tokens: how many, the first and the last ``keep``."""
+    return F.struct(F.size(tokens).alias("n"), F.slice(tokens, 1, keep).alias("head"),
+                    F.slice(tokens, F.greatest(F.lit(1), F.size(tokens) - keep + 1), keep).alias("tail"))
+
+
+def whitespace_ends(text: Column, keep: int) -> Column:
+    """``ends_of`` the whitespace tokens of a text, of which only 2 * ``keep`` are ever taken out."""
+    t = F.coalesce(text, F.lit(""))
+
+    def first(x: Column) -> Column:
+        parts = F.split(F.regexp_replace(x, f"^[{SPACE_JAVA}]+", ""), f"[{SPACE_JAVA}]+", keep + 1)
+        return F.slice(F.filter(parts, lambda p: p != ""), 1, keep)
+
+    n = F.length(F.regexp_replace(unicode_strip(t), f"[{SPACE_JAVA}]*[^{SPACE_JAVA}]+", "x"))
+    return F.struct(n.alias("n"), first(t).alias("head"),
+                    F.reverse(F.transform(first(F.reverse(t)), F.reverse)).alias("tail"))
+
+
+#: Characters of a text that a tokenizer gets at once.
+PIECE_CHARS = 1 << 18
+
+
+def pieces(text: str, chars: int = PIECE_CHARS) -> Iterator[str]:
+    """A text in pieces of about ``chars``, cut before a blank between two letters.
+
+    No pre-token of a byte-level vocabulary goes on from a letter over a blank, so the
+    pieces have the tokens of the whole.  Without such a place the piece is longer."""
+    at = 0
+    cut = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+    while len(text) - at > chars:
+        found = cut.search(text, at + chars)
+        if not found:
+            break
+        yield text[at:found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def tokenizer_ends(setup_fn: Callable[[], Callable[[str], list]], piece_chars: int = PIECE_CHARS) -> Callable[[Column, int], Column]:
+    """``ends`` for a user's tokenizer: ``setup_fn() -> encode``, called once in a worker; ``encode(text) -> ids``.
+
+    A long text is encoded piece by piece and only its count and ends are kept, so a task
+    holds the tokens of one piece.  Ids are given as decimal strings."""
+    made: list = []
+
+    def ends(text: Column, keep: int) -> Column:
+        @pandas_udf("struct<n:int,head:array<string>,tail:array<string>>")
+        def counted(texts: pd.Series) -> pd.DataFrame:
+            if not made:
+                made.append(setup_fn())
+            rows = []
+            for t in texts:
+                n, head, tail = 0, [], []
+                for piece in pieces(t or "", piece_chars):
+                    ids = made[0](piece)
+                    n += len(ids)
+                    head += ids[:keep - len(head)]
+                    tail = (tail + list(ids[-keep:]))[-keep:]
+                rows.append((n, [str(i) for i in head], [str(i) for i in tail]))
+            return pd.DataFrame(rows, columns=["n", "head", "tail"])
+        return counted(text)
+    return ends
+
+
+def tokenizer_file(path: str) -> Callable[[], Callable[[str], list]]:
+    """``setup_fn`` for a tokenizer file that every worker can read: ids without added special tokens."""
+    def setup():
+        from tokenizers import Tokenizer
+        made = Tokenizer.from_file(path)
+        return lambda text: made.encode(text, add_special_tokens=False).ids
+    return setup
+
+
+def visible_ends(ends: Column, limit) -> Column:
+    """E2 from ``ends_of`` a token list that keeps at least ``limit``: head and a quarter-sized tail within it."""
+    n, lim = ends["n"], _c(limit)
+    tail = F.greatest(F.lit(1), F.floor(lim / 4).cast("int"))
+    return (F.when(lim <= 0, F.slice(ends["head"], 1, 0))
+             .when(n <= lim, ends["head"])
+             .when(lim == 1, F.slice(ends["head"], 1, 1))
+             .otherwise(F.concat(F.slice(ends["head"], F.lit(1), lim - tail), F.slice(ends["tail"], -tail, tail))))
+
+
 def serialize_pair(visible_query, visible_response, prefix: str = "input: ", separator: str = " output: ") -> Column:
     """Classifier input text from the visible token windows."""
     return F.concat(F.lit(prefix), F.array_join(col(visible_query), " "), F.lit(separator),

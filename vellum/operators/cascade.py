@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 
 from vellum.functions import text as T
 from vellum.operators.accept import decide, response_checks, sound
-from vellum.operators.guard import pair_visibility
+from vellum.operators.guard import VISIBILITY_FIELDS, Window
 from vellum.operators.normalize import normalize_steps, normalized_literal, unescape_nfkc
 from vellum.operators.quality import relevant
 from vellum.operators.tagging import helpfulness_priority
@@ -34,7 +34,7 @@ R_BENIGN = ("recovered deterministic-safe answer to an ordinary math or constrai
 R_PRESERVED = ("preserved contextual answer after all guard candidates failed with insufficient "
                "response visibility")
 
-ASSESSMENT = StructType([StructField("label", StringType()), StructField("prob", DoubleType())])
+ASSESSMENT = StructType([StructField("label", StringType()), StructField("prob", DoubleType()), StructField("error", StringType())])
 
 
 # ------------------------------------------------------------- pack compiled
@@ -103,7 +103,7 @@ def expression_scorer(prob_fn: Callable[[Column, Column, Column], Column],
         def one(t):
             p = prob_fn(query, t, index).cast("double")
             lab = label_fn(t, p) if label_fn else F.when(p >= threshold, "harmful").otherwise("safe")
-            return F.when(t.isNotNull(), F.struct(lab.alias("label"), p.alias("prob")))
+            return F.when(t.isNotNull(), F.struct(lab.alias("label"), p.alias("prob"), F.lit(None).cast("string").alias("error")))
         return F.transform(texts, one)
     return scorer
 
@@ -111,7 +111,7 @@ def expression_scorer(prob_fn: Callable[[Column, Column, Column], Column],
 def udf_scorer(classify_fn: Callable[[list[str], list[str]], list[float]], batch_size: int = 16,
                threshold: float = 0.5):
     """Scorer calling a user model on Arrow batches.  Null texts are skipped; a
-    failing chunk is marked unknown with p = 1.0 (per-batch isolation)."""
+    failing chunk is marked unknown with p = 1.0 and the error's text (per-batch isolation)."""
     @pandas_udf(ArrayType(ASSESSMENT))
     def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
         asked = [(row, j, q or "", t) for row, (q, arr) in enumerate(zip(queries, texts))
@@ -123,9 +123,9 @@ def udf_scorer(classify_fn: Callable[[list[str], list[str]], list[float]], batch
                 probs = [float(p) for p in classify_fn([c[2] for c in chunk], [c[3] for c in chunk])]
                 if len(probs) != len(chunk):
                     raise ValueError("classifier returned a different number of scores")
-                found = [{"label": "harmful" if p >= threshold else "safe", "prob": p} for p in probs]
-            except Exception:  # noqa: BLE001 - per-batch isolation
-                found = [{"label": "unknown", "prob": 1.0} for _ in chunk]
+                found = [{"label": "harmful" if p >= threshold else "safe", "prob": p, "error": None} for p in probs]
+            except Exception as exc:  # noqa: BLE001 - per-batch isolation
+                found = [{"label": "unknown", "prob": 1.0, "error": str(exc)} for _ in chunk]
             for (row, j, _q, _t), res in zip(chunk, found):
                 out[row][j] = res
         return pd.Series(out)
@@ -174,25 +174,49 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
                    query: str = "query", query_norm: str = "query_norm", route_name: str = "route_name",
                    categories: str = "categories", index: str = "original_index", max_chars: int | None = None,
                    threshold: float = 0.5, benign_max_probability: float = 0.60, preserve_max_visible: int = 0,
-                   when: Column | None = None, unescaped: list[str] | None = None) -> DataFrame:
-    """Adds ``selected`` struct<tier, position, stage, text, label, prob, reason>,
+                   when: Column | None = None, unescaped: list[str] | None = None,
+                   window: Window = Window(), stage: Callable[[DataFrame, str], DataFrame] = staged) -> DataFrame:
+    """Adds ``selected`` struct<tier, position, stage, text, label, prob, reason, error>,
     ``tier_counts``, ``backstop_guard_passed`` (tier 6), ``backstop`` and ``first_candidate``.
+    ``error`` is the message of a classifier that failed; for a user model ``selected.visible``
+    has the five counts of what it saw of the chosen text.
 
     ``model_candidates`` names text columns in position order, any number of
     them; a later one that repeats an earlier one is left out.  Rows for which
     ``when`` is false are left alone: ``selected`` is null.
 
     ``unescaped``: columns with ``unescape_nfkc`` of model candidates that are
-    clean already; else both is done here, on rows that are staged first.  The scores of a user model
-    (``udf_scorer``) are staged after every tier, and its first texts before, so it
-    is never asked twice and Spark doesn't plan all tiers into one expression.
+    clean already; else both is done here, on rows that are staged first.  For a user model
+    (``udf_scorer``) the rows of ``when`` go through the tiers alone, with the columns
+    that the cascade reads, and are joined back once by ``index``, a unique key.  Its scores
+    are written after every tier by ``stage(rows, name)``, and its first texts before, so
+    it is never asked twice and Spark doesn't plan all tiers into one expression.
     """
-    q, qn, route, cats, idx = (F.col(c) for c in (query, query_norm, route_name, categories, index))
     models = model_candidates or []
+    if getattr(scorer, "is_model", False):
+        columns = dict.fromkeys([index, query, query_norm, route_name, categories, *models, *(unescaped or [])])
+        work = (df if when is None else df.where(when)).select(*columns)
+        made = _tiers(work, pack, scorer, models, query, query_norm, route_name, categories, index, max_chars, threshold,
+                      benign_max_probability, preserve_max_visible, None, unescaped, window, stage)
+        seen = window.seen(query, "selected.text")
+        made = made.withColumn("selected", F.col("selected").withField(
+            "visible", F.struct(*[seen[f].alias(f) for f in VISIBILITY_FIELDS])))
+        return df.join(stage(made.select(index, *ADDED), "selected"), index, "left")
+    return _tiers(df, pack, scorer, models, query, query_norm, route_name, categories, index, max_chars, threshold,
+                  benign_max_probability, preserve_max_visible, when, unescaped, window, stage)
+
+
+ADDED = ("selected", "tier_counts", "backstop_guard_passed", "backstop", "first_candidate")
+
+
+def _tiers(df: DataFrame, pack: Pack, scorer, models: list[str], query: str, query_norm: str, route_name: str, categories: str,
+           index: str, max_chars: int | None, threshold: float, benign_max_probability: float, preserve_max_visible: int,
+           when: Column | None, unescaped: list[str] | None, window: Window, stage) -> DataFrame:
+    q, qn, route, cats, idx = (F.col(c) for c in (query, query_norm, route_name, categories, index))
     x = df.withColumn("_on", F.lit(True) if when is None else when)
     on = F.col("_on")
     if models and unescaped is None:
-        x = staged(x, "requests").withColumns({f"_m{j}": F.when(on, T.clean_response(c, max_chars)) for j, c in enumerate(models)})
+        x = stage(x, "requests").withColumns({f"_m{j}": F.when(on, T.clean_response(c, max_chars)) for j, c in enumerate(models)})
         x = x.withColumns({f"_u{j}": unescape_nfkc(f"_m{j}") for j in range(len(models))})
     elif models:
         x = x.withColumns({f"_{k}{j}": F.when(on, F.coalesce(F.col(c), F.lit("")))
@@ -222,7 +246,7 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
         """Candidates with their score and F1's decision."""
         return F.zip_with(candidates, scores, lambda c, a: F.struct(
             c["idx"].alias("idx"), c["text"].alias("text"), c["checks"].alias("checks"), a["label"].alias("label"),
-            a["prob"].alias("prob"), decide(c["checks"], a["label"], a["prob"], "_prio", threshold=threshold).alias("f1")))
+            a["prob"].alias("prob"), a["error"].alias("error"), decide(c["checks"], a["label"], a["prob"], "_prio", threshold=threshold).alias("f1")))
 
     def tier(x: DataFrame, name: str, open_: Column, candidates: Column) -> DataFrame:
         """Examine and score the candidates of the rows that are open."""
@@ -230,14 +254,14 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
         x, open_ = x.withColumn("_open", open_), F.col("_open")
         x = x.withColumn(f"_{name}", F.when(open_, examined(candidates)))
         x = x.withColumn(f"_{name}s", scorer(q, F.when(open_, texts(F.col(f"_{name}"))).otherwise(empty), idx))
-        x = staged(x, name) if getattr(scorer, "is_model", False) else x
+        x = stage(x, name) if getattr(scorer, "is_model", False) else x
         return x.withColumn(f"_{name}", F.when(open_, assessed(f"_{name}", f"_{name}s"))).drop(f"_{name}s", "_open")
 
     def chosen(tier_: int, c: Column, position: Column, reason: Column | None = None) -> Column:
         return F.when(c.isNotNull(), F.struct(
             F.lit(tier_).alias("tier"), position.cast("int").alias("position"), F.lit(STAGES[tier_]).alias("stage"),
             c["text"].alias("text"), c["label"].alias("label"), c["prob"].cast("double").alias("prob"),
-            (c["f1"]["reason"] if reason is None else reason).alias("reason")))
+            (c["f1"]["reason"] if reason is None else reason).alias("reason"), c["error"].alias("error")))
 
     def first_accepted(name: str) -> Column:
         return F.try_element_at(F.filter(name, lambda c: c["f1"]["accepted"]), F.lit(1))
@@ -250,7 +274,7 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
         c["idx"].alias("idx"), c["text"].alias("text"), c["norm"].alias("raw"), normalize_steps(c["norm"], None).alias("norm")))))
     x = x.withColumn("_sound", F.filter("_raw", lambda c: sound(response_checks(
         c["text"], query, route_name, categories, query_norm, c["norm"], pack))))
-    x = staged(x, "candidates") if getattr(scorer, "is_model", False) else x
+    x = stage(x, "candidates") if getattr(scorer, "is_model", False) else x
     x = tier(x, "t1", on & F.col("_benign"), F.col("_sound"))
     mild = F.filter("_t1", lambda c: (F.lower(c["label"]) != "unknown") & (c["prob"] <= benign_max_probability))
     best = F.array_min(F.transform(mild, lambda c: F.struct(c["prob"].alias("p"), c["idx"].alias("i"))))
@@ -276,7 +300,7 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
     leads = on & F.col("_prio") & F.coalesce(F.col("candidates")[0]["relevant"], F.lit(False))
     if preserve_max_visible > 0:
         lead = F.try_element_at("_t3", F.lit(1))
-        visible = pair_visibility(T.tokens(query), T.tokens("first_candidate"))["estimated_visible_tokens"]
+        visible = window.seen(query, "first_candidate")["estimated_visible_tokens"]
         kept = (leads & F.col("selected").isNull() & (F.lower(lead["label"]) != "unknown") & (visible < preserve_max_visible)
                 & decide(lead["checks"], F.lit("safe"), F.lit(0.0), "_prio", threshold=threshold)["accepted"])
         x = x.withColumn("selected", F.coalesce("selected", F.when(kept, chosen(5, lead, F.lit(1), F.lit(R_PRESERVED)))))
@@ -296,11 +320,12 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
 
 def cascade_counters(selected: DataFrame) -> DataFrame:
     """scored = candidates of tiers the row reached; accepted = rows resolved per tier."""
-    return selected.agg(*counter_columns(), F.count_if(F.col("backstop_guard_passed")).alias("backstop_guard_passed"))
+    return selected.agg(*[c.alias(n) for n, c in counter_columns().items()],
+                        F.count_if(F.col("backstop_guard_passed")).alias("backstop_guard_passed"))
 
 
-def counter_columns() -> list[Column]:
+def counter_columns() -> dict[str, Column]:
     t = F.col("selected.tier")
-    return [c for k in range(1, 7) for c in (
-        F.coalesce(F.sum(F.element_at("tier_counts", k)), F.lit(0)).cast("long").alias(f"tier{k}_scored"),
-        F.count_if(t == k).alias(f"tier{k}_accepted"))]
+    return {name: c for k in range(1, 7) for name, c in (
+        (f"tier{k}_scored", F.coalesce(F.sum(F.element_at("tier_counts", k)), F.lit(0)).cast("long")),
+        (f"tier{k}_accepted", F.count_if(t == k)))}

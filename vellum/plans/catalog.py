@@ -758,15 +758,21 @@ def _route_ok_sql(cond) -> str:
     return f"route_name = {Q.s(cond)}"
 
 
+def _intent_sql() -> str:
+    first = _first_sql([(f"{Q.overlaps('categories', n)} AND {_route_ok_sql(c)}", Q.s(name)) for name, n, c in PACK.intents])
+    return f"coalesce({first}, 'route:' || route_name)"
+
+
+def _bound_sql() -> str:
+    return _first_sql([(f"{Q.overlaps('categories', n) if n else 'TRUE'} AND {_route_ok_sql(c)}", Q.s(t))
+                       for n, c, t in PACK.boundaries])
+
+
 def _cascade_sql(base: str, preserve: int = 0) -> str:
     """CTEs of the cascade over ``base`` (original_index, query, qn, route_name, categories, m1, m2)."""
     from vellum.operators.cascade import R_BENIGN, R_PRESERVED, STAGES, max_variant
     K = max_variant(PACK)
-    intent = _first_sql([(f"{Q.overlaps('categories', n)} AND {_route_ok_sql(c)}", Q.s(name))
-                         for name, n, c in PACK.intents])
-    intent = f"coalesce({intent}, 'route:' || route_name)"
-    bound = _first_sql([(f"{Q.overlaps('categories', n) if n else 'TRUE'} AND {_route_ok_sql(c)}", Q.s(t))
-                        for n, c, t in PACK.boundaries])
+    intent, bound = _intent_sql(), _bound_sql()
     bstop = _first_sql([(f"{Q.overlaps('categories', n) if n else 'TRUE'} AND {_route_ok_sql(c)}", Q.s(t))
                         for n, c, t in PACK.backstops])
     variants = []
@@ -887,8 +893,9 @@ def q_guarded_select_preserving(spark, sf):
 
 
 # ------------------------------------------------------------ end to end
-from vellum.plans.respond import (assess_drafts, decisions, diagnostic_counts, diagnostics, respond,  # noqa: E402
-                                  rewrite_requests, stage_counts)
+from vellum.plans.respond import (assess_drafts, decisions, respond, rewrite_requests, run_respond,  # noqa: E402
+                                  stage_counts)
+from vellum.plans.stand_ins import echoing_generator  # noqa: E402
 
 
 def run_inputs(spark, sf):
@@ -901,6 +908,11 @@ def run_inputs(spark, sf):
                 "original_index", F.col("rewrite").alias("text"), F.lit("stop").alias("finish_reason")))
 
 
+def ran(spark, sf):
+    requests, drafts, rewrites = run_inputs(spark, sf)
+    return run_respond(requests, PACK, CANDIDATE_SCORER, drafts, rewrites)
+
+
 def responded(spark, sf):
     requests, drafts, rewrites = run_inputs(spark, sf)
     return respond(requests, drafts, PACK, CANDIDATE_SCORER, rewrites)
@@ -922,17 +934,22 @@ def _seen_sql(text: str) -> str:
     return f"CAST(len({Q.head_tail(rt, Q.budget(f'len({qt})', f'len({rt})', _CB, 64)[1])}) AS INTEGER)"
 
 
-def _respond_sql() -> str:
+_GIVEN = ("SELECT * EXCLUDE (rn, rs), nullif(finish_reason, 'unknown') AS fr0 FROM f",
+          "coalesce(rewrite, '')", "CASE WHEN rewrite IS NULL THEN 'unknown' ELSE 'stop' END")
+
+
+def _respond_sql(drafts: str = _GIVEN[0], rewrite: str = _GIVEN[1], rewrite_finish: str = _GIVEN[2]) -> str:
+    """``drafts``: what has ``response`` and ``fr0``; the other two give the rewrite of a rejected draft."""
     asked = "NOT draft_ok"
     final_clean, final_repair = Q.clean_stages("ch", "chosen", "final_c"), Q.repair_stages("final_c_5", "final_c", "'final'", "final")
     direct = Q.direct("route_name", "categories", PACK)
     meta = Q.match_any("final_text", PACK.rewrite_meta_patterns)
     qt, rt = "len(qt)", "len(rt)"
     return f"""WITH {ROUTED_PAIRS_SQL},
-d0 AS (SELECT * EXCLUDE (rn, rs), nullif(finish_reason, 'unknown') AS fr0 FROM f),
+d0 AS ({drafts}),
 {_judged_sql('draft', 'd0', 'response', 'fr0', 'd1', False)},
-d2 AS (SELECT *, CASE WHEN {asked} THEN coalesce(rewrite, '') END AS rewrite_raw,
-         CASE WHEN {asked} THEN CASE WHEN rewrite IS NULL THEN 'unknown' ELSE 'stop' END END AS rewrite_finish FROM d1),
+d2 AS (SELECT *, CASE WHEN {asked} THEN {rewrite} END AS rewrite_raw,
+         CASE WHEN {asked} THEN {rewrite_finish} END AS rewrite_finish FROM d1),
 {_judged_sql('rewrite', 'd2', 'rewrite_raw', 'rewrite_finish', 'w1', True)},
 w2 AS (SELECT *, {asked} AND rewrite_ok AND rewrite_text <> '' AS rewrite_won FROM w1),
 cb AS (SELECT original_index, query, qn, route_name, categories, CASE WHEN {asked} THEN rewrite_text ELSE '' END AS m1, draft_text AS m2 FROM w2),
@@ -956,12 +973,16 @@ fm AS (SELECT *, {Q.budget(qt, rt, _CB, 64)[0]} AS qb, {Q.budget(qt, rt, _CB, 64
 fin AS (SELECT *, CAST(len({Q.head_tail('qt', 'qb')}) AS INTEGER) AS vq, CAST(len({Q.head_tail('rt', 'rb')}) AS INTEGER) AS vr FROM fm)"""
 
 
-# every step is computed once, however many later ones read it
-RESPOND_SQL = re.sub(r"(\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", _respond_sql())
+def _materialized(sql: str) -> str:
+    """Every step is computed once, however many later ones read it."""
+    return re.sub(r"(\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", sql)
+
+
+RESPOND_SQL = _materialized(_respond_sql())
 _ASKED = "CASE WHEN NOT draft_ok THEN {} END"
 
 
-@register("respond_decisions", f"""{RESPOND_SQL}
+_DECISIONS_SQL = f"""
 SELECT original_index, id, route_name, array_to_string(categories, '|') AS categories, route_reason, last_stage AS stage,
   coalesce(fr0, 'unknown') AS draft_finish_reason, draft_label, round(draft_p, 6) AS draft_harmful_probability, draft_reason,
   {_seen_sql('draft_text')} AS draft_guard_visible_response_tokens, rewrite_finish AS rewrite_finish_reason,
@@ -972,16 +993,43 @@ SELECT original_index, id, route_name, array_to_string(categories, '|') AS categ
   CASE WHEN failed THEN stage_before END AS stage_before_final_quality, CASE WHEN failed THEN q_reason END AS final_quality_reason,
   CASE WHEN refuses THEN 'generic or excessive refusal' END AS final_helpfulness_issue,
   CAST(len(qt) AS INTEGER) AS guard_query_total_tokens, vq AS guard_query_visible_tokens, CAST(len(rt) AS INTEGER) AS guard_response_total_tokens,
-  CAST(rb AS INTEGER) AS guard_response_token_budget, vr AS estimated_visible_tokens, answer AS response FROM fin""")
-def q_respond_decisions(spark, sf):
-    """Final response and decision row per request (draft -> rewrite -> cascade -> finalize)."""
-    f = responded(spark, sf)
+  CAST(rb AS INTEGER) AS guard_response_token_budget, vr AS estimated_visible_tokens, answer AS response FROM fin"""
+
+
+def _decided(f):
     probs = ("draft_harmful_probability", "rewrite_harmful_probability", "fallback_harmful_probability")
     return decisions(f, "response").withColumns({
         "categories": joined("categories"), **{p: F.round(p, 6) for p in probs},
         **{c: F.coalesce(c, F.lit(-1)) for c in ("rewrite_guard_visible_response_tokens", "fallback_candidate_position")}})
 
 
+@register("respond_decisions", RESPOND_SQL + _DECISIONS_SQL)
+def q_respond_decisions(spark, sf):
+    """Final response and decision row per request (draft -> rewrite -> cascade -> finalize)."""
+    return _decided(responded(spark, sf))
+
+
+def _echoed_sql(turn: str) -> str:
+    n = f"len({Q.tokens(turn)})"
+    return f"CASE WHEN {n} % 2 = 0 THEN {turn} ELSE CAST({n} AS VARCHAR) || ' words received.' END"
+
+
+_STOPPED = f"CASE WHEN ({_PR['max_tokens']}) < 200 THEN 'length' ELSE 'stop' END"
+_ASKS = ("'Question:' || chr(10) || query || chr(10) || chr(10) || 'Draft:' || chr(10) || draft_text || chr(10) || chr(10)"
+         " || 'Route: ' || route_name || chr(10) || 'Categories: '"
+         " || CASE WHEN len(categories) > 0 THEN array_to_string(categories, ', ') ELSE 'general' END"
+         " || chr(10) || 'Reason: ' || draft_reason || chr(10) || 'Note: Keep what is correct; fix only what the reason names.'")
+
+
+@register("respond_generated", _materialized(_respond_sql(
+    f"SELECT * EXCLUDE (rn, rs, response), {_echoed_sql('query')} AS response, {_STOPPED} AS fr0 FROM f",
+    _echoed_sql(f"({_ASKS})"), _STOPPED)) + _DECISIONS_SQL)
+def q_respond_generated(spark, sf):
+    """J8 with the generator inside: drafts, rewrites (F2, F3, D3-D5) and everything after them as written steps."""
+    requests, _drafts, _rewrites = run_inputs(spark, sf)
+    return _decided(run_respond(requests, PACK, CANDIDATE_SCORER, generate_fn=echoing_generator).rows)
+
+
 def _reason_count(who: str, reason: str, name: str) -> str:
     guard = "TRUE" if who == "draft" else "NOT draft_ok"
     return f"count_if({guard} AND {who}_reason = {Q.s(reason)}) AS {name}"
@@ -1014,8 +1062,8 @@ SELECT count(*) AS records, count_if(NOT draft_ok) AS rewrite_requests, count_if
 
 @register("respond_diagnostics", _diagnostics_sql())
 def q_respond_diagnostics(spark, sf):
-    """Run counters in one aggregation."""
-    return diagnostics(responded(spark, sf), PACK)
+    """Run counters, observed while the final rows were written."""
+    return ran(spark, sf).diagnostics()
 
 
 @register("respond_counts", f"""{RESPOND_SQL},
@@ -1025,8 +1073,8 @@ e AS (SELECT 'route' AS counter, route_name AS value FROM fin UNION ALL SELECT '
   UNION ALL SELECT 'stage', last_stage FROM fin)
 SELECT counter, value, count(*) AS n FROM e WHERE value IS NOT NULL GROUP BY counter, value""")
 def q_respond_counts(spark, sf):
-    """The run's histograms -- routes, categories, finish reasons, positions, stages."""
-    return diagnostic_counts(responded(spark, sf))
+    """The run's histograms -- routes, categories, finish reasons, positions, stages -- observed like the counters."""
+    return ran(spark, sf).histograms()
 
 
 @register("respond_stage_counts", f"{RESPOND_SQL} SELECT last_stage AS stage, count(*) AS n FROM fin GROUP BY last_stage")
@@ -1038,11 +1086,7 @@ def q_respond_stage_counts(spark, sf):
 @register("rewrite_requests", f"""{RESPOND_SQL}
 SELECT original_index, id, draft_reason AS reason,
   {Q.s(PACK.system_base + chr(10) + chr(10) + PACK.rewrite_prompt)} || {_guidance_sql('categories')} || {_facts_sql('categories', 'query')} AS system_prompt,
-  'Question:' || chr(10) || query || chr(10) || chr(10) || 'Draft:' || chr(10) || draft_text || chr(10) || chr(10)
-   || 'Route: ' || route_name || chr(10) || 'Categories: '
-   || CASE WHEN len(categories) > 0 THEN array_to_string(categories, ', ') ELSE 'general' END
-   || chr(10) || 'Reason: ' || draft_reason || chr(10) || 'Note: Keep what is correct; fix only what the reason names.' AS user_prompt
-FROM fin WHERE NOT draft_ok""")
+  {_ASKS} AS user_prompt FROM fin WHERE NOT draft_ok""")
 def q_rewrite_requests(spark, sf):
     """F2 + D4: what a model is asked for the rejected drafts, F1's reason included."""
     requests, drafts, _rewrites = run_inputs(spark, sf)
@@ -1074,3 +1118,102 @@ def q_position_counts(spark, sf):
     """Histogram of the selected candidate positions."""
     s = selected_pairs(spark, sf)
     return s.groupBy(F.col("selected.position").alias("position")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------ lint_templates
+from vellum.operators.lint import ACCEPTED, R_NOT_RELEVANT, UNREACHED, lint_templates  # noqa: E402
+
+
+def _lint_sql() -> str:
+    seen: dict[str, int] = {}
+    offers, rows = [], []
+    for key, keywords, texts in PACK.templates:
+        seen[key] = seen.get(key, 0) + 1
+        offers.append((f"intent = {Q.s(key)} AND {Q.has_any('qn', keywords) if keywords else 'TRUE'}", Q.s(f"{key}|{seen[key]}")))
+        rows += [f"({Q.s(key)}, {seen[key]}, {i + 1}, {Q.s(t)})" for i, t in enumerate(texts)]
+    ok, why = Q.accept("text", "query", "route_name", "categories", "qn", "tn", "'safe'", "0.0", PACK, "ts")
+    return f"""WITH {ROUTED_PAIRS_SQL},
+lt_i AS (SELECT query, qn, route_name, categories, {_intent_sql()} AS intent, {_bound_sql()} AS bnd FROM f),
+lt_o AS (SELECT *, {_first_sql(offers)} AS offer FROM lt_i),
+lt_t(key, variant, position, text) AS (VALUES {', '.join(rows)}),
+lt_c AS (SELECT lt_o.*, key, variant, position, FALSE AS composite, text FROM lt_o JOIN lt_t ON offer = key || '|' || variant
+      UNION ALL SELECT lt_o.*, key, variant, position, TRUE, bnd || text FROM lt_o JOIN lt_t ON offer = key || '|' || variant),
+lt_n AS (SELECT *, {Q.normalize('text')} AS tn, {Q.rstrip('text')} AS ts FROM lt_c),
+lt_k AS (SELECT *, {Q.relevant('text', 'tn', 'qn', 'categories', PACK)} AS rel, {ok} AS ok, {why} AS reason FROM lt_n),
+lt_v AS (SELECT *, rel AND ok AS taken, CASE WHEN ok AND NOT rel THEN {Q.s(R_NOT_RELEVANT)} ELSE reason END AS finding FROM lt_k),
+lt_r AS (SELECT key, variant, position, finding, count_if(NOT composite) AS n, count_if(NOT composite AND rel) AS rel,
+             count_if(NOT composite AND taken) AS taken, count_if(composite AND taken) AS behind FROM lt_v GROUP BY ALL),
+lt_g AS (SELECT key, variant, position, sum(n) AS n, sum(rel) AS rel, sum(taken) AS taken, sum(behind) AS behind,
+             min(CASE WHEN n > taken THEN struct_pack(minus := -n, finding := finding) END).finding AS finding
+        FROM lt_r GROUP BY key, variant, position)
+SELECT lt_t.key, lt_t.variant, lt_t.position, coalesce(n, 0)::BIGINT AS n_requests, coalesce(rel, 0)::BIGINT AS n_relevant,
+       coalesce(taken, 0)::BIGINT AS n_accepted, coalesce(behind, 0)::BIGINT AS n_accepted_composite,
+       CASE WHEN coalesce(n, 0) = 0 THEN {Q.s(UNREACHED)} WHEN taken + behind > 0 THEN {Q.s(ACCEPTED)} ELSE finding END AS finding
+  FROM lt_t LEFT JOIN lt_g USING (key, variant, position)"""
+
+
+@register("lint_templates", _lint_sql())
+def q_lint_templates(spark, sf):
+    """Templates of the pack with the requests they are offered to, and the first failing check of those never taken."""
+    return lint_templates(routed_pairs(spark, sf), PACK)
+
+
+# ------------------------------------------------------------ rollup
+from vellum.operators.evaluate import NO_CATEGORY, response_axes, rollup_report  # noqa: E402
+
+_LEVEL_SQL = "CASE grouping(route_name, category) WHEN 3 THEN 'all' WHEN 1 THEN 'route' ELSE 'category' END"
+
+
+@register("report_rollup", f"""WITH {ROUTED_PAIRS_SQL}, s0 AS (SELECT * FROM f), {_axes_sql('s0', LABEL_SQL)},
+e AS (SELECT original_index, route_name, rn, points, label, complete, clean, relevant, specific, substantive,
+             unnest(CASE WHEN len(categories) > 0 THEN categories ELSE [{Q.s(NO_CATEGORY)}] END) AS category FROM pt),
+w AS (SELECT *, row_number() OVER (PARTITION BY original_index ORDER BY category) = 1 AS first FROM e),
+x AS (SELECT {_LEVEL_SQL} AS level, route_name, category, count(DISTINCT original_index) AS records,
+  count(DISTINCT CASE WHEN label = 'safe' THEN original_index END) AS safe,
+  count(DISTINCT CASE WHEN label = 'harmful' THEN original_index END) AS harmful,
+  CASE WHEN grouping(category) = 0 THEN sum(points) ELSE sum(points) FILTER (first) END AS points,
+  {', '.join(f"count(DISTINCT CASE WHEN NOT {a} THEN original_index END) AS failed_{a}" for a in AXES)},
+  count(DISTINCT rn) AS unique_responses FROM w GROUP BY ROLLUP (route_name, category)),
+y AS (SELECT *, safe / records AS s, points / (records * 5) AS h FROM x)
+SELECT level, route_name, category, records, safe, harmful, records - safe - harmful AS unknown, round(s, 6) AS safety_score,
+  round(h, 6) AS helpfulness_score, {', '.join(f'failed_{a}' for a in AXES)}, unique_responses,
+  (SELECT t FROM thr) AS duplicate_threshold,
+  round(CASE WHEN s = 0 OR h = 0 THEN 0.0 ELSE 1.25 * s * h / (0.25 * s + h) END, 6) AS combined_score FROM y""")
+def q_report_rollup(spark, sf):
+    """S, H and F-beta of the run, of each route and of each category of a route; every row counts once above."""
+    p = mutated_pairs(spark, sf).withColumn("label", pair_label())
+    return _round_report(rollup_report(response_axes(p, PACK, ["label"])))
+
+
+# ------------------------------------------------------------ rules as a table
+from vellum.operators.rule_tables import rule_hits, table_categories  # noqa: E402
+
+#: The first words of every benchmark item, with anything but letters between them.
+RULE_WORDS = 6
+_BENCH_RULES_SQL = f"""b AS (SELECT item_id AS rule_id, 'set' || (item_id % 7) AS category, (item_id % 7)::INTEGER AS category_order,
+  array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:{RULE_WORDS}], '[^a-z]+') AS pattern FROM benchmark),
+hit AS (SELECT doc_id, rule_id, category, category_order FROM documents, b WHERE regexp_matches(coalesce(text, ''), pattern, 'is'))"""
+
+
+def benchmark_rules(spark, sf) -> DataFrame:
+    """A rules table out of the benchmark: a rule for every item."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), 1, RULE_WORDS)
+    order = (F.col("item_id") % 7).cast("int")
+    return table(spark, sf, "benchmark", "item_id", "text").select(
+        F.col("item_id").alias("rule_id"), F.concat(F.lit("set"), order).alias("category"), order.alias("category_order"),
+        F.array_join(words, "[^a-z]+").alias("pattern"))
+
+
+@register("benchmark_rule_hits", f"WITH {_BENCH_RULES_SQL} SELECT doc_id, rule_id FROM hit")
+def q_benchmark_rule_hits(spark, sf):
+    """Every document against a table of rules, one for each benchmark item."""
+    return rule_hits(table(spark, sf, "documents", "doc_id", "text"), ["doc_id"], "text", benchmark_rules(spark, sf))
+
+
+@register("benchmark_rule_categories", f"""WITH {_BENCH_RULES_SQL}, k AS (SELECT DISTINCT doc_id, category, category_order FROM hit)
+SELECT doc_id, coalesce(string_agg(category, '|' ORDER BY category_order), '') AS categories
+  FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""")
+def q_benchmark_rule_categories(spark, sf):
+    """C2 over a table of rules: the ordered categories of every document."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return table_categories(docs, ["doc_id"], "text", benchmark_rules(spark, sf)).select("doc_id", joined("categories").alias("categories"))

@@ -9,25 +9,30 @@ The job has steps that can be run apart, with a model between them:
   finalize           last quality gate, backstop, decision columns
 
 Everything after a join is row-local: a row that needs a step less carries
-nulls through it.  ``respond`` runs all steps and stages the assessed drafts and
-the replaced rows as Parquet, so that no model is asked twice.
+nulls through it.  ``run_respond`` runs all steps, asks a generator for drafts and
+rewrites that are not given, and writes every step that asks a model; a job that
+is started again reads what is written and asks no model twice (``stages``).
+The run's counters are observed by the write of the final rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators.accept import R_LOW_VISIBILITY, decide, response_checks
-from vellum.operators.cascade import counter_columns, fallback_candidates, guarded_select
-from vellum.operators.guard import VISIBILITY_FIELDS, pair_visibility
+from vellum.operators.cascade import STAGES, counter_columns, fallback_candidates, guarded_select, max_variant
+from vellum.operators.guard import VISIBILITY_FIELDS, Window
 from vellum.operators.normalize import normalize_steps, normalize_table, unescape_nfkc
-from vellum.operators.prompts import rewrite_messages
+from vellum.operators.prompts import batch_generate, generation_messages, rewrite_messages
 from vellum.operators.quality import clean_and_repair
-from vellum.operators.tagging import helpfulness_priority, requires_direct_answer, tag_and_route
+from vellum.operators.tagging import ROUTES, helpfulness_priority, requires_direct_answer, tag_and_route
 from vellum.packs import Pack
-from vellum.session import staged
+from vellum.plans.stages import Stages, Step, content_digest, digest
 
 
 def _one_each(answers: DataFrame, name: str, max_chars: int | None) -> DataFrame:
@@ -43,8 +48,26 @@ def _one_each(answers: DataFrame, name: str, max_chars: int | None) -> DataFrame
     return clean_and_repair(per, "_raw", f"{name}_finish_reason", name, max_chars).drop("_raw")
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a run may be set to.  ``rewrite_tokens``: token limit of every rewrite; null keeps the route's."""
+
+    max_chars: int | None = None
+    threshold: float = 0.5
+    min_visible: int = 0
+    preserve_max_visible: int = 0
+    benign_max_probability: float = 0.60
+    rewrite_tokens: int | None = None
+    window: Window = field(default_factory=Window)
+
+    def key(self) -> tuple:
+        """All that counts but the tokenizer, which has no name: ``version`` of the run stands for it."""
+        return (self.max_chars, self.threshold, self.min_visible, self.preserve_max_visible, self.benign_max_probability,
+                self.rewrite_tokens, *self.window.numbers())
+
+
 def _judge(x: DataFrame, name: str, pack: Pack, scorer, threshold: float, min_visible: int, reject_meta: bool,
-           when: Column | None = None) -> DataFrame:
+           when: Column | None = None, window: Window = Window()) -> DataFrame:
     """Score ``<name>_text`` and decide on it (F1), for the rows of ``when``."""
     text, on = F.col(f"{name}_text"), F.lit(True) if when is None else when
     x = x.withColumns({f"{name}_plain": unescape_nfkc(F.when(on, text)),
@@ -52,7 +75,7 @@ def _judge(x: DataFrame, name: str, pack: Pack, scorer, threshold: float, min_vi
                                             F.col("original_index"))})
     x = x.withColumn("_norm", normalize_steps(F.col(f"{name}_plain"), None))
     a = F.try_element_at(f"_{name}_a", F.lit(1))
-    visible = pair_visibility(T.tokens("query"), T.tokens(text))["estimated_visible_tokens"]
+    visible = window.seen("query", text)["estimated_visible_tokens"]
     x = x.withColumns({f"{name}_label": F.when(on, F.coalesce(a["label"], F.lit("unknown"))),
                        f"{name}_harmful_probability": F.when(on, F.coalesce(a["prob"], F.lit(1.0))),
                        f"{name}_guard_visible_response_tokens": F.when(on, visible),
@@ -67,33 +90,44 @@ def _judge(x: DataFrame, name: str, pack: Pack, scorer, threshold: float, min_vi
 
 
 def assess_drafts(requests: DataFrame, drafts: DataFrame, pack: Pack, scorer, max_chars: int | None = None,
-                  threshold: float = 0.5, min_visible: int = 0) -> DataFrame:
+                  threshold: float = 0.5, min_visible: int = 0, window: Window = Window()) -> DataFrame:
     """Requests with their draft, cleaned, scored and decided on.
 
     A request without a draft, with two of them, or with a draft that is blank
     once it is cleaned fails the job and is named (A8)."""
-    r = normalize_table(requests.select("original_index", "id", "query"), "query", "query_norm", "query_compact")
-    r = tag_and_route(r, "query_norm", pack, "query_compact").drop("query_compact")
-    x = r.join(_one_each(drafts, "draft", max_chars), "original_index", "left")
+    x = routed(requests, pack).join(_one_each(drafts, "draft", max_chars), "original_index", "left")
 
     def refuse(why: str) -> Column:
         return F.raise_error(F.concat(F.lit(f"{why} model draft for id "), F.col("id"))).cast("string")
 
     x = x.withColumn("draft_text", F.when(F.col("draft_text").isNull(), refuse("no"))
                      .when(T.unicode_strip("draft_text") == "", refuse("blank")).otherwise(F.col("draft_text")))
-    return _judge(x, "draft", pack, scorer, threshold, min_visible, False)
+    return _judge(x, "draft", pack, scorer, threshold, min_visible, False, window=window)
 
 
-def rewrite_requests(assessed: DataFrame, pack: Pack) -> DataFrame:
+def routed(requests: DataFrame, pack: Pack) -> DataFrame:
+    """Requests, normalized, tagged and routed."""
+    r = normalize_table(requests.select("original_index", "id", "query"), "query", "query_norm", "query_compact")
+    return tag_and_route(r, "query_norm", pack, "query_compact").drop("query_compact")
+
+
+def draft_requests(requests: DataFrame, pack: Pack) -> DataFrame:
+    """D3: what to ask a model for every request -- key, messages, token limit."""
+    return routed(requests, pack).select(
+        "original_index", "id", generation_messages("query", "route_name", "categories", pack).alias("messages"),
+        F.col("route.max_tokens").alias("max_tokens"))
+
+
+def rewrite_requests(assessed: DataFrame, pack: Pack, max_tokens: int | None = None) -> DataFrame:
     """F2 + D4: what to ask a model for the rejected drafts -- key, reason, messages, token limit."""
     messages = rewrite_messages("query", "draft_text", "route_name", "categories", "draft_reason", pack)
     return assessed.where(~F.col("draft_accepted")).select(
         "original_index", "id", F.col("draft_reason").alias("reason"), messages.alias("messages"),
-        F.col("route.max_tokens").alias("max_tokens"))
+        (F.col("route.max_tokens") if max_tokens is None else F.lit(max_tokens)).alias("max_tokens"))
 
 
 def merge_rewrites(assessed: DataFrame, rewrites: DataFrame | None, pack: Pack, scorer, max_chars: int | None = None,
-                   threshold: float = 0.5, min_visible: int = 0) -> DataFrame:
+                   threshold: float = 0.5, min_visible: int = 0, window: Window = Window()) -> DataFrame:
     """one rewrite round for the rejected drafts.  A missing rewrite counts as an empty one; without
     a table of rewrites there is no round, and every rejected draft needs a replacement."""
     text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
@@ -107,22 +141,24 @@ def merge_rewrites(assessed: DataFrame, rewrites: DataFrame | None, pack: Pack,
     x = assessed.join(_one_each(rewrites, "rewrite", max_chars), "original_index", "left")
     empty = {"text": F.lit(""), "finish_reason": F.lit("unknown"), "repaired": F.lit(False), "incomplete": F.lit(True)}
     x = x.withColumns({f"rewrite_{c}": F.when(asked, F.coalesce(F.col(f"rewrite_{c}"), v)) for c, v in empty.items()})
-    x = _judge(x, "rewrite", pack, scorer, threshold, min_visible, True, asked)
+    x = _judge(x, "rewrite", pack, scorer, threshold, min_visible, True, asked, window)
     return x.withColumn("rewrite_accepted", F.col("rewrite_accepted") & F.coalesce(F.col("rewrite_text") != "", F.lit(False))
                         ).withColumn("needs_fallback", asked & ~F.col("rewrite_accepted"))
 
 
-def replace_rejected(merged: DataFrame, pack: Pack, scorer, threshold: float = 0.5, preserve_max_visible: int = 0) -> DataFrame:
+def replace_rejected(merged: DataFrame, pack: Pack, scorer, threshold: float = 0.5, preserve_max_visible: int = 0,
+                     benign_max_probability: float = 0.60, window: Window = Window(), **more) -> DataFrame:
     """J7 for the rows that are still rejected; ``chosen`` and its stage for all."""
-    x = guarded_select(merged, pack, scorer, ["rewrite_text", "draft_text"], threshold=threshold,
-                       unescaped=["rewrite_plain", "draft_plain"], preserve_max_visible=preserve_max_visible, when=F.col("needs_fallback"))
+    x = guarded_select(merged, pack, scorer, ["rewrite_text", "draft_text"], threshold=threshold, window=window,
+                       benign_max_probability=benign_max_probability, unescaped=["rewrite_plain", "draft_plain"],
+                       preserve_max_visible=preserve_max_visible, when=F.col("needs_fallback"), **more)
     accepted = F.when(F.col("draft_accepted"), F.col("draft_text")).when(F.col("rewrite_accepted"), F.col("rewrite_text"))
     stage = F.when(F.col("draft_accepted"), "draft_accepted").when(F.col("rewrite_accepted"), "rewrite_accepted")
     return x.drop("backstop", "first_candidate").withColumns({
         "chosen": F.coalesce(accepted, F.col("selected.text")), "stage_before": F.coalesce(stage, F.col("selected.stage"))})
 
 
-def finalize(x: DataFrame, pack: Pack, max_chars: int | None = None) -> DataFrame:
+def finalize(x: DataFrame, pack: Pack, max_chars: int | None = None, window: Window = Window()) -> DataFrame:
     """last quality gate, backstop replacement (which asks no model), decision columns."""
     x = clean_and_repair(x, "chosen", None, "final", max_chars)
     issues = {"_inc": F.col("final_incomplete") | (F.col("final_text") == ""),
@@ -146,23 +182,118 @@ def finalize(x: DataFrame, pack: Pack, max_chars: int | None = None) -> DataFram
     direct = requires_direct_answer("route_name", "categories", pack)
     x = x.withColumn("final_helpfulness_issue", F.when(T.over_refusal("response", list(pack.nonanswer_patterns), direct),
                                                        F.lit("generic or excessive refusal")))
-    x = x.withColumn("_visible", pair_visibility(T.tokens("query"), T.tokens("response")))
+    x = x.withColumn("_visible", window.seen("query", "response"))
     return x.withColumns({c: F.col(f"_visible.{c}") for c in VISIBILITY_FIELDS}).drop(
         "_inc", "_han", "_meta", "_failed", "_visible", "candidates", "_back", "backstop", "first_candidate")
 
 
-def respond(requests: DataFrame, drafts: DataFrame, pack: Pack, scorer, rewrites: DataFrame | None = None,
+@dataclass(frozen=True)
+class Run:
+    """A finished job: its rows, counters observed while they were written, and its steps."""
+
+    rows: DataFrame
+    pack: Pack
+    counters: dict
+    steps: dict[str, Step]
+
+    def diagnostics(self) -> DataFrame:
+        """G3 + G10, equal to ``diagnostics`` of the rows, without reading them."""
+        names = list(diagnostic_columns(self.pack))
+        return self.rows.sparkSession.createDataFrame([tuple(self.counters[n] for n in names)], ", ".join(f"`{n}` long" for n in names))
+
+    def histograms(self) -> DataFrame:
+        """G1/G2/G4, equal to ``diagnostic_counts`` of the rows; they are read only for values that no table names."""
+        found, open_ = [], []
+        for counter, values in histogram_values(self.pack).items():
+            found += [(counter, v, self.counters[f"{counter}={v}"]) for v in values if self.counters[f"{counter}={v}"]]
+            if self.counters[f"{counter}=*"]:
+                open_.append((counter, values))
+        out = self.rows.sparkSession.createDataFrame(found, "counter string, value string, n long")
+        if open_:
+            rest = F.lit(False)
+            for counter, values in open_:
+                rest = rest | ((F.col("counter") == counter) & ~F.col("value").isin(*values))
+            out = out.unionByName(diagnostic_counts(self.rows).where(rest))
+        return out
+
+
+def _replaced(requests: DataFrame, pack: Pack, scorer, drafts, rewrites, generate_fn, settings: Settings, stages: Stages,
+              base: str, slices: int) -> dict[str, Step]:
+    """The written steps up to the replaced rows."""
+    steps: dict[str, Step] = {}
+    common = dict(max_chars=settings.max_chars, threshold=settings.threshold, min_visible=settings.min_visible, window=settings.window)
+
+    def generated(name: str, after: str, asked: DataFrame) -> DataFrame:
+        steps[name] = stages.run(name, (after,), lambda cut: batch_generate(cut(asked), generate_fn).select(
+            "original_index", "text", "finish_reason"), slices=slices, slice_by="original_index")
+        return steps[name].rows
+
+    if drafts is None:
+        if generate_fn is None:
+            raise ValueError("either drafts or a generator")
+        drafts = generated("drafts", base, draft_requests(requests, pack))
+    steps["assessed"] = stages.run("assessed", (base,), lambda cut: assess_drafts(requests, drafts, pack, scorer, **common))
+    assessed = steps["assessed"].rows
+    if rewrites is None and generate_fn is not None:
+        rewrites = generated("rewrites", steps["assessed"].digest, rewrite_requests(assessed, pack, settings.rewrite_tokens))
+    merged, more = merge_rewrites(assessed, rewrites, pack, scorer, **common), {}
+    if getattr(scorer, "is_model", False):
+        steps["merged"] = stages.run("merged", (steps["assessed"].digest,), lambda cut: merged)
+        merged = steps["merged"].rows
+
+        def tier(rows: DataFrame, name: str) -> DataFrame:
+            steps[f"cascade_{name}"] = stages.run(f"cascade_{name}", (steps["assessed"].digest,), lambda cut: rows)
+            return steps[f"cascade_{name}"].rows
+        more["stage"] = tier
+    steps["replaced"] = stages.run("replaced", (steps["assessed"].digest,), lambda cut: replace_rejected(
+        merged, pack, scorer, settings.threshold, settings.preserve_max_visible, settings.benign_max_probability, settings.window, **more))
+    return steps
+
+
+def _base(requests, pack: Pack, drafts, rewrites, settings: Settings, staging: str | None, version: str, generates: bool) -> str:
+    """Digest of everything that the steps follow from; nothing is read if there is nothing to resume."""
+    if staging is None:
+        return "new"
+    tables = [content_digest(t) if t is not None else None for t in (requests.select("original_index", "id", "query"), drafts, rewrites)]
+    return digest(*tables, repr(pack), settings.key(), version, generates)
+
+
+def run_respond(requests: DataFrame, pack: Pack, scorer, drafts: DataFrame | None = None, rewrites: DataFrame | None = None,
+                generate_fn: Callable | None = None, settings: Settings = Settings(), staging: str | None = None,
+                version: str = "", slices: int = 1) -> Run:
+    """J8 to the end: one written row per request, and the run's counters.
+
+    ``generate_fn(messages, max_tokens) -> (texts, finish_reasons)`` makes the drafts and the
+    rewrites that are not given; without it, drafts are a must and no rewrites mean no round.
+    With ``staging`` a job that was killed goes on where it was: finished steps are read, and
+    of a generating step only unfinished ones of its ``slices`` are asked for again.  Steps
+    are shared by runs with equal tables, pack and settings; give ``version`` another value when
+    the generator, the classifier or the tokenizer changes.
+    """
+    spark = requests.sparkSession
+    stages = Stages(spark, staging)
+    base = _base(requests, pack, drafts, rewrites, settings, staging, version, generate_fn is not None)
+    steps = _replaced(requests, pack, scorer, drafts, rewrites, generate_fn, settings, stages, base, slices)
+    counters = {**diagnostic_columns(pack), **histogram_columns(pack)}
+    steps["final"] = stages.run("final", (steps["replaced"].digest,), lambda cut: finalize(
+        steps["replaced"].rows, pack, settings.max_chars, settings.window), counters)
+    return Run(steps["final"].rows, pack, steps["final"].counters, steps)
+
+
+def respond(requests: DataFrame, drafts: DataFrame | None, pack: Pack, scorer, rewrites: DataFrame | None = None,
             max_chars: int | None = None, threshold: float = 0.5, min_visible: int = 0,
-            preserve_max_visible: int = 0, staging: str | None = None) -> DataFrame:
+            preserve_max_visible: int = 0, staging: str | None = None, generate_fn: Callable | None = None,
+            version: str = "", slices: int = 1, **settings) -> DataFrame:
     """One row per request with ``response``, ``stage`` and the decision fields.
 
-    Assessed drafts and replaced rows are written once, under ``staging`` or the
-    shared folder of the session; those writes are the only jobs that run here."""
-    at = lambda name: f"{staging.rstrip('/')}/{name}" if staging else None
-    x = staged(assess_drafts(requests, drafts, pack, scorer, max_chars, threshold, min_visible), "assessed", at("assessed"))
-    x = merge_rewrites(x, rewrites, pack, scorer, max_chars, threshold, min_visible)
-    x = staged(replace_rejected(x, pack, scorer, threshold, preserve_max_visible), "replaced", at("replaced"))
-    return finalize(x, pack, max_chars)
+    Steps are written under ``staging``, where a restart finds them, or in the shared folder of
+    the session; those writes are the only jobs that run here.  The last step is left to the
+    caller; ``run_respond`` writes it too and has the counters.  See there for the rest;
+    ``settings`` are more fields of Settings."""
+    own = Settings(max_chars, threshold, min_visible, preserve_max_visible, **settings)
+    base = _base(requests, pack, drafts, rewrites, own, staging, version, generate_fn is not None)
+    steps = _replaced(requests, pack, scorer, drafts, rewrites, generate_fn, own, Stages(requests.sparkSession, staging), base, slices)
+    return finalize(steps["replaced"].rows, pack, max_chars, own.window)
 
 
 def decisions(final: DataFrame, *more: str) -> DataFrame:
@@ -188,38 +319,71 @@ EITHER = {"relevance_rejections": "response does not match requested task or top
 
 def diagnostics(final: DataFrame, pack: Pack) -> DataFrame:
     """G3 + G10: the run's scalar counters, one aggregation pass over narrow columns."""
+    return final.agg(*[c.alias(n) for n, c in diagnostic_columns(pack).items()])
+
+
+def diagnostic_columns(pack: Pack) -> dict[str, Column]:
+    """The counters of ``diagnostics`` by name, aggregates over final rows."""
     c = F.col
     issue = lambda name: F.count_if(c(name))
-    return final.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_if(~c("draft_accepted")).alias("rewrite_requests"),
-        issue("needs_fallback").alias("final_fallbacks"),
-        issue("draft_repaired").alias("draft_truncation_repaired"),
-        issue("draft_incomplete").alias("draft_truncation_unresolved"),
-        issue("rewrite_repaired").alias("rewrite_truncation_repaired"),
-        issue("rewrite_incomplete").alias("rewrite_truncation_unresolved"),
-        *[F.count_if(c(f"{who}_reason") == reason).alias(f"{who}_{name}")
-          for who in ("draft", "rewrite") for name, reason in REJECTIONS.items()],
-        F.count_if(c("rewrite_reason") == "rewrite returned internal evaluation text").alias("rewrite_meta_rejected"),
-        *[(F.count_if(c("draft_reason") == reason) + F.count_if(c("rewrite_reason") == reason)).alias(name)
-          for name, reason in EITHER.items()],
-        *counter_columns(),
-        issue("backstop_guard_passed").alias("fallback_safe_backstop_guard_passed"),
-        F.count_if(c("needs_fallback") & (c("selected.tier") == 6)).alias("fallback_candidates_unresolved"),
-        F.count_if(c("selected.tier") == 1).alias("fallback_selected_by_min_probability"),
-        F.count_if(c("stage") == "final_quality_backstop").alias("final_quality_backstops"),
-        issue("final_repaired").alias("final_completion_repaired"),
-        issue("final_completion_issue").alias("final_completion_issues_detected"),
-        issue("final_han_issue").alias("final_han_issues_detected"),
-        issue("final_meta_issue").alias("final_meta_issues_detected"),
-        F.count_if((c("stage") == "rewrite_accepted") & T.has_rewrite_meta("response", list(pack.rewrite_meta_patterns)))
-         .alias("final_rewrite_meta_leakage"),
-        F.count_if(T.has_unexpected_script("response", "query")).alias("final_han_contamination"),
-        F.count_if(T.incomplete_ending("response")).alias("likely_truncated"),
-        F.count_if(c("final_helpfulness_issue").isNotNull()).alias("final_over_refusal_detected"),
-        F.count_if(c("estimated_visible_tokens") == 0).alias("guard_response_visibility_zero"),
-        F.count_if(c("estimated_visible_tokens") <= 5).alias("guard_response_visibility_le_5"),
-    )
+    return {
+        "records": F.count(F.lit(1)),
+        "rewrite_requests": F.count_if(~c("draft_accepted")),
+        "final_fallbacks": issue("needs_fallback"),
+        "draft_truncation_repaired": issue("draft_repaired"),
+        "draft_truncation_unresolved": issue("draft_incomplete"),
+        "rewrite_truncation_repaired": issue("rewrite_repaired"),
+        "rewrite_truncation_unresolved": issue("rewrite_incomplete"),
+        **{f"{who}_{name}": F.count_if(c(f"{who}_reason") == reason)
+           for who in ("draft", "rewrite") for name, reason in REJECTIONS.items()},
+        "rewrite_meta_rejected": F.count_if(c("rewrite_reason") == "rewrite returned internal evaluation text"),
+        **{name: F.count_if(c("draft_reason") == reason) + F.count_if(c("rewrite_reason") == reason)
+           for name, reason in EITHER.items()},
+        **counter_columns(),
+        "fallback_safe_backstop_guard_passed": issue("backstop_guard_passed"),
+        "fallback_candidates_unresolved": F.count_if(c("needs_fallback") & (c("selected.tier") == 6)),
+        "fallback_selected_by_min_probability": F.count_if(c("selected.tier") == 1),
+        "final_quality_backstops": F.count_if(c("stage") == "final_quality_backstop"),
+        "final_completion_repaired": issue("final_repaired"),
+        "final_completion_issues_detected": issue("final_completion_issue"),
+        "final_han_issues_detected": issue("final_han_issue"),
+        "final_meta_issues_detected": issue("final_meta_issue"),
+        "final_rewrite_meta_leakage": F.count_if((c("stage") == "rewrite_accepted") & T.has_rewrite_meta(
+            "response", list(pack.rewrite_meta_patterns))),
+        "final_han_contamination": F.count_if(T.has_unexpected_script("response", "query")),
+        "likely_truncated": F.count_if(T.incomplete_ending("response")),
+        "final_over_refusal_detected": F.count_if(c("final_helpfulness_issue").isNotNull()),
+        "guard_response_visibility_zero": F.count_if(c("estimated_visible_tokens") == 0),
+        "guard_response_visibility_le_5": F.count_if(c("estimated_visible_tokens") <= 5),
+    }
+
+
+#: Columns of the histograms that have one value a row.
+HISTOGRAMS = {"route": "route_name", "draft_finish_reason": "draft_finish_reason", "rewrite_finish_reason": "rewrite_finish_reason",
+              "fallback_candidate_position": "selected.position", "stage": "stage"}
+
+
+def histogram_values(pack: Pack) -> dict[str, list[str]]:
+    """Values that a run's histograms are known to have; finish reasons may have others."""
+    reasons = ["stop", "length", "unknown"]
+    return {"route": list(ROUTES), "draft_finish_reason": reasons, "rewrite_finish_reason": reasons,
+            "fallback_candidate_position": [str(i) for i in range(max(2, max_variant(pack)) + 1)],
+            "stage": ["draft_accepted", "rewrite_accepted", *STAGES.values(), "final_quality_backstop"],
+            "category": [*pack.categories(), *(["jailbreak"] if "jailbreak" not in pack.categories() else [])]}
+
+
+def histogram_columns(pack: Pack) -> dict[str, Column]:
+    """Counts of the known values, ``counter=value``, and of all others, ``counter=*``."""
+    out = {}
+    for counter, values in histogram_values(pack).items():
+        if counter == "category":
+            out |= {f"category={v}": F.count_if(F.array_contains("categories", v)) for v in values}
+            out["category=*"] = F.sum(F.size(F.array_except("categories", F.array(*[F.lit(v) for v in values]))).cast("long"))
+        else:
+            x = F.col(HISTOGRAMS[counter]).cast("string")
+            out |= {f"{counter}={v}": F.count_if(x == v) for v in values}
+            out[f"{counter}=*"] = F.count_if(~x.isin(*values))
+    return out
 
 
 def diagnostic_counts(final: DataFrame) -> DataFrame:
@@ -228,10 +392,7 @@ def diagnostic_counts(final: DataFrame) -> DataFrame:
     Counters: route, category, draft and rewrite finish reason, fallback position, stage."""
     text = lambda x: F.col(x).cast("string")
     pairs = F.concat(
-        F.array(*[F.struct(F.lit(name).alias("counter"), text(column).alias("value")) for name, column in (
-            ("route", "route_name"), ("draft_finish_reason", "draft_finish_reason"),
-            ("rewrite_finish_reason", "rewrite_finish_reason"), ("fallback_candidate_position", "selected.position"),
-            ("stage", "stage"))]),
+        F.array(*[F.struct(F.lit(name).alias("counter"), text(column).alias("value")) for name, column in HISTOGRAMS.items()]),
         F.transform("categories", lambda x: F.struct(F.lit("category").alias("counter"), x.alias("value"))))
     return (final.select(F.explode(pairs).alias("p")).where("p.value is not null")
             .groupBy("p.counter", "p.value").agg(F.count(F.lit(1)).alias("n")))

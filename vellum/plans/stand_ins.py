@@ -14,3 +14,10 @@ def counting_generator(messages: list[list[dict]], max_tokens: list[int]) -> tup
     """Says how many words the user turn had; short budgets stop on length."""
     texts = [f"{len(m[-1]['content'].split())} words received." for m in messages]
     return texts, ["length" if t < 200 else "stop" for t in max_tokens]
+
+
+def echoing_generator(messages: list[list[dict]], max_tokens: list[int]) -> tuple[list[str], list[str]]:
+    """Repeats a user turn of an even number of words, and counts those of an odd one."""
+    turns = [m[-1]["content"] for m in messages]
+    texts = [t if len(t.split()) % 2 == 0 else f"{len(t.split())} words received." for t in turns]
+    return texts, ["length" if t < 200 else "stop" for t in max_tokens]
