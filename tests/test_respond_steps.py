@@ -1,6 +1,7 @@
 """J8 with a model inside: written steps, restarts, counters observed by the write."""
 
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from vellum.plans.stages import Stages, content_digest
 
 SF = "/root/testdata/sf0.001"
 SCORER = expression_scorer(lambda q, t, i: ((F.length(t) * 7 + i) % 100) / 100.0)
+#: A pack of few rules: plans are made quickly.
+MINI = replace(C.PACK, rules=C.PACK.rules[4:6], response_rules=C.PACK.response_rules[:1], topics=C.PACK.topics[:2], relevance_rules=(),
+               intents=(), templates=C.PACK.templates[-1:], boundaries=C.PACK.boundaries[-1:], backstops=C.PACK.backstops[-1:])
 GOOD = "The file lies in the town archive, shelf nine, under its old number."
 
 
@@ -50,13 +54,13 @@ def rows(df):
 def test_a_restarted_job_asks_no_model_twice(spark, tmp_path):
     r, log, at = requests(spark), tmp_path / "asked", str(tmp_path / "job")
     with pytest.raises(Exception, match="the model went away"):
-        run_respond(r, C.PACK, SCORER, generate_fn=generator(log, ("rewrite",)), staging=at)
+        run_respond(r, MINI, SCORER, generate_fn=generator(log, ("rewrite",)), staging=at)
     assert len(asked(log, "draft")) == 12 and not asked(log, "rewrite")
-    run = run_respond(r, C.PACK, SCORER, generate_fn=generator(log), staging=at)
+    run = run_respond(r, MINI, SCORER, generate_fn=generator(log), staging=at)
     rejected = run.rows.where("not draft_accepted").count()
     assert len(asked(log, "draft")) == 12 and len(asked(log, "rewrite")) == rejected > 0
     assert run.steps["drafts"].reused and run.steps["assessed"].reused and not run.steps["rewrites"].reused
-    again = run_respond(r, C.PACK, SCORER, generate_fn=generator(log, ("draft", "rewrite")), staging=at)
+    again = run_respond(r, MINI, SCORER, generate_fn=generator(log, ("draft", "rewrite")), staging=at)
     assert all(s.reused for s in again.steps.values()) and rows(again.rows) == rows(run.rows)
     assert again.counters == run.counters and run.counters["records"] == 12
 
@@ -64,7 +68,7 @@ def test_a_restarted_job_asks_no_model_twice(spark, tmp_path):
 def test_killed_after_each_step(spark, tmp_path, monkeypatch):
     """The driver dies right after a step is written, at every step in turn."""
     r, log, at = requests(spark, 8), tmp_path / "asked", str(tmp_path / "job")
-    expected = rows(run_respond(r, C.PACK, SCORER, generate_fn=generator(tmp_path / "other")).rows)
+    expected = rows(run_respond(r, MINI, SCORER, generate_fn=generator(tmp_path / "other")).rows)
     write, died = S.Stages._write, []
 
     def dying(self, df, path, counters):
@@ -78,7 +82,7 @@ def test_killed_after_each_step(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S.Stages, "_write", dying)
     for _ in range(9):
         try:
-            got = rows(run_respond(r, C.PACK, SCORER, generate_fn=generator(log), staging=at).rows)
+            got = rows(run_respond(r, MINI, SCORER, generate_fn=generator(log), staging=at).rows)
             break
         except KeyboardInterrupt:
             pass
@@ -100,8 +104,8 @@ def test_slices_are_finished_one_by_one(spark, tmp_path):
     r, log, at = requests(spark, 30), tmp_path / "asked", str(tmp_path / "job")
     bad = "Where is file 7 of the archive kept today?"
     with pytest.raises(Exception, match="the model went away"):
-        run_respond(r, C.PACK, SCORER, generate_fn=generator(log, (bad,)), staging=at, slices=5)
-    run = run_respond(r, C.PACK, SCORER, generate_fn=generator(log), staging=at, slices=5)
+        run_respond(r, MINI, SCORER, generate_fn=generator(log, (bad,)), staging=at, slices=5)
+    run = run_respond(r, MINI, SCORER, generate_fn=generator(log), staging=at, slices=5)
     drafts = asked(log, "draft")
     broken = F.pmod(F.xxhash64(F.col("original_index")), F.lit(5))
     part = {x.original_index: x.k for x in r.select("original_index", broken.alias("k")).collect()}
@@ -115,7 +119,7 @@ def test_other_inputs_share_nothing(spark, tmp_path):
     at, log = str(tmp_path / "job"), tmp_path / "asked"
     for r, version, n in ((requests(spark, 4), "", 4), (requests(spark, 5), "", 9), (requests(spark, 5), "new model", 14),
                           (requests(spark, 5).repartition(1), "new model", 14)):
-        run_respond(r, C.PACK, SCORER, generate_fn=generator(log), staging=at, version=version)
+        run_respond(r, MINI, SCORER, generate_fn=generator(log), staging=at, version=version)
         assert len(asked(log, "draft")) == n
     a = spark.createDataFrame([(1, "x"), (2, None)], "k long, t string")
     assert content_digest(a) == content_digest(a.select("t", "k").repartition(2).select("k", "t"))
@@ -134,12 +138,12 @@ def test_a_classifier_is_asked_once(spark, tmp_path):
         return [0.2] * len(texts)
 
     r = requests(spark, 6)
-    run = run_respond(r, C.PACK, udf_scorer(classify, batch_size=1), generate_fn=generator(tmp_path / "asked"), staging=at)
+    run = run_respond(r, MINI, udf_scorer(classify, batch_size=1), generate_fn=generator(tmp_path / "asked"), staging=at)
     n = len(open(log).readlines())
     c = run.counters
     scored = 6 + c["rewrite_requests"] + sum(c[f"tier{k}_scored"] for k in (1, 2, 3, 4, 6))
     assert n == scored and run.rows.count() == 6
-    run_respond(r, C.PACK, udf_scorer(classify, batch_size=1), generate_fn=generator(tmp_path / "asked"), staging=at)
+    run_respond(r, MINI, udf_scorer(classify, batch_size=1), generate_fn=generator(tmp_path / "asked"), staging=at)
     assert len(open(log).readlines()) == n
 
 
@@ -169,7 +173,7 @@ def test_counters_equal_a_scan(spark):
 
 def test_unknown_finish_reasons_are_counted(spark):
     d = spark.createDataFrame([(i, GOOD, "cancelled" if i % 2 else "stop") for i in range(5)], "original_index long, text string, finish_reason string")
-    run = run_respond(requests(spark, 5), C.PACK, SCORER, d)
+    run = run_respond(requests(spark, 5), MINI, SCORER, d)
     assert run.counters["draft_finish_reason=*"] == 2
     assert sorted(map(tuple, run.histograms().collect())) == sorted(map(tuple, diagnostic_counts(run.rows).collect()))
 
@@ -178,14 +182,14 @@ def test_settings_reach_the_steps(spark):
     r, asks = requests(spark, 2), []
     d = spark.createDataFrame([(0, "It is on page four and", None), (1, GOOD, None)], "original_index long, text string, finish_reason string")
     from vellum.operators.guard import Window
-    small = {x.original_index: x for x in respond(r, d, C.PACK, expression_scorer(lambda q, t, i: F.lit(0.1)), window=Window(20, 4)).collect()}
+    small = {x.original_index: x for x in respond(r, d, MINI, expression_scorer(lambda q, t, i: F.lit(0.1)), window=Window(20, 4)).collect()}
     assert small[1].guard_query_visible_tokens + small[1].estimated_visible_tokens <= 16 and small[1].guard_response_token_budget < 13
     for most, tier in ((0.6, 1), (0.5, None)):
         df = spark.createDataFrame([(0, "q", "Write exactly 3 bullet points in JSON: a shelf list")], "original_index long, id string, query string")
         x = respond(df, spark.createDataFrame([(0, "Shelf 1, shelf 2 and shelf 3 hold the list.", None)], "original_index long, text string, finish_reason string"),
-                    C.PACK, expression_scorer(lambda q, t, i: F.lit(0.55)), benign_max_probability=most).first()
+                    MINI, expression_scorer(lambda q, t, i: F.lit(0.55)), benign_max_probability=most).first()
         asks.append(x.selected.tier)
         assert (x.selected.tier == 1) == (tier == 1)
     assert len(asks) == 2
     with pytest.raises(ValueError, match="drafts or a generator"):
-        respond(r, None, C.PACK, SCORER)
+        respond(r, None, MINI, SCORER)

@@ -151,23 +151,23 @@ def fallback_candidates(df: DataFrame, pack: Pack, query: str = "query", query_n
     x = x.withColumns({"_own": F.when(F.col("_need"), own),
                        "_slots": F.when(F.col("_need"), F.array(*template_slots(F.col("_intent"), qn, pack, max_variant(pack))))})
 
-    def judged(c, i):
-        return F.struct((i + 1).cast("int").alias("idx"), c["text"].alias("text"), c["norm"].alias("norm"),
-                        relevant(c["text"], c["norm"], query_norm, categories, pack).alias("relevant"))
-
-    x = x.withColumn("_slots", F.filter(F.transform(F.filter("_slots", lambda c: c.isNotNull()), judged), lambda c: c["relevant"]))
+    # the row's own closing text stands behind its templates as number 0, so that one lambda judges all
+    tagged = F.concat(F.transform("_slots", lambda c, i: F.struct((i + 1).cast("int").alias("idx"), c.alias("c"))),
+                      F.transform(F.array("_own"), lambda c: F.struct(F.lit(0).alias("idx"), c.alias("c"))))
+    x = x.withColumn("_slots", F.filter("_slots", lambda c: c.isNotNull()))
+    x = x.withColumn("_judged", F.transform(tagged, lambda t: F.struct(
+        t["idx"].alias("idx"), t["c"]["text"].alias("text"), t["c"]["norm"].alias("norm"),
+        relevant(t["c"]["text"], t["c"]["norm"], query_norm, categories, pack).alias("relevant"))))
+    x = x.withColumn("_slots", F.filter("_judged", lambda c: (c["idx"] > 0) & c["relevant"]))
     x = x.withColumn("_fit", F.filter("_slots", lambda c, i: ~F.exists(F.slice("_slots", F.lit(1), i), lambda e: e["text"] == c["text"])))
     some = F.size("_fit") > 0
-    alone = F.transform(F.array("_own"), lambda c: F.struct(
-        F.lit(0).alias("idx"), c["text"].alias("text"), c["norm"].alias("norm"),
-        relevant(c["text"], c["norm"], query_norm, categories, pack).alias("relevant")))
-    x = x.withColumn("candidates", F.when(F.col("_need"), F.when(some, F.col("_fit")).otherwise(alone)))
+    x = x.withColumn("candidates", F.when(F.col("_need"), F.when(some, F.col("_fit")).otherwise(F.filter("_judged", lambda c: c["idx"] == 0))))
     named = ~F.col("_intent").startswith("route:") & some
     return x.withColumns({
         "first_candidate": F.col("candidates")[0]["text"],
         "_back": F.when(named, F.struct(F.col("_fit")[0]["text"].alias("text"), F.col("_fit")[0]["norm"].alias("norm")))
                   .otherwise(F.col("_own")),
-    }).withColumn("backstop", F.col("_back.text")).drop("_need", "_intent", "_own", "_slots", "_fit")
+    }).withColumn("backstop", F.col("_back.text")).drop("_need", "_intent", "_own", "_slots", "_judged", "_fit")
 
 
 def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str] | None = None,
@@ -230,32 +230,58 @@ def _tiers(df: DataFrame, pack: Pack, scorer, models: list[str], query: str, que
            for j in range(len(models))]
     raw = F.filter(F.array(*own), lambda c: c.isNotNull()) if models else F.array().cast(PLAIN)
 
-    def examined(candidates):
-        return F.transform(candidates, lambda c: F.struct(
-            c["idx"].alias("idx"), c["text"].alias("text"), response_checks(
-                c["text"], query, route_name, categories, query_norm, c["norm"], pack).alias("checks")))
-
-    def composed(c):
-        return F.struct(c["idx"].alias("idx"), F.concat("_bound", c["text"]).alias("text"),
-                        normalize_steps(F.concat("_bound", c["norm"]), None).alias("norm"))
+    # every candidate of every tier, examined by one lambda: tiers differ only in which ones they take and in F1
+    def tagged(tier_: int, candidates: Column, unless: Column | None = None) -> Column:
+        out = F.transform(candidates, lambda c: F.struct(F.lit(tier_).alias("tier"), c["idx"].alias("idx"), c["text"].alias("text"), c["norm"].alias("norm")))
+        return out if unless is None else F.when(unless, F.slice(out, 1, 0)).otherwise(out)
 
-    def texts(candidates):
-        return F.transform(candidates, lambda c: c["text"])
+    def examined(c: Column) -> Column:
+        return F.struct(c["tier"].alias("tier"), c["idx"].alias("idx"), c["text"].alias("text"), response_checks(
+            c["text"], query, route_name, categories, query_norm, c["norm"], pack).alias("checks"))
 
-    def assessed(candidates: str, scores: str):
+    x = x.withColumn("_raw", raw)
+    numbered = F.transform(F.filter("candidates", lambda c: c["relevant"]), lambda c, i: F.struct(
+        (i + 1).cast("int").alias("idx"), c["text"].alias("text"), c["norm"].alias("norm")))
+    x = x.withColumn("_plain", F.concat(
+        tagged(1, F.transform("_raw", lambda c: c.withField("norm", normalize_steps(c["norm"], None))), ~(F.col("_benign") | F.col("_prio"))),
+        tagged(3, numbered),
+        tagged(6, F.transform(F.array("_back"), lambda c: F.struct(F.lit(0).alias("idx"), c["text"].alias("text"), c["norm"].alias("norm"))))))
+    behind = F.concat(tagged(2, F.col("_raw"), ~F.col("_prio")), tagged(4, numbered))
+    behind = F.transform(behind, lambda c: F.struct(
+        c["tier"].alias("tier"), c["idx"].alias("idx"), F.concat("_bound", c["text"]).alias("text"),
+        normalize_steps(F.concat("_bound", c["norm"]), None).alias("norm")))
+    x = x.withColumn("_all", F.when(on, F.transform(F.concat("_plain", behind), examined)))
+    fit = F.transform(F.filter("_all", lambda c: (c["tier"] == 1) & sound(c["checks"])), lambda c: c["idx"])
+    x = x.withColumn("_fit", fit)
+    # which ones a tier takes: sound model answers, relevant templates
+    x = x.withColumn("_all", F.filter("_all", lambda c: F.when(c["tier"] <= 2, F.array_contains("_fit", c["idx"])).when(
+        c["tier"] == 4, c["checks"]["relevant"]).otherwise(True)))
+
+    def assessed(candidates, scores) -> Column:
         """Candidates with their score and F1's decision."""
         return F.zip_with(candidates, scores, lambda c, a: F.struct(
-            c["idx"].alias("idx"), c["text"].alias("text"), c["checks"].alias("checks"), a["label"].alias("label"),
-            a["prob"].alias("prob"), a["error"].alias("error"), decide(c["checks"], a["label"], a["prob"], "_prio", threshold=threshold).alias("f1")))
-
-    def tier(x: DataFrame, name: str, open_: Column, candidates: Column) -> DataFrame:
-        """Examine and score the candidates of the rows that are open."""
-        empty = F.array().cast("array<string>")
-        x, open_ = x.withColumn("_open", open_), F.col("_open")
-        x = x.withColumn(f"_{name}", F.when(open_, examined(candidates)))
-        x = x.withColumn(f"_{name}s", scorer(q, F.when(open_, texts(F.col(f"_{name}"))).otherwise(empty), idx))
-        x = stage(x, name) if getattr(scorer, "is_model", False) else x
-        return x.withColumn(f"_{name}", F.when(open_, assessed(f"_{name}", f"_{name}s"))).drop(f"_{name}s", "_open")
+            c["tier"].alias("tier"), c["idx"].alias("idx"), c["text"].alias("text"), c["checks"].alias("checks"), a["label"].alias("label"),
+            a["prob"].alias("prob"), a["error"].alias("error"),
+            decide(c["checks"], a["label"], a["prob"], "_prio", threshold=threshold).alias("f1")))
+
+    def texts(candidates) -> Column:
+        return F.transform(candidates, lambda c: c["text"])
+
+    model = getattr(scorer, "is_model", False)
+    if model:
+        x = stage(x, "candidates")
+    else:  # scores are expressions: all at once
+        x = x.withColumn("_all", assessed("_all", scorer(q, texts("_all"), idx)))
+
+    def tier(x: DataFrame, k: int, open_: Column) -> DataFrame:
+        """``_t<k>``: the scored candidates of a tier, in the rows that reach it."""
+        own = F.filter("_all", lambda c: c["tier"] == k)
+        if not model:
+            return x.withColumn(f"_t{k}", F.when(open_, own))
+        x = x.withColumn(f"_t{k}", F.when(open_, own))
+        asked = F.coalesce(texts(F.col(f"_t{k}")), F.array().cast("array<string>"))
+        x = stage(x.withColumn("_scores", scorer(q, asked, idx)), f"tier{k}")
+        return x.withColumn(f"_t{k}", assessed(f"_t{k}", "_scores")).drop("_scores")
 
     def chosen(tier_: int, c: Column, position: Column, reason: Column | None = None) -> Column:
         return F.when(c.isNotNull(), F.struct(
@@ -263,39 +289,23 @@ def _tiers(df: DataFrame, pack: Pack, scorer, models: list[str], query: str, que
             c["text"].alias("text"), c["label"].alias("label"), c["prob"].cast("double").alias("prob"),
             (c["f1"]["reason"] if reason is None else reason).alias("reason"), c["error"].alias("error")))
 
-    def first_accepted(name: str) -> Column:
-        return F.try_element_at(F.filter(name, lambda c: c["f1"]["accepted"]), F.lit(1))
+    def first_accepted(k: int) -> Column:
+        return F.try_element_at(F.filter(f"_t{k}", lambda c: c["f1"]["accepted"]), F.lit(1))
 
-    def scored(name: str) -> Column:
-        return F.when(F.col(name).isNotNull(), F.size(name)).otherwise(0)
+    def scored(k: int) -> Column:
+        return F.when(F.col(f"_t{k}").isNotNull(), F.size(f"_t{k}")).otherwise(0)
 
     # tier 1: an ordinary task's model answer that only the classifier objected to, by lowest probability
-    x = x.withColumn("_raw", F.when(on & (F.col("_benign") | F.col("_prio")), F.transform(raw, lambda c: F.struct(
-        c["idx"].alias("idx"), c["text"].alias("text"), c["norm"].alias("raw"), normalize_steps(c["norm"], None).alias("norm")))))
-    x = x.withColumn("_sound", F.filter("_raw", lambda c: sound(response_checks(
-        c["text"], query, route_name, categories, query_norm, c["norm"], pack))))
-    x = stage(x, "candidates") if getattr(scorer, "is_model", False) else x
-    x = tier(x, "t1", on & F.col("_benign"), F.col("_sound"))
+    x = tier(x, 1, on & F.col("_benign"))
     mild = F.filter("_t1", lambda c: (F.lower(c["label"]) != "unknown") & (c["prob"] <= benign_max_probability))
     best = F.array_min(F.transform(mild, lambda c: F.struct(c["prob"].alias("p"), c["idx"].alias("i"))))
     pick = F.try_element_at(F.filter(mild, lambda c: c["idx"] == best["i"]), F.lit(1))
     x = x.withColumn("selected", chosen(1, pick, pick["idx"], F.lit(R_BENIGN)))
-    # tier 2: model answers behind the boundary sentence
-    x = tier(x, "t2", on & F.col("selected").isNull() & F.col("_prio"), F.transform("_sound", lambda c: composed(
-        F.struct(c["idx"].alias("idx"), c["text"].alias("text"), c["raw"].alias("norm")))))
-    pick = first_accepted("_t2")
-    x = x.withColumn("selected", F.coalesce("selected", chosen(2, pick, pick["idx"])))
-    # tier 3: relevant fallback candidates; tier 4: the same behind the boundary sentence
-    numbered = F.transform(F.filter("candidates", lambda c: c["relevant"]), lambda c, i: F.struct(
-        (i + 1).cast("int").alias("idx"), c["text"].alias("text"), c["norm"].alias("norm")))
-    x = tier(x, "t3", on & F.col("selected").isNull(), numbered)
-    pick = first_accepted("_t3")
-    x = x.withColumn("selected", F.coalesce("selected", chosen(3, pick, pick["idx"])))
-    behind = F.transform(numbered, composed)
-    apt = F.filter(behind, lambda c: relevant(c["text"], c["norm"], query_norm, categories, pack))
-    x = tier(x, "t4", on & F.col("selected").isNull(), apt)
-    pick = first_accepted("_t4")
-    x = x.withColumn("selected", F.coalesce("selected", chosen(4, pick, pick["idx"])))
+    # tier 2: model answers behind the boundary sentence; tier 3: relevant fallback candidates; tier 4: the same behind it
+    for k in (2, 3, 4):
+        x = tier(x, k, on & F.col("selected").isNull() & (F.col("_prio") if k == 2 else F.lit(True)))
+        pick = first_accepted(k)
+        x = x.withColumn("selected", F.coalesce("selected", chosen(k, pick, pick["idx"])))
     # tier 5: a relevant first candidate that the guard hardly saw, if a decision without it accepts
     leads = on & F.col("_prio") & F.coalesce(F.col("candidates")[0]["relevant"], F.lit(False))
     if preserve_max_visible > 0:
@@ -305,16 +315,14 @@ def _tiers(df: DataFrame, pack: Pack, scorer, models: list[str], query: str, que
                 & decide(lead["checks"], F.lit("safe"), F.lit(0.0), "_prio", threshold=threshold)["accepted"])
         x = x.withColumn("selected", F.coalesce("selected", F.when(kept, chosen(5, lead, F.lit(1), F.lit(R_PRESERVED)))))
     # tier 6: the backstop, whatever the classifier says of it
-    x = tier(x, "t6", on & F.col("selected").isNull(), F.transform(F.array("_back"), lambda c: F.struct(
-        F.lit(0).alias("idx"), c["text"].alias("text"), c["norm"].alias("norm"))))
+    x = tier(x, 6, on & F.col("selected").isNull())
     last = F.try_element_at("_t6", F.lit(1))
     x = x.withColumns({
         "backstop_guard_passed": last["f1"]["accepted"],
         "selected": F.coalesce("selected", chosen(6, last, F.lit(0))),
-        "tier_counts": F.when(on, F.array(scored("_t1"), scored("_t2"), scored("_t3"), scored("_t4"),
-                                          (leads & (F.col("selected").isNull() | (F.col("selected.tier") == 5))).cast("int"),
-                                          scored("_t6")))})
-    return x.drop("candidates", "_back", "_on", "_bound", "_benign", "_prio", "_raw", "_sound", "_t1", "_t2", "_t3", "_t4", "_t6",
+        "tier_counts": F.when(on, F.array(*[scored(k) for k in (1, 2, 3, 4)],
+                                          (leads & (F.col("selected").isNull() | (F.col("selected.tier") == 5))).cast("int"), scored(6)))})
+    return x.drop("candidates", "_back", "_on", "_bound", "_benign", "_prio", "_raw", "_plain", "_all", "_fit", *[f"_t{k}" for k in (1, 2, 3, 4, 6)],
                   *[f"_{k}{j}" for k in "mu" for j in range(len(models))])
 
 
