@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -144,3 +145,21 @@ def test_vocabulary_out_of_order_is_refused(tmp_path):
     (tmp_path / "v.json").write_text(json.dumps(spec))
     with pytest.raises(ValueError):
         JsonVocabulary(str(tmp_path / "v.json")).ranks()
+
+
+def test_long_runs_of_one_character_are_quick():
+    """Growing windows double and merge with a heap: a run of n bytes takes about n log n steps."""
+    ranks = rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("library", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+    for run in (b"a" * 50_000, b"=" * 50_000, b"-+" * 20_000, b"ab" * 9 + b"=" * 20_000 + b"the" * 99):
+        codec, began = bpe_codec.Codec(ranks), time.process_time()
+        assert list(codec.encode(run)) == library.encode_single_piece(run)
+        assert time.process_time() - began < 20
+        assert codec.decode(codec.encode(run)) == run
+
+
+def test_merging_with_a_heap_equals_listing_pairs():
+    codec, r = bpe_codec.Codec(rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))), random.Random(8)
+    for _ in range(1500):
+        data = bytes(r.choice(b"abct =\xc3\xa9"[:r.choice([2, 4, 8])]) for _ in range(r.randrange(1, 24)))
+        assert codec.merge_long(data) == codec.merge(data)
