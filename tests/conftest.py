@@ -10,7 +10,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (SparkSession.builder.master("local[*]").appName("vellum-tests")
@@ -21,6 +21,7 @@ def spark():
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.vellum.staging", str(tmp_path_factory.mktemp("steps")))  # the respond queries share their steps
     yield s
     s.stop()
 

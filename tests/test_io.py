@@ -140,3 +140,77 @@ def test_failed_overwrite_keeps_the_old_output(spark):
     assert io.read_submission(spark, f"{root}/out")[0].count() == 1
     with pytest.raises(io.ContractError, match="row 2, id a"):
         io.validate_submission(df, df.withColumn("response", F.lit(" ")), ["id", "response"])
+
+
+@pytest.mark.parametrize("cut", ["before", "away", "moved"])
+def test_a_swap_that_is_cut_off_is_mended(spark, tmp_path, monkeypatch, cut):
+    """The job dies before, between and after the renames: a reader finds the old or the new output, whole."""
+    df = spark.createDataFrame([(0, "a", "old"), (1, "b", "old")], "original_index long, id string, response string")
+    path = f"{tmp_path}/out"
+    io.write_submission(df, path)
+    with monkeypatch.context() as m:
+        def dying(s, p):
+            fs, at = io._files(s, p)
+            if cut != "before":
+                fs.rename(at(p), at(f"{p}.old"))
+            if cut == "moved":
+                fs.rename(at(f"{p}.new"), at(p))
+            raise KeyboardInterrupt
+        m.setattr(io, "_swap", dying)
+        with pytest.raises(KeyboardInterrupt):
+            io.write_submission(df.withColumn("response", F.lit("new")), path, expected=2)
+    found = {r.response for r in io.read_submission(spark, path)[0].collect()}
+    assert found == ({"old"} if cut == "before" else {"new"})
+    assert not (tmp_path / "out.old").exists()
+    io.write_submission(df.withColumn("response", F.lit("last")), path, expected=2)
+    assert {r.response for r in io.read_submission(spark, path)[0].collect()} == {"last"} and not (tmp_path / "out.new").exists()
+
+
+def test_sink_computes_its_input_once_and_in_order(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            asked.add(len(pdf))
+            yield pdf
+    rows = spark.range(5000).selectExpr("id as original_index", "concat('q', id) as id", "concat('answer ', id) as response").repartition(7)
+    schema = "original_index long, id string, response string"
+    assert io.write_submission(rows.mapInPandas(seen, schema), f"{tmp_path}/out", expected=5000, files=6) == 5000
+    assert asked.value == 5000
+    back, header = io.read_submission(spark, f"{tmp_path}/out")
+    assert io.validate_submission(rows, back, header) == 5000
+    assert back.where("id <> concat('q', original_index)").count() == 0
+    for bad in (rows.where("original_index <> 7").unionByName(rows.where("original_index = 9")), rows.withColumn("original_index", F.col("original_index") + 1)):
+        with pytest.raises(io.ContractError, match="not numbered 0 to 4999"):
+            io.write_submission(bad, f"{tmp_path}/out", expected=5000)
+    with pytest.raises(io.ContractError, match="has 5000 rows, expected 4999"):
+        io.write_submission(rows, f"{tmp_path}/out", expected=4999)
+
+
+def test_validation_joins_only_what_differs(spark, capsys):
+    n, block = 4000, 256
+    req = spark.range(n).selectExpr("id as original_index", "concat('q', id) as id")
+    sub = req.withColumn("response", F.lit("fine"))
+
+    def report(s):
+        return tuple(io.validation_report(req, s, block).first())
+    assert report(sub) == (n, n, 0, 0, 0, 0) and io.first_violation(req, sub, block).count() == 0
+    odd = sub.where("original_index not in (70, 3999)").withColumn("id", F.when(F.col("original_index") == 900, "other").otherwise(F.col("id")))
+    odd = odd.withColumn("response", F.when(F.col("original_index") == 2000, " ").otherwise(F.col("response")))
+    assert report(odd) == (n, n - 2, 2, 0, 1, 1)
+    assert tuple(io.first_violation(req, odd, block).first()) == (70, "missing", "q70")
+    more = sub.unionByName(spark.createDataFrame([(n + 5000, "x", "y")], "original_index long, id string, response string"))
+    assert report(more) == (n, n + 1, 0, 1, 0, 0) and io.first_violation(req, more, block).first().what == "extra"
+    assert report(sub.limit(0)) == (n, 0, n, 0, 0, 0)
+    io.validation_report(req, sub, block).explain("formatted")
+    plan = capsys.readouterr().out
+    assert not any("response" in x for x in plan.splitlines() if "Arguments: hashpartitioning" in x or x.startswith("Output") and "Exchange" in x)
+
+
+def test_first_violation_is_named(spark):
+    req = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "original_index long, id string")
+    sub = spark.createDataFrame([(0, "a", "x"), (1, "q", "x"), (2, "c", "x")], "original_index long, id string, response string")
+    with pytest.raises(io.ContractError, match="do not match input; first at row 3, id b: id_mismatch"):
+        io.validate_submission(req, sub)
+    with pytest.raises(io.ContractError, match="count 2 != input count 3; first at row 4, id c: missing"):
+        io.validate_submission(req, sub.where("original_index < 2").withColumn("id", F.when(F.col("original_index") == 1, "b").otherwise(F.col("id"))))

@@ -893,8 +893,7 @@ def q_guarded_select_preserving(spark, sf):
 
 
 # ------------------------------------------------------------ end to end
-from vellum.plans.respond import (assess_drafts, decisions, respond, rewrite_requests, run_respond,  # noqa: E402
-                                  stage_counts)
+from vellum.plans.respond import assess_drafts, decisions, rewrite_requests, run_respond, stage_counts  # noqa: E402
 from vellum.plans.stand_ins import echoing_generator  # noqa: E402
 
 
@@ -908,14 +907,13 @@ def run_inputs(spark, sf):
                 "original_index", F.col("rewrite").alias("text"), F.lit("stop").alias("finish_reason")))
 
 
-def ran(spark, sf):
-    requests, drafts, rewrites = run_inputs(spark, sf)
-    return run_respond(requests, PACK, CANDIDATE_SCORER, drafts, rewrites)
+#: Session setting: a folder where the respond queries keep their steps, so that they share them (tests).  Unset, each runs its own.
+STAGING = "spark.vellum.staging"
 
 
-def responded(spark, sf):
+def ran(spark, sf):
     requests, drafts, rewrites = run_inputs(spark, sf)
-    return respond(requests, drafts, PACK, CANDIDATE_SCORER, rewrites)
+    return run_respond(requests, PACK, CANDIDATE_SCORER, drafts, rewrites, staging=spark.conf.get(STAGING, None))
 
 
 def _judged_sql(name: str, src: str, raw: str, finish: str, out: str, reject_meta: bool) -> str:
@@ -1006,7 +1004,7 @@ def _decided(f):
 @register("respond_decisions", RESPOND_SQL + _DECISIONS_SQL)
 def q_respond_decisions(spark, sf):
     """Final response and decision row per request (draft -> rewrite -> cascade -> finalize)."""
-    return _decided(responded(spark, sf))
+    return _decided(ran(spark, sf).rows)
 
 
 def _echoed_sql(turn: str) -> str:
@@ -1080,7 +1078,7 @@ def q_respond_counts(spark, sf):
 @register("respond_stage_counts", f"{RESPOND_SQL} SELECT last_stage AS stage, count(*) AS n FROM fin GROUP BY last_stage")
 def q_respond_stage_counts(spark, sf):
     """G1: rows per final stage."""
-    return stage_counts(responded(spark, sf))
+    return stage_counts(ran(spark, sf).rows)
 
 
 @register("rewrite_requests", f"""{RESPOND_SQL}

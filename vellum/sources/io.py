@@ -12,9 +12,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -117,49 +116,136 @@ def read_pair_table(spark: SparkSession, path: str, text_column: str) -> DataFra
 
 
 # ------------------------------------------------------------------- A4/A5
-def write_submission(df: DataFrame, path: str, expected: int | None = None, single_file: bool = False) -> int:
-    """A4: ``id,response`` CSV in ``original_index`` order, CRLF lines, minimal quoting.
-
-    Blank responses and count mismatches are errors.  A folder of parts in order
-    by default; ``single_file`` sends all rows through one task.  The rows go to
-    a staging folder beside ``path`` and take its place when they are complete:
-    a failed job leaves the old output as it was.
-    """
-    spark = df.sparkSession
-    blank = F.when(unicode_strip("response") == "", F.col("id"))
-    state = df.agg(F.count(F.lit(1)).alias("n"), F.min(blank).alias("blank")).first()
-    if expected is not None and state.n != expected:
-        raise ContractError(f"submission has {state.n} rows, expected {expected}")
-    if state.blank is not None:
-        raise ContractError(f"blank response for id {state.blank}")
-    out = df.orderBy("original_index").select("id", "response")
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    (out.coalesce(1) if single_file else out).write.option("header", "true").option("escape", '"').option(
-        "quote", '"').option("lineSep", "\r\n").csv(staging)
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of a path: the file system and a maker of its paths."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(staging).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    if not fs.rename(hadoop(staging), hadoop(path)):
-        raise OSError(f"could not move {staging} to {path}")
-    return state.n
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or undo a swap of ``write_submission`` that was cut off: afterwards ``path`` is the old or the new output, whole.
 
-def validation_report(requests: DataFrame, submission: DataFrame) -> DataFrame:
-    """A5: one-row report of a submission against its requests, joined on position.
+    New output lies in ``<path>.new`` until it takes the place, the old one in ``<path>.old`` meanwhile."""
+    fs, at = _files(spark, path)
+    path = path.rstrip("/")
+    here, new, old = at(path), at(f"{path}.new"), at(f"{path}.old")
+    if not fs.exists(here):
+        if fs.exists(at(f"{path}.new/_SUCCESS")):
+            fs.rename(new, here)
+        elif fs.exists(old):
+            fs.rename(old, here)
+    if fs.exists(here):
+        fs.delete(old, True)
+
+
+def _swap(spark: SparkSession, path: str) -> None:
+    """Put ``<path>.new`` in the place of ``path``: rename, rename, delete.  ``recover`` goes on from any point."""
+    fs, at = _files(spark, path)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(f"{path}.old")):
+        raise OSError(f"could not move {path} away")
+    if not fs.rename(at(f"{path}.new"), at(path)):
+        raise OSError(f"could not move {path}.new to {path}")
+    fs.delete(at(f"{path}.old"), True)
+
+
+def write_submission(df: DataFrame, path: str, expected: int | None = None, single_file: bool = False, files: int | None = None) -> int:
+    """A4: ``id,response`` CSV in ``original_index`` order, CRLF lines, minimal quoting.
+
+    Blank responses, count mismatches and indexes that are not 0 to n - 1 are errors.  A folder
+    of parts in order by default; ``single_file`` sends all rows through one task.
+
+    The index is dense, so it says which of ``files`` parts a row belongs to: rows are dealt by it
+    and sorted within their part, without the sampling job of a range sort.  With ``expected`` the
+    input is computed once; all checks are observed by the write.  The rows go to ``<path>.new``
+    and take the place of ``path`` when they are complete and right: a failed job leaves the old
+    output as it was, and one that was cut off while they were swapped is mended by ``recover``,
+    which the next write or read does first.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    recover(spark, path)
+    n = df.count() if expected is None else expected
+    parts = 1 if single_file else files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = F.col("original_index")
+    part = F.least(F.greatest(F.floor(index * parts / max(n, 1)), F.lit(0)), F.lit(parts - 1)).cast("int")
+    rows = df.select("original_index", "id", "response").repartitionById(parts, part).sortWithinPartitions("original_index")
+    seen = Observation()
+    blank = F.struct("original_index", F.col("id").alias("id"))
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.min(index).alias("low"), F.max(index).alias("high"),
+                        F.sum(index.cast("decimal(38,0)")).cast("string").alias("total"),
+                        F.min(F.when(unicode_strip("response") == "", blank)).alias("blank"))
+    rows.select("id", "response").write.mode("overwrite").option("header", "true").option("escape", '"').option(
+        "quote", '"').option("lineSep", "\r\n").csv(f"{path}.new")
+    got, wrong = seen.get, None
+    if got["n"] != n:
+        wrong = f"submission has {got['n']} rows, expected {n}"
+    elif got["blank"] is not None:
+        wrong = f"blank response for id {got['blank']['id']}"
+    elif n and (got["low"], got["high"], int(got["total"])) != (0, n - 1, n * (n - 1) // 2):
+        wrong = f"submission rows are not numbered 0 to {n - 1}"
+    if wrong:
+        fs, at = _files(spark, path)
+        fs.delete(at(f"{path}.new"), True)
+        raise ContractError(wrong)
+    _swap(spark, path)
+    return n
+
+
+#: Positions of a block whose rows are compared by one digest.
+BLOCK = 1 << 16
+
+
+def _blocks(rows: DataFrame, block: int, *more) -> DataFrame:
+    """Count and digest of (position, id) for each block of positions, added up before the exchange."""
+    h = F.xxhash64("original_index", "id")
+    return rows.groupBy(F.floor(F.col("original_index") / block).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("sum"),
+        F.bit_xor(F.xxhash64("id", "original_index")).alias("mix"), *more)
+
+
+def _differing(requests: DataFrame, submission: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of both sides joined, with ``same``; and the rows of the blocks that differ, joined on position."""
+    blank = F.count_if(unicode_strip("response") == "").alias("blank")
+    r, s = _blocks(requests, block), _blocks(submission, block, blank)
+    both = r.alias("r").join(s.alias("s"), F.col("r.block").eqNullSafe(F.col("s.block")), "full_outer").select(
+        F.coalesce("r.block", "s.block").alias("block"), F.coalesce("r.n", F.lit(0)).alias("requests"),
+        F.coalesce("s.n", F.lit(0)).alias("submitted"), F.coalesce("s.blank", F.lit(0)).alias("blank"),
+        (F.col("r.n").eqNullSafe(F.col("s.n")) & F.col("r.sum").eqNullSafe(F.col("s.sum")) & F.col("r.mix").eqNullSafe(F.col("s.mix"))).alias("same"))
+    odd = both.where(~F.col("same")).select("block")
+
+    def of(rows: DataFrame, name: str) -> DataFrame:
+        at = F.floor(F.col("original_index") / block).alias("block")
+        return rows.select("original_index", F.col("id").alias(name), at).join(odd, "block", "left_semi").drop("block")
+
+    return both, of(requests, "req_id").join(of(submission, "sub_id"), "original_index", "full_outer")
+
+
+def validation_report(requests: DataFrame, submission: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A5: one-row report of a submission against its requests, by position.
 
     ``missing`` = request rows without a submission row, ``extra`` = the
     reverse, ``id_mismatch`` = same position, different id, ``blank_response``.
+
+    Both sides are reduced to a count and a digest for each block of positions; only
+    rows of blocks that differ are joined, as position and id.  Responses are tested
+    for blanks where they are read, so no text is ever exchanged.
     """
-    r = requests.select("original_index", F.col("id").alias("req_id"))
-    s = submission.select("original_index", F.col("id").alias("sub_id"), "response")
-    j = r.join(s, "original_index", "full_outer")
-    return j.agg(F.count_if(F.col("req_id").isNotNull()).alias("requests"),
-                 F.count_if(F.col("sub_id").isNotNull()).alias("submitted"),
-                 F.count_if(F.col("sub_id").isNull()).alias("missing"),
-                 F.count_if(F.col("req_id").isNull()).alias("extra"),
-                 F.count_if(F.col("req_id").isNotNull() & F.col("sub_id").isNotNull()
-                            & (F.col("req_id") != F.col("sub_id"))).alias("id_mismatch"),
-                 F.count_if(F.col("sub_id").isNotNull() & (unicode_strip("response") == "")).alias("blank_response"))
+    both, odd = _differing(requests, submission, block)
+    whole = both.agg(F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"), F.coalesce(F.sum("submitted"), F.lit(0)).alias("submitted"),
+                     F.coalesce(F.sum("blank"), F.lit(0)).alias("blank_response"))
+    parts = odd.agg(F.count_if(F.col("sub_id").isNull()).alias("missing"), F.count_if(F.col("req_id").isNull()).alias("extra"),
+                    F.count_if(F.col("req_id") != F.col("sub_id")).alias("id_mismatch"))
+    return whole.crossJoin(parts).select("requests", "submitted", "missing", "extra", "id_mismatch", "blank_response")
+
+
+def first_violation(requests: DataFrame, submission: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A5: the first position that breaks the contract -- ``original_index``, ``what``, ``id`` -- or no row."""
+    _both, odd = _differing(requests, submission, block)
+    what = F.when(F.col("sub_id").isNull(), "missing").when(F.col("req_id").isNull(), "extra").when(
+        F.col("req_id") != F.col("sub_id"), "id_mismatch")
+    found = odd.select("original_index", what.alias("what"), F.coalesce("req_id", "sub_id").alias("id")).where("what is not null")
+    blank = submission.where(unicode_strip("response") == "").select("original_index", F.lit("blank_response").alias("what"), "id")
+    first = found.unionByName(blank).agg(F.min(F.struct("original_index", "what", "id")).alias("v"))
+    return first.where("v is not null").select("v.*")
 
 
 def validate_submission(requests: DataFrame, submission: DataFrame, header: list[str] | None = None) -> int:
@@ -167,17 +253,20 @@ def validate_submission(requests: DataFrame, submission: DataFrame, header: list
     if header is not None and header != ["id", "response"]:
         raise ContractError("submission header must be exactly id,response")
     rep = validation_report(requests, submission).collect()[0]
+    if not (rep.missing or rep.extra or rep.id_mismatch or rep.blank_response):
+        return rep.requests
+    v = first_violation(requests, submission).first()
+    where = f"first at row {v.original_index + 2}, id {v.id}: {v.what}"
     if rep.missing or rep.extra:
-        raise ContractError(f"submission count {rep.submitted} != input count {rep.requests}")
+        raise ContractError(f"submission count {rep.submitted} != input count {rep.requests}; {where}")
     if rep.id_mismatch:
-        raise ContractError("submission ids/order do not match input")
-    if rep.blank_response:
-        row = submission.filter(unicode_strip("response") == "").agg(F.min(F.struct("original_index", "id")).alias("r")).first().r
-        raise ContractError(f"submission has a blank response in row {row.original_index + 2}, id {row.id}")
-    return rep.requests
+        raise ContractError(f"submission ids/order do not match input; {where}")
+    row = submission.filter(unicode_strip("response") == "").agg(F.min(F.struct("original_index", "id")).alias("r")).first().r
+    raise ContractError(f"submission has a blank response in row {row.original_index + 2}, id {row.id}")
 
 
 def read_submission(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    recover(spark, path)
     first = spark.read.text(path).limit(1).collect()
     import csv
     header = [n for n in next(csv.reader([first[0].value.lstrip("\ufeff")]), [])] if first else []
