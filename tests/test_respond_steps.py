@@ -193,3 +193,13 @@ def test_settings_reach_the_steps(spark):
     assert len(asks) == 2
     with pytest.raises(ValueError, match="drafts or a generator"):
         respond(r, None, MINI, SCORER)
+
+
+def test_candidates_of_a_builder(spark):
+    """A caller's candidates take the place of the templates, in their order, relevant ones first to be scored."""
+    own = lambda q, route, cats: F.array(F.lit(None).cast("string"), F.lit("Cut off and"), F.concat(F.lit("The answer to your question lies on shelf "), F.length(q), F.lit(".")))
+    r = requests(spark, 2)
+    d = spark.createDataFrame([(0, "It is on page four and", None), (1, "It is on page five and", None)], "original_index long, text string, finish_reason string")
+    got = respond(r, d, MINI, expression_scorer(lambda q, t, i: F.lit(0.1)), builder=own).collect()
+    assert {x.response for x in got} == {"The answer to your question lies on shelf 42."}
+    assert {(x.selected.tier, x.selected.position) for x in got} == {(3, 2)}

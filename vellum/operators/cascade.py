@@ -1,10 +1,11 @@
 """J7 guarded_select: the six-tier replacement cascade.
 
 A request's candidates stay in its row, as small arrays that the pack and the
-number of model answers bound: no explode, no regroup, no shuffle.  The tiers
-are projected one after another; a row that is resolved leaves empty arrays
-behind, so a scorer gets exactly the candidates of the tiers that a row reaches,
-which is what the ``scored`` counters (F13) count.
+number of model answers bound: no explode, no regroup, no shuffle.  One lambda
+examines the candidates of all tiers; the tiers are projected one after another
+and take theirs, if a row is still open.  A user model gets exactly the
+candidates of the tiers that a row reaches, which is what the ``scored``
+counters (F13) count.
 """
 
 from __future__ import annotations
@@ -141,15 +142,20 @@ PLAIN = "array<struct<idx:int,text:string,norm:string>>"
 
 
 def fallback_candidates(df: DataFrame, pack: Pack, query: str = "query", query_norm: str = "query_norm",
-                        route_name: str = "route_name", categories: str = "categories", when: Column | None = None) -> DataFrame:
+                        route_name: str = "route_name", categories: str = "categories", when: Column | None = None,
+                        builder: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """F4-F6 without any scorer: adds ``candidates`` (relevant template texts of the row's intent in
-    order, else the backstop; idx, text, norm, relevant), ``backstop`` and ``first_candidate``."""
+    order, else the backstop; idx, text, norm, relevant), ``backstop`` and ``first_candidate``.
+
+    ``builder(query, route name, categories)`` gives an array of texts in place of the pack's
+    templates; they are taken as plain NFKC text, null ones are left out."""
     qn, route, cats = F.col(query_norm), F.col(route_name), F.col(categories)
     when = F.lit(True) if when is None else when
     x = df.withColumns({"_need": when, "_intent": intent(route, cats, pack)})
     own = backstop_rule(route, cats, pack, lambda t: F.struct(F.lit(t).alias("text"), normalized_literal(t).alias("norm")))
-    x = x.withColumns({"_own": F.when(F.col("_need"), own),
-                       "_slots": F.when(F.col("_need"), F.array(*template_slots(F.col("_intent"), qn, pack, max_variant(pack))))})
+    slots = F.array(*template_slots(F.col("_intent"), qn, pack, max_variant(pack))) if builder is None else F.transform(
+        builder(F.col(query), route, cats), lambda t: F.when(t.isNotNull(), F.struct(t.alias("text"), normalize_steps(t, None).alias("norm"))))
+    x = x.withColumns({"_own": F.when(F.col("_need"), own), "_slots": F.when(F.col("_need"), slots)})
 
     # the row's own closing text stands behind its templates as number 0, so that one lambda judges all
     tagged = F.concat(F.transform("_slots", lambda c, i: F.struct((i + 1).cast("int").alias("idx"), c.alias("c"))),
@@ -175,7 +181,8 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
                    categories: str = "categories", index: str = "original_index", max_chars: int | None = None,
                    threshold: float = 0.5, benign_max_probability: float = 0.60, preserve_max_visible: int = 0,
                    when: Column | None = None, unescaped: list[str] | None = None,
-                   window: Window = Window(), stage: Callable[[DataFrame, str], DataFrame] = staged) -> DataFrame:
+                   window: Window = Window(), stage: Callable[[DataFrame, str], DataFrame] = staged,
+                   builder: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """Adds ``selected`` struct<tier, position, stage, text, label, prob, reason, error>,
     ``tier_counts``, ``backstop_guard_passed`` (tier 6), ``backstop`` and ``first_candidate``.
     ``error`` is the message of a classifier that failed; for a user model ``selected.visible``
@@ -191,19 +198,20 @@ def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str
     that the cascade reads, and are joined back once by ``index``, a unique key.  Its scores
     are written after every tier by ``stage(rows, name)``, and its first texts before, so
     it is never asked twice and Spark doesn't plan all tiers into one expression.
+    ``builder``: see ``fallback_candidates``.
     """
     models = model_candidates or []
     if getattr(scorer, "is_model", False):
         columns = dict.fromkeys([index, query, query_norm, route_name, categories, *models, *(unescaped or [])])
         work = (df if when is None else df.where(when)).select(*columns)
         made = _tiers(work, pack, scorer, models, query, query_norm, route_name, categories, index, max_chars, threshold,
-                      benign_max_probability, preserve_max_visible, None, unescaped, window, stage)
+                      benign_max_probability, preserve_max_visible, None, unescaped, window, stage, builder)
         seen = window.seen(query, "selected.text")
         made = made.withColumn("selected", F.col("selected").withField(
             "visible", F.struct(*[seen[f].alias(f) for f in VISIBILITY_FIELDS])))
         return df.join(stage(made.select(index, *ADDED), "selected"), index, "left")
     return _tiers(df, pack, scorer, models, query, query_norm, route_name, categories, index, max_chars, threshold,
-                  benign_max_probability, preserve_max_visible, when, unescaped, window, stage)
+                  benign_max_probability, preserve_max_visible, when, unescaped, window, stage, builder)
 
 
 ADDED = ("selected", "tier_counts", "backstop_guard_passed", "backstop", "first_candidate")
@@ -211,7 +219,7 @@ ADDED = ("selected", "tier_counts", "backstop_guard_passed", "backstop", "first_
 
 def _tiers(df: DataFrame, pack: Pack, scorer, models: list[str], query: str, query_norm: str, route_name: str, categories: str,
            index: str, max_chars: int | None, threshold: float, benign_max_probability: float, preserve_max_visible: int,
-           when: Column | None, unescaped: list[str] | None, window: Window, stage) -> DataFrame:
+           when: Column | None, unescaped: list[str] | None, window: Window, stage, builder) -> DataFrame:
     q, qn, route, cats, idx = (F.col(c) for c in (query, query_norm, route_name, categories, index))
     x = df.withColumn("_on", F.lit(True) if when is None else when)
     on = F.col("_on")
@@ -221,7 +229,7 @@ def _tiers(df: DataFrame, pack: Pack, scorer, models: list[str], query: str, que
     elif models:
         x = x.withColumns({f"_{k}{j}": F.when(on, F.coalesce(F.col(c), F.lit("")))
                            for k, cols in (("m", models), ("u", unescaped)) for j, c in enumerate(cols)})
-    x = fallback_candidates(x, pack, query, query_norm, route_name, categories, on)
+    x = fallback_candidates(x, pack, query, query_norm, route_name, categories, on, builder)
     x = x.withColumns({"_bound": boundary(route, cats, pack), "_benign": T.is_benign_task(query, route_name, categories),
                        "_prio": helpfulness_priority(route_name, categories, pack)})
     own = [F.when(on & ~F.coalesce(F.array_contains(F.array(*[F.col(f"_m{i}") for i in range(j)]), F.col(f"_m{j}")), F.lit(False))

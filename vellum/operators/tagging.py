@@ -106,7 +106,11 @@ def tag_and_route(df: DataFrame, text_col: str, pack: Pack, compact_col: str | N
 
 def select_by(df: DataFrame, route_name: str | None = None, severity: str | None = None,
               category: str | None = None) -> DataFrame:
-    """Requests of a route, severity or category (pushed into the same scan)."""
+    """Requests of a route, severity or category.
+
+    The condition is asked of the tagged rows: as a plain filter Spark would move it below the
+    tagging, with a copy of all rules in it, too large to be compiled.  To spare the tagger rows,
+    filter by ``may_have`` of the category first."""
     cond = F.lit(True)
     if route_name:
         cond = cond & (F.col("route_name") == route_name)
@@ -114,7 +118,15 @@ def select_by(df: DataFrame, route_name: str | None = None, severity: str | None
         cond = cond & (F.col("severity") == severity)
     if category:
         cond = cond & F.array_contains("categories", category)
-    return df.filter(cond)
+    kept = F.explode_outer(F.when(cond, F.array(F.lit(True))))
+    return df.select("*", kept.alias("_kept")).where("_kept").drop("_kept")
+
+
+def may_have(text, category: str, pack: Pack, compact=None) -> Column:
+    """C10 before the tagger: whether any pattern of a category hits; other rows can't have it."""
+    compact = compact_text(text) if compact is None else col(compact)
+    of = lambda on: [p for _g, t, c, p in pack.rules if t == on and c == category]
+    return matches_any(text, of("raw")) | matches_any(compact, of("compact"))
 
 
 def inspect_response(resp, query, pack: Pack) -> Column:
@@ -165,5 +177,6 @@ def route_counts(df: DataFrame, column: str = "route_name") -> DataFrame:
 
 def category_counts(df: DataFrame, column: str = "categories") -> DataFrame:
     """Frequency per category over array values."""
-    return (df.select(F.explode(column).alias("category"))
+    # an inner explode would filter by its argument first: Spark moves that below the tagging, with all rules in it
+    return (df.select(F.explode_outer(column).alias("category")).where("category is not null")
               .groupBy("category").agg(F.count(F.lit(1)).alias("n")))

@@ -182,8 +182,9 @@ def q_category_counts(spark, sf):
                               f"WHERE route_name = 'UNSAFE' AND list_contains(categories, 'secret')")
 def unsafe_documents(spark, sf):
     """Rule-group filter (route + category)."""
-    from vellum.operators.tagging import select_by
-    t = tagged_documents(spark, sf)
+    from vellum.operators.tagging import may_have, select_by
+    d = normalize_table(table(spark, sf, "documents", "doc_id", "text"), "text").where(may_have("text_norm", "secret", PACK, "text_compact"))
+    t = tag_and_route(d, "text_norm", PACK, "text_compact")
     return select_by(t, route_name="UNSAFE", category="secret").select(
         "doc_id", F.col("route.reason").alias("route_reason"))
 
@@ -322,9 +323,10 @@ def q_repair_responses(spark, sf):
 
 
 # ------------------------------------------------------------ guard (J6) and accept (F1)
-from vellum.functions.guard import harm_probability, label as guard_label, softmax  # noqa: E402
+from vellum.functions.guard import harm_probability, label as guard_label, softmax, tokenizer_ends, tokenizer_file  # noqa: E402
 from vellum.operators.accept import accept  # noqa: E402
-from vellum.operators.guard import batch_classify, content_budget, guard_pairs, join_assessments  # noqa: E402
+from vellum.operators.guard import (VISIBILITY_FIELDS, batch_classify, classify_by_budget, content_budget, guard_pairs,  # noqa: E402
+                                    join_assessments)
 from vellum.plans.stand_ins import counting_generator, length_classifier  # noqa: E402
 
 _CB = content_budget()
@@ -395,6 +397,24 @@ def q_batch_classify_pairs(spark, sf):
                     F.col("raw_error").isNotNull().alias("failed"))
 
 
+@register("classify_by_budget_pairs", ORACLE["batch_classify_pairs"])
+def q_classify_by_budget_pairs(spark, sf):
+    """E5 with batches filled by tokens over the borders of Arrow batches: the same rows."""
+    p = mutated_pairs(spark, sf).select("original_index", "query", "response")
+    s = classify_by_budget(p, lambda: length_classifier, budget=1024, retry_rows=True)
+    return s.select("original_index", "label", F.round("harmful_probability", 6).alias("harmful_probability"),
+                    F.col("raw_error").isNotNull().alias("failed"))
+
+
+@register("guard_visibility_bpe")
+def q_guard_visibility_bpe(spark, sf):
+    """E1-E3 with a user's tokenizer, here a byte-level vocabulary (no SQL: tests hold it against the tokenizers library)."""
+    import public_tokenizers
+    ends = tokenizer_ends(tokenizer_file(public_tokenizers.path("byte_bpe_50k.json")))
+    g = guard_pairs(mutated_pairs(spark, sf), "query", "response", ends=ends)
+    return g.select("original_index", *[F.col(f"visibility.{f}").alias(f) for f in VISIBILITY_FIELDS])
+
+
 PROB_SQL = "(((conv_id * 37 + turn * 11) % 100) / 100.0)::DOUBLE"
 LABEL_SQL = f"CASE WHEN conv_id % 13 = 0 THEN 'unknown' WHEN {PROB_SQL} >= 0.5 THEN 'harmful' ELSE 'safe' END"
 

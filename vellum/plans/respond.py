@@ -59,9 +59,11 @@ class Settings:
     benign_max_probability: float = 0.60
     rewrite_tokens: int | None = None
     window: Window = field(default_factory=Window)
+    #: Fallback candidates in place of the pack's templates: (query, route name, categories) -> array of texts.
+    builder: Callable[[Column, Column, Column], Column] | None = None
 
     def key(self) -> tuple:
-        """All that counts but the tokenizer, which has no name: ``version`` of the run stands for it."""
+        """All that counts but the tokenizer and the builder, which have no name: ``version`` of the run stands for them."""
         return (self.max_chars, self.threshold, self.min_visible, self.preserve_max_visible, self.benign_max_probability,
                 self.rewrite_tokens, *self.window.numbers())
 
@@ -158,7 +160,7 @@ def replace_rejected(merged: DataFrame, pack: Pack, scorer, threshold: float = 0
         "chosen": F.coalesce(accepted, F.col("selected.text")), "stage_before": F.coalesce(stage, F.col("selected.stage"))})
 
 
-def finalize(x: DataFrame, pack: Pack, max_chars: int | None = None, window: Window = Window()) -> DataFrame:
+def finalize(x: DataFrame, pack: Pack, max_chars: int | None = None, window: Window = Window(), builder=None) -> DataFrame:
     """last quality gate, backstop replacement (which asks no model), decision columns."""
     x = clean_and_repair(x, "chosen", None, "final", max_chars)
     issues = {"_inc": F.col("final_incomplete") | (F.col("final_text") == ""),
@@ -170,7 +172,7 @@ def finalize(x: DataFrame, pack: Pack, max_chars: int | None = None, window: Win
         F.when(F.col("_inc"), F.lit("incomplete final response")), F.when(F.col("_han"), F.lit("unexpected Han characters")),
         F.when(F.col("_meta"), F.lit("rewrite meta leakage")))), ", "))
     x = x.withColumn("_failed", F.col("final_quality_reason") != "")
-    x = fallback_candidates(x, pack, when=F.col("_failed"))
+    x = fallback_candidates(x, pack, when=F.col("_failed"), builder=builder)
     x = x.withColumns({
         "response": F.when(~F.col("_failed"), F.col("final_text"))
                      .otherwise(F.when(F.col("backstop") != "", F.col("backstop")).otherwise(F.col("first_candidate"))),
@@ -236,7 +238,7 @@ def _replaced(requests: DataFrame, pack: Pack, scorer, drafts, rewrites, generat
     assessed = steps["assessed"].rows
     if rewrites is None and generate_fn is not None:
         rewrites = generated("rewrites", steps["assessed"].digest, rewrite_requests(assessed, pack, settings.rewrite_tokens))
-    merged, more = merge_rewrites(assessed, rewrites, pack, scorer, **common), {}
+    merged, more = merge_rewrites(assessed, rewrites, pack, scorer, **common), {"builder": settings.builder}
     if getattr(scorer, "is_model", False):
         steps["merged"] = stages.run("merged", (steps["assessed"].digest,), lambda cut: merged)
         merged = steps["merged"].rows
@@ -268,7 +270,7 @@ def run_respond(requests: DataFrame, pack: Pack, scorer, drafts: DataFrame | Non
     With ``staging`` a job that was killed goes on where it was: finished steps are read, and
     of a generating step only unfinished ones of its ``slices`` are asked for again.  Steps
     are shared by runs with equal tables, pack and settings; give ``version`` another value when
-    the generator, the classifier or the tokenizer changes.
+    the generator, the classifier, the tokenizer or the builder changes.
     """
     spark = requests.sparkSession
     stages = Stages(spark, staging)
@@ -276,7 +278,7 @@ def run_respond(requests: DataFrame, pack: Pack, scorer, drafts: DataFrame | Non
     steps = _replaced(requests, pack, scorer, drafts, rewrites, generate_fn, settings, stages, base, slices)
     counters = {**diagnostic_columns(pack), **histogram_columns(pack)}
     steps["final"] = stages.run("final", (steps["replaced"].digest,), lambda cut: finalize(
-        steps["replaced"].rows, pack, settings.max_chars, settings.window), counters)
+        steps["replaced"].rows, pack, settings.max_chars, settings.window, settings.builder), counters)
     return Run(steps["final"].rows, pack, steps["final"].counters, steps)
 
 
@@ -293,7 +295,7 @@ def respond(requests: DataFrame, drafts: DataFrame | None, pack: Pack, scorer, r
     own = Settings(max_chars, threshold, min_visible, preserve_max_visible, **settings)
     base = _base(requests, pack, drafts, rewrites, own, staging, version, generate_fn is not None)
     steps = _replaced(requests, pack, scorer, drafts, rewrites, generate_fn, own, Stages(requests.sparkSession, staging), base, slices)
-    return finalize(steps["replaced"].rows, pack, max_chars, own.window)
+    return finalize(steps["replaced"].rows, pack, max_chars, own.window, own.builder)
 
 
 def decisions(final: DataFrame, *more: str) -> DataFrame:
