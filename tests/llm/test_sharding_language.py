@@ -94,3 +94,58 @@ def test_mixtures_and_held_out_accuracy(spark):
     sets = {r.doc_id: r for r in identify_languages(mixed, model).collect()}
     assert set(sets[1].languages) == {"en", "de"} and sets[1].score < 0.8
     assert sets[2].languages == ["fr"] and sets[2].score == 1
+
+
+def plain_mixture(like, weight, rounds=10):
+    """One document's proportions by EM in plain loops, and languages taken out while the penalised likelihood rises."""
+    n, k = like.shape
+    total = weight.sum()
+
+    def fit(pi):
+        for _ in range(rounds):
+            new = np.zeros(k)
+            for w in range(n):
+                joint = np.exp(like[w] - like[w].max()) * pi
+                new += weight[w] * joint / joint.sum()
+            pi = new / total
+        return pi, sum(weight[w] * (np.log((np.exp(like[w] - like[w].max()) * pi).sum()) + like[w].max()) for w in range(n))
+
+    def penalty(size):
+        return 0.5 * (size - 1) * np.log(total + 1)
+
+    active = set(range(k))
+    pi, score = fit(np.full(k, 1 / k))
+    score -= penalty(k)
+    while len(active) > 1:
+        weakest, best = min(active, key=lambda j: (pi[j], j)), int(np.argmax(pi))
+        less = {j for j in active if pi[j] * total >= 1 and j != weakest} | {best}
+        new = np.array([pi[j] if j in less else 0.0 for j in range(k)])
+        new /= new.sum()
+        new, value = fit(new) if len(less) > 1 else (new, float((like[:, best] * weight).sum()))
+        value -= penalty(len(less))
+        if value < score:
+            break
+        active, pi, score = less, new, value
+    return np.array([pi[j] if j in active else 0.0 for j in range(k)])
+
+
+def test_mixtures_equal_plain_em():
+    from vellum.llm.language_id import mixtures
+
+    rng = np.random.default_rng(6)
+    likes, weights = [], []
+    for _ in range(120):
+        n, k = int(rng.integers(1, 25)), 4
+        truth = rng.choice(k, size=n, p=rng.dirichlet(np.full(k, 0.4)))
+        like = rng.normal(-9, 0.7, (n, k))
+        like[np.arange(n), truth] += rng.uniform(0, 5)
+        likes.append(like)
+        weights.append(rng.integers(1, 9, n).astype(float))
+    starts = np.cumsum([0, *map(len, weights)])[:-1]
+    got = mixtures(np.concatenate(likes), np.concatenate(weights), starts)
+    sizes = set()
+    for row, like, weight in zip(got, likes, weights):
+        want = plain_mixture(like, weight)
+        assert ((row > 0) == (want > 0)).all() and np.abs(row - want).max() < 1e-9
+        sizes.add(int((row > 0).sum()))
+    assert len(sizes) >= 3  # one language, and mixtures of several

@@ -6,7 +6,7 @@ from conftest import SF_SMALL
 from pyspark.sql import types as T
 
 from vellum.llm import queries
-from vellum.llm.near_dup_vectors import near_duplicate_vectors
+from vellum.llm.near_dup_vectors import near_duplicate_vectors, reaches
 from vellum.llm.topk_search import exact_top_k, quantized
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
@@ -115,3 +115,14 @@ def test_queries(spark):
     got = queries.op1_near_dup_vectors(spark, SF_SMALL).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_links(rows)
     assert sorted(map(tuple, queries.op10_topk_search(spark, SF_SMALL).collect())) == brute_top(rows, 20)
+
+
+def test_reaches_equal_all_pairs():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 60):
+        cuts = np.sort(rng.normal(size=n).round(1))
+        low, high = [-np.inf, *cuts], [*cuts, np.inf]
+        for reach in (0.0, 0.13, 9.0):
+            _, far, near = reaches(cuts, reach)
+            want = [max(u for u in range(n + 1) if u == t or low[u] <= high[t] + reach) for t in range(n + 1)]
+            assert far.tolist() == want and near.tolist() == [min(t for t in range(n + 1) if want[t] >= u) for u in range(n + 1)]

@@ -14,9 +14,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from vellum.llm.common import components, staged
 
@@ -122,6 +124,14 @@ def forest(n: int, label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarra
             label = label[label]
 
 
+def reaches(cuts: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cuts between tiles; the last tile that each tile has to meet, and the first that has to meet it."""
+    low, high = np.concatenate(([-np.inf], cuts)), np.concatenate((cuts, [np.inf]))
+    own = np.arange(len(low))
+    far = np.maximum(np.searchsorted(low, high + reach, side="right") - 1, own)
+    return cuts, far, np.searchsorted(far, own)
+
+
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                            threshold: float = 0.95, tile: int = TILE) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id``, ``kept`` for every row.
@@ -162,14 +172,20 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     tiles = max(1, math.ceil(placed.count() / tile))
     cuts = placed.approxQuantile("lead", [i / tiles for i in range(1, tiles)], 0.1 / tiles) if tiles > 1 else []
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-7  # links are no farther apart in any coordinate
-    low, high = [-math.inf, *cuts], [*cuts, math.inf]
-    far = [max(u for u in range(tiles) if u == t or low[u] <= high[t] + reach) for t in range(tiles)]
-    near = [min(t for t in range(tiles) if far[t] >= u) for u in range(tiles)]
-    at = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), c + 1)
-    t = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("lead"))) if cuts else F.lit(0)
-    own = placed.select("rep", "copies", "vec", F.size("vec").alias("width"), t.alias("t"))
-    left = own.select("*", F.explode(F.sequence("t", at(far, F.col("t")))).alias("u"), F.lit(True).alias("left"))
-    right = own.select("*", F.explode(F.sequence(at(near, F.col("t")), "t")).alias("u"), F.lit(False).alias("left"))
+    deal = spark.sparkContext.broadcast(reaches(np.array(cuts), reach))  # three numbers a tile
+
+    @pandas_udf("struct<t:int,far:int,near:int>")
+    def tile_of(lead: pd.Series) -> pd.DataFrame:
+        cuts, far, near = deal.value
+        t = np.searchsorted(cuts, lead, side="right")
+        return pd.DataFrame({"t": t, "far": far[t], "near": near[t]})
+
+    own = placed.select("rep", "copies", "vec", F.size("vec").alias("width"), tile_of("lead").alias("at")).select(
+        "rep", "copies", "vec", "width", "at.t", "at.far", "at.near")
+    rows_of = ["rep", "copies", "vec", "width", "t"]
+    # no sequence is empty; an inner explode would make Spark look for empty ones first, with the tiles computed twice
+    left = own.select(*rows_of, F.explode_outer(F.sequence("t", "far")).alias("u"), F.lit(True).alias("left"))
+    right = own.select(*rows_of, F.explode_outer(F.sequence("near", "t")).alias("u"), F.lit(False).alias("left"))
     pairs = left.unionByName(right.where("u < t").select("rep", "copies", "vec", "width", F.col("u").alias("t"),
                                                          F.col("t").alias("u"), "left"))
 

@@ -72,7 +72,11 @@ class SortedLists:
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``id``, ``vec``: floor(scale * x) of the vectors whose components are all finite."""
+    """``id``, ``vec``: floor(scale * x) of the vectors whose components are all finite.
+
+    Rows with a null id, a null vector or a component that is null or not finite are left
+    out; repeated rows stay; an empty table gives an empty result; other columns are not read.
+    """
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return (vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & finite)
