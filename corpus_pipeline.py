@@ -27,7 +27,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and letterless texts go.  The model learns from the labelled
     documents that are not held out; without any label nothing can be told
-    apart, and every text with a letter stays.
+    apart, and every text with a letter stays.  Repeated rows are judged one by
+    one, rows with a null id too (they are never held out); a text of any length
+    is read whole; an empty table gives an empty one.
     """
     model = fit_language_model(docs.where(~F.coalesce(held_out(), F.lit(False))))
     if not model.languages:
@@ -40,7 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep the smallest id of every class of near duplicates.
 
     Rows with a null id link with nothing and stay; rows that repeat an id and a
-    text are one document and stay or go together.
+    text are one document and stay or go together.  Null and empty texts have no
+    shingles, link with nothing and stay; an empty table gives an empty one.
     """
     classes = jaccard_classes(docs, SHINGLE_WORDS, SHARED_PERCENT)
     gone = classes.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
@@ -50,7 +53,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove the words of passages that a smaller document has; texts that keep all words stay as they are.
 
-    ``n_chars`` follows the text.  A document that loses all its words goes.
+    ``n_chars`` follows the text.  A document that loses all its words goes.  A row
+    with a null id is neither judged nor held against others; rows that repeat an id
+    and a text are one document and lose the same words; null and empty texts stay as
+    they are; an empty table gives an empty one.
     """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = remove_repeated_windows(docs, WINDOW_WORDS, keep=rest).where("n_removed = 0 or n_removed < n_words")
@@ -62,7 +68,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining texts in sequences of 1024 tokens."""
+    """Pieces of the remaining texts in sequences of 1024 tokens.
+
+    A null or empty text is the closing id alone.  Repeated rows and rows with a null
+    id are packed one by one; a long text is cut into as many pieces as it takes; an
+    empty table gives no piece.
+    """
     return pack(docs)
 
 
