@@ -214,3 +214,24 @@ def test_first_violation_is_named(spark):
         io.validate_submission(req, sub)
     with pytest.raises(io.ContractError, match="count 2 != input count 3; first at row 4, id c: missing"):
         io.validate_submission(req, sub.where("original_index < 2").withColumn("id", F.when(F.col("original_index") == 1, "b").otherwise(F.col("id"))))
+
+
+def test_files_without_quoted_line_breaks_are_split(spark, tmp_path):
+    plain = "id,question\r\n" + "".join(f'q{i},"say ""{i}"", please"\r\n' for i in range(3000))
+    (tmp_path / "a.csv").write_text(plain, newline="")
+    (tmp_path / "b.csv").write_text(plain + 'last,"two\nlines"\r\n', newline="")
+    (tmp_path / "c.csv").write_text("id,question\r\n", newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert not io.has_line_breaks_in_quotes(spark, f"{tmp_path}/a.csv") and io.has_line_breaks_in_quotes(spark, f"{tmp_path}/b.csv")
+        for name, n in (("a", 3000), ("b", 3001)):
+            rows = io.read_requests(spark, f"{tmp_path}/{name}.csv").orderBy("original_index").collect()
+            assert [r.original_index for r in rows] == list(range(n)) and rows[17].id == "q17" and rows[17].query == 'say "17", please'
+            assert rows[-1].query == ("two\nlines" if name == "b" else 'say "2999", please')
+        split = spark.read.options(**io.CSV_OPTIONS | {"multiLine": "false"}).csv(f"{tmp_path}/a.csv")
+        assert split.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(io.ContractError, match="no rows"):
+        io.read_requests(spark, f"{tmp_path}/c.csv")

@@ -115,12 +115,15 @@ def test_slices_are_finished_one_by_one(spark, tmp_path):
     assert run.rows.count() == 30 and run.counters["records"] == 30
 
 
-def test_other_inputs_share_nothing(spark, tmp_path):
-    at, log = str(tmp_path / "job"), tmp_path / "asked"
-    for r, version, n in ((requests(spark, 4), "", 4), (requests(spark, 5), "", 9), (requests(spark, 5), "new model", 14),
-                          (requests(spark, 5).repartition(1), "new model", 14)):
-        run_respond(r, MINI, SCORER, generate_fn=generator(log), staging=at, version=version)
-        assert len(asked(log, "draft")) == n
+def test_other_inputs_share_nothing(spark):
+    from vellum.operators.guard import Window
+    from vellum.plans.respond import Settings, _base
+    r, d = requests(spark, 4), spark.createDataFrame([(0, "x", "stop")], "original_index long, text string, finish_reason string")
+    base = lambda r=r, d=None, w=None, settings=Settings(), version="", pack=MINI, asks=True: _base(
+        r, pack, d, w, settings, "somewhere", version, asks)
+    keys = [base(), base(requests(spark, 5)), base(d=d), base(w=d), base(version="new model"), base(settings=Settings(threshold=0.4)),
+            base(settings=Settings(window=Window(64))), base(pack=replace(MINI, system_base="other")), base(asks=False)]
+    assert len(set(keys)) == len(keys) and base(r.repartition(1)) == keys[0]
     a = spark.createDataFrame([(1, "x"), (2, None)], "k long, t string")
     assert content_digest(a) == content_digest(a.select("t", "k").repartition(2).select("k", "t"))
     assert len({content_digest(x) for x in (a, a.union(a), a.limit(1), a.withColumnRenamed("t", "u"), a.limit(0))}) == 5
@@ -203,3 +206,33 @@ def test_candidates_of_a_builder(spark):
     got = respond(r, d, MINI, expression_scorer(lambda q, t, i: F.lit(0.1)), builder=own).collect()
     assert {x.response for x in got} == {"The answer to your question lies on shelf 42."}
     assert {(x.selected.tier, x.selected.position) for x in got} == {(3, 2)}
+
+
+def test_generator_batches_and_set_up(spark, tmp_path):
+    """One set-up a worker; calls of so many rows over the borders of Arrow batches, in order."""
+    from vellum.operators.prompts import batch_generate
+    log = str(tmp_path / "log")
+
+    def setup():
+        with open(log, "a") as f:
+            f.write("setup\n")
+
+        def generate(messages, max_tokens):
+            with open(log, "a") as f:
+                f.write(f"{len(messages)}\n")
+            return [m[-1]["content"].upper() for m in messages], None if max_tokens[0] % 2 else ["stop"] * len(messages)
+        return generate
+
+    df = spark.range(50).selectExpr("id", "array(struct('user' as role, concat('t', id) as content)) as messages", "cast(id as int) as max_tokens").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = batch_generate(df, setup_fn=setup, batch_size=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.id, r.text) for r in got] == [(i, f"T{i}") for i in range(50)] and {r.finish_reason for r in got} == {"stop"}
+    assert open(log).read().split() == ["setup", "16", "16", "16", "2"]
+    with pytest.raises(ValueError, match="either a generator or its set-up"):
+        batch_generate(df)
+    made = generator(tmp_path / "asked")
+    run = run_respond(requests(spark, 3), MINI, SCORER, generate_setup=lambda: made, generate_batch=2)
+    assert run.rows.count() == 3 and len(asked(tmp_path / "asked", "draft")) == 3

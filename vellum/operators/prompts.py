@@ -80,24 +80,45 @@ def rewrite_messages(query, draft, route_name, categories, reason, pack: Pack,
 GENERATION_FIELDS = [StructField("text", StringType()), StructField("finish_reason", StringType())]
 
 
-def batch_generate(df: DataFrame, generate_fn: Callable[[list[list[dict]], list[int]], tuple[list[str], list[str]]],
-                   messages: str = "messages", max_tokens: str = "max_tokens") -> DataFrame:
-    """Call ``generate_fn(messages, max_tokens) -> (texts, finish_reasons)`` once per
-    Arrow batch (mixed token budgets in one call).  A length mismatch is an error;
-    reasons of the wrong length become ``unknown``."""
+def batch_generate(df: DataFrame, generate_fn: Callable[[list[list[dict]], list[int]], tuple[list[str], list[str]]] | None = None,
+                   messages: str = "messages", max_tokens: str = "max_tokens", setup_fn: Callable[[], Callable] | None = None,
+                   batch_size: int | None = None) -> DataFrame:
+    """Call ``generate_fn(messages, max_tokens) -> (texts, finish_reasons)``, mixed token budgets in one call.
+
+    One call for each Arrow batch, or for every ``batch_size`` rows of a task over the borders of
+    Arrow batches (the last call of a task may have fewer).  ``setup_fn() -> generate_fn`` is
+    called once in each worker process instead, where a model is loaded and stays.  A length
+    mismatch is an error; reasons of the wrong length become ``unknown``."""
+    if (generate_fn is None) == (setup_fn is None):
+        raise ValueError("either a generator or its set-up")
     schema = StructType(list(df.schema.fields) + GENERATION_FIELDS)
+    made: list = []  # a worker's own; it is pickled empty
+
+    def answered(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not made:
+            made.append(generate_fn or setup_fn())
+        msgs = [[{"role": m["role"], "content": m["content"]} for m in row] for row in pdf[messages]]
+        texts, reasons = made[0](msgs, [int(x) for x in pdf[max_tokens]])
+        texts = list(texts)
+        if len(texts) != len(pdf):
+            raise ValueError("generator returned a different number of outputs")
+        reasons = list(reasons) if reasons is not None and len(reasons) == len(pdf) else ["unknown"] * len(pdf)
+        return pdf.assign(text=texts, finish_reason=reasons)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for pdf in batches:
-            msgs = [[{"role": m["role"], "content": m["content"]} for m in row] for row in pdf[messages]]
-            texts, reasons = generate_fn(msgs, [int(x) for x in pdf[max_tokens]])
-            texts = list(texts)
-            if len(texts) != len(pdf):
-                raise ValueError("generator returned a different number of outputs")
-            reasons = list(reasons) if reasons is not None and len(reasons) == len(pdf) else ["unknown"] * len(pdf)
-            out = pdf.copy()
-            out["text"] = texts
-            out["finish_reason"] = reasons
-            yield out
+            if not len(pdf):
+                continue
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            size = batch_size or len(held)
+            while len(held) >= size:
+                yield answered(held.iloc[:size])
+                held = held.iloc[size:]
+                if not len(held):
+                    held = None
+                    break
+        if held is not None:
+            yield answered(held)
 
     return df.mapInPandas(run, schema)

@@ -226,7 +226,7 @@ def _replaced(requests: DataFrame, pack: Pack, scorer, drafts, rewrites, generat
     common = dict(max_chars=settings.max_chars, threshold=settings.threshold, min_visible=settings.min_visible, window=settings.window)
 
     def generated(name: str, after: str, asked: DataFrame) -> DataFrame:
-        steps[name] = stages.run(name, (after,), lambda cut: batch_generate(cut(asked), generate_fn).select(
+        steps[name] = stages.run(name, (after,), lambda cut: generate_fn(cut(asked)).select(
             "original_index", "text", "finish_reason"), slices=slices, slice_by="original_index")
         return steps[name].rows
 
@@ -252,6 +252,13 @@ def _replaced(requests: DataFrame, pack: Pack, scorer, drafts, rewrites, generat
     return steps
 
 
+def _asker(generate_fn: Callable | None, setup_fn: Callable | None = None, batch_size: int | None = None) -> Callable | None:
+    """From a table of messages to its answers, if there is a generator."""
+    if generate_fn is None and setup_fn is None:
+        return None
+    return lambda asked: batch_generate(asked, generate_fn, setup_fn=setup_fn, batch_size=batch_size)
+
+
 def _base(requests, pack: Pack, drafts, rewrites, settings: Settings, staging: str | None, version: str, generates: bool) -> str:
     """Digest of everything that the steps follow from; nothing is read if there is nothing to resume."""
     if staging is None:
@@ -262,11 +269,14 @@ def _base(requests, pack: Pack, drafts, rewrites, settings: Settings, staging: s
 
 def run_respond(requests: DataFrame, pack: Pack, scorer, drafts: DataFrame | None = None, rewrites: DataFrame | None = None,
                 generate_fn: Callable | None = None, settings: Settings = Settings(), staging: str | None = None,
-                version: str = "", slices: int = 1) -> Run:
+                version: str = "", slices: int = 1, generate_setup: Callable[[], Callable] | None = None,
+                generate_batch: int | None = None) -> Run:
     """J8 to the end: one written row per request, and the run's counters.
 
     ``generate_fn(messages, max_tokens) -> (texts, finish_reasons)`` makes the drafts and the
     rewrites that are not given; without it, drafts are a must and no rewrites mean no round.
+    ``generate_setup`` makes it once in each worker instead, ``generate_batch`` rows go into one
+    call (see ``batch_generate``).
     With ``staging`` a job that was killed goes on where it was: finished steps are read, and
     of a generating step only unfinished ones of its ``slices`` are asked for again.  Steps
     are shared by runs with equal tables, pack and settings; give ``version`` another value when
@@ -274,8 +284,9 @@ def run_respond(requests: DataFrame, pack: Pack, scorer, drafts: DataFrame | Non
     """
     spark = requests.sparkSession
     stages = Stages(spark, staging)
-    base = _base(requests, pack, drafts, rewrites, settings, staging, version, generate_fn is not None)
-    steps = _replaced(requests, pack, scorer, drafts, rewrites, generate_fn, settings, stages, base, slices)
+    ask = _asker(generate_fn, generate_setup, generate_batch)
+    base = _base(requests, pack, drafts, rewrites, settings, staging, version, ask is not None)
+    steps = _replaced(requests, pack, scorer, drafts, rewrites, ask, settings, stages, base, slices)
     counters = {**diagnostic_columns(pack), **histogram_columns(pack)}
     steps["final"] = stages.run("final", (steps["replaced"].digest,), lambda cut: finalize(
         steps["replaced"].rows, pack, settings.max_chars, settings.window, settings.builder), counters)
@@ -293,8 +304,9 @@ def respond(requests: DataFrame, drafts: DataFrame | None, pack: Pack, scorer, r
     caller; ``run_respond`` writes it too and has the counters.  See there for the rest;
     ``settings`` are more fields of Settings."""
     own = Settings(max_chars, threshold, min_visible, preserve_max_visible, **settings)
-    base = _base(requests, pack, drafts, rewrites, own, staging, version, generate_fn is not None)
-    steps = _replaced(requests, pack, scorer, drafts, rewrites, generate_fn, own, Stages(requests.sparkSession, staging), base, slices)
+    ask = _asker(generate_fn)
+    base = _base(requests, pack, drafts, rewrites, own, staging, version, ask is not None)
+    steps = _replaced(requests, pack, scorer, drafts, rewrites, ask, own, Stages(requests.sparkSession, staging), base, slices)
     return finalize(steps["replaced"].rows, pack, max_chars, own.window, own.builder)
 
 

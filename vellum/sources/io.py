@@ -79,25 +79,34 @@ def resolve_columns(header_line: str, strict: bool = True) -> dict | None:
 
 
 # ------------------------------------------------------------------------ A3
-def read_requests(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def has_line_breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted CSV value has a line break: some line then has an odd number of quotes, and only then."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_requests(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """A3: ``original_index, id, query`` from a request CSV (quoted newlines, BOM,
     trimmed values).  No rows and a blank id are errors; the latter names its 1-based row.
 
-    ``multiline=False`` says that no quoted text has a line break: then a large file is read by many tasks."""
+    A quoted text with a line break keeps Spark from splitting a file, so one task reads
+    it whole.  A first pass over the lines finds out whether there is such a text; without
+    one, a large file is read by many tasks.  ``multiline`` says so beforehand and spares the pass."""
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ContractError(f"{path} is empty")
     cols = resolve_columns(first[0].value)
+    multiline = has_line_breaks_in_quotes(spark, path) if multiline is None else multiline
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(cols["width"])])
     raw = spark.read.options(**CSV_OPTIONS | {"multiLine": str(multiline).lower()}).schema(schema).csv(path)
-    if raw.isEmpty():
-        raise ContractError(f"{path} has no rows")
     df = with_file_order(raw).select(
         "original_index", unicode_strip(F.col(f"c{cols['id']}")).alias("id"),
         unicode_strip(F.col(f"c{cols['text']}")).alias("query"))
-    bad = df.filter(F.col("id") == "").select("original_index").orderBy("original_index").limit(1).collect()
-    if bad:
-        raise ContractError(f"blank id at CSV row {bad[0].original_index + 2}")
+    state = df.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("id") == "", F.col("original_index"))).alias("bad")).first()
+    if not state.n:
+        raise ContractError(f"{path} has no rows")
+    if state.bad is not None:
+        raise ContractError(f"blank id at CSV row {state.bad + 2}")
     return df
 
 
