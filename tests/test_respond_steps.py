@@ -208,6 +208,18 @@ def test_candidates_of_a_builder(spark):
     assert {(x.selected.tier, x.selected.position) for x in got} == {(3, 2)}
 
 
+def test_steps_can_be_discarded(spark, tmp_path):
+    from vellum.session import MADE, discard_staged, staged
+    kept, gone = staged(spark.range(3), "kept"), Stages(spark)
+    step = gone.run("a", (1,), lambda cut: spark.range(5))
+    assert step.rows.count() == 5 and os.path.isdir(gone.root)
+    assert discard_staged(spark, gone.root) == 1 and not os.path.exists(gone.root) and kept.count() == 3
+    own = Stages(spark, str(tmp_path / "own"))
+    own.run("a", (1,), lambda cut: spark.range(5))
+    assert discard_staged(spark, own.root) == 0 and os.path.isdir(own.root)  # a caller's folder is the caller's
+    assert gone.root not in MADE[spark.sparkContext.applicationId]
+
+
 def test_generator_batches_and_set_up(spark, tmp_path):
     """One set-up a worker; calls of so many rows over the borders of Arrow batches, in order."""
     from vellum.operators.prompts import batch_generate

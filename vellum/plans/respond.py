@@ -33,6 +33,7 @@ from vellum.operators.quality import clean_and_repair
 from vellum.operators.tagging import ROUTES, helpfulness_priority, requires_direct_answer, tag_and_route
 from vellum.packs import Pack
 from vellum.plans.stages import Stages, Step, content_digest, digest
+from vellum.session import discard_staged
 
 
 def _one_each(answers: DataFrame, name: str, max_chars: int | None) -> DataFrame:
@@ -197,6 +198,11 @@ class Run:
     pack: Pack
     counters: dict
     steps: dict[str, Step]
+    folder: str
+
+    def discard(self) -> bool:
+        """Delete the written steps of a run without a ``staging`` of its own, once its rows are saved elsewhere."""
+        return discard_staged(self.rows.sparkSession, self.folder) > 0
 
     def diagnostics(self) -> DataFrame:
         """G3 + G10, equal to ``diagnostics`` of the rows, without reading them."""
@@ -290,7 +296,7 @@ def run_respond(requests: DataFrame, pack: Pack, scorer, drafts: DataFrame | Non
     counters = {**diagnostic_columns(pack), **histogram_columns(pack)}
     steps["final"] = stages.run("final", (steps["replaced"].digest,), lambda cut: finalize(
         steps["replaced"].rows, pack, settings.max_chars, settings.window, settings.builder), counters)
-    return Run(steps["final"].rows, pack, steps["final"].counters, steps)
+    return Run(steps["final"].rows, pack, steps["final"].counters, steps, stages.root)
 
 
 def respond(requests: DataFrame, drafts: DataFrame | None, pack: Pack, scorer, rewrites: DataFrame | None = None,

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.session import shared_dir
+from vellum.session import new_folder
 
 
 def content_digest(df: DataFrame) -> str:
@@ -50,7 +49,7 @@ class Stages:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = (root or f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}").rstrip("/")
+        self.root = (root or new_folder(spark)).rstrip("/")
 
     def _marker(self, path: str) -> dict | None:
         done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")

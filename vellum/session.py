@@ -51,11 +51,35 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: at ``path``, or in the shared folder.
+#: Folders that this process has made in the shared one, by application.
+MADE: dict[str, list[str]] = {}
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one; ``discard_staged`` knows it."""
+    path = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
+    MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_staged(spark: SparkSession, path: str | None = None) -> int:
+    """Delete what ``staged`` and jobs without a folder of their own have written, or one such folder.
+
+    For the end of a job: rows that still have to be read are gone.  Other folders are not touched."""
+    made = MADE.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in made if path is None or p == path]
+    for p in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        made.remove(p)
+    return len(gone)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
 
     A lost executor costs only the tasks that read its part, model output is not
     computed again, and later readers scan only the columns that they need."""
-    path = path or f"{shared_dir(df.sparkSession)}/vellum-{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
