@@ -14,21 +14,17 @@ NAME = "docs"
 RULES = [
     ("jailbreak", "raw", "jailbreak", r"ignore (?:all )?(?:previous|prior) instructions"),
     ("jailbreak", "raw", "jailbreak", r"developer mode|do anything now"),
-    ("jailbreak", "raw", "jailbreak", r"\$\$\$"),
     ("jailbreak", "compact", "jailbreak", r"ignorepreviousinstructions|systemprompt"),
     ("unsafe", "raw", "secret", r"(?:api[_ -]?key|token|password|secret) *="),
     ("unsafe", "raw", "email", r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]{2,}"),
     ("unsafe", "raw", "phone", r"\+?[0-9]{1,3}[- (]{1,2}[0-9]{3}[- )]{1,2}[0-9]{3}"),
-    ("unsafe", "raw", "long_digits", r"[0-9]{13,19}"),
+    ("unsafe", "raw", "card", r"\b[3-6][0-9]{12,18}\b"),
     ("unsafe", "compact", "secret", r"apikey|passwd"),
-    ("unsafe", "compact", "run_on", r"thereon|withthe"),
-    ("sensitive", "raw", "ipv4", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
+    ("sensitive", "raw", "ipv4", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\b"),
     ("sensitive", "raw", "license", r"licen[sc]e|copyright|all rights reserved|spdx"),
-    ("sensitive", "raw", "noise", r"\*\*\*|###|%%%|&&&"),
+    ("sensitive", "raw", "noise", r"\*\*\*|###|%%%|&&&|\$\$\$"),
+    ("sensitive", "raw", "noise", r"(?:[^ ]!! [^ ]+){3}"),
     ("sensitive", "raw", "table_text", r" \| .{1,40} \| "),
-    ("sensitive", "raw", "french", r"\b(?:avec|pour)\b"),
-    ("sensitive", "raw", "german", r"\b(?:und|nicht)\b.{0,60}\bder\b"),
-    ("sensitive", "raw", "spanish", r"\b(?:para|como|del)\b"),
     ("sensitive", "raw", "claim", r"\b(?:with|from)\b.{0,40}\b(?:that|this)\b"),
     ("sensitive", "raw", "secret", r"private key"),
 ]
@@ -71,9 +67,9 @@ TOPICS = [
 
 # Categories whose answers must stay on task (C7) and must not be refused.
 PRIORITY_UNSAFE = ["secret", "email"]
-PRIORITY = ["license", "claim", "table_text", "french", "german", "spanish"]
+PRIORITY = ["license", "claim", "table_text"]
 DIRECT_UNSAFE = ["secret"]
-DIRECT = ["license", "table_text", "french"]
+DIRECT = ["license", "table_text"]
 
 # Relevance rules (C9), checked in order after the topic test:
 # (mode, query_any, response_any, head_chars, min_hits, if_category, unless_category, refusal_fails)
@@ -101,7 +97,6 @@ INTENTS = [
     ("licensing", ["license"], None),
     ("claim_check", ["claim"], "not_unsafe"),
     ("markup_cleanup", ["noise", "table_text"], None),
-    ("language_help", ["french", "german", "spanish"], None),
 ]
 
 # Candidate templates: (key, variant_keywords, texts).  key is an intent or
@@ -137,10 +132,6 @@ TEMPLATES = [
         "The text mixes content with markup noise such as repeated symbols and table bars. Remove the markers and keep the sentences.",
         "Strip the decorative symbols and table separators, then re-read the remaining sentences for meaning.",
     ]),
-    ("language_help", [], [
-        "The passage is written in a language other than English. A faithful translation keeps names, numbers and the order of ideas.",
-        "Translate sentence by sentence, keep proper names unchanged, and mark any phrase whose meaning stays unclear.",
-    ]),
     ("route:UNSAFE", ["digits", "number"], [
         "Long digit strings can be card or account numbers. Mask all but the last four digits before storing or sharing the text.",
         "Keep a copy with the private values blacked out, and file the untouched page where only its owner can open it.",
