@@ -55,9 +55,9 @@ def test_ends_and_steps_equal_plain_searches(spark):
         plain = plain | s.rlike(to_java(p, flags))
     url = lambda c: F.regexp_extract(c, to_java(T.TRAILING_URL_PATTERN, "i"), 0)
     t = F.coalesce("t", F.lit(""))
-    rows = d.select("t", T.unicode_strip("t").alias("strip"), s.alias("rstrip"), T.incomplete_ending("t").alias("end"), plain.alias("plain"),
+    rows = d.select("t", T.unicode_strip("t").alias("strip"), s.alias("rstrip"), T.incomplete_ending("t", quick=True).alias("end"), plain.alias("plain"),
                     url(s).alias("url"), url(F.substring_index(s, " ", -1)).alias("last_url"),
-                    normalize_steps(t, None).alias("steps"), T.unicode_strip(squeeze(t)).alias("every_step")).collect()
+                    normalize_steps(t, None, quick=True).alias("steps"), T.unicode_strip(squeeze(t)).alias("every_step")).collect()
     for r in rows:
         assert (r.strip, r.rstrip) == ((r.t or "").strip(), (r.t or "").rstrip()), repr(r.t)
         assert r.end == r.plain and r.url == r.last_url and r.steps == r.every_step, repr(r.t)
@@ -66,5 +66,5 @@ def test_ends_and_steps_equal_plain_searches(spark):
 def test_topics_are_substrings_in_lower_case(spark):
     table = [("a", ["ſ", "token ="]), ("digits", list("0123456789")), ("ends", ["]", "-", "^"]), ("none", []), ("word", [" AND"])]
     d = spark.createDataFrame([(t,) for t in odd_texts(3)], "t string")
-    for r in d.select("t", T.topics("t", table).alias("x"), F.lower("t").alias("low")).collect():
+    for r in d.select("t", T.topics("t", table, quick=True).alias("x"), F.lower("t").alias("low")).collect():
         assert r.x == [n for n, keys in table if any(k.lower() in (r.low or "") for k in keys)], repr(r.t)
