@@ -20,3 +20,9 @@ def test_category_counts(spark):
     got = dict(rows(spark, "category_counts", "category", "n"))
     want = {"french": 118, "german": 113, "spanish": 87, "long_digits": 24, "run_on": 132, "ipv4": 25}
     assert {c: got.get(c) for c in want} == want
+
+
+def test_unsafe_documents(spark):
+    reasons = [r for r, in rows(spark, "unsafe_documents", "route_reason")]
+    named = {c: sum(c in r for r in reasons) for c in ("run_on", "long_digits", "french", "spanish")}
+    assert len(reasons) == 12 and named == {"run_on": 4, "long_digits": 4, "french": 4, "spanish": 2}
