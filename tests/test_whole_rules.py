@@ -26,3 +26,8 @@ def test_unsafe_documents(spark):
     reasons = [r for r, in rows(spark, "unsafe_documents", "route_reason")]
     named = {c: sum(c in r for r in reasons) for c in ("run_on", "long_digits", "french", "spanish")}
     assert len(reasons) == 12 and named == {"run_on": 4, "long_digits": 4, "french": 4, "spanish": 2}
+
+
+def test_quality_flags(spark):
+    flags = rows(spark, "quality_flags", "requires_direct", "helpfulness_priority", "relevant")
+    assert [sum(f) for f in zip(*flags)] == [9, 32, 180]
