@@ -31,3 +31,8 @@ def test_unsafe_documents(spark):
 def test_quality_flags(spark):
     flags = rows(spark, "quality_flags", "requires_direct", "helpfulness_priority", "relevant")
     assert [sum(f) for f in zip(*flags)] == [9, 32, 180]
+
+
+def test_quality_counts(spark):
+    got = one(spark, "quality_counts")
+    assert (got["n_requires_direct"], got["n_helpfulness_priority"]) == (9, 32)
