@@ -36,3 +36,8 @@ def test_quality_flags(spark):
 def test_quality_counts(spark):
     got = one(spark, "quality_counts")
     assert (got["n_requires_direct"], got["n_helpfulness_priority"]) == (9, 32)
+
+
+def test_benign_tasks(spark):
+    got = Counter(rows(spark, "benign_tasks", "route_name", "benign"))
+    assert got == {("SAFE_DIRECT", True): 97, ("SAFE_DIRECT", False): 101, ("SAFE_SENSITIVE", False): 32, ("UNSAFE", False): 3}
