@@ -41,3 +41,9 @@ def test_quality_counts(spark):
 def test_benign_tasks(spark):
     got = Counter(rows(spark, "benign_tasks", "route_name", "benign"))
     assert got == {("SAFE_DIRECT", True): 97, ("SAFE_DIRECT", False): 101, ("SAFE_SENSITIVE", False): 32, ("UNSAFE", False): 3}
+
+
+def test_guarded_select(spark):
+    got = Counter(s for s, in rows(spark, "guarded_select", "stage"))
+    assert got == {"benign_model_recovered": 13, "model_boundary_accepted": 10, "fallback_accepted": 88,
+                   "fallback_boundary_accepted": 20, "fallback_safe_backstop": 102}
