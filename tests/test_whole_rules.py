@@ -47,3 +47,9 @@ def test_guarded_select(spark):
     got = Counter(s for s, in rows(spark, "guarded_select", "stage"))
     assert got == {"benign_model_recovered": 13, "model_boundary_accepted": 10, "fallback_accepted": 88,
                    "fallback_boundary_accepted": 20, "fallback_safe_backstop": 102}
+
+
+def test_cascade_counters(spark):
+    got = one(spark, "cascade_counters")
+    assert [got[f"tier{k}_scored"] for k in range(1, 7)] == [32, 21, 236, 60, 1, 102]
+    assert [got[f"tier{k}_accepted"] for k in range(1, 7)] == [13, 10, 88, 20, 0, 102] and got["backstop_guard_passed"] == 1
