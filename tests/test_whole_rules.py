@@ -53,3 +53,7 @@ def test_cascade_counters(spark):
     got = one(spark, "cascade_counters")
     assert [got[f"tier{k}_scored"] for k in range(1, 7)] == [32, 21, 236, 60, 1, 102]
     assert [got[f"tier{k}_accepted"] for k in range(1, 7)] == [13, 10, 88, 20, 0, 102] and got["backstop_guard_passed"] == 1
+
+
+def test_report_by_route(spark):
+    assert {r[0]: r[1] for r in rows(spark, "report_by_route")} == {"SAFE_DIRECT": 198, "SAFE_SENSITIVE": 32, "UNSAFE": 3}
