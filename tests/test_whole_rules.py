@@ -57,3 +57,9 @@ def test_cascade_counters(spark):
 
 def test_report_by_route(spark):
     assert {r[0]: r[1] for r in rows(spark, "report_by_route")} == {"SAFE_DIRECT": 198, "SAFE_SENSITIVE": 32, "UNSAFE": 3}
+
+
+def test_guarded_select_preserving(spark):
+    got = Counter(s for s, in rows(spark, "guarded_select_preserving", "stage"))
+    assert got == {"benign_model_recovered": 13, "model_boundary_accepted": 10, "fallback_accepted": 88,
+                   "fallback_boundary_accepted": 20, "fallback_context_preserved": 1, "fallback_safe_backstop": 101}
