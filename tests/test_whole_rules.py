@@ -63,3 +63,8 @@ def test_guarded_select_preserving(spark):
     got = Counter(s for s, in rows(spark, "guarded_select_preserving", "stage"))
     assert got == {"benign_model_recovered": 13, "model_boundary_accepted": 10, "fallback_accepted": 88,
                    "fallback_boundary_accepted": 20, "fallback_context_preserved": 1, "fallback_safe_backstop": 101}
+
+
+def test_respond_decisions(spark):
+    got = Counter(c for c, in rows(spark, "respond_decisions", "categories"))
+    assert got == {"": 198, "claim": 5, "french": 9, "german": 10, "run_on": 2, "run_on|claim": 1, "spanish": 8}
