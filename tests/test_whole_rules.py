@@ -68,3 +68,10 @@ def test_guarded_select_preserving(spark):
 def test_respond_decisions(spark):
     got = Counter(c for c, in rows(spark, "respond_decisions", "categories"))
     assert got == {"": 198, "claim": 5, "french": 9, "german": 10, "run_on": 2, "run_on|claim": 1, "spanish": 8}
+
+
+def test_respond_diagnostics(spark):
+    got = one(spark, "respond_diagnostics")
+    want = {"records": 233, "rewrite_requests": 163, "final_fallbacks": 124, "rewrite_truncation_unresolved": 74,
+            "relevance_rejections": 6, "tier2_scored": 5, "tier2_accepted": 4, "tier5_scored": 1, "tier6_scored": 50}
+    assert {c: got[c] for c in want} == want
