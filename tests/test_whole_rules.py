@@ -75,3 +75,9 @@ def test_respond_diagnostics(spark):
     want = {"records": 233, "rewrite_requests": 163, "final_fallbacks": 124, "rewrite_truncation_unresolved": 74,
             "relevance_rejections": 6, "tier2_scored": 5, "tier2_accepted": 4, "tier5_scored": 1, "tier6_scored": 50}
     assert {c: got[c] for c in want} == want
+
+
+def test_respond_counts(spark):
+    got = {(c, v): n for c, v, n in rows(spark, "respond_counts", "counter", "value", "n") if c in ("category", "route")}
+    assert got == {("category", "claim"): 6, ("category", "french"): 9, ("category", "german"): 10, ("category", "run_on"): 3,
+                   ("category", "spanish"): 8, ("route", "SAFE_DIRECT"): 198, ("route", "SAFE_SENSITIVE"): 32, ("route", "UNSAFE"): 3}
