@@ -81,3 +81,9 @@ def test_respond_counts(spark):
     got = {(c, v): n for c, v, n in rows(spark, "respond_counts", "counter", "value", "n") if c in ("category", "route")}
     assert got == {("category", "claim"): 6, ("category", "french"): 9, ("category", "german"): 10, ("category", "run_on"): 3,
                    ("category", "spanish"): 8, ("route", "SAFE_DIRECT"): 198, ("route", "SAFE_SENSITIVE"): 32, ("route", "UNSAFE"): 3}
+
+
+def test_respond_stage_counts(spark):
+    assert dict(rows(spark, "respond_stage_counts", "stage", "n")) == {
+        "draft_accepted": 70, "rewrite_accepted": 39, "benign_model_recovered": 4, "model_boundary_accepted": 4,
+        "fallback_accepted": 53, "fallback_boundary_accepted": 13, "fallback_safe_backstop": 50}
