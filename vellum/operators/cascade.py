@@ -22,7 +22,7 @@ from vellum.functions import text as T
 from vellum.operators.accept import decide, response_checks, sound
 from vellum.operators.guard import VISIBILITY_FIELDS, Window
 from vellum.operators.normalize import normalize_steps, normalized_literal, unescape_nfkc
-from vellum.operators.quality import relevant
+from vellum.operators.quality import relevant, request_facts, text_facts
 from vellum.operators.tagging import helpfulness_priority
 from vellum.packs import Pack
 from vellum.session import staged
@@ -152,6 +152,7 @@ def fallback_candidates(df: DataFrame, pack: Pack, query: str = "query", query_n
     qn, route, cats = F.col(query_norm), F.col(route_name), F.col(categories)
     when = F.lit(True) if when is None else when
     x = df.withColumns({"_need": when, "_intent": intent(route, cats, pack)})
+    x = x.withColumn("_request", F.when(F.col("_need"), request_facts(query, query_norm, categories, pack)))
     own = backstop_rule(route, cats, pack, lambda t: F.struct(F.lit(t).alias("text"), normalized_literal(t).alias("norm")))
     slots = F.array(*template_slots(F.col("_intent"), qn, pack, max_variant(pack))) if builder is None else F.transform(
         builder(F.col(query), route, cats), lambda t: F.when(t.isNotNull(), F.struct(t.alias("text"), normalize_steps(t, None).alias("norm"))))
@@ -161,9 +162,10 @@ def fallback_candidates(df: DataFrame, pack: Pack, query: str = "query", query_n
     tagged = F.concat(F.transform("_slots", lambda c, i: F.struct((i + 1).cast("int").alias("idx"), c.alias("c"))),
                       F.transform(F.array("_own"), lambda c: F.struct(F.lit(0).alias("idx"), c.alias("c"))))
     x = x.withColumn("_slots", F.filter("_slots", lambda c: c.isNotNull()))
-    x = x.withColumn("_judged", F.transform(tagged, lambda t: F.struct(
+    known = F.transform(tagged, lambda t: F.struct(t["idx"].alias("idx"), t["c"].alias("c"), text_facts(t["c"]["text"], t["c"]["norm"], pack).alias("own")))
+    x = x.withColumn("_judged", F.transform(known, lambda t: F.struct(
         t["idx"].alias("idx"), t["c"]["text"].alias("text"), t["c"]["norm"].alias("norm"),
-        relevant(t["c"]["text"], t["c"]["norm"], query_norm, categories, pack).alias("relevant"))))
+        relevant(t["c"]["text"], t["c"]["norm"], query_norm, categories, pack, request=F.col("_request"), own=t["own"]).alias("relevant"))))
     x = x.withColumn("_slots", F.filter("_judged", lambda c: (c["idx"] > 0) & c["relevant"]))
     x = x.withColumn("_fit", F.filter("_slots", lambda c, i: ~F.exists(F.slice("_slots", F.lit(1), i), lambda e: e["text"] == c["text"])))
     some = F.size("_fit") > 0
@@ -173,7 +175,7 @@ def fallback_candidates(df: DataFrame, pack: Pack, query: str = "query", query_n
         "first_candidate": F.col("candidates")[0]["text"],
         "_back": F.when(named, F.struct(F.col("_fit")[0]["text"].alias("text"), F.col("_fit")[0]["norm"].alias("norm")))
                   .otherwise(F.col("_own")),
-    }).withColumn("backstop", F.col("_back.text")).drop("_need", "_intent", "_own", "_slots", "_judged", "_fit")
+    }).withColumn("backstop", F.col("_back.text")).drop("_need", "_intent", "_request", "_own", "_slots", "_judged", "_fit")
 
 
 def guarded_select(df: DataFrame, pack: Pack, scorer, model_candidates: list[str] | None = None,
@@ -245,9 +247,9 @@ def _tiers(df: DataFrame, pack: Pack, scorer, models: list[str], query: str, que
 
     def examined(c: Column) -> Column:
         return F.struct(c["tier"].alias("tier"), c["idx"].alias("idx"), c["text"].alias("text"), response_checks(
-            c["text"], query, route_name, categories, query_norm, c["norm"], pack).alias("checks"))
+            c["text"], query, route_name, categories, query_norm, c["norm"], pack, request=F.col("_request"), own=c["own"]).alias("checks"))
 
-    x = x.withColumn("_raw", raw)
+    x = x.withColumns({"_raw": raw, "_request": F.when(on, request_facts(query, query_norm, categories, pack))})
     numbered = F.transform(F.filter("candidates", lambda c: c["relevant"]), lambda c, i: F.struct(
         (i + 1).cast("int").alias("idx"), c["text"].alias("text"), c["norm"].alias("norm")))
     x = x.withColumn("_plain", F.concat(
@@ -258,7 +260,8 @@ def _tiers(df: DataFrame, pack: Pack, scorer, models: list[str], query: str, que
     behind = F.transform(behind, lambda c: F.struct(
         c["tier"].alias("tier"), c["idx"].alias("idx"), F.concat("_bound", c["text"]).alias("text"),
         normalize_steps(F.concat("_bound", c["norm"]), None).alias("norm")))
-    x = x.withColumn("_all", F.when(on, F.transform(F.concat("_plain", behind), examined)))
+    known = F.transform(F.concat("_plain", behind), lambda c: c.withField("own", text_facts(c["text"], c["norm"], pack)))
+    x = x.withColumn("_all", F.when(on, F.transform(known, examined)))
     fit = F.transform(F.filter("_all", lambda c: (c["tier"] == 1) & sound(c["checks"])), lambda c: c["idx"])
     x = x.withColumn("_fit", fit)
     # which ones a tier takes: sound model answers, relevant templates
@@ -330,7 +333,7 @@ def _tiers(df: DataFrame, pack: Pack, scorer, models: list[str], query: str, que
         "selected": F.coalesce("selected", chosen(6, last, F.lit(0))),
         "tier_counts": F.when(on, F.array(*[scored(k) for k in (1, 2, 3, 4)],
                                           (leads & (F.col("selected").isNull() | (F.col("selected.tier") == 5))).cast("int"), scored(6)))})
-    return x.drop("candidates", "_back", "_on", "_bound", "_benign", "_prio", "_raw", "_plain", "_all", "_fit", *[f"_t{k}" for k in (1, 2, 3, 4, 6)],
+    return x.drop("candidates", "_back", "_on", "_bound", "_benign", "_prio", "_raw", "_request", "_plain", "_all", "_fit", *[f"_t{k}" for k in (1, 2, 3, 4, 6)],
                   *[f"_{k}{j}" for k in "mu" for j in range(len(models))])
 
 

@@ -82,16 +82,19 @@ GENERATION_FIELDS = [StructField("text", StringType()), StructField("finish_reas
 
 def batch_generate(df: DataFrame, generate_fn: Callable[[list[list[dict]], list[int]], tuple[list[str], list[str]]] | None = None,
                    messages: str = "messages", max_tokens: str = "max_tokens", setup_fn: Callable[[], Callable] | None = None,
-                   batch_size: int | None = None) -> DataFrame:
+                   batch_size: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Call ``generate_fn(messages, max_tokens) -> (texts, finish_reasons)``, mixed token budgets in one call.
 
     One call for each Arrow batch, or for every ``batch_size`` rows of a task over the borders of
     Arrow batches (the last call of a task may have fewer).  ``setup_fn() -> generate_fn`` is
     called once in each worker process instead, where a model is loaded and stays.  A length
-    mismatch is an error; reasons of the wrong length become ``unknown``."""
+    mismatch is an error; reasons of the wrong length become ``unknown``.  ``keep``: the columns
+    that come back with the answers; all, if not given."""
     if (generate_fn is None) == (setup_fn is None):
         raise ValueError("either a generator or its set-up")
-    schema = StructType(list(df.schema.fields) + GENERATION_FIELDS)
+    kept = df.columns if keep is None else keep
+    df = df.select(*dict.fromkeys([*kept, messages, max_tokens]))  # no other column goes to Python
+    schema = StructType([df.schema[c] for c in kept] + GENERATION_FIELDS)
     made: list = []  # a worker's own; it is pickled empty
 
     def answered(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +106,7 @@ def batch_generate(df: DataFrame, generate_fn: Callable[[list[list[dict]], list[
         if len(texts) != len(pdf):
             raise ValueError("generator returned a different number of outputs")
         reasons = list(reasons) if reasons is not None and len(reasons) == len(pdf) else ["unknown"] * len(pdf)
-        return pdf.assign(text=texts, finish_reason=reasons)
+        return pdf[kept].assign(text=texts, finish_reason=reasons)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None

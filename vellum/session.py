@@ -75,6 +75,16 @@ def discard_staged(spark: SparkSession, path: str | None = None) -> int:
     return len(gone)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` over the session's shuffle partitions, four for each core at least.
+
+    For jobs that work long on few bytes: cut by bytes, they get about as many tasks as there are
+    cores, and one more makes a second round.  A join or grouping by ``key`` needs no other shuffle."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, key)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
