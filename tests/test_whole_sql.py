@@ -12,6 +12,7 @@ LANGUAGE_HELP = ["THEN 'language_help'", "A faithful translation keeps"]
 
 ASKED = {
     "category_counts": RULES,
+    "unsafe_documents": RULES,
 }
 
 
