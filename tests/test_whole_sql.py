@@ -13,6 +13,7 @@ LANGUAGE_HELP = ["THEN 'language_help'", "A faithful translation keeps"]
 ASKED = {
     "category_counts": RULES,
     "unsafe_documents": RULES,
+    "quality_flags": [*RULES, PRIORITY, DIRECT],
 }
 
 
