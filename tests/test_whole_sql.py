@@ -14,6 +14,7 @@ ASKED = {
     "category_counts": RULES,
     "unsafe_documents": RULES,
     "quality_flags": [*RULES, PRIORITY, DIRECT],
+    "quality_counts": [*RULES, PRIORITY, DIRECT],
 }
 
 
