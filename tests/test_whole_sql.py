@@ -15,6 +15,7 @@ ASKED = {
     "unsafe_documents": RULES,
     "quality_flags": [*RULES, PRIORITY, DIRECT],
     "quality_counts": [*RULES, PRIORITY, DIRECT],
+    "benign_tasks": [*RULES, DIRECT],
 }
 
 
