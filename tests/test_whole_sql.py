@@ -16,6 +16,7 @@ ASKED = {
     "quality_flags": [*RULES, PRIORITY, DIRECT],
     "quality_counts": [*RULES, PRIORITY, DIRECT],
     "benign_tasks": [*RULES, DIRECT],
+    "guarded_select": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
 }
 
 
