@@ -17,6 +17,7 @@ ASKED = {
     "quality_counts": [*RULES, PRIORITY, DIRECT],
     "benign_tasks": [*RULES, DIRECT],
     "guarded_select": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
+    "cascade_counters": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
 }
 
 
