@@ -18,6 +18,7 @@ ASKED = {
     "benign_tasks": [*RULES, DIRECT],
     "guarded_select": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
     "cascade_counters": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
+    "report_by_route": [*RULES, DIRECT],
 }
 
 
