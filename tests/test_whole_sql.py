@@ -19,6 +19,7 @@ ASKED = {
     "guarded_select": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
     "cascade_counters": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
     "report_by_route": [*RULES, DIRECT],
+    "guarded_select_preserving": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
 }
 
 
