@@ -20,6 +20,7 @@ ASKED = {
     "cascade_counters": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
     "report_by_route": [*RULES, DIRECT],
     "guarded_select_preserving": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
+    "respond_decisions": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
 }
 
 
