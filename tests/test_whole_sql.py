@@ -21,6 +21,7 @@ ASKED = {
     "report_by_route": [*RULES, DIRECT],
     "guarded_select_preserving": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
     "respond_decisions": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
+    "respond_diagnostics": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
 }
 
 
