@@ -22,6 +22,7 @@ ASKED = {
     "guarded_select_preserving": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
     "respond_decisions": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
     "respond_diagnostics": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
+    "respond_counts": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
 }
 
 
