@@ -23,6 +23,7 @@ ASKED = {
     "respond_decisions": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
     "respond_diagnostics": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
     "respond_counts": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
+    "respond_stage_counts": [*RULES, PRIORITY, DIRECT, *LANGUAGE_HELP],
 }
 
 
